@@ -1,12 +1,15 @@
-"""Identifiers of papers, repositories and benchmark results."""
+"""Identifiers of papers, repositories and benchmark results.
+
+The helpers name a column once or twice only; callers put each step in a column of its own, which keeps the
+plan small and every regular expression evaluated once per row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .labelled import field
-from .text import col, drop_prefix, drop_suffix, first_filled, strip_chars, text_or_empty
+from .text import blank_to_null, col, drop_prefix, drop_suffix, strip_chars, text_or_empty
 from .urls import split_url
 
 # Patterns and clean-up characters of the identifiers.
@@ -18,85 +21,66 @@ EDGE_CHARS = " .;,"
 
 
 def clean_arxiv_id(c: Column | str) -> Column:
-    text = drop_suffix(drop_prefix(drop_prefix(F.trim(col(c)), "arXiv:"), "arxiv:"), ".pdf")
-    found = F.regexp_extract(text, ARXIV_ID, 1)
-    return F.when(found != "", found).otherwise(strip_chars(text, EDGE_CHARS))
+    """First id-shaped part, else the trimmed text."""
+    text = drop_suffix(drop_prefix(F.trim(col(c)), "arXiv:", "arxiv:"), ".pdf")
+    return F.coalesce(blank_to_null(F.regexp_extract(text, ARXIV_ID, 1)), strip_chars(text, EDGE_CHARS))
 
 
-def arxiv_id(explicit: Column, fields: Column, link: Column) -> Column:
-    given = first_filled(explicit, field(fields, "arXiv"))
-    in_link = F.regexp_extract(text_or_empty(link), ARXIV_LINK, 1)
-    return F.when(given != "", clean_arxiv_id(given)).otherwise(in_link)
+def arxiv_id_in_link(link: Column | str) -> Column:
+    return F.regexp_extract(text_or_empty(link), ARXIV_LINK, 1)
 
 
 def clean_doi(c: Column | str) -> Column:
-    text = drop_prefix(drop_prefix(F.trim(col(c)), "doi:"), "https://doi.org/")
+    text = drop_prefix(F.trim(col(c)), "doi:", "https://doi.org/")
     return F.lower(strip_chars(text, EDGE_CHARS))
 
 
-def doi(explicit: Column, fields: Column, link: Column, summary: Column) -> Column:
-    given = first_filled(explicit, field(fields, "DOI"))
-    text = F.concat(text_or_empty(link), F.lit(" "), text_or_empty(summary))
-    return clean_doi(F.when(given != "", given).otherwise(F.regexp_extract(text, DOI_TEXT, 1)))
+def doi_in_text(link: Column | str, summary: Column | str) -> Column:
+    return F.regexp_extract(F.concat_ws(" ", text_or_empty(link), text_or_empty(summary)), DOI_TEXT, 1)
+
+
+def repository_in_text(*columns: Column | str) -> Column:
+    """``github.com/owner/name`` found anywhere in the columns, else the empty string."""
+    found = F.regexp_extract(F.concat_ws(" ", *[text_or_empty(c) for c in columns]), REPOSITORY_TEXT, 0)
+    return F.regexp_replace(found, r"(?i)^.*?github\.com/", "github.com/")
+
+
+def trimmed_repository(c: Column | str) -> Column:
+    """Text without quotes, closing punctuation and ``.git``."""
+    text = strip_chars(F.trim(col(c)), "`'\" ")
+    return drop_suffix(F.regexp_replace(text, r"[).,;]+$", ""), ".git")
 
 
 def path_parts(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda p: p != "")
 
 
-def clean_repository(c: Column | str) -> Column:
-    """``host/owner/name`` when the text has all three, else the text without closing punctuation."""
-    text = strip_chars(F.trim(col(c)), "`'\" ")
-    text = drop_suffix(F.regexp_replace(text, r"[).,;]+$", ""), ".git")
+def shortened_repository(c: Column | str) -> Column:
+    """``host/owner/name`` when a trimmed text has all three, else the text."""
+    text = col(c)
     parts = split_url(F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text)))
     names = path_parts(parts.path)
-    whole = F.concat_ws("/", F.lower(parts.authority), F.get(names, F.lit(0)), drop_suffix(F.get(names, F.lit(1)), ".git"))
-    return F.when((parts.authority != "") & (F.size(names) >= 2), whole).otherwise(text)
-
-
-def repository(configured: Column, fields: Column, title: Column, summary: Column, link: Column) -> Column:
-    labelled = field(fields, "Repository", "Repo", "GitHub repository")
-    text = F.concat_ws(" ", text_or_empty(title), text_or_empty(summary), text_or_empty(link))
-    owner = F.regexp_extract(text, REPOSITORY_TEXT, 1)
-    name = F.regexp_extract(text, REPOSITORY_TEXT, 2)
-    return (
-        F.when(first_filled(configured) != "", clean_repository(first_filled(configured)))
-        .when(labelled != "", clean_repository(labelled))
-        .when(owner != "", clean_repository(F.concat_ws("/", F.lit("github.com"), owner, name)))
-        .otherwise(F.lit(""))
+    name = drop_suffix(F.get(names, F.lit(1)), ".git")
+    # Concatenation is NULL when a part is.
+    whole = F.concat(
+        blank_to_null(F.lower(parts.authority)), F.lit("/"), F.get(names, F.lit(0)), F.lit("/"), name
     )
+    return F.coalesce(whole, text)
 
 
-def repository_parts(c: Column | str) -> tuple[Column, Column, Column]:
-    """Host, owner and name; all empty when the text is empty."""
+def repository_url(c: Column | str) -> Column:
+    """Address of a repository text: ``owner/name`` is taken to be on GitHub."""
     text = F.trim(col(c))
     is_bare = text.contains("/") & ~text.rlike("^https?://")
     has_host = F.substring_index(text, "/", 1).contains(".")
-    url = (
+    return (
         F.when(is_bare & has_host, F.concat(F.lit("https://"), text))
         .when(is_bare, F.concat(F.lit("https://github.com/"), text))
         .otherwise(text)
     )
-    parts = split_url(url)
-    names = path_parts(parts.path)
-    named = F.size(names) >= 2
-    return (
-        F.lower(parts.authority),
-        F.when(named, F.get(names, F.lit(0))).otherwise(F.lit("")),
-        F.when(named, drop_suffix(F.get(names, F.lit(1)), ".git")).otherwise(F.lit("")),
-    )
 
 
-def citation_count(explicit: Column, fields: Column) -> Column:
-    digits = F.regexp_extract(field(fields, "Citation count", "Citations"), r"(\d[\d,]*)", 1)
-    return F.coalesce(explicit.cast("bigint"), F.replace(digits, F.lit(","), F.lit("")).try_cast("bigint"))
-
-
-def benchmark_name(fields: Column, title: Column) -> Column:
-    labelled = field(fields, "Benchmark", "Benchmark name")
-    title = text_or_empty(title)
-    return (
-        F.when(labelled != "", labelled)
-        .when(F.lower(title).contains("benchmark"), title)
-        .otherwise(F.lit(""))
-    )
+def first_number(c: Column | str) -> Column:
+    """First group of digits, with commas between them removed."""
+    digits = F.regexp_extract(col(c), r"(\d[\d,]*)", 1)
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("bigint")

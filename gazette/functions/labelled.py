@@ -60,7 +60,7 @@ def field(fields: Column | str, *labels: str) -> Column:
     fields = col(fields)
 
     def first_value(label: str) -> Column:
-        names = [label.lower()] + [_ALSO[label.lower()]] * (label.lower() in _ALSO)
+        names = [n for n in (label.lower(), _ALSO.get(label.lower())) if n]
         return F.get(F.filter(fields, lambda f: f["label"].isin(names)), F.lit(0))["value"]
 
     return F.coalesce(*[first_value(label) for label in labels], F.lit(""))

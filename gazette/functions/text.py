@@ -39,14 +39,13 @@ def strip_chars(c: Column | str, chars: str) -> Column:
     return F.btrim(col(c), F.lit(chars))
 
 
-def drop_prefix(c: Column | str, prefix: str) -> Column:
-    c = col(c)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
+def drop_prefix(c: Column | str, *prefixes: str) -> Column:
+    """The text without the given prefixes, each tried once in this order."""
+    return F.regexp_replace(col(c), "^" + "".join(f"(?:{escape_regex(p)})?" for p in prefixes), "")
 
 
 def drop_suffix(c: Column | str, suffix: str) -> Column:
-    c = col(c)
-    return F.when(c.endswith(suffix), F.left(c, F.length(c) - len(suffix))).otherwise(c)
+    return F.regexp_replace(col(c), escape_regex(suffix) + r"\z", "")
 
 
 def normalise_title(c: Column | str) -> Column:
@@ -64,7 +63,7 @@ def slug(c: Column | str) -> Column:
     """Lower-case key of ``a-z 0-9 . _ -``; never empty (digest of the text instead)."""
     text = text_or_empty(c)
     body = strip_chars(F.regexp_replace(F.lower(text), r"[^a-z0-9._-]+", "-"), "-")
-    return F.when(body != "", body).otherwise(F.concat(F.lit("u-"), short_digest(text)))
+    return F.coalesce(blank_to_null(body), F.concat(F.lit("u-"), short_digest(text)))
 
 
 def title_key(c: Column | str) -> Column:

@@ -131,14 +131,14 @@ def fuzzy_duplicates(
     )
     rows = rows.withColumn("title_prefix", _prefix(col("norm_title"), title_threshold))
     rows = rows.withColumn("path_prefix", _prefix(col("path"), url_threshold))
-    signed = rows.withColumn("title_token", F.explode("title_prefix"))
+    signed = rows.withColumn("title_token", F.explode_outer("title_prefix"))
     group = ["authority", "title_token"]
     sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     sized = signed.join(sizes, group)
     keys = ["id", "copies", "norm_title", "path", "title_prefix", "path_prefix"]
 
     light = _pairs(sized.where(col("rows") <= heavy_group), keys, on=group)
-    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode("path_prefix"))
+    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode_outer("path_prefix"))
     heavy = _pairs(heavy, keys, on=[*group, "path_token"])
     heavy = heavy.where(_first_shared(col("left_path_prefix"), col("right_path_prefix")) == col("path_token"))
     candidates = light.unionByName(heavy.drop("path_token"))
@@ -176,7 +176,7 @@ def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataF
     rows = table.select(parts.authority.alias("authority"), parts.path.alias("path"), text_or_empty(url).alias("url"))
     rows = rows.groupBy("authority", "path").agg(F.min("url").alias("id"), F.count(F.lit(1)).alias("urls"))
     rows = rows.withColumn("prefix", _prefix(col("path"), threshold))
-    signed = rows.withColumn("token", F.explode("prefix"))
+    signed = rows.withColumn("token", F.explode_outer("prefix"))
     pairs = _pairs(signed, ["id", "urls", "path", "prefix"], on=["authority", "token"])
     pairs = pairs.where(_first_shared(col("left_prefix"), col("right_prefix")) == col("token"))
     pairs = pairs.where(_length_bound(col("left_path"), col("right_path"), threshold))

@@ -23,7 +23,7 @@ def _edges(articles: DataFrame, names: Column) -> DataFrame:
             ),
         )
     )
-    exploded = listed.where(F.size("names") > 1).select(F.explode(pairs).alias("edge"))
+    exploded = listed.select(F.explode_outer(pairs).alias("edge")).where("edge is not null")
     return exploded.groupBy("edge.left", "edge.right").agg(F.count(F.lit(1)).alias("weight"))
 
 

@@ -45,16 +45,33 @@ def _words(documents: DataFrame) -> list[tuple[str, Column]]:
     return [(f, search_tokens(f)) for f in FIELDS if f in documents.columns]
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """``term, doc_key, field, tf, positions``. Words of a document meet within its task, so what is shuffled
-    already has one row per term of a document."""
+def postings(documents: DataFrame, *, queries: DataFrame | None = None) -> DataFrame:
+    """``term, doc_key, field, tf, positions`` of all words, or with ``queries`` of the words they ask for.
+
+    Words of a document meet within its task, so what is shuffled already has one row per term of a document.
+    Without a stored index, pass the queries: other words are then dropped before the shuffle.
+    """
     tagged = F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in _words(documents)])
-    fields = documents.select("doc_key", F.explode(tagged).alias("t"))
-    words = fields.select("doc_key", "t.field", F.posexplode("t.words").alias("position", "term"))
-    grouped = words.groupBy("term", "doc_key", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    fields = documents.select("doc_key", F.explode_outer(tagged).alias("t"))
+    words = fields.select("doc_key", "t.field", F.posexplode_outer("t.words").alias("position", "term"))
+    words = words.where("term is not null")
+    if queries is not None:
+        clauses = query_clauses(queries)
+        key = F.when(col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(col("term"))
+        wanted = clauses.select(key.alias("_key")).distinct()
+        keys = F.concat(F.array("term"), F.transform(_cuts(clauses), lambda p: F.concat(p, F.lit("*"))))
+        words = words.withColumn("_key", F.explode_outer(keys)).join(wanted, "_key", "left_semi").drop("_key")
+    grouped = words.groupBy("term", "doc_key", "field").agg(F.array_sort(F.collect_set("position")).alias("positions"))
     return grouped.select("term", "doc_key", "field", F.size("positions").alias("tf"), "positions")
 
 
+def _cuts(clauses: DataFrame) -> Column:
+    """The prefixes of ``term`` in the lengths that prefix clauses have; none when there is no such clause."""
+    lengths = clauses.where("is_prefix").agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).scalar()
+    fitting = F.filter(lengths, lambda n: n <= F.length("term"))
+    return F.transform(fitting, lambda n: F.substring(col("term"), F.lit(1), n))
+
+
 def document_lengths(documents: DataFrame) -> DataFrame:
     total = sum((F.size(w) for _, w in _words(documents)), F.lit(0))
     return documents.select("doc_key", total.cast("bigint").alias("length"))
@@ -107,12 +124,7 @@ def _word_hits(posted: DataFrame, clauses: DataFrame) -> DataFrame:
     exact = clauses.where(~col("is_prefix")).withColumnRenamed("term", "wanted")
     prefixes = clauses.where("is_prefix").withColumnRenamed("term", "wanted")
     found = posted.join(exact, posted["term"] == col("wanted"))
-    lengths = F.sort_array(F.collect_set(F.length("wanted")))
-    wanted_lengths = prefixes.agg(lengths.alias("lengths")).scalar()
-    cut = F.transform(
-        F.filter(wanted_lengths, lambda n: n <= F.length("term")), lambda n: F.substring(col("term"), F.lit(1), n)
-    )
-    by_prefix = posted.withColumn("_prefix", F.explode(cut))
+    by_prefix = posted.withColumn("_prefix", F.explode_outer(_cuts(clauses)))
     started = by_prefix.join(prefixes, by_prefix["_prefix"] == col("wanted")).drop("_prefix")
     hits = found.unionByName(started)
     return hits.where(col("only_field").isNull() | (col("only_field") == col("field")))

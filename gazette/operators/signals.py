@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 from ..functions.labelled import field, labelled_fields
 from ..functions.text import blank_to_null, col, first_filled, short_digest, slug, text_or_empty, title_key
+from ..functions.urls import split_url
 from ..sources.config import QualitySettings
 
 # Token in the description of a source -> event model, tried in this order.
@@ -126,31 +127,59 @@ def with_identifiers(articles: DataFrame, *, configured_repository: Column | Non
     rows = with_optional_columns(articles)
     rows = rows.withColumn("_summary", _summary())
     rows = rows.withColumn("fields", labelled_fields("title", "_summary"))
-    f, title, link = col("fields"), text_or_empty("title"), text_or_empty("link")
+    f, title, link = "fields", text_or_empty("title"), text_or_empty("link")
     configured = F.lit("") if configured_repository is None else configured_repository
+    # One column per step: what a step reads more than once is computed once.
     rows = rows.withColumns(
         {
-            "arxiv_id": ids.arxiv_id(text_or_empty("arxiv_id"), f, link),
-            "doi": ids.doi(text_or_empty("doi"), f, link, col("_summary")),
-            "repository": ids.repository(configured, f, title, col("_summary"), link),
-            "citation_count": ids.citation_count(col("citation_count"), f),
-            "benchmark_name": ids.benchmark_name(f, title),
+            "_arxiv": field(f, "arXiv"),
+            "_doi": field(f, "DOI"),
+            "_repo": field(f, "Repository", "Repo", "GitHub repository"),
+            "_cited": field(f, "Citation count", "Citations"),
+            "_benchmark": field(f, "Benchmark", "Benchmark name"),
             "metric_name": field(f, "Metric", "Metric name", "Score"),
-            "metric_value": blank_to_null(field(f, "Metric value", "Score")),
+            "_metric": field(f, "Metric value", "Score"),
             "dataset": field(f, "Dataset"),
             "normalized_title": title_key(title),
             "venue": F.trim(text_or_empty("venue")),
         }
     )
-    host, owner, name = ids.repository_parts("repository")
-    return rows.withColumns(
+    rows = rows.withColumns(
+        {
+            "_arxiv": first_filled("arxiv_id", "_arxiv"),
+            "_doi": first_filled("doi", "_doi"),
+            "_repo": first_filled(configured, "_repo"),
+            "_benchmarked": F.when(F.lower(title).contains("benchmark"), title).otherwise(F.lit("")),
+            "metric_value": blank_to_null("_metric"),
+            "citation_count": F.coalesce(col("citation_count").cast("bigint"), ids.first_number("_cited")),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "arxiv_id": F.when(col("_arxiv") != "", ids.clean_arxiv_id("_arxiv")).otherwise(ids.arxiv_id_in_link(link)),
+            "doi": ids.clean_doi(
+                F.when(col("_doi") != "", col("_doi")).otherwise(ids.doi_in_text(link, "_summary"))
+            ),
+            "_repo": ids.trimmed_repository(
+                F.when(col("_repo") != "", col("_repo")).otherwise(ids.repository_in_text(title, "_summary", link))
+            ),
+            "benchmark_name": F.when(col("_benchmark") != "", col("_benchmark")).otherwise(col("_benchmarked")),
+        }
+    )
+    rows = rows.withColumn("repository", ids.shortened_repository("_repo"))
+    rows = rows.withColumn("_repo", ids.repository_url("repository"))
+    parts = split_url("_repo")
+    rows = rows.withColumn("_names", ids.path_parts(parts.path))
+    named = F.size("_names") >= 2
+    rows = rows.withColumns(
         {
-            "repository_host": host,
-            "repository_owner": owner,
-            "repository_name": name,
+            "repository_host": F.lower(parts.authority),
+            "repository_owner": F.when(named, F.get("_names", F.lit(0))).otherwise(F.lit("")),
+            "repository_name": F.when(named, ids.drop_suffix(F.get("_names", F.lit(1)), ".git")).otherwise(F.lit("")),
             "paper_id": first_filled("doi", "arxiv_id", link, "normalized_title"),
         }
     )
+    return rows.drop("_arxiv", "_doi", "_repo", "_cited", "_benchmark", "_benchmarked", "_metric", "_names")
 
 
 def with_canonical_key(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, col
 from ..schemas import ENTITY_MAP
 from .recency import event_time
+from .tagging import entity_rows
 
 
 def source_totals(articles: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def top_trends(articles: DataFrame, *, as_of: dt.datetime, days: int = 7, limit:
     """Entities by number of matched keywords in the window, from JSON text; unreadable values are passed over."""
     recent = articles.where(col("collected_at") >= F.lit(as_of - dt.timedelta(days=days)))
     # Values that are no lists must not spoil the other entities, so they are read as text first.
-    entries = recent.select(F.explode(F.from_json("entities_json", "map<string,string>")).alias("entity", "listed"))
+    parsed = F.from_json("entities_json", "map<string,string>")
+    entries = recent.select(F.explode_outer(parsed).alias("entity", "listed"))
     sizes = entries.where(col("listed").startswith("[")).select("entity", F.json_array_length("listed").alias("n"))
     totals = sizes.groupBy("entity").agg(F.sum("n").cast("bigint").alias("n"))
     return totals.orderBy(col("n").desc(), col("entity")).limit(max(limit, 0))
@@ -54,8 +56,8 @@ def run_statistics(valid: DataFrame, collected: DataFrame, *, configured_sources
 
 def daily_entities(tagged: DataFrame) -> DataFrame:
     """Matched keywords per day and entity."""
-    exploded = tagged.select(F.to_date(event_time()).alias("day"), F.explode("matched_entities").alias("entity", "k"))
-    return exploded.groupBy("day", "entity").agg(F.sum(F.size("k")).cast("bigint").alias("n"))
+    exploded = entity_rows(tagged, F.to_date(event_time()).alias("day"))
+    return exploded.groupBy("day", "entity").agg(F.sum(F.size("keywords")).cast("bigint").alias("n"))
 
 
 def daily_sources(tagged: DataFrame) -> DataFrame:

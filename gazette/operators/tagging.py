@@ -1,7 +1,7 @@
 """Tagging of articles with a keyword dictionary.
 
-An ASCII keyword matches case-insensitively as a whole word, any other keyword as a part of the lower-cased
-text. A whole-word match must cover complete word runs of the text, so a keyword is looked up by its first
+Keywords are lower case and so is the text they are looked up in. An ASCII keyword matches as a whole word,
+any other keyword as a part of the text. A whole-word match must cover complete word runs of the text, so a keyword is looked up by its first
 word run (the anchor) in the set of word runs of the text, and only the keywords found that way are checked
 any further.
 
@@ -28,7 +28,7 @@ _DICTIONARY = "entity string, pos int, keyword string, anchor string, pattern st
 def _whole_word(keyword: str) -> str:
     start = rf"(?<!{WORD})" if re.match(r"\w", keyword) else rf"(?<={WORD})"
     end = rf"(?!{WORD})" if re.search(r"\w$", keyword) else rf"(?={WORD})"
-    return f"(?iu){start}{escape_regex(keyword)}{end}"
+    return f"{start}{escape_regex(keyword)}{end}"
 
 
 def _entry(k: Keyword) -> tuple[str, int, str, str | None, str | None]:
@@ -45,23 +45,31 @@ def tag_text(title: Column | str, summary: Column | str) -> Column:
     return F.concat(text_or_empty(title), F.lit("\n"), text_or_empty(summary))
 
 
-def word_runs(text: Column) -> Column:
-    """Distinct lower-cased word runs; the two Turkish i's and the long s fold to ASCII as keywords do."""
-    folded = F.lower(F.translate(text, "İıſ", "iis"))
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{WORD}+"), F.lit(0)))
+def word_runs(lowered: Column) -> Column:
+    """Word runs of a lower-cased text."""
+    return F.split(lowered, f"[^{WORD[1:-1]}]+")
 
 
-def _verified(text: Column, anchor: Column, keyword: Column, pattern: Column) -> Column:
+def _verified(lowered: Column, anchor: Column, keyword: Column, pattern: Column) -> Column:
+    """A cheap substring test first; the pattern then looks at the ends of the match."""
     return (
-        F.when(pattern.isNotNull(), F.regexp_like(text, pattern))
-        .when(anchor.isNull(), F.lower(text).contains(keyword))
+        F.when(pattern.isNotNull(), lowered.contains(keyword) & F.regexp_like(lowered, pattern))
+        .when(anchor.isNull(), lowered.contains(keyword))
         .otherwise(F.lit(True))
     )
 
 
-def _hits_in_row(text: Column, words: Column, entries: list[tuple]) -> Column:
-    anchored = [e for e in entries if e[3] is not None]
-    free = [e for e in entries if e[3] is None]
+def _split(entries: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    return [e for e in entries if e[3] is not None], [e for e in entries if e[3] is None]
+
+
+def _found_anchors(words: Column, entries: list[tuple]) -> Column:
+    anchors = sorted({e[3] for e in entries if e[3] is not None})
+    return F.array_intersect(words, F.array(*[F.lit(a) for a in anchors]).cast("array<string>"))
+
+
+def _hits_in_row(lowered: Column, found: Column, entries: list[tuple]) -> Column:
+    anchored, free = _split(entries)
 
     def literal(rows: list[tuple]) -> Column:
         names = ("entity", "pos", "keyword", "anchor", "pattern")
@@ -69,21 +77,19 @@ def _hits_in_row(text: Column, words: Column, entries: list[tuple]) -> Column:
 
     hits = []
     if anchored:
-        anchors = F.array(*[F.lit(a) for a in sorted({e[3] for e in anchored})])
-        found = F.array_intersect(words, anchors)
         hits.append(
             F.when(
                 F.size(found) > 0,
                 F.filter(
                     literal(anchored),
                     lambda d: F.array_contains(found, d["anchor"])
-                    & (d["pattern"].isNull() | F.regexp_like(text, d["pattern"])),
+                    & _verified(lowered, d["anchor"], d["keyword"], d["pattern"]),
                 ),
             ).otherwise(F.filter(literal(anchored[:1]), lambda d: F.lit(False)))
         )
     if free:
         hits.append(
-            F.filter(literal(free), lambda d: _verified(text, d["anchor"], d["keyword"], d["pattern"]))
+            F.filter(literal(free), lambda d: _verified(lowered, d["anchor"], d["keyword"], d["pattern"]))
         )
     pairs = [F.transform(h, lambda d: F.struct(d["pos"], d["entity"], d["keyword"])) for h in hits]
     return F.array_sort(pairs[0] if len(pairs) == 1 else F.concat(*pairs))
@@ -115,18 +121,18 @@ def tag_articles(
     if not entries:
         return rest.withColumn("matched_entities", F.expr("cast(map() as map<string,array<string>>)"))
     if len(entries) <= row_local_limit:
-        text = tag_text("title", "summary")
-        staged = rest.withColumn("_words", word_runs(text))
-        staged = staged.withColumn("_hits", _hits_in_row(text, col("_words"), entries))
-        return staged.withColumn("matched_entities", _entity_map(col("_hits"))).drop("_words", "_hits")
+        staged = rest.withColumn("_lowered", F.lower(tag_text("title", "summary")))
+        staged = staged.withColumn("_found", _found_anchors(word_runs(col("_lowered")), entries))
+        staged = staged.withColumn("_hits", _hits_in_row(col("_lowered"), col("_found"), entries))
+        return staged.withColumn("matched_entities", _entity_map(col("_hits"))).drop("_lowered", "_found", "_hits")
     return _tag_by_join(rest, entries, key)
 
 
 def _tag_by_join(articles: DataFrame, entries: list[tuple], key: str) -> DataFrame:
     spark = articles.sparkSession
     dictionary = spark.createDataFrame(entries, _DICTIONARY)
-    texts = articles.select(key, tag_text("title", "summary").alias("_text"))
-    words = texts.select(key, "_text", F.explode(word_runs(col("_text"))).alias("anchor"))
+    texts = articles.select(key, F.lower(tag_text("title", "summary")).alias("_text"))
+    words = texts.select(key, "_text", F.explode_outer(F.array_distinct(word_runs(col("_text")))).alias("anchor"))
     anchored = dictionary.where("anchor is not null")
     found = words.join(anchored, "anchor").where(_verified(col("_text"), col("anchor"), col("keyword"), col("pattern")))
     hits = found.select(key, F.struct("pos", "entity", "keyword").alias("hit"))
@@ -142,8 +148,8 @@ def _tag_by_join(articles: DataFrame, entries: list[tuple], key: str) -> DataFra
                 for e in free
             ]
         )
-        tried = texts.select(key, F.explode(F.filter(literal, lambda h: h.isNotNull())).alias("hit"))
-        hits = hits.unionByName(tried)
+        tried = texts.select(key, F.explode_outer(F.filter(literal, lambda h: h.isNotNull())).alias("hit"))
+        hits = hits.unionByName(tried.where("hit is not null"))
     # One list per article, never longer than the dictionary.
     per_article = hits.groupBy(key).agg(F.array_sort(F.collect_list("hit")).alias("_hits"))
     empty = F.expr("cast(map() as map<string,array<string>>)")
@@ -154,11 +160,21 @@ def _tag_by_join(articles: DataFrame, entries: list[tuple], key: str) -> DataFra
     )
 
 
+def entity_rows(tagged: DataFrame, *keep: Column | str) -> DataFrame:
+    """One row per article and entity with its ``keywords``.
+
+    The outer form keeps Spark from deriving a filter on the map, for which it would compute the tags a second
+    time below the projection.
+    """
+    rows = tagged.select(*keep, F.explode_outer("matched_entities").alias("entity", "keywords"))
+    return rows.where("entity is not null")
+
+
 def keyword_totals(tagged: DataFrame) -> DataFrame:
     """Hits per entity and keyword; a keyword listed twice counts twice."""
     return (
-        tagged.select(F.explode("matched_entities").alias("entity", "keywords"))
-        .select("entity", F.explode("keywords").alias("keyword"))
+        entity_rows(tagged)
+        .select("entity", F.explode_outer("keywords").alias("keyword"))
         .groupBy("entity", "keyword")
         .agg(F.count(F.lit(1)).alias("hits"))
     )

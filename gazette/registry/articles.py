@@ -177,16 +177,16 @@ def equal_urls(spark, folder):
 
 @register(f"WITH {TAGS} SELECT doc_id, entity, listed AS keywords FROM tags")
 def entity_tags(spark, folder):
-    rows = tagged_view(spark, folder).select("doc_id", F.explode("matched_entities").alias("entity", "k"))
-    return rows.select("doc_id", "entity", F.array_join("k", "|").alias("keywords"))
+    rows = tagging.entity_rows(tagged_view(spark, folder), "doc_id")
+    return rows.select("doc_id", "entity", F.array_join("keywords", "|").alias("keywords"))
 
 
 @register(f"WITH {TAGS} SELECT doc_id, entity, listed AS keywords FROM tags")
 def entity_tags_joined(spark, folder):
     """The plan for large dictionaries."""
     rows = tagging.tag_articles(articles_view(spark, folder), KEYWORDS, key="doc_id", row_local_limit=0)
-    rows = rows.select("doc_id", F.explode("matched_entities").alias("entity", "k"))
-    return rows.select("doc_id", "entity", F.array_join("k", "|").alias("keywords"))
+    rows = tagging.entity_rows(rows, "doc_id")
+    return rows.select("doc_id", "entity", F.array_join("keywords", "|").alias("keywords"))
 
 
 @register(f"WITH {TAGS} SELECT entity, keyword, count(*) AS hits FROM hits GROUP BY ALL")
@@ -259,7 +259,7 @@ def run_stats(spark, folder):
 @register(f"""WITH {TAGS}, dated AS (SELECT doc_id, source, coalesce(published, collected_at)::DATE AS day FROM articles_v),
 counts AS (SELECT day, source, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM tags)) AS m FROM dated GROUP BY ALL),
 per_day AS (SELECT day, sum(n)::BIGINT AS article_count, count(*) AS source_count, sum(m)::BIGINT AS matched_count,
-                   string_agg(source || '=' || n, ',' ORDER BY source) AS sources FROM counts GROUP BY day),
+                   array_to_string(list_sort(list(source || '=' || n)), ',') AS sources FROM counts GROUP BY day),
 ents AS (SELECT day, entity, sum(n)::BIGINT AS n FROM tags JOIN dated USING (doc_id) GROUP BY ALL),
 top AS (SELECT day, string_agg(entity || '=' || n, ',' ORDER BY n DESC, entity) AS top_entities FROM ents GROUP BY day)
 SELECT strftime(day, '%Y-%m-%d') AS day, 'research' AS category, article_count, source_count, matched_count, top_entities, sources

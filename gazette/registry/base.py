@@ -288,16 +288,14 @@ KEYWORDS = keywords_of(
 
 
 def keywords_sql() -> str:
-    """The dictionary as SQL rows with a pattern for ASCII keywords; no look-around is needed as the words
-    beside a match are not shared by two matches of one test."""
+    """The dictionary as SQL rows: how a keyword is looked up, and the pattern of those of several words."""
     rows = []
     for k in KEYWORDS:
-        pattern = "NULL"
-        if k.keyword.isascii():
-            literal = k.keyword.replace(".", "\\.")
-            pattern = "'(?i)(^|[^\\p{L}\\p{N}_])" + literal + "([^\\p{L}\\p{N}_]|$)'"
-        rows.append(f"('{k.entity}', {k.pos}, '{k.keyword}', {pattern})")
-    return "keywords(entity, pos, keyword, pattern) AS (VALUES " + ", ".join(rows) + ")"
+        kind = "part" if not k.keyword.isascii() else "word" if k.keyword.isalnum() else "pattern"
+        literal = k.keyword.replace(".", "\\.")
+        pattern = "(^|[^\\p{L}\\p{N}_])" + literal + "([^\\p{L}\\p{N}_]|$)"
+        rows.append(f"('{k.entity}', {k.pos}, '{k.keyword}', '{kind}', '{pattern}')")
+    return "keywords(entity, pos, keyword, kind, pattern) AS (VALUES " + ", ".join(rows) + ")"
 
 
 TAGS = (
@@ -305,11 +303,17 @@ TAGS = (
     + ", "
     + keywords_sql()
     + """,
+texts AS MATERIALIZED (
+  SELECT doc_id, link, lower(title || chr(10) || summary) AS t,
+         regexp_extract_all(lower(title || chr(10) || summary), '[\\p{L}\\p{N}_]+') AS words
+  FROM articles_v
+),
 hits AS (
-  SELECT a.doc_id, a.link, k.entity, k.pos, k.keyword
-  FROM articles_v a JOIN keywords k
-    ON CASE WHEN k.pattern IS NULL THEN contains(lower(a.title || chr(10) || a.summary), k.keyword)
-            ELSE regexp_matches(a.title || chr(10) || a.summary, k.pattern) END
+  SELECT x.doc_id, x.link, k.entity, k.pos, k.keyword
+  FROM texts x JOIN keywords k
+    ON CASE WHEN k.kind = 'part' THEN contains(x.t, k.keyword)
+            WHEN k.kind = 'word' THEN list_contains(x.words, k.keyword)
+            ELSE contains(x.t, k.keyword) AND regexp_matches(x.t, k.pattern) END
 ),
 tags AS (
   SELECT doc_id, link, entity, min(pos) AS first_pos, count(*) AS n,

@@ -1 +1,194 @@
-"""To be filled."""
+"""Queries on full-text search and query logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import col
+from ..operators import recency
+from ..operators import search as ops
+from .articles import PAPERS, _papers
+from .base import ARTICLES, AS_OF, AS_OF_SQL, articles_view, register, stamp, table
+
+WORDS = (
+    ARTICLES
+    + """,
+words_v AS MATERIALIZED (
+  SELECT link AS doc_key, title, source, collected_at,
+         regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+') AS tt,
+         regexp_extract_all(strip_accents(lower(summary)), '[\\p{L}\\p{N}]+') AS ta,
+         regexp_extract_all(strip_accents(lower(array_to_string(authors, ' '))), '[\\p{L}\\p{N}]+') AS tu
+  FROM articles_v
+),
+all_v AS MATERIALIZED (SELECT *, list_concat(tt, ta, tu) AS words FROM words_v)"""
+)
+
+
+def _queries(spark, *texts: str):
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+
+
+def _documents(spark, folder):
+    return ops.search_documents(articles_view(spark, folder))
+
+
+def _has(word: str) -> str:
+    return f"list_contains(words, '{word}')"
+
+
+def _limited(*conditions: str, limit: int = 50) -> str:
+    """Documents per query in key order."""
+    parts = [
+        f"SELECT {i} AS query_id, doc_key, row_number() OVER (ORDER BY doc_key) AS rank FROM all_v WHERE {c}"
+        for i, c in enumerate(conditions)
+    ]
+    return f"WITH {WORDS} SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE rank <= {limit}"
+
+
+def _search(spark, folder, *texts):
+    queries = _queries(spark, *texts)
+    return ops.search(ops.postings(_documents(spark, folder), queries=queries), queries, limit=50)
+
+
+@register(f"WITH {WORDS}, w AS (SELECT doc_key, unnest(words) AS term FROM all_v) "
+          "SELECT term, count(DISTINCT doc_key) AS documents, count(*) AS occurrences FROM w GROUP BY term")
+def postings_stats(spark, folder):
+    return ops.postings_stats(ops.postings(_documents(spark, folder)))
+
+
+@register(_limited(f"{_has('mit')} AND {_has('license')}", f"{_has('fur')} AND {_has('und')}", _has("cion")))
+def search_all_terms(spark, folder):
+    return _search(spark, folder, "MIT license", "für AND und", "ción")
+
+
+@register(_limited(f"{_has('mit')} OR {_has('gnu')}", f"{_has('fur')} OR {_has('cion')} OR ({_has('avec')} AND {_has('la')})"))
+def search_any_term(spark, folder):
+    return _search(spark, folder, "mit OR gnu", "für OR ción OR avec la")
+
+
+@register(_limited(f"{_has('license')} AND NOT {_has('mit')}", f"{_has('the')} AND {_has('of')} AND NOT ({_has('license')} AND {_has('cc')})",
+                   f"{_has('avec')} OR ({_has('the')} AND NOT {_has('was')})"))
+def search_not(spark, folder):
+    return _search(spark, folder, "license NOT mit", "the AND of NOT license cc", "avec OR the NOT was")
+
+
+@register(_limited("len(list_filter(words, lambda x: starts_with(x, 'licen'))) > 0 AND " + _has("the"), "list_contains(tt, 'the')",
+                   "len(list_filter(tt, lambda x: starts_with(x, 'thon'))) > 0"))
+def search_prefix_and_field(spark, folder):
+    return _search(spark, folder, "licen* the", "title:the", "title : thon*")
+
+
+def _phrase(words: str) -> str:
+    return " OR ".join(f"contains(' ' || array_to_string({t}, ' ') || ' ', ' {words} ')" for t in ("tt", "ta", "tu"))
+
+
+@register(_limited(_phrase("mit license"), f"({_phrase('gnu general public')}) AND {_has('version')}", f"{_has('the')} AND NOT ({_phrase('of the')})"))
+def search_phrase(spark, folder):
+    return _search(spark, folder, '"MIT license"', '"GNU general public" version', 'the NOT "of the"')
+
+
+def _bm25(query_id: int, words: list[str], where: str = "true", limit: int = 20) -> str:
+    """Documents with all the words by BM25 in the published form, best first."""
+    scores = " + ".join(
+        f"-(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END)"
+        f" * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))"
+        for i in range(len(words))
+    )
+    counts = ", ".join(f"len(list_filter(words, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(words))
+    stats = ", ".join(f"(SELECT count(*) FROM all_v WHERE {_has(w)}) AS d{i}" for i, w in enumerate(words))
+    held = " AND ".join(_has(w) for w in words)
+    return (
+        f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score, doc_key) AS rank FROM ("
+        f"SELECT {query_id} AS query_id, doc_key, round({scores}, 9) AS score FROM ("
+        f"SELECT doc_key, collected_at, len(words) AS length, {counts}, (SELECT count(*) FROM all_v) AS n, "
+        f"(SELECT avg(len(words)) FROM all_v) AS mean, {stats} FROM all_v WHERE {held}) WHERE {where})) WHERE rank <= {limit}"
+    )
+
+
+@register(f"WITH {WORDS} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM ({_bm25(0, ['license'])} UNION ALL {_bm25(1, ['avec', 'la'])} UNION ALL {_bm25(2, ['the'])})")
+def search_ranked(spark, folder):
+    documents, queries = _documents(spark, folder), _queries(spark, "license", "avec la", "the")
+    lengths = ops.document_lengths(documents)
+    rows = ops.ranked_search(ops.postings(documents, queries=queries), lengths, queries, limit=20)
+    return rows.select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"WITH {WORDS} SELECT query_id, doc_key, round(score, 6) AS score, rank FROM ("
+          f"{_bm25(0, ['license'], f'collected_at >= {AS_OF_SQL} - INTERVAL 2 DAY', 5)} UNION ALL "
+          f"{_bm25(1, ['avec'], f'collected_at >= {AS_OF_SQL} - INTERVAL 1 DAY', 3)} UNION ALL {_bm25(2, ['gnu'])})")
+def search_window(spark, folder):
+    articles, documents = articles_view(spark, folder), _documents(spark, folder)
+    queries = _queries(spark, "최근 2일 license 5개", "last 1 day avec top 3", "gnu")
+    words = ops.parse_queries(queries).select("query_id", col("search_text").alias("query"))
+    posted = ops.postings(documents, queries=words)
+    rows = ops.windowed_search(posted, ops.document_lengths(documents), articles, queries, as_of=AS_OF, limit=20)
+    return rows.select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"""WITH {PAPERS}, docs AS (SELECT coalesce(doi, arxiv_id, link) AS doc_key, title, link AS url, source,
+  CASE WHEN arxiv_id IS NOT NULL THEN 'arXiv:' || arxiv_id WHEN doi IS NOT NULL THEN 'DOI:' || doi ELSE '' END AS id_tag,
+  list_contains(regexp_extract_all(strip_accents(lower(title || ' ' || summary)), '[\\p{{L}}\\p{{N}}]+'), 'license') AS hit FROM papers_v),
+hits AS (SELECT doc_key, row_number() OVER (ORDER BY doc_key) AS rank FROM docs WHERE hit)
+SELECT 0 AS query_id, h.doc_key, h.rank, d.title, d.url, d.source, d.id_tag FROM hits h LEFT JOIN docs d USING (doc_key) WHERE h.rank <= 30""")
+def search_enriched(spark, folder):
+    papers, queries = _papers(spark, folder), _queries(spark, "license")
+    hits = ops.search(ops.postings(ops.search_documents(papers), queries=queries), queries, limit=30)
+    return ops.enrich_hits(hits, papers)
+
+
+@register(f"WITH {WORDS} SELECT 0 AS query_id, doc_key AS link, rank FROM (SELECT *, row_number() OVER (ORDER BY doc_key) AS rank FROM all_v WHERE {_has('license')}) "
+          f"WHERE rank <= 50 AND collected_at >= {AS_OF_SQL} - INTERVAL 1 DAY")
+def recent_hits_semi(spark, folder):
+    hits = _search(spark, folder, "license").withColumnRenamed("doc_key", "link")
+    return recency.recent_hits(hits, articles_view(spark, folder), as_of=AS_OF, days=1)
+
+
+@register(f"WITH {PAPERS} SELECT coalesce(doi, arxiv_id, link) AS doc_key, title, summary AS abstract, array_to_string(authors, ' ') AS authors FROM papers_v")
+def search_documents(spark, folder):
+    return ops.search_documents(_papers(spark, folder))
+
+
+@register()
+def snippets(spark, folder):
+    documents, queries = _documents(spark, folder), _queries(spark, "license", "avec la", "thon*")
+    hits = ops.search(ops.postings(documents, queries=queries), queries, limit=50)
+    return ops.snippets(hits, documents, queries)
+
+
+_LOG = """log_v AS (SELECT conv_id, turn, trim(regexp_replace("left"(text, 40), '\\s+', ' ', 'g')) AS t, conv_id % 9 + 1 AS n FROM conversations WHERE role = 'user'),
+asked AS (SELECT *, CASE conv_id % 6 WHEN 0 THEN '최근 ' || n || '일 ' || t WHEN 1 THEN '지난 ' || n || '개월  ' || t || ' ' || n || '개' WHEN 2 THEN 'last ' || n || ' weeks ' || t
+  WHEN 3 THEN 'Top ' || n || ' ' || t WHEN 4 THEN t || ' ' || n || '개' ELSE t END AS query FROM log_v)"""
+
+
+def _query_log(spark, folder):
+    rows = table(spark, folder, "conversations").where("role = 'user'")
+    from ..functions.text import collapse_spaces
+
+    t = collapse_spaces(F.left(col("text"), F.lit(40)))
+    n = (col("conv_id") % 9 + 1).cast("string")
+    kind = col("conv_id") % 6
+    query = (
+        F.when(kind == 0, F.concat(F.lit("최근 "), n, F.lit("일 "), t))
+        .when(kind == 1, F.concat(F.lit("지난 "), n, F.lit("개월  "), t, F.lit(" "), n, F.lit("개")))
+        .when(kind == 2, F.concat(F.lit("last "), n, F.lit(" weeks "), t))
+        .when(kind == 3, F.concat(F.lit("Top "), n, F.lit(" "), t))
+        .when(kind == 4, F.concat(t, F.lit(" "), n, F.lit("개")))
+        .otherwise(t)
+    )
+    return rows.select("conv_id", "turn", query.alias("query"))
+
+
+@register(f"""WITH {_LOG} SELECT conv_id, turn, query, t AS search_text,
+  CASE conv_id % 6 WHEN 0 THEN n WHEN 1 THEN n * 30 WHEN 2 THEN n * 7 END AS days,
+  CASE WHEN conv_id % 6 IN (1, 3, 4) THEN n END AS max_results, NULL::VARCHAR AS category FROM asked""")
+def query_log_parse(spark, folder):
+    return ops.parse_queries(_query_log(spark, folder))
+
+
+def _intent(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(query), '{w}')" for w in words) + ")"
+
+
+@register(f"WITH {_LOG} " + " UNION ALL ".join(f"SELECT '{n}' AS intent, count(*) FILTER ({_intent(w)}) AS n FROM asked" for n, w in ops.INTENTS.items()))
+def query_intents(spark, folder):
+    return ops.intent_counts(_query_log(spark, folder))
