@@ -1,7 +1,7 @@
 """Full-text search over documents: an inverted index as two tables, and batches of queries as joins on it.
 
-``postings`` has one row per term, document and field with the word positions; store it partitioned or sorted
-by term so that a search reads only the terms it asks for. ``lengths`` has the number of words per document.
+``postings`` has one row per occurrence of a term: document, field and position. It needs no grouping to be
+built; store it sorted by term, so that it packs well and a search reads only the terms it asks for. ``lengths`` has the number of words per document.
 A batch of queries becomes a table of clauses that is joined with the postings by term, so the cost of a
 search is the size of the posting lists it touches.
 
@@ -46,10 +46,9 @@ def _words(documents: DataFrame) -> list[tuple[str, Column]]:
 
 
 def postings(documents: DataFrame, *, queries: DataFrame | None = None) -> DataFrame:
-    """``term, doc_key, field, tf, positions`` of all words, or with ``queries`` of the words they ask for.
+    """``term, doc_key, field, position`` of all words, or with ``queries`` of the words they ask for.
 
-    Words of a document meet within its task, so what is shuffled already has one row per term of a document.
-    Without a stored index, pass the queries: other words are then dropped before the shuffle.
+    Without a stored index, pass the queries: other words are then dropped where they are read.
     """
     tagged = F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in _words(documents)])
     fields = documents.select("doc_key", F.explode_outer(tagged).alias("t"))
@@ -57,19 +56,22 @@ def postings(documents: DataFrame, *, queries: DataFrame | None = None) -> DataF
     words = words.where("term is not null")
     if queries is not None:
         clauses = query_clauses(queries)
-        key = F.when(col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(col("term"))
-        wanted = clauses.select(key.alias("_key")).distinct()
-        keys = F.concat(F.array("term"), F.transform(_cuts(clauses), lambda p: F.concat(p, F.lit("*"))))
-        words = words.withColumn("_key", F.explode_outer(keys)).join(wanted, "_key", "left_semi").drop("_key")
-    grouped = words.groupBy("term", "doc_key", "field").agg(F.array_sort(F.collect_set("position")).alias("positions"))
-    return grouped.select("term", "doc_key", "field", F.size("positions").alias("tf"), "positions")
+        wanted = clauses.select(_clause_key().alias("_key")).distinct()
+        words = _with_keys(words, clauses).join(wanted, "_key", "left_semi").drop("_key")
+    return words.select("term", "doc_key", "field", "position")
 
 
-def _cuts(clauses: DataFrame) -> Column:
-    """The prefixes of ``term`` in the lengths that prefix clauses have; none when there is no such clause."""
-    lengths = clauses.where("is_prefix").agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths")).scalar()
-    fitting = F.filter(lengths, lambda n: n <= F.length("term"))
-    return F.transform(fitting, lambda n: F.substring(col("term"), F.lit(1), n))
+def _clause_key() -> Column:
+    return F.when(col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(col("term"))
+
+
+def _with_keys(rows: DataFrame, clauses: DataFrame) -> DataFrame:
+    """One row per key of ``term``: the term, and its prefixes in the lengths that prefix clauses have."""
+    lengths = clauses.where("is_prefix").agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
+    fitting = F.filter("_lengths", lambda n: n <= F.length("term"))
+    cuts = F.transform(fitting, lambda n: F.concat(F.substring(col("term"), F.lit(1), n), F.lit("*")))
+    keys = F.concat(F.array("term"), cuts)
+    return rows.withColumn("_lengths", lengths).withColumn("_key", F.explode_outer(keys)).drop("_lengths")
 
 
 def document_lengths(documents: DataFrame) -> DataFrame:
@@ -79,9 +81,9 @@ def document_lengths(documents: DataFrame) -> DataFrame:
 
 def postings_stats(posted: DataFrame) -> DataFrame:
     """Documents and occurrences per term."""
-    per_document = posted.groupBy("term", "doc_key").agg(F.sum("tf").alias("tf"))
+    per_document = posted.groupBy("term", "doc_key").agg(F.count(F.lit(1)).alias("n"))
     return per_document.groupBy("term").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("tf").cast("bigint").alias("occurrences")
+        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences")
     )
 
 
@@ -115,45 +117,60 @@ def query_clauses(queries: DataFrame, *, query: str = "query") -> DataFrame:
     return rows.withColumn("is_prefix", col("starred") & (col("offset") == col("n_words") - 1)).drop("words", "starred")
 
 
-_CLAUSE = ["query_id", "branch", "unit", "part", "clause"]
+_CLAUSE = ["branch", "unit", "part", "clause"]
 
 
 def _word_hits(posted: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Postings of every word of every clause. A prefix is looked up among the prefixes of the terms, which
-    are only as many per term as the batch has prefix lengths, so both look-ups join by equality."""
-    exact = clauses.where(~col("is_prefix")).withColumnRenamed("term", "wanted")
-    prefixes = clauses.where("is_prefix").withColumnRenamed("term", "wanted")
-    found = posted.join(exact, posted["term"] == col("wanted"))
-    by_prefix = posted.withColumn("_prefix", F.explode_outer(_cuts(clauses)))
-    started = by_prefix.join(prefixes, by_prefix["_prefix"] == col("wanted")).drop("_prefix")
-    hits = found.unionByName(started)
+    """Postings of every word of every clause. A term offers itself and, marked with ``*``, its prefixes in
+    the lengths that the batch has, so words and prefixes are found by one join by equality."""
+    wanted = clauses.withColumn("_key", _clause_key()).drop("term")
+    hits = _with_keys(posted, clauses).join(wanted, "_key").drop("_key")
     return hits.where(col("only_field").isNull() | (col("only_field") == col("field")))
 
 
-def _clause_hits(posted: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Documents that hold a clause, with the number of its occurrences."""
-    hits = _word_hits(posted, clauses)
-    single = hits.where("n_words = 1").select(*_CLAUSE, "doc_key", col("tf").alias("n"))
-    phrase = hits.where("n_words > 1").select(
-        *_CLAUSE, "doc_key", "field", "n_words", "offset", F.explode("positions").alias("position")
+def _document_hits(posted: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``query_id, doc_key, held``: the clauses that a document holds, with the number of their occurrences.
+
+    The hits are spread by query and document once; every grouping below keeps to that.
+    """
+    hits = _word_hits(posted, clauses).repartition("query_id", "doc_key")
+    # Words of a phrase agree on where it starts; a single word needs no position.
+    one_word = col("n_words") == 1
+    start = F.when(one_word, F.lit(-1)).otherwise(col("position") - col("offset"))
+    placed = hits.withColumn("start", start).groupBy("query_id", "doc_key", *_CLAUSE, "field", "n_words", "start")
+    whole = placed.agg(F.count(F.lit(1)).alias("words")).where(one_word | (col("words") == col("n_words")))
+    per_clause = whole.groupBy("query_id", "doc_key", *_CLAUSE).agg(
+        F.sum(F.when(one_word, col("words")).otherwise(F.lit(1))).alias("n")
+    )
+    return per_clause.groupBy("query_id", "doc_key").agg(
+        F.array_sort(F.collect_list(F.struct(*_CLAUSE, "n"))).alias("held")
     )
-    starts = phrase.groupBy(*_CLAUSE, "doc_key", "field", "n_words", (col("position") - col("offset")).alias("start"))
-    whole = starts.agg(F.countDistinct("offset").alias("found")).where("found = n_words")
-    found = single.unionByName(whole.select(*_CLAUSE, "doc_key", F.lit(1).alias("n")))
-    return found.groupBy(*_CLAUSE, "doc_key").agg(F.sum("n").alias("n"))
 
 
-def _matches(clause_hits: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Documents per query: a branch holds when all its wanted parts hold whole and no excluded part does."""
+def _query_parts(clauses: DataFrame) -> DataFrame:
+    """``query_id, parts``: the parts of a query with the number of their clauses."""
     parts = clauses.groupBy("query_id", "branch", "unit", "part").agg(F.countDistinct("clause").alias("n_clauses"))
-    branches = parts.groupBy("query_id", "branch").agg(F.count_if(col("part") == 0).alias("n_units"))
-    held = clause_hits.groupBy("query_id", "branch", "unit", "part", "doc_key").agg(F.count(F.lit(1)).alias("n"))
-    held = held.join(parts, ["query_id", "branch", "unit", "part"]).where("n = n_clauses")
-    per_branch = held.groupBy("query_id", "branch", "doc_key").agg(
-        F.count_if(col("part") == 0).alias("wanted"), F.count_if(col("part") > 0).alias("excluded")
-    )
-    good = per_branch.join(branches, ["query_id", "branch"]).where("wanted = n_units and excluded = 0")
-    return good.select("query_id", "doc_key").distinct()
+    return parts.groupBy("query_id").agg(F.collect_list(F.struct("branch", "unit", "part", "n_clauses")).alias("parts"))
+
+
+def _is_match() -> Column:
+    """A branch holds when its wanted parts are held whole and its excluded parts are not."""
+
+    def whole(p: Column) -> Column:
+        held = F.filter(
+            "held", lambda h: (h["branch"] == p["branch"]) & (h["unit"] == p["unit"]) & (h["part"] == p["part"])
+        )
+        return F.size(held) == p["n_clauses"]
+
+    def branch_holds(b: Column) -> Column:
+        parts = F.filter("parts", lambda p: p["branch"] == b)
+        return F.exists(parts, lambda p: p["part"] == 0) & F.forall(parts, lambda p: (p["part"] == 0) == whole(p))
+
+    return F.exists(F.array_distinct(F.transform("parts", lambda p: p["branch"])), branch_holds)
+
+
+def _matching(found: DataFrame, clauses: DataFrame) -> DataFrame:
+    return found.join(_query_parts(clauses), "query_id").where(_is_match()).drop("parts")
 
 
 # Spark cuts a ranking before the shuffle up to this many rows per key.
@@ -180,26 +197,46 @@ def _top(rows: DataFrame, order: list[Column], limit: int | str) -> DataFrame:
 def search(posted: DataFrame, queries: DataFrame, *, limit: int = 50) -> DataFrame:
     """``query_id, doc_key, rank`` of the matching documents in the order of their keys."""
     clauses = query_clauses(queries)
-    found = _matches(_clause_hits(posted, clauses), clauses)
+    found = _matching(_document_hits(posted, clauses), clauses).select("query_id", "doc_key")
     return _top(found, [col("doc_key")], limit)
 
 
 def scored_hits(posted: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, doc_key, score`` of the matching documents; the BM25 score is best when smallest."""
     clauses = query_clauses(queries)
-    hits = _clause_hits(posted, clauses)
-    found = _matches(hits, clauses)
-    corpus = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("c")).scalar()
-    wanted = hits.where("part = 0")
-    frequency = wanted.groupBy(*_CLAUSE).agg(F.count(F.lit(1)).alias("df"))
-    scored = wanted.join(found, ["query_id", "doc_key"], "left_semi").join(frequency, _CLAUSE)
-    scored = scored.join(lengths, "doc_key").withColumn("corpus", corpus)
-    idf = F.ln((col("corpus")["n"] - col("df") + F.lit(0.5)) / (col("df") + F.lit(0.5)))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
-    norm = F.lit(1 - B) + F.lit(B) * col("length") / col("corpus")["mean"]
-    score = -idf * col("n") * F.lit(K1 + 1) / (col("n") + F.lit(K1) * norm)
-    # Sums of doubles may differ in the last bits with the order of their rows, so those are cut off.
-    return scored.groupBy("query_id", "doc_key").agg(F.round(F.sum(score), 9).alias("score"))
+    hits = _document_hits(posted, clauses)
+    corpus = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))).scalar()
+    each = hits.select("query_id", F.explode_outer("held").alias("h"))
+    frequencies = (
+        each.groupBy("query_id", "h.branch", "h.unit", "h.part", "h.clause")
+        .agg(F.count_if(col("h.n") > 0).alias("df"))
+        .groupBy("query_id")
+        .agg(F.collect_list(F.struct(*_CLAUSE, "df")).alias("frequencies"))
+    )
+    rows = _matching(hits, clauses).join(frequencies, "query_id").join(lengths, "doc_key")
+    rows = rows.withColumn("corpus", corpus)
+
+    def df_of(h: Column) -> Column:
+        same = F.filter(
+            "frequencies",
+            lambda f: (f["branch"] == h["branch"])
+            & (f["unit"] == h["unit"])
+            & (f["part"] == h["part"])
+            & (f["clause"] == h["clause"]),
+        )
+        return F.get(same, F.lit(0))["df"]
+
+    def term(h: Column) -> Column:
+        df = df_of(h)
+        idf = F.ln((col("corpus.n") - df + F.lit(0.5)) / (df + F.lit(0.5)))
+        norm = F.lit(1 - B) + F.lit(B) * col("length") / col("corpus.mean")
+        share = h["n"] * F.lit(K1 + 1) / (h["n"] + F.lit(K1) * norm)
+        return -F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * share
+
+    wanted = F.filter("held", lambda h: h["part"] == 0)
+    score = F.aggregate(F.transform(wanted, term), F.lit(0.0), lambda total, x: total + x)
+    # Sums of doubles may differ in the last bits with the order of their parts, so those are cut off.
+    return rows.select("query_id", "doc_key", F.round(score, 9).alias("score"))
 
 
 def ranked_search(posted: DataFrame, lengths: DataFrame, queries: DataFrame, *, limit: int = 50) -> DataFrame:

@@ -1 +1,162 @@
-"""To be filled."""
+"""Queries that write tables, logs, snapshots and streams to the shared folder and read them back."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..functions.text import col
+from ..operators.tagging import tag_articles
+from ..plans.ingest_run import ingest_run
+from ..session import shared_folder
+from ..sources import raw_log, tables
+from ..sources.config import Category
+from ..streaming.jobs import daily_counts_stream, ingest_stream, raw_stream
+from .base import (
+    ARTICLES, AS_OF, AS_OF_SQL, KEYWORDS, SETTINGS, articles_view, register, stamp, stamp_sql, table,
+)
+from .feeds import rss_payloads
+
+RUN_TIME = dt.datetime(2024, 1, 5, 6, 0)
+
+
+@register(f"""WITH current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_id % 5 <> 0) WHERE r = 1),
+batch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_id % 5 = 0 AND user_id % 3 <> 0) WHERE r = 1)
+SELECT user_id, event_id, event_type, value FROM batch
+UNION ALL SELECT user_id, event_id, event_type, value FROM current WHERE user_id NOT IN (SELECT user_id FROM batch)""")
+def upsert_latest(spark, folder):
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    order = [col("ts").desc(), col("event_id")]
+    current = tables.newest_per_key(events.where("event_id % 5 <> 0"), "user_id", *order)
+    batch = events.where("event_id % 5 = 0 and user_id % 3 <> 0")
+    return tables.merge_by_key(current, batch, key="user_id", order=order).drop("ts")
+
+
+@register(f"""WITH {ARTICLES}, kept AS (SELECT * FROM articles_v WHERE coalesce(published, collected_at) >= {AS_OF_SQL} - INTERVAL 2 DAY)
+SELECT (SELECT count(*) FROM articles_v) - (SELECT count(*) FROM kept) AS removed, count(*) AS kept, count(DISTINCT link) AS links FROM kept""")
+def retention_rewrite(spark, folder):
+    """Store, upsert once more, delete by age, and read the last version."""
+    place = shared_folder(spark, "table")
+    rows = articles_view(spark, folder).drop("summary")
+    tables.replace_table(rows, place)
+    tables.upsert(spark, rows.where("doc_id % 2 = 0"), place, order=[col("doc_id")])
+    removed = tables.delete_older_than(spark, place, as_of=AS_OF, keep_days=2)
+    stored = tables.read_table(spark, place)
+    return stored.agg(
+        F.lit(removed).cast("bigint").alias("removed"),
+        F.count(F.lit(1)).alias("kept"),
+        F.countDistinct("link").alias("links"),
+    )
+
+
+@register(f"WITH {ARTICLES} SELECT source, link, title, summary FROM articles_v")
+def raw_roundtrip(spark, folder):
+    place = shared_folder(spark, "raw")
+    raw_log.log_articles(articles_view(spark, folder), place, logged_at=RUN_TIME)
+    return raw_log.read_raw(spark, place).select("source", "link", "title", "summary")
+
+
+@register(f"WITH {ARTICLES} SELECT source, count(*) AS n, count(DISTINCT link) AS links FROM articles_v GROUP BY source")
+def raw_rerun_dedupe(spark, folder):
+    """The second run with the same id logs only what the first one did not."""
+    place = shared_folder(spark, "raw")
+    rows = articles_view(spark, folder)
+    raw_log.log_articles(rows.where("doc_id % 3 > 0"), place, logged_at=RUN_TIME, run_id="run1")
+    raw_log.log_articles(rows, place, logged_at=RUN_TIME, run_id="run1")
+    logged = raw_log.read_raw(spark, place)
+    return logged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("link").alias("links"))
+
+
+@register(f"""WITH {ARTICLES}, d AS (SELECT max(collected_at)::DATE AS day FROM articles_v)
+SELECT link, title FROM articles_v, d WHERE collected_at::DATE = d.day""")
+def latest_snapshot(spark, folder):
+    """One snapshot for each of the last two days; the newest is read."""
+    place = shared_folder(spark, "daily")
+    rows = articles_view(spark, folder).select("link", "title", F.to_date("collected_at").alias("day"))
+    newest = rows.agg(F.max("day")).first()[0]
+    for day in (newest, newest - dt.timedelta(days=1)):
+        tables.write_snapshot(rows.where(col("day") == day).drop("day"), place, day)
+    return tables.latest_snapshot(spark, place)
+
+
+@register(f"WITH {ARTICLES} SELECT link, source FROM articles_v WHERE doc_id % 2 = 0")
+def snapshot_fallback(spark, folder):
+    """The stored table is empty, so the latest snapshot with rows is read."""
+    place = shared_folder(spark, "table")
+    rows = articles_view(spark, folder).select("doc_id", "link", "source")
+    tables.replace_table(rows.where("false").drop("doc_id"), place)
+    tables.write_snapshot(rows.where("doc_id % 2 = 0").drop("doc_id"), f"{place}-daily", AS_OF.date())
+    return tables.read_with_fallback(spark, place, f"{place}-daily", f"{place}-none")
+
+
+@register(f"WITH {ARTICLES} SELECT link, source FROM articles_v")
+def table_choice(spark, folder):
+    """There are no papers, so the articles are read."""
+    rows = articles_view(spark, folder).select("link", "source")
+    return tables.choose_table(rows.where("source = 'none'"), rows)
+
+
+@register(f"WITH {ARTICLES} SELECT link, title, summary, '[\"' || array_to_string(authors, '\",\"') || '\"]' AS authors FROM articles_v")
+def csv_roundtrip(spark, folder):
+    place = shared_folder(spark, "csv")
+    tables.write_csv(articles_view(spark, folder).select("link", "title", "summary", "authors"), place)
+    rows = tables.read_csv(spark, place, "link string, title string, summary string, authors string")
+    return rows.fillna("")
+
+
+def _category():
+    sources = [
+        {"name": f"feed{i}", "type": "rss", "url": f"https://feed{i}.example.org", "info_purpose": ["paper_release"]}
+        for i in range(20)
+    ]
+    return Category("research", "Research", sources, KEYWORDS, SETTINGS)
+
+
+@register()
+def ingest_whole_run(spark, folder):
+    """A whole run over feeds made from all documents; its statistics."""
+    payloads = rss_payloads(spark, folder)
+    number = F.pmod(F.substring("source", 5, 9).cast("int"), F.lit(20))
+    payloads = payloads.withColumn("source", F.concat(F.lit("feed"), number.cast("string")))
+    result = ingest_run(
+        spark, payloads, _category(), shared_folder(spark, "run"), as_of=AS_OF, snapshot=True, run_id="run1"
+    )
+    return result["statistics"]
+
+
+@register(f"""WITH {ARTICLES} SELECT link, CASE WHEN doc_id % 2 = 0 THEN 'Newer ' || title ELSE title END AS title, source FROM articles_v
+WHERE doc_id % 2 = 0 OR (title <> '' AND regexp_replace(title, '\\s', '', 'g') <> '')""")
+def stream_ingest(spark, folder):
+    """The log holds newer versions of half the rows; they win although their files come first."""
+    place = shared_folder(spark, "landing")
+    rows = articles_view(spark, folder)
+    newer = rows.where("doc_id % 2 = 0").withColumn("title", F.concat(F.lit("Newer "), "title"))
+    raw_log.append_plain(newer, f"{place}/a", logged_at=RUN_TIME + dt.timedelta(hours=1))
+    raw_log.append_plain(rows, f"{place}/b", logged_at=RUN_TIME)
+    query = ingest_stream(spark, place, f"{place}-table", f"{place}-state", files_per_batch=1)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return tables.read_table(spark, f"{place}-table").select("link", "title", "source")
+
+
+@register("""WITH last AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS source, count(*) AS n FROM events, last
+WHERE ts::DATE + INTERVAL 1 DAY <= mark GROUP BY ALL""")
+def stream_daily_counts(spark, folder):
+    """Days that the watermark has passed at the end of the stream."""
+    place = shared_folder(spark, "landing")
+    events = table(spark, folder, "events")
+    rows = events.select(
+        F.concat(F.lit("https://example.org/"), "event_id").alias("link"),
+        col("event_type").alias("source"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("logged_at"),
+    )
+    rows.write.json(place)
+    query = daily_counts_stream(raw_stream(spark, place), f"{place}-counts", f"{place}-state")
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    counts = spark.read.schema("day date, source string, n bigint, links bigint").parquet(f"{place}-counts")
+    return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "n")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import feed_timestamp, iso_timestamp
-from ..functions.text import blank_to_null, col, text_or_empty, unescape_html
+from ..functions.text import blank_to_null, col, strip_chars, text_or_empty, unescape_html
 
 _ENTRY = (
     "struct<title:string,link:array<struct<_VALUE:string,_href:string,_rel:string>>,id:string,description:string,"
@@ -57,7 +57,7 @@ def _feed_entries(payloads: DataFrame, limit: int) -> DataFrame:
 
 
 def _trimmed(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit("")))
+    return strip_chars(F.coalesce(c, F.lit("")), " \t\r\n\x0b\x0c")
 
 
 def _unescaped(c: Column) -> Column:

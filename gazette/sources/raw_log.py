@@ -46,6 +46,11 @@ def append_raw(rows: DataFrame, root: str) -> None:
     spread.write.partitionBy("log_date", "source").mode("append").json(root)
 
 
+def append_plain(articles: DataFrame, folder: str, *, logged_at: dt.datetime) -> None:
+    """Append log lines that keep the source inside, for readers that do not look at folder names."""
+    raw_rows(articles, logged_at=logged_at).write.mode("append").json(folder)
+
+
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
     """The log as a table; filters on ``log_date`` and ``source`` prune folders."""
     if not list_names(spark, root):
