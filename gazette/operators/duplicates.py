@@ -1,12 +1,17 @@
 """Exact and near duplicates by title and URL.
 
 Near duplicates are a join of distinct (authority, title, path) rows, so a group of copies of any size counts
-as one row. Candidates share a signature and are then verified with the matching-blocks ratio.
+as one row. Candidates share a signature, pass cheap bounds on columns, and are then verified with the
+matching-blocks ratio. No step loses a pair.
 
 Signature. With ``M`` characters in matching blocks the ratio is ``2M / (a + b)``, and ``M`` cannot exceed the
 overlap of the two bags of characters. A bag is a set of (character, occurrence) tokens, so the published
 prefix filter for set-similarity joins applies: with all tokens in one fixed order, two texts whose ratio
-reaches ``t`` share a token among the first ``n - ceil(n * t / (2 - t)) + 1`` of each. No pair is lost.
+reaches ``t`` share a token among the first ``n - ceil(n * t / (2 - t)) + 1`` of each.
+
+Bounds. Lengths, overlap of the bags, and overlap of the bigrams: a character without a match spoils at most
+two bigrams of its own text and one of the other, so texts with ``M`` matched characters share at least
+``3M - a - b - 1`` of them.
 
 Skew. The number of rows per (authority, title token) is known before the join. Groups above ``heavy_group``
 rows are split further by the tokens of the path, which has to be similar as well; the other groups join on
@@ -60,12 +65,27 @@ def _tokens(text: Column) -> Column:
     )
 
 
-def _prefix(text: Column, threshold: float) -> Column:
+def _bigrams(text: Column) -> Column:
+    """All (bigram, occurrence) tokens of a text."""
+    n = F.length(text)
+    listed = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))
+    listed = F.coalesce(listed, F.array().cast("array<string>"))
+    return F.flatten(
+        F.transform(
+            F.array_distinct(listed),
+            lambda g: F.transform(
+                F.sequence(F.lit(1), F.size(F.filter(listed, lambda x: x == g))),
+                lambda k: F.concat(g, k.cast("string")),
+            ),
+        )
+    )
+
+
+def _prefix(tokens: Column, threshold: float) -> Column:
     """Tokens of which a similar text must share one; one empty token for the empty text."""
-    tokens = _tokens(text)
     least = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
     kept = F.slice(tokens, 1, F.size(tokens) - least + 1)
-    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(kept)
+    return F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(kept)
 
 
 def _length_bound(left: Column, right: Column, threshold: float) -> Column:
@@ -83,10 +103,17 @@ def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         )
 
 
-def _bag_bound(left: Column, right: Column, threshold: float) -> Column:
+def _bag_bound(name: str, threshold: float) -> Column:
     """The bags of characters overlap enough for the ratio."""
-    shared = F.size(F.array_intersect(_tokens(left), _tokens(right)))
-    return 2 * shared >= (F.length(left) + F.length(right)) * F.lit(threshold) - F.lit(1e-9)
+    left, right = col(f"left_{name}_tokens"), col(f"right_{name}_tokens")
+    return 2 * F.size(F.array_intersect(left, right)) >= (F.size(left) + F.size(right)) * F.lit(threshold) - F.lit(1e-9)
+
+
+def _bigram_bound(name: str, threshold: float) -> Column:
+    """The texts share as many bigrams as the ratio asks for."""
+    total = F.length(f"left_{name}") + F.length(f"right_{name}")
+    shared = F.size(F.array_intersect(f"left_{name}_bigrams", f"right_{name}_bigrams"))
+    return shared >= total * F.lit(1.5 * threshold - 1) - F.lit(1 + 1e-9)
 
 
 def with_duplicate_keys(articles: DataFrame) -> DataFrame:
@@ -129,29 +156,46 @@ def fuzzy_duplicates(
     rows = with_duplicate_keys(articles).groupBy("norm_title", "authority", "path").agg(
         F.min("link").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    rows = rows.withColumn("title_prefix", _prefix(col("norm_title"), title_threshold))
-    rows = rows.withColumn("path_prefix", _prefix(col("path"), url_threshold))
-    signed = rows.withColumn("title_token", F.explode_outer("title_prefix"))
+    rows = rows.withColumnRenamed("norm_title", "title")
+    rows = rows.withColumns(
+        {
+            "title_tokens": _tokens(col("title")),
+            "title_bigrams": _bigrams(col("title")),
+            "path_tokens": _tokens(col("path")),
+        }
+    )
+    signed = rows.withColumn("title_token", F.explode_outer(_prefix(col("title_tokens"), title_threshold)))
     group = ["authority", "title_token"]
     sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     sized = signed.join(sizes, group)
-    keys = ["id", "copies", "norm_title", "path", "title_prefix", "path_prefix"]
-
-    light = _pairs(sized.where(col("rows") <= heavy_group), keys, on=group)
-    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode_outer("path_prefix"))
-    heavy = _pairs(heavy, keys, on=[*group, "path_token"])
-    heavy = heavy.where(_first_shared(col("left_path_prefix"), col("right_path_prefix")) == col("path_token"))
-    candidates = light.unionByName(heavy.drop("path_token"))
-    # A pair meets in every token it shares; it is kept in the first.
-    candidates = candidates.where(
-        _first_shared(col("left_title_prefix"), col("right_title_prefix")) == col("title_token")
+    keys = ["id", "copies", "title", "path", "title_tokens", "title_bigrams", "path_tokens"]
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Cheap bounds first. A pair meets in every token it shares; it is kept in the first."""
+        same = col("left_path") == col("right_path")
+        first = _first_shared(
+            _prefix(col("left_title_tokens"), title_threshold), _prefix(col("right_title_tokens"), title_threshold)
+        )
+        return (
+            pairs.where(_length_bound(col("left_title"), col("right_title"), title_threshold))
+            .where(same | _length_bound(col("left_path"), col("right_path"), url_threshold))
+            .where(same | _bag_bound("path", url_threshold))
+            .where(first == col("title_token"))
+            .where(_bag_bound("title", title_threshold))
+            .where(_bigram_bound("title", title_threshold))
+        )
+
+    light = near(_pairs(sized.where(col("rows") <= heavy_group), keys, on=group))
+    heavy = sized.where(col("rows") > heavy_group)
+    heavy = heavy.withColumn("path_token", F.explode_outer(_prefix(col("path_tokens"), url_threshold)))
+    heavy = near(_pairs(heavy, keys, on=[*group, "path_token"]))
+    path_first = _first_shared(
+        _prefix(col("left_path_tokens"), url_threshold), _prefix(col("right_path_tokens"), url_threshold)
     )
+    heavy = heavy.where(path_first == col("path_token")).drop("path_token")
+    candidates = light.unionByName(heavy)
     same_path = col("left_path") == col("right_path")
-    candidates = candidates.where(_length_bound(col("left_norm_title"), col("right_norm_title"), title_threshold))
-    candidates = candidates.where(same_path | _length_bound(col("left_path"), col("right_path"), url_threshold))
-    candidates = candidates.where(_bag_bound(col("left_norm_title"), col("right_norm_title"), title_threshold))
-    candidates = candidates.where(same_path | _bag_bound(col("left_path"), col("right_path"), url_threshold))
-    rated = candidates.withColumn("title_ratio", matching_ratio("left_norm_title", "right_norm_title"))
+    rated = candidates.withColumn("title_ratio", matching_ratio("left_title", "right_title"))
     rated = rated.where(col("title_ratio") >= title_threshold)
     rated = rated.withColumn("path_ratio", matching_ratio("left_path", "right_path"))
     rated = rated.where(same_path | (col("path_ratio") >= url_threshold))
@@ -175,12 +219,12 @@ def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataF
     parts = split_url(url)
     rows = table.select(parts.authority.alias("authority"), parts.path.alias("path"), text_or_empty(url).alias("url"))
     rows = rows.groupBy("authority", "path").agg(F.min("url").alias("id"), F.count(F.lit(1)).alias("urls"))
-    rows = rows.withColumn("prefix", _prefix(col("path"), threshold))
-    signed = rows.withColumn("token", F.explode_outer("prefix"))
-    pairs = _pairs(signed, ["id", "urls", "path", "prefix"], on=["authority", "token"])
-    pairs = pairs.where(_first_shared(col("left_prefix"), col("right_prefix")) == col("token"))
+    rows = rows.withColumn("path_tokens", _tokens(col("path")))
+    signed = rows.withColumn("token", F.explode_outer(_prefix(col("path_tokens"), threshold)))
+    pairs = _pairs(signed, ["id", "urls", "path", "path_tokens"], on=["authority", "token"])
     pairs = pairs.where(_length_bound(col("left_path"), col("right_path"), threshold))
-    pairs = pairs.where(_bag_bound(col("left_path"), col("right_path"), threshold))
+    first = _first_shared(_prefix(col("left_path_tokens"), threshold), _prefix(col("right_path_tokens"), threshold))
+    pairs = pairs.where(first == col("token")).where(_bag_bound("path", threshold))
     rated = pairs.withColumn("ratio", matching_ratio("left_path", "right_path")).where(col("ratio") >= threshold)
     return rated.select(
         "authority",

@@ -44,13 +44,13 @@ def rss_payloads(spark, folder):
         "link",
         F.when(n % 5 > 1, col("summary")).alias("description"),
         _mail_date().alias("pubDate"),
-        F.when(n % 5 == 0, col("summary")).alias("content:encoded"),
+        F.when(n % 5 == 0, col("summary")).alias("encoded"),
     )
 
     def wrap(items):
-        channel = F.struct(F.lit("http://purl.org/rss/1.0/modules/content/").alias("_xmlns:content"),
-                           F.struct(items.alias("item")).alias("channel"))
-        return F.to_xml(channel, {"rowTag": "rss"})
+        text = F.to_xml(F.struct(F.struct(items.alias("item")).alias("channel")), {"rowTag": "rss"})
+        space = '<rss xmlns:content="http://purl.org/rss/1.0/modules/content/">'
+        return F.regexp_replace(F.replace(text, F.lit("<rss>"), F.lit(space)), "(</?)encoded>", "$1content:encoded>")
 
     return _grouped(spark, folder, "rss", item, wrap)
 
@@ -61,8 +61,8 @@ _SECONDS = "strftime(date_trunc('second', published), '%Y-%m-%d %H:%M:%S.000000'
 _PLACE = "'feed' || (doc_id // 20) AS source, doc_id % 20 AS position"
 
 
-@register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format('title')} || ' © é' AS title, link,
-  CASE WHEN doc_id % 5 = 1 THEN {_STRIPPED.format('title')} || ' © é' ELSE {_STRIPPED.format('summary')} END AS summary,
+@register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format("title || ' © é'")} AS title, link,
+  CASE WHEN doc_id % 5 = 1 THEN {_STRIPPED.format("title || ' © é'")} ELSE {_STRIPPED.format('summary')} END AS summary,
   {_SECONDS} AS published FROM articles_v WHERE doc_id % 20 < 15""")
 def feed_rss(spark, folder):
     return _shown(feeds.rss_rows(rss_payloads(spark, folder), limit=LIMIT))
@@ -100,7 +100,7 @@ def feed_atom(spark, folder):
     )
 
 
-@register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format('title')} || ' © é' AS title, link,
+@register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format("title || ' © é'")} AS title, link,
   CASE WHEN doc_id % 5 > 1 THEN {_STRIPPED.format('summary')} ELSE '' END AS summary,
   {_SECONDS} AS published FROM articles_v WHERE doc_id % 20 < 15""")
 def feed_medical_index(spark, folder):

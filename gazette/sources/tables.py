@@ -194,16 +194,19 @@ def drop_expired_folders(spark: SparkSession, root: str, *, today: dt.date, keep
     return removed
 
 
+# Quotes are doubled and spaces at the ends of values stay.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV with a header; arrays, maps and structs become JSON text."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
     flat = [F.to_json(n).alias(n) if t in ("array", "map", "struct") else col(n) for n, t in kinds.items()]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+    df.select(*flat).write.mode("overwrite").options(**_CSV).csv(folder)
 
 
 def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-    return reader.csv(folder)
+    return spark.read.schema(schema).options(multiLine=True, **_CSV).csv(folder)
 
 
 def write_json(df: DataFrame, folder: str) -> None:
