@@ -31,6 +31,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import col, normalise_title, text_or_empty
 from ..functions.urls import split_url
+from ..session import shared_folder
 
 HEAVY_GROUP = 200
 
@@ -39,9 +40,8 @@ _COMMON = "eatoinsrlhducmpgfy-/ wbvkxjqz0123456789._"
 
 
 def _tokens(text: Column) -> Column:
-    """All (character, occurrence) tokens of a text, rare characters and high occurrences first."""
-    characters = F.array_distinct(F.split(text, ""))
-    characters = F.filter(characters, lambda c: c != "")
+    """All (character, occurrence) tokens of a text as numbers, rare characters and high occurrences first."""
+    characters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
     # Characters outside the list get place 0 and come first; then the list from its rare end.
     ranked = F.array_sort(
         F.transform(
@@ -50,42 +50,35 @@ def _tokens(text: Column) -> Column:
                 F.when(F.lit(_COMMON).contains(c), F.lit(len(_COMMON) + 1) - F.position(c, F.lit(_COMMON)))
                 .otherwise(0)
                 .alias("place"),
-                c.alias("c"),
+                F.ascii(c).cast("bigint").alias("code"),
+                (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n"),
             ),
         )
     )
     return F.flatten(
         F.transform(
             ranked,
-            lambda r: F.transform(
-                F.sequence(F.length(text) - F.length(F.replace(text, r["c"], F.lit(""))), F.lit(1), F.lit(-1)),
-                lambda k: F.concat(r["c"], k.cast("string")),
-            ),
+            lambda r: F.transform(F.sequence(r["n"], F.lit(1), F.lit(-1)), lambda k: r["code"] * 1048576 + k),
         )
     )
 
 
-def _bigrams(text: Column) -> Column:
-    """All (bigram, occurrence) tokens of a text."""
+def _sorted_bigrams(text: Column) -> Column:
     n = F.length(text)
     listed = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))
-    listed = F.coalesce(listed, F.array().cast("array<string>"))
-    return F.flatten(
-        F.transform(
-            F.array_distinct(listed),
-            lambda g: F.transform(
-                F.sequence(F.lit(1), F.size(F.filter(listed, lambda x: x == g))),
-                lambda k: F.concat(g, k.cast("string")),
-            ),
-        )
-    )
+    return F.array_sort(F.coalesce(listed, F.array().cast("array<string>")))
+
+
+def _numbered(bigrams: str) -> Column:
+    """(bigram, occurrence) tokens of a column of sorted bigrams."""
+    return F.transform(bigrams, lambda g, i: F.xxhash64(g, i - F.array_position(col(bigrams), g)))
 
 
 def _prefix(tokens: Column, threshold: float) -> Column:
-    """Tokens of which a similar text must share one; one empty token for the empty text."""
+    """Tokens of which a similar text must share one; token 0 for the empty text."""
     least = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
     kept = F.slice(tokens, 1, F.size(tokens) - least + 1)
-    return F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(kept)
+    return F.when(F.size(tokens) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
 
 
 def _length_bound(left: Column, right: Column, threshold: float) -> Column:
@@ -134,11 +127,12 @@ def _first_shared(left: Column, right: Column) -> Column:
     return F.get(F.array_intersect(left, right), F.lit(0))
 
 
-def _pairs(rows: DataFrame, keys: list[str], *, on: list[str]) -> DataFrame:
-    """Pairs of rows equal in ``on``, smaller ``id`` left; ``keys`` are the columns carried along."""
+def _pairs(rows: DataFrame, keys: list[str], *, on: list[str], order: list[str]) -> DataFrame:
+    """Pairs of rows equal in ``on``, the smaller in ``order`` left; ``keys`` are the columns carried along."""
     left = rows.select(*on, *[col(k).alias(f"left_{k}") for k in keys])
     right = rows.select(*on, *[col(k).alias(f"right_{k}") for k in keys])
-    return left.join(right, on).where(col("left_id") < col("right_id"))
+    placed = [F.struct(*[col(f"{side}_{k}") for k in order]) for side in ("left", "right")]
+    return left.join(right, on).where(placed[0] < placed[1])
 
 
 def fuzzy_duplicates(
@@ -151,58 +145,56 @@ def fuzzy_duplicates(
     """Pairs of distinct (title, authority, path) rows that are near duplicates.
 
     ``left_link`` and ``right_link`` are the smallest links of the two rows and ``left_copies``,
-    ``right_copies`` the numbers of articles that share them; the ratios compare left with right.
+    ``right_copies`` the numbers of articles that share them; the ratios compare left with right, which is the
+    row with the smaller link, on ties with the smaller title.
     """
     rows = with_duplicate_keys(articles).groupBy("norm_title", "authority", "path").agg(
         F.min("link").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    rows = rows.withColumnRenamed("norm_title", "title")
-    rows = rows.withColumns(
+    rows = rows.withColumnRenamed("norm_title", "title").withColumns(
         {
+            "row": F.monotonically_increasing_id(),
             "title_tokens": _tokens(col("title")),
-            "title_bigrams": _bigrams(col("title")),
+            "title_bigrams": _sorted_bigrams(col("title")),
             "path_tokens": _tokens(col("path")),
         }
     )
-    signed = rows.withColumn("title_token", F.explode_outer(_prefix(col("title_tokens"), title_threshold)))
-    group = ["authority", "title_token"]
-    sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    sized = signed.join(sizes, group)
-    keys = ["id", "copies", "title", "path", "title_tokens", "title_bigrams", "path_tokens"]
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Cheap bounds first. A pair meets in every token it shares; it is kept in the first."""
-        same = col("left_path") == col("right_path")
-        first = _first_shared(
-            _prefix(col("left_title_tokens"), title_threshold), _prefix(col("right_title_tokens"), title_threshold)
-        )
-        return (
-            pairs.where(_length_bound(col("left_title"), col("right_title"), title_threshold))
-            .where(same | _length_bound(col("left_path"), col("right_path"), url_threshold))
-            .where(same | _bag_bound("path", url_threshold))
-            .where(first == col("title_token"))
-            .where(_bag_bound("title", title_threshold))
-            .where(_bigram_bound("title", title_threshold))
-        )
-
-    light = near(_pairs(sized.where(col("rows") <= heavy_group), keys, on=group))
-    heavy = sized.where(col("rows") > heavy_group)
-    heavy = heavy.withColumn("path_token", F.explode_outer(_prefix(col("path_tokens"), url_threshold)))
-    heavy = near(_pairs(heavy, keys, on=[*group, "path_token"]))
-    path_first = _first_shared(
-        _prefix(col("left_path_tokens"), url_threshold), _prefix(col("right_path_tokens"), url_threshold)
+    rows = rows.withColumns(
+        {
+            "title_bigrams": _numbered("title_bigrams"),
+            "title_prefix": _prefix(col("title_tokens"), title_threshold),
+            "path_prefix": _prefix(col("path_tokens"), url_threshold),
+            "title_length": F.length("title"),
+        }
     )
-    heavy = heavy.where(path_first == col("path_token")).drop("path_token")
-    candidates = light.unionByName(heavy)
-    same_path = col("left_path") == col("right_path")
-    rated = candidates.withColumn("title_ratio", matching_ratio("left_title", "right_title"))
+    # The written table fixes the row numbers, is read several times, and survives the loss of an executor.
+    place = shared_folder(articles.sparkSession, "titles")
+    rows.write.parquet(place)
+    rows = articles.sparkSession.read.parquet(place)
+    pairs = _candidates(rows, title_threshold, url_threshold, heavy_group)
+
+    whole = ["id", "title", "path", "copies", "title_tokens", "title_bigrams", "path_tokens"]
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(col("row").alias(f"{side}_row"), F.struct(*whole).alias(side)), f"{side}_row")
+
+    def place_of(side: str) -> Column:
+        return F.struct(*[F.col(side)[k] for k in ("id", "title", "path")])
+
+    ordered = place_of("a") < place_of("b")
+    sides = {"left": F.when(ordered, col("a")).otherwise(col("b")), "right": F.when(ordered, col("b")).otherwise(col("a"))}
+    pairs = pairs.select("authority", *[c.alias(n) for n, c in sides.items()])
+    pairs = pairs.select("authority", *[F.col(side)[k].alias(f"{side}_{k}") for side in sides for k in whole])
+    near = pairs.where(_bag_bound("title", title_threshold)).where(_bigram_bound("title", title_threshold))
+    rated = near.withColumn("title_ratio", matching_ratio("left_title", "right_title"))
     rated = rated.where(col("title_ratio") >= title_threshold)
     rated = rated.withColumn("path_ratio", matching_ratio("left_path", "right_path"))
-    rated = rated.where(same_path | (col("path_ratio") >= url_threshold))
+    rated = rated.where((col("left_path") == col("right_path")) | (col("path_ratio") >= url_threshold))
     return rated.select(
         "authority",
         col("left_id").alias("left_link"),
         col("right_id").alias("right_link"),
+        "left_title",
+        "right_title",
         "left_copies",
         "right_copies",
         "title_ratio",
@@ -210,6 +202,41 @@ def fuzzy_duplicates(
     )
 
 
+def _candidates(rows: DataFrame, title_threshold: float, url_threshold: float, heavy_group: int) -> DataFrame:
+    """``authority, a_row, b_row`` of rows that share a signature and fit in lengths and paths, each pair once.
+
+    Only numbers cross this join: lengths, prefixes and path tokens.
+    """
+    signed = rows.select(
+        "authority", "row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix",
+        F.explode_outer("title_prefix").alias("title_token"),
+    )
+    group = ["authority", "title_token"]
+    sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    sized = signed.join(sizes, group)
+    keys = ["row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix"]
+    same = col("a_path") == col("b_path")
+    longer = F.least("a_title_length", "b_title_length") * 2 >= (
+        (col("a_title_length") + col("b_title_length")) * F.lit(title_threshold) - F.lit(1e-9)
+    )
+    shared = F.size(F.array_intersect("a_path_tokens", "b_path_tokens"))
+    alike = 2 * shared >= (F.size("a_path_tokens") + F.size("b_path_tokens")) * F.lit(url_threshold) - F.lit(1e-9)
+    # A pair meets in every token it shares; it is kept in the first.
+    first = _first_shared(col("a_title_prefix"), col("b_title_prefix")) == col("title_token")
+
+    def joined(side: DataFrame, on: list[str]) -> DataFrame:
+        a = side.select(*on, *[col(k).alias(f"a_{k}") for k in keys])
+        b = side.select(*on, *[col(k).alias(f"b_{k}") for k in keys])
+        return a.join(b, on).where(col("a_row") < col("b_row")).where(longer).where(same | alike).where(first)
+
+    light = joined(sized.where(col("rows") <= heavy_group), group)
+    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode_outer("path_prefix"))
+    heavy = joined(heavy, [*group, "path_token"])
+    heavy = heavy.where(_first_shared(col("a_path_prefix"), col("b_path_prefix")) == col("path_token"))
+    columns = ["authority", "a_row", "b_row"]
+    return light.select(*columns).unionByName(heavy.select(*columns))
+
+
 def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataFrame:
     """Pairs of distinct (authority, path) with a ratio of the paths of at least ``threshold``.
 
@@ -221,7 +248,7 @@ def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataF
     rows = rows.groupBy("authority", "path").agg(F.min("url").alias("id"), F.count(F.lit(1)).alias("urls"))
     rows = rows.withColumn("path_tokens", _tokens(col("path")))
     signed = rows.withColumn("token", F.explode_outer(_prefix(col("path_tokens"), threshold)))
-    pairs = _pairs(signed, ["id", "urls", "path", "path_tokens"], on=["authority", "token"])
+    pairs = _pairs(signed, ["id", "urls", "path", "path_tokens"], on=["authority", "token"], order=["id"])
     pairs = pairs.where(_length_bound(col("left_path"), col("right_path"), threshold))
     first = _first_shared(_prefix(col("left_path_tokens"), threshold), _prefix(col("right_path_tokens"), threshold))
     pairs = pairs.where(first == col("token")).where(_bag_bound("path", threshold))
