@@ -50,28 +50,35 @@ def postings(documents: DataFrame, *, queries: DataFrame | None = None) -> DataF
 
     Without a stored index, pass the queries: other words are then dropped where they are read.
     """
+    if queries is None:
+        return _occurrences(documents)
+    clauses = query_clauses(queries)
+    exact = clauses.where(~col("is_prefix")).select("term").distinct()
+    kept = _occurrences(documents).join(exact, "term", "left_semi")
+    starts = clauses.where("is_prefix").select(col("term").alias("_start")).distinct()
+    # Without prefixes in the batch no document gets past the filter.
+    started = _occurrences(documents.where(_has_prefixes(clauses))).join(exact, "term", "left_anti")
+    started = _with_starts(started, clauses).join(starts, "_start", "left_semi")
+    return kept.unionByName(started.drop("_start").distinct())
+
+
+def _occurrences(documents: DataFrame) -> DataFrame:
     tagged = F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in _words(documents)])
     fields = documents.select("doc_key", F.explode_outer(tagged).alias("t"))
     words = fields.select("doc_key", "t.field", F.posexplode_outer("t.words").alias("position", "term"))
-    words = words.where("term is not null")
-    if queries is not None:
-        clauses = query_clauses(queries)
-        wanted = clauses.select(_clause_key().alias("_key")).distinct()
-        words = _with_keys(words, clauses).join(wanted, "_key", "left_semi").drop("_key")
-    return words.select("term", "doc_key", "field", "position")
+    return words.where("term is not null").select("term", "doc_key", "field", "position")
 
 
-def _clause_key() -> Column:
-    return F.when(col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(col("term"))
+def _has_prefixes(clauses: DataFrame) -> Column:
+    return clauses.agg(F.count_if("is_prefix") > 0).scalar()
 
 
-def _with_keys(rows: DataFrame, clauses: DataFrame) -> DataFrame:
-    """One row per key of ``term``: the term, and its prefixes in the lengths that prefix clauses have."""
+def _with_starts(rows: DataFrame, clauses: DataFrame) -> DataFrame:
+    """One row per start of ``term`` in the lengths that the prefixes of the batch have."""
     lengths = clauses.where("is_prefix").agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
     fitting = F.filter("_lengths", lambda n: n <= F.length("term"))
-    cuts = F.transform(fitting, lambda n: F.concat(F.substring(col("term"), F.lit(1), n), F.lit("*")))
-    keys = F.concat(F.array("term"), cuts)
-    return rows.withColumn("_lengths", lengths).withColumn("_key", F.explode_outer(keys)).drop("_lengths")
+    starts = F.transform(fitting, lambda n: F.substring(col("term"), F.lit(1), n))
+    return rows.withColumn("_lengths", lengths).withColumn("_start", F.explode_outer(starts)).drop("_lengths")
 
 
 def document_lengths(documents: DataFrame) -> DataFrame:
@@ -121,10 +128,12 @@ _CLAUSE = ["branch", "unit", "part", "clause"]
 
 
 def _word_hits(posted: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Postings of every word of every clause. A term offers itself and, marked with ``*``, its prefixes in
-    the lengths that the batch has, so words and prefixes are found by one join by equality."""
-    wanted = clauses.withColumn("_key", _clause_key()).drop("term")
-    hits = _with_keys(posted, clauses).join(wanted, "_key").drop("_key")
+    """Postings of every word of every clause. A prefix is looked up among the starts of the terms, cut to the
+    lengths that the batch has, so words and prefixes are both found by a join by equality."""
+    exact = posted.join(clauses.where(~col("is_prefix")), "term")
+    prefixes = clauses.where("is_prefix").withColumnRenamed("term", "_start")
+    started = _with_starts(posted.where(_has_prefixes(clauses)), clauses).join(prefixes, "_start").drop("_start")
+    hits = exact.unionByName(started)
     return hits.where(col("only_field").isNull() | (col("only_field") == col("field")))
 
 

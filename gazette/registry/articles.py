@@ -11,6 +11,7 @@ from ..functions.dates import coerce_date
 from ..operators import duplicates, graph, recency, summary, tagging, validation
 from ..sources.tables import partition_ages
 from ..sources.feeds import entry_authors
+from ..session import spread
 from . import base
 from .base import (
     ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
@@ -148,7 +149,8 @@ _TITLE_SQL = (
 
 @register("SELECT doc_id, " + _TITLE_SQL.format("text") + " AS title FROM documents")
 def title_normalised(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", normalise_title("text").alias("title"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", normalise_title("text").alias("title"))
 
 
 @register(f"WITH {COPIES}, keyed AS (SELECT link, {_TITLE_SQL.format('title')} AS norm_title, "
@@ -348,4 +350,4 @@ def dates_coerced(spark, folder):
 
 @register("""SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages""")
 def html_unescape_subset(spark, folder):
-    return table(spark, folder, "pages").select("page_id", unescape_html("html").alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", unescape_html("html").alias("text"))

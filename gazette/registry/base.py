@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..session import configure
+from ..session import configure, spread
 from ..sources.config import QualitySettings, keywords_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ def stamp_sql(name: str) -> str:
 
 def articles_view(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as articles; the event with the number of the document gives the time."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"))
     events = table(spark, folder, "events").select("event_id", col("ts").cast("timestamp").alias("ts"))
     rows = documents.join(events, documents["doc_id"] == events["event_id"], "left")
     return rows.select(
