@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import blank_to_null, col, collapse_spaces, search_tokens, text_or_empty
+from ..session import shared_folder
 
 FIELDS = ("title", "abstract", "authors")
 
@@ -213,7 +214,11 @@ def search(posted: DataFrame, queries: DataFrame, *, limit: int = 50) -> DataFra
 def scored_hits(posted: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, doc_key, score`` of the matching documents; the BM25 score is best when smallest."""
     clauses = query_clauses(queries)
-    hits = _document_hits(posted, clauses)
+    # Matching and term frequencies both read the hits, so they are written once.
+    spark = posted.sparkSession
+    place = shared_folder(spark, "hits")
+    _document_hits(posted, clauses).write.parquet(place)
+    hits = spark.read.parquet(place)
     corpus = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))).scalar()
     each = hits.select("query_id", F.explode_outer("held").alias("h"))
     frequencies = (

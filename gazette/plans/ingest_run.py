@@ -86,7 +86,9 @@ def ingest_run(
     stored = read_table(spark, folders.articles)
 
     documents = search_documents(stored)
-    replace_table(postings(documents).repartitionByRange("term").sortWithinPartitions("term"), folders.postings)
+    # Ranges of term and document, so that a frequent term fills several files.
+    by_term = postings(documents).repartitionByRange("term", "doc_key").sortWithinPartitions("term", "doc_key")
+    replace_table(by_term, folders.postings)
     replace_table(document_lengths(documents), folders.lengths)
 
     count = len(category.sources)
