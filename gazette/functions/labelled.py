@@ -31,8 +31,11 @@ _ALSO = {"repository": "github repository"}
 
 # Private-use characters mark where a label starts and where its value starts.
 _FIELD, _VALUE = "\ue000", "\ue001"
+# The first test only looks at one letter, which rules out most places of a text.
 _PATTERN = (
-    r"(?i)(?<![\p{L}\p{N}_])("
+    "(?i)(?=["
+    + "".join(sorted({label[0].lower() for label in LABELS}))
+    + r"])(?<![\p{L}\p{N}_])("
     + "|".join(sorted(LABELS, key=len, reverse=True))
     + r")\s*[:=]\s*"
 )

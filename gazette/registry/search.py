@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, collapse_spaces
 from ..operators import recency
 from ..operators import search as ops
 from .articles import PAPERS, _papers
@@ -155,16 +155,14 @@ def snippets(spark, folder):
     return ops.snippets(hits, documents, queries)
 
 
-_LOG = """log_v AS (SELECT conv_id, turn, trim(regexp_replace("left"(text, 40), '\\s+', ' ', 'g')) AS t, conv_id % 9 + 1 AS n FROM conversations WHERE role = 'user'),
+_LOG = """log_v AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, conv_id % 9 + 1 AS n FROM conversations WHERE role = 'user'),
 asked AS (SELECT *, CASE conv_id % 6 WHEN 0 THEN '최근 ' || n || '일 ' || t WHEN 1 THEN '지난 ' || n || '개월  ' || t || ' ' || n || '개' WHEN 2 THEN 'last ' || n || ' weeks ' || t
   WHEN 3 THEN 'Top ' || n || ' ' || t WHEN 4 THEN t || ' ' || n || '개' ELSE t END AS query FROM log_v)"""
 
 
 def _query_log(spark, folder):
     rows = table(spark, folder, "conversations").where("role = 'user'")
-    from ..functions.text import collapse_spaces
-
-    t = collapse_spaces(F.left(col("text"), F.lit(40)))
+    t = collapse_spaces("text")
     n = (col("conv_id") % 9 + 1).cast("string")
     kind = col("conv_id") % 6
     query = (

@@ -21,15 +21,15 @@ from .feeds import rss_payloads
 RUN_TIME = dt.datetime(2024, 1, 5, 6, 0)
 
 
-@register(f"""WITH current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_id % 5 <> 0) WHERE r = 1),
-batch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_id % 5 = 0 AND user_id % 3 <> 0) WHERE r = 1)
+@register(f"""WITH current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r = 1),
+batch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type = 'error') WHERE r = 1)
 SELECT user_id, event_id, event_type, value FROM batch
 UNION ALL SELECT user_id, event_id, event_type, value FROM current WHERE user_id NOT IN (SELECT user_id FROM batch)""")
 def upsert_latest(spark, folder):
     events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value", "ts")
     order = [col("ts").desc(), col("event_id")]
-    current = tables.newest_per_key(events.where("event_id % 5 <> 0"), "user_id", *order)
-    batch = events.where("event_id % 5 = 0 and user_id % 3 <> 0")
+    current = tables.newest_per_key(events.where("event_type <> 'error'"), "user_id", *order)
+    batch = events.where("event_type = 'error'")
     return tables.merge_by_key(current, batch, key="user_id", order=order).drop("ts")
 
 
@@ -71,22 +71,23 @@ def raw_rerun_dedupe(spark, folder):
 @register(f"""WITH {ARTICLES}, d AS (SELECT max(collected_at)::DATE AS day FROM articles_v)
 SELECT link, title FROM articles_v, d WHERE collected_at::DATE = d.day""")
 def latest_snapshot(spark, folder):
-    """One snapshot for each of the last two days; the newest is read."""
+    """One snapshot for each day of collection; the newest is read."""
     place = shared_folder(spark, "daily")
     rows = articles_view(spark, folder).select("link", "title", F.to_date("collected_at").alias("day"))
-    newest = rows.agg(F.max("day")).first()[0]
-    for day in (newest, newest - dt.timedelta(days=1)):
-        tables.write_snapshot(rows.where(col("day") == day).drop("day"), place, day)
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    for n in range((last - first).days + 1):
+        day = first + dt.timedelta(days=n)
+        tables.write_snapshot(rows.where(col("day") == F.lit(day)).drop("day"), place, day)
     return tables.latest_snapshot(spark, place)
 
 
-@register(f"WITH {ARTICLES} SELECT link, source FROM articles_v WHERE doc_id % 2 = 0")
+@register(f"WITH {ARTICLES} SELECT link, source FROM articles_v")
 def snapshot_fallback(spark, folder):
     """The stored table is empty, so the latest snapshot with rows is read."""
     place = shared_folder(spark, "table")
-    rows = articles_view(spark, folder).select("doc_id", "link", "source")
-    tables.replace_table(rows.where("false").drop("doc_id"), place)
-    tables.write_snapshot(rows.where("doc_id % 2 = 0").drop("doc_id"), f"{place}-daily", AS_OF.date())
+    rows = articles_view(spark, folder).select("link", "source")
+    tables.replace_table(rows.where("false"), place)
+    tables.write_snapshot(rows, f"{place}-daily", AS_OF.date())
     return tables.read_with_fallback(spark, place, f"{place}-daily", f"{place}-none")
 
 
