@@ -14,8 +14,8 @@ two bigrams of its own text and one of the other, so texts with ``M`` matched ch
 ``3M - a - b - 1`` of them.
 
 Skew. The number of rows per (authority, title token) is known before the join. Groups above ``heavy_group``
-rows are split further by the tokens of the path, which has to be similar as well; the other groups join on
-the title token alone.
+rows are split further by the tokens of the path, which has to be similar as well, and groups that still hold
+more than ``split_again`` rows by a second shared title token; the other groups join on the title token alone.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from ..functions.text import col, normalise_title, text_or_empty
 from ..functions.urls import split_url
 from ..session import shared_folder
 
+# Rows per group from which a group is split by path tokens, and then by a second title token.
 HEAVY_GROUP = 200
+SPLIT_AGAIN = 10_000
 
 # Rare characters first. Any fixed order is exact; this one only makes shared tokens rarer.
 _COMMON = "eatoinsrlhducmpgfy-/ wbvkxjqz0123456789._"
@@ -74,11 +76,16 @@ def _numbered(bigrams: str) -> Column:
     return F.transform(bigrams, lambda g, i: F.xxhash64(g, i - F.array_position(col(bigrams), g)))
 
 
-def _prefix(tokens: Column, threshold: float) -> Column:
-    """Tokens of which a similar text must share one; token 0 for the empty text."""
-    least = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
-    kept = F.slice(tokens, 1, F.size(tokens) - least + 1)
-    return F.when(F.size(tokens) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
+def _least_shared(size: Column, threshold: float) -> Column:
+    """Tokens that a text of this size shares at least with any similar text."""
+    return F.ceil(size * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
+
+
+def _prefix(tokens: Column, threshold: float, *, shared: int = 1) -> Column:
+    """Tokens of which a similar text must share ``shared`` (or all it shares); token 0 for the empty text."""
+    size = F.size(tokens)
+    kept = F.slice(tokens, 1, size - _least_shared(size, threshold) + shared)
+    return F.when(size == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
 
 
 def _length_bound(left: Column, right: Column, threshold: float) -> Column:
@@ -141,6 +148,7 @@ def fuzzy_duplicates(
     title_threshold: float = 0.85,
     url_threshold: float = 0.8,
     heavy_group: int = HEAVY_GROUP,
+    split_again: int = SPLIT_AGAIN,
 ) -> DataFrame:
     """Pairs of distinct (title, authority, path) rows that are near duplicates.
 
@@ -163,6 +171,8 @@ def fuzzy_duplicates(
         {
             "title_bigrams": _numbered("title_bigrams"),
             "title_prefix": _prefix(col("title_tokens"), title_threshold),
+            "title_prefix2": _prefix(col("title_tokens"), title_threshold, shared=2),
+            "title_size": F.size("title_tokens"),
             "path_prefix": _prefix(col("path_tokens"), url_threshold),
             "title_length": F.length("title"),
         }
@@ -171,7 +181,7 @@ def fuzzy_duplicates(
     place = shared_folder(articles.sparkSession, "titles")
     rows.write.parquet(place)
     rows = articles.sparkSession.read.parquet(place)
-    pairs = _candidates(rows, title_threshold, url_threshold, heavy_group)
+    pairs = _candidates(rows, title_threshold, url_threshold, heavy_group, split_again)
 
     whole = ["id", "title", "path", "copies", "title_tokens", "title_bigrams", "path_tokens"]
     for side in ("a", "b"):
@@ -202,19 +212,22 @@ def fuzzy_duplicates(
     )
 
 
-def _candidates(rows: DataFrame, title_threshold: float, url_threshold: float, heavy_group: int) -> DataFrame:
+def _candidates(
+    rows: DataFrame, title_threshold: float, url_threshold: float, heavy_group: int, split_again: int
+) -> DataFrame:
     """``authority, a_row, b_row`` of rows that share a signature and fit in lengths and paths, each pair once.
 
     Only numbers cross this join: lengths, prefixes and path tokens.
     """
     signed = rows.select(
-        "authority", "row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix",
+        "authority", "row", "title_length", "title_size", "path", "path_tokens", "title_prefix", "title_prefix2",
+        "path_prefix",
         F.explode_outer("title_prefix").alias("title_token"),
     )
     group = ["authority", "title_token"]
     sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     sized = signed.join(sizes, group)
-    keys = ["row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix"]
+    keys = ["row", "title_length", "path", "path_tokens", "title_prefix", "title_prefix2", "path_prefix"]
     same = col("a_path") == col("b_path")
     longer = F.least("a_title_length", "b_title_length") * 2 >= (
         (col("a_title_length") + col("b_title_length")) * F.lit(title_threshold) - F.lit(1e-9)
@@ -230,11 +243,32 @@ def _candidates(rows: DataFrame, title_threshold: float, url_threshold: float, h
         return a.join(b, on).where(col("a_row") < col("b_row")).where(longer).where(same | alike).where(first)
 
     light = joined(sized.where(col("rows") <= heavy_group), group)
-    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode_outer("path_prefix"))
-    heavy = joined(heavy, [*group, "path_token"])
-    heavy = heavy.where(_first_shared(col("a_path_prefix"), col("b_path_prefix")) == col("path_token"))
+
+    by_path = sized.where(col("rows") > heavy_group).drop("rows")
+    by_path = by_path.withColumn("path_token", F.explode_outer("path_prefix"))
+    path_group = [*group, "path_token"]
+    path_sizes = by_path.groupBy(*path_group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    by_path = by_path.join(path_sizes, path_group)
+    path_first = _first_shared(col("a_path_prefix"), col("b_path_prefix")) == col("path_token")
+    middle = joined(by_path.where(col("rows") <= split_again), path_group).where(path_first)
+
+    by_second = by_path.where(col("rows") > split_again).drop("rows")
+    by_second = by_second.withColumn("second_token", F.explode_outer(_second_tokens(title_threshold)))
+    heavy = joined(by_second, [*path_group, "second_token"]).where(path_first)
+    second = F.get(F.array_intersect("a_title_prefix2", "b_title_prefix2"), F.lit(1))
+    heavy = heavy.where(F.coalesce(second, F.lit(0).cast("bigint")) == col("second_token"))
     columns = ["authority", "a_row", "b_row"]
-    return light.select(*columns).unionByName(heavy.select(*columns))
+    return light.select(*columns).unionByName(middle.select(*columns)).unionByName(heavy.select(*columns))
+
+
+def _second_tokens(threshold: float) -> Column:
+    """Tokens after ``title_token`` that a similar title must share as its second; token 0 stands for none,
+    where a single shared token may be enough."""
+    tail = F.slice(
+        col("title_prefix2"), F.array_position("title_prefix2", col("title_token")).cast("int") + 1, F.size("title_prefix2") + 1
+    )
+    none = F.array(F.lit(0).cast("bigint"))
+    return F.when(_least_shared(col("title_size"), threshold) < 2, F.concat(tail, none)).otherwise(tail)
 
 
 def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataFrame:

@@ -92,7 +92,7 @@ def pairs_of(rows):
 
 def test_fuzzy_duplicates_equal_all_pairs(spark):
     rng = random.Random(3)
-    stems = ["attention is all you need", "a survey of large models", "on the théorie of graphs", ""]
+    stems = ["attention is all you need", "a survey of large models", "on the théorie of graphs", "", "a", "ab", "abc"]
     data = []
     for i in range(160):
         title = list(rng.choice(stems))
@@ -114,6 +114,7 @@ def test_fuzzy_duplicates_equal_all_pairs(spark):
     assert want
     assert pairs_of(duplicates.fuzzy_duplicates(rows)) == want
     assert pairs_of(duplicates.fuzzy_duplicates(rows, heavy_group=3)) == want
+    assert pairs_of(duplicates.fuzzy_duplicates(rows, heavy_group=2, split_again=2)) == want
 
 
 def test_similar_urls_equal_all_pairs(spark):
