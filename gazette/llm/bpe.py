@@ -23,9 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from gazette.llm.common import bounded_batches, chunks
+from gazette.llm.wordhash import span_hashes
 
 MATRIX_BYTES = 256
-CACHED_WORDS = 60_000
+CACHED_WORDS = 200_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -43,6 +44,9 @@ class Vocabulary:
         self.token_end = np.cumsum([len(t) for t in by_id])
         self.token_size = np.array([len(t) for t in by_id], dtype=np.int64)
         self.token_bytes = np.frombuffer(b"".join(by_id), dtype=np.uint8)
+        hashes = span_hashes(self.token_bytes, self.token_end - self.token_size, self.token_end)
+        order = np.argsort(hashes)
+        self.known_hashes, self.known_ids = hashes[order], order.astype(np.uint32)
         keys, values = [], []
         get = self.ranks.get
         for token, rank in self.ranks.items():
@@ -96,34 +100,45 @@ def vocabulary(ranks_file: bytes) -> Vocabulary:
     return Vocabulary(ranks_file)
 
 
-def merge_matrix(vocab: Vocabulary, words: list[bytes], width: int) -> list[bytes]:
-    """Ids of words of at most ``width`` bytes, as bytes of 32-bit numbers."""
-    n = len(words)
-    ids = np.full((n, width), -1, dtype=np.int32)
-    size = np.array([len(w) for w in words])
-    inside = np.arange(width) < size[:, None]
-    ids[inside] = vocab.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
-    out: list[bytes] = [b""] * n
-    rows = np.arange(n)
-    ranks = vocab.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1) if width > 1 else np.full((n, 0), _NONE, np.int32)
+def _flat(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of ``n`` words in order, from groups of (word numbers, sizes, ids one after the other)."""
+    size = np.zeros(n, dtype=np.int64)
+    for rows, sizes, _ in groups:
+        size[rows] = sizes
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if n else 0, dtype=np.uint32)
+    for rows, sizes, ids in groups:
+        out[_places(end[rows] - sizes, sizes)] = ids
+    return size, out
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ``size[i]`` places from ``start[i]`` on, for all i one after the other."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
+def merge_matrix(vocab: Vocabulary, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Merge the rows of a matrix of byte ids (-1 is padding); groups for ``_flat``."""
+    n, width = ids.shape
+    groups, rows = [], np.arange(n)
+    ranks = vocab.pair_ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
     while len(rows):
-        if ids.shape[1] > 1:
+        m, w = ids.shape
+        if w > 1:
             at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
-            ends = best == _NONE
+            best = ranks[np.arange(m), at]
+            go = best != _NONE
         else:
-            ends = np.ones(len(rows), dtype=bool)
-        if ends.any():
-            done = ids[ends].astype("<u4")
-            length = (ids[ends] >= 0).sum(axis=1)
-            for r, line, k in zip(rows[ends].tolist(), done, length.tolist()):
-                out[r] = line[:k].tobytes()
-            go = ~ends
+            go = np.zeros(m, dtype=bool)
+        if not go.all():
+            done = ids[~go]
+            inside = done >= 0
+            groups.append((rows[~go], inside.sum(axis=1), done[inside]))
             rows, ids, ranks = rows[go], ids[go], ranks[go]
             if not len(rows):
                 break
-            at, best = at[go], best[go]
-        m, w = ids.shape
+            at, best, m = at[go], best[go], len(rows)
         line = np.arange(m)
         ids[line, at] = best
         keep = np.ones((m, w), dtype=bool)
@@ -138,10 +153,10 @@ def merge_matrix(vocab: Vocabulary, words: list[bytes], width: int) -> list[byte
             ranks[left, at[left] - 1] = vocab.pair_ranks(ids[left, at[left] - 1], ids[left, at[left]])
             right = np.flatnonzero(at < w - 2)
             ranks[right, at[right]] = vocab.pair_ranks(ids[right, at[right]], ids[right, at[right] + 1])
-    return out
+    return groups
 
 
-def merge_long(vocab: Vocabulary, word: bytes) -> bytes:
+def merge_long(vocab: Vocabulary, word: bytes) -> np.ndarray:
     """Ids of one long word: the same rule with a heap of pairs and linked neighbours."""
     ranks, part = vocab.ranks.get, [word[i : i + 1] for i in range(len(word))]
     after, before = [*range(1, len(word)), -1], [-1, *range(len(word) - 1)]
@@ -159,53 +174,150 @@ def merge_long(vocab: Vocabulary, word: bytes) -> bytes:
         for a, b in ((before[i], i), (i, after[i])):
             if a >= 0 and b >= 0 and (r := ranks(part[a] + part[b])) is not None:
                 heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
-    return np.array([vocab.ranks[p] for p in part if p is not None], dtype="<u4").tobytes()
-
-
-def encode_words(vocab: Vocabulary, words: list[str]) -> dict[str, bytes]:
-    """Ids of distinct words, worked on by length."""
-    out, buckets = {}, {}
-    for word in words:
-        data = word.encode("utf-8")
-        if (rank := vocab.ranks.get(data)) is not None:
-            out[word] = rank.to_bytes(4, "little")
-        elif len(data) > MATRIX_BYTES:
-            out[word] = merge_long(vocab, data)
-        else:
-            width = -(-len(data) // 4) * 4 if len(data) <= 32 else 1 << (len(data) - 1).bit_length()
-            buckets.setdefault(width, []).append((word, data))
-    for width, pairs in buckets.items():
-        step = max(1, (1 << 19) // width)
-        for i in range(0, len(pairs), step):
-            some = pairs[i : i + step]
-            out.update(zip((w for w, _ in some), merge_matrix(vocab, [d for _, d in some], width)))
+    return np.array([vocab.ranks[p] for p in part if p is not None], dtype=np.uint32)
+
+
+def encode_spans(vocab: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of distinct words, given as spans of ``data``; words are worked on by length."""
+    size, groups = end - start, []
+    # A word that is itself in the vocabulary is one token.
+    at = np.minimum(np.searchsorted(vocab.known_hashes, hashes), len(vocab.known_hashes) - 1)
+    whole = vocab.known_hashes[at] == hashes
+    groups.append((np.flatnonzero(whole), np.ones(int(whole.sum()), dtype=np.int64), vocab.known_ids[at[whole]]))
+    width = np.where(size <= 32, -(-size // 4) * 4, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    for w in np.unique(width[~whole & (size <= MATRIX_BYTES)]).tolist():
+        rows = np.flatnonzero(~whole & (width == w) & (size <= MATRIX_BYTES))
+        step = max(1, (1 << 18) // w)
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            inside = np.arange(w) < size[some, None]
+            ids = np.full((len(some), w), -1, dtype=np.int32)
+            ids[inside] = vocab.byte_id[data[_places(start[some], size[some])]]
+            groups += [(some[r], k, x) for r, k, x in merge_matrix(vocab, ids)]
+    for r in np.flatnonzero(~whole & (size > MATRIX_BYTES)).tolist():
+        ids = merge_long(vocab, data[start[r] : end[r]].tobytes())
+        groups.append((np.array([r]), np.array([len(ids)]), ids))
+    return _flat(groups, len(size))
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point: 0 letter, 1 number, 2 white space, 3 anything else."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.frombuffer(every.encode("utf-32-le"), dtype=np.uint32)
+    out = np.full(0x110000, 3, dtype=np.uint8)
+    for kind, name in enumerate((r"\p{L}", r"\p{N}", r"\s")):
+        spans = np.array([m.span() for m in regex.finditer(name + "+", every)])
+        out[points[_places(spans[:, 0], spans[:, 1] - spans[:, 0])]] = kind
     return out
 
 
-def decode_ids(vocab: Vocabulary, ids: bytes) -> bytes:
+#: The split pattern that ``split_points`` does with arrays; any other goes through the regex library.
+ARRAY_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def split_points(points: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+    """Where the matches of ``ARRAY_PATTERN`` start in texts that stand one after the other as code points.
+
+    A match is a run of one class; a space before a run of letters, numbers or others belongs to it, the white space
+    before that is a match of its own, and an apostrophe with one of the endings is a match too.
+    """
+    n = len(points)
+    kind = _classes()[points]
+    is_text = np.zeros(n + 1, dtype=bool)
+    is_text[text_start] = True
+    is_text[n] = True
+    run = is_text.copy()
+    run[1:n] |= kind[1:] != kind[:-1]
+    run[0] = True
+    out = run.copy()
+    # Runs after white space in the same text: the last white character before them.
+    after = np.flatnonzero(run[1:n] & ~is_text[1:n] & (kind[:-1] == 2)) + 1
+    out[after - 1] = True
+    out[after[points[after - 1] == 32]] = False
+    marks = np.flatnonzero((points == 39) & out[:n] & run[:n])
+    marks = marks[is_text[marks] | (kind[marks - 1] != 3)]
+    padded = np.concatenate((points, np.zeros(3, dtype=points.dtype)))
+    within = np.concatenate((np.cumsum(is_text[:n]), np.full(3, -1)))
+    for ending in _ENDINGS:
+        hit = np.ones(len(marks), dtype=bool)
+        for i, letter in enumerate(ending, 1):
+            hit &= (padded[marks + i] == ord(letter)) & (within[marks + i] == within[marks])
+        found = marks[hit]
+        out[found + 1] = False
+        out[found + 1 + len(ending)] = True
+    return np.flatnonzero(out[:n])
+
+
+def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     """The bytes of a sequence of ids."""
-    at = np.frombuffer(ids, dtype="<u4").astype(np.int64)
-    if not len(at):
-        return b""
+    at = ids.astype(np.int64)
     size = vocab.token_size[at]
-    end = np.cumsum(size)
-    place = np.arange(end[-1]) + np.repeat(vocab.token_end[at] - end, size)
-    return vocab.token_bytes[place].tobytes()
+    return vocab.token_bytes[_places(vocab.token_end[at] - size, size)].tobytes()
+
+
+def _spans(values: list[str], pattern: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All bytes of some texts, where each match starts and ends, and the first match of each text (and the end)."""
+    joined = "".join(values)
+    data = joined.encode("utf-8")
+    if pattern == ARRAY_PATTERN:
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        text = np.cumsum([0, *map(len, values)])
+        start = split_points(points, text[:-1][np.diff(text) > 0]) if len(points) else np.zeros(0, dtype=np.int64)
+        if len(data) != len(points):
+            size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            place = np.concatenate(([0], np.cumsum(size)))
+            start, text = place[start], place[text]
+    else:
+        match = regex.compile(pattern)
+        text = np.cumsum([0, *(len(v.encode("utf-8")) for v in values)])
+        sizes = [[len(w.encode("utf-8")) for w in match.findall(v)] for v in values]
+        start = np.cumsum([0, *(s for x in sizes for s in x)], dtype=np.int64)[:-1]
+    return data, np.append(start, len(data)), np.searchsorted(start, text)
 
 
 def encoder(ranks_file: bytes, pattern: str):
-    """A function from texts to their ids, that remembers words up to a bound."""
-    vocab, split, known = vocabulary(ranks_file), regex.compile(pattern).findall, {}
-
-    def encode(values: list[str | None]) -> list[bytes]:
-        parts = [split(v) if v else [] for v in values]
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for p in parts for w in p})
-        known.update(encode_words(vocab, new))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+    """A function from texts to their ids and decoded bytes, that remembers words up to a bound."""
+    vocab = vocabulary(ranks_file)
+    known = [np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)]
+
+    def ids_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, remember: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of all spans: each distinct word is merged once."""
+        hashes, one, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+        old = (known[0][at] == hashes) & remember
+        fresh = one[~old]
+        size, ids = encode_spans(vocab, data, start[fresh], end[fresh], hashes[~old])
+        old_size = known[2][at[old]]
+        old_ids = known[3][_places(known[1][at[old]], old_size)]
+        sizes, flat = _flat([(np.flatnonzero(~old), size, ids), (np.flatnonzero(old), old_size, old_ids)], len(hashes))
+        begin = np.cumsum(sizes) - sizes
+        if remember and len(fresh):
+            if len(known[0]) + len(fresh) <= CACHED_WORDS:
+                order = np.argsort(both := np.concatenate((known[0], hashes[~old])), kind="stable")
+                starts = np.concatenate((known[1], len(known[3]) + np.cumsum(size) - size))
+                known[:] = both[order], starts[order], np.concatenate((known[2], size))[order], np.concatenate((known[3], ids))
+            else:
+                known[:] = hashes, begin, sizes, flat
+        return sizes[inverse], flat[_places(begin[inverse], sizes[inverse])]
+
+    def encode(values: list[str | None]) -> list[tuple[np.ndarray, bytes]]:
+        values = [v or "" for v in values]
+        data, edge, first = _spans(values, pattern)
+        if not data:
+            return [(np.zeros(0, dtype=np.uint32), b"")] * len(values)
+        array = np.frombuffer(data, dtype=np.uint8)
+        for remember in (True, False):
+            sizes, ids = ids_of(array, edge[:-1], edge[1:], remember)
+            decoded = decode_ids(vocab, ids)
+            if decoded == data:
+                break
+            # Two words with one hash: try again with the words of this chunk alone.
+        else:
+            raise ValueError("the vocabulary does not give back the text")
+        place = np.concatenate(([0], np.cumsum(sizes)))[first]
+        return [(ids[a:b], decode_ids(vocab, ids[a:b])) for a, b in zip(place[:-1].tolist(), place[1:].tolist())]
 
     return encode
 
@@ -215,21 +327,21 @@ def encode_decode(docs: DataFrame, ranks_file: bytes, pattern: str, ids: bool =
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, encode = vocabulary(ranks_file), encoder(ranks_file, pattern)
+        encode = encoder(ranks_file, pattern)
         for batch in batches:
             values = batch.column(1).to_pylist()
             for a, b in chunks(values):
                 found = encode(values[a:b])
-                decoded = [hashlib.sha256(decode_ids(vocab, x)).hexdigest() for x in found]
+                raw = [x.astype("<u4").tobytes() for x, _ in found]
                 arrays = [
                     batch.column(0).slice(a, b - a),
-                    pa.array([len(x) // 4 for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
-                    pa.array(decoded, pa.string()),
+                    pa.array([len(x) for x, _ in found], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for _, x in found], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    arrays, names = [*arrays, pa.array(found, pa.binary())], [*names, "ids"]
+                    arrays, names = [*arrays, pa.array(raw, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
