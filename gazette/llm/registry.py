@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, quality
+from gazette.llm import bpe, exact_dedup, mixing, quality, sharding
 from gazette.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,77 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repetition_coverage")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
+
+
+def _sha_number(text: str, digits: int) -> str:
+    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def _shard_sql(shards: int) -> str:
+    tree = sharding.Tree.balanced(shards)
+
+    def edges(tree: sharding.Tree) -> str:
+        return ", ".join(f"('{a}', '{b}', {w})" for a, children in tree.nodes.items() for b, w in children)
+
+    def walk(name: str, edge: str) -> str:
+        draw = f"-ln(({_sha_number(chr(39).join(['key || ', '|', ' || child']), 13)} + 0.5) / 4503599627370496.0) / weight"
+        steps = [f"{name}0 AS (SELECT key, '' AS node FROM (SELECT DISTINCT key FROM d))"]
+        steps += [f"{name}{k} AS (SELECT key, arg_min(child, {draw}) AS node FROM {name}{k - 1} JOIN {edge} ON parent = node GROUP BY key)" for k in (1, 2, 3)]
+        return ", ".join(steps)
+
+    return f"""
+    WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, coalesce(doc_id::VARCHAR, '') AS key,
+                      hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+         e1(parent, child, weight) AS (VALUES {edges(tree)}), e2(parent, child, weight) AS (VALUES {edges(tree.with_shard(shards))}),
+         {walk("a", "e1")}, {walk("b", "e2")},
+         c AS (SELECT d.doc_id, size, key, split_part(a3.node, '/', 3)::INT AS shard, split_part(b3.node, '/', 3)::INT AS grown_shard,
+                      xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, size - 7), lambda i: ('0x' || substr(bytes, 2 * i - 1, 2))::BIGINT)),
+                          lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1]))) AS text_crc32
+               FROM d JOIN a3 USING (key) JOIN b3 USING (key))
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+           row_number() OVER (PARTITION BY shard ORDER BY {_sha_number("key", 3)}, doc_id, text_crc32, size) - 1 AS slot
+    FROM c
+    """
+
+
+@query("op3_hash_tree_shards", _shard_sql(24))
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hash_tree_shards(documents(spark, sf_dir), 24)
+
+
+MIX_SQL = f"""
+    WITH RECURSIVE
+    d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+                 {_sha_number("coalesce(doc_id::VARCHAR, '')", 15)} AS k FROM documents),
+    s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][rank % 3 + 1]::DOUBLE AS weight, [1.5, 1.0, 0.5][rank % 3 + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][rank % 3 + 1]::DOUBLE AS b,
+                 2 * source_size::DOUBLE AS cap FROM s),
+    l AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS demand,
+                 sum(cap) OVER f - cap AS before, sum(weight) OVER () - sum(weight) OVER f + weight AS rest
+          FROM w WINDOW f AS (ORDER BY cap / weight, rank)),
+    t AS (SELECT source, source_size, a, b,
+                 least(cap, weight * coalesce((SELECT arg_min((demand - before) / rest, (ratio, rank)) FROM l WHERE (demand - before) / rest <= ratio), 0.0)) AS target FROM l),
+    o AS (SELECT d.*, t.* EXCLUDE (source), floor(target)::BIGINT AS goal,
+                 sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    p AS (SELECT *, greatest(0, least(size, goal - start)) AS t1, greatest(0, least(size, goal - start - source_size)) AS t2 FROM o),
+    q AS (SELECT *, start::DOUBLE / target AS x1, (start + source_size)::DOUBLE / target AS x2 FROM p)
+    SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (t1 + t2)::BIGINT AS taken,
+           CASE WHEN t1 > 0 THEN floor((CASE WHEN a = b THEN x1 ELSE (sqrt(a * a + (b * b - a * a) * x1) - a) / (b - a) END) * 1e12)::BIGINT END AS time_1,
+           CASE WHEN t2 > 0 THEN floor((CASE WHEN a = b THEN x2 ELSE (sqrt(a * a + (b * b - a * a) * x2) - a) / (b - a) END) * 1e12)::BIGINT END AS time_2
+    FROM q
+"""
+
+
+@query("op9_curriculum_mix", MIX_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(documents(spark, sf_dir))
