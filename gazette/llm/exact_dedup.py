@@ -100,6 +100,8 @@ def duplicate_groups(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFra
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("_llm_length")).alias("shorter"), F.col("doc_id").isNull().alias("last"), "doc_id", "_llm_row")).alias("_llm_best"),
     )
+    # Written first, so that both sides of the join are shuffled for it and a large group can be split.
+    best = stored(best, "exact-groups")
     grouped = maybe.join(best, "_llm_digest").select(
         maybe.doc_id,
         F.col("_llm_best.doc_id").alias("keep_id"),
