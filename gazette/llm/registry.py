@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, mixing, quality, sharding
+from gazette.llm import bpe, exact_dedup, langid, mixing, quality, sharding
 from gazette.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ MIX_SQL = f"""
 @query("op9_curriculum_mix", MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(documents(spark, sf_dir))
+
+
+@query("op2_language_profiles")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(documents(spark, sf_dir))
