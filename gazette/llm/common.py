@@ -16,7 +16,11 @@ CHUNK_BYTES = 1 << 20
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession) -> None:

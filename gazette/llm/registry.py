@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, langid, mixing, quality, sharding
-from gazette.llm.common import documents
+from gazette.llm import bpe, exact_dedup, langid, mixing, quality, sharding, toxicity
+from gazette.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_profiles")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(documents(spark, sf_dir))
+
+
+@query("op6_toxicity_grammar")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

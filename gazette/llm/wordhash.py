@@ -44,17 +44,17 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, in order.
 
     ``data`` holds all bytes (texts are kept apart by a line feed); ``start``, ``end``, ``doc`` and ``hash`` are
-    per word; ``first`` is the number of the first word of each text, with the number of all words at its end.
+    per word; ``lower`` lower-cases A-Z; ``space`` says which bytes part words; ``first`` is the number of the first word of each text, with the number of all words at its end.
     """
 
-    def __init__(self, values: list[bytes | None], lower: bool = False):
+    def __init__(self, values: list[bytes | None], lower: bool = False, space: np.ndarray = _SPACE):
         data = np.frombuffer(b"\n".join([*(v or b"" for v in values), b""]), dtype=np.uint8)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data = data
         size = np.array([len(v or b"") + 1 for v in values], dtype=np.int64)
         self.text_end = np.cumsum(size)
-        edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+        edge = np.diff(np.concatenate(([True], space[data], [True])).astype(np.int8))
         self.start = np.flatnonzero(edge == -1)
         self.end = np.flatnonzero(edge == 1)
         self.doc = np.searchsorted(self.text_end, self.start, side="right")
