@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, langid, mixing, quality, sharding, toxicity
+from gazette.llm import bpe, exact_dedup, langid, mixing, quality, sharding, substring, toxicity
 from gazette.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity_grammar")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated(documents(spark, sf_dir), 13)
