@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, jaccard, langid, mixing, quality, sharding, substring, toxicity
+from gazette.llm import bpe, exact_dedup, jaccard, langid, mixing, pseudonyms, quality, sharding, substring, toxicity
 from gazette.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(documents(spark, sf_dir))
+
+
+@query("op10_feistel_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), b"a key for the given tables")
