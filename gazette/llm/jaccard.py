@@ -290,3 +290,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     linked = some.join(lowest, "root").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = placed.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns.
+
+    Rows that share a doc_id are one document, which stays if one of them does. Texts without words stay.
+    """
+    verdicts = similar_groups(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stored(verdicts.filter("not stays").select(F.col("doc_id").alias("_llm_gone")), "near-copies")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone._llm_gone), "left_anti")
