@@ -157,6 +157,7 @@ def identify(values: list[str | None], langs: list[str], matrix: np.ndarray) ->
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, also: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, lang_pred and score of every row, and the boolean columns ``also``."""
     also = also or {}
+    names = list(also)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,8 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, also: dict[st
             values = batch.column(1).to_pylist()
             for a, b in _groups(values):
                 pred, score = identify(values[a:b], langs, matrix)
-                arrays = [batch.column(0).slice(a, b - a), *(batch.column(2 + i).slice(a, b - a) for i in range(len(also)))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score)], ["doc_id", *also, "lang_pred", "score"])
+                arrays = [batch.column(0).slice(a, b - a), *(batch.column(2 + i).slice(a, b - a) for i in range(len(names)))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score)], ["doc_id", *names, "lang_pred", "score"])
 
     schema = "doc_id bigint, " + "".join(f"{k} boolean, " for k in also) + "lang_pred string, score double"
     return docs.select("doc_id", "text", *(c.alias(k) for k, c in also.items())).mapInArrow(run, schema)
