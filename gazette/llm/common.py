@@ -39,7 +39,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark, label)}/table"
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,8 @@ all tasks and changes only the order), the others by hash. Two sets that link sh
    walked with the pivot's set. Texts with an equal beginning share the overlap counted so far, and a branch ends when
    what is left of either set cannot reach the overlap that the smallest set below it needs.
 3. Links join classes to components. Groups of a prefix shingle that still hold several components give all pairs
-   between different components, which are verified the same way. Pairs inside a component would change nothing.
+   between different components whose shared prefix shingles and remaining lengths can reach the overlap; these are
+   verified the same way. Pairs inside a component would change nothing.
 
 So no link between different texts is lost for the components, and a group of near copies costs its size.
 
@@ -274,9 +275,11 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     torn = mixed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     torn = stored(mixed.join(torn, "token"), "torn")
     other = torn.select("token", F.col("set").alias("b"), F.col("size").alias("size_a"), F.col("root").alias("root_b"))
-    crossing = torn.join(other, "token").filter("root < root_b").filter(fits).select(F.col("set").alias("a"), "b")
-    done = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    crossing = crossing.distinct().join(done, ["a", "b"], "left_anti")
+    # Shared shingles up to the smaller of two prefix ends stand in both prefixes; what follows is at most the rest.
+    crossing = torn.join(other, "token").filter("root < root_b").filter(fits)
+    crossing = crossing.groupBy(F.col("set").alias("a"), "b", "size", "size_a").count()
+    rest = "greatest((4 * size + 4) div 5, (4 * size_a + 4) div 5) - 1"
+    crossing = crossing.filter(f"count >= (4 * (size + size_a) + 8) div 9 - ({rest})").select("a", "b")
     more = _links(docs, crossing, classes, common, "cross")
     return members, components(links.union(more))
 
