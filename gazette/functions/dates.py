@@ -33,6 +33,11 @@ def mail_date(c: Column | str) -> Column:
     zones = F.create_map(*[F.lit(v) for pair in MAIL_ZONES.items() for v in pair])
     offset = F.try_element_at(zones, name)
     text = F.when(offset.isNotNull(), F.concat(F.regexp_replace(text, r"[A-Z]{1,3}$", ""), offset)).otherwise(text)
+    # Years of two digits: up to 68 of this century, from 69 on of the last.
+    short = F.regexp_extract(text, r"^\d{1,2} [A-Za-z]{3} (\d{2}) ", 1)
+    century = F.when(short <= "68", F.lit("20")).otherwise(F.lit("19"))
+    long = F.concat(F.regexp_extract(text, r"^(\d{1,2} [A-Za-z]{3} )\d{2} ", 1), century, F.regexp_extract(text, r"^\d{1,2} [A-Za-z]{3} (\d{2} .*)$", 1))
+    text = F.when(short != "", long).otherwise(text)
     return F.coalesce(
         F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm Z")),

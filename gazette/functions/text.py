@@ -77,7 +77,7 @@ def escape_regex(literal: str) -> str:
 
 def _accent_table() -> tuple[str, str]:
     plain = {}
-    for point in range(0x00C0, 0x0250):
+    for point in range(0x00C0, 0x10000):
         parts = unicodedata.normalize("NFD", chr(point))
         if len(parts) > 1 and parts[0].isascii():
             plain[chr(point)] = parts[0]
@@ -88,8 +88,8 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def fold_text(c: Column | str) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(col(c)), _ACCENTED, _PLAIN)
+    """Lower case without the accents of Latin letters, whether composed or decomposed."""
+    return F.translate(F.regexp_replace(F.lower(col(c)), "[\\u0300-\\u036f]", ""), _ACCENTED, _PLAIN)
 
 
 def search_tokens(c: Column | str) -> Column:

@@ -10,26 +10,39 @@ from pyspark.sql.types import StringType, StructField, StructType
 _ALLOWED = re.compile(r"^\s*(SELECT|WITH|EXPLAIN)\b", re.IGNORECASE)
 _EXPLAIN = re.compile(r"^\s*EXPLAIN\b\s*(EXTENDED|CODEGEN|COST|FORMATTED)?", re.IGNORECASE)
 REFUSED = "Error: Only SELECT/WITH/EXPLAIN queries are allowed."
+# Functions that call any code of the engine's process, however they are quoted.
+_CALLS = re.compile(r"\b(?:try_reflect|reflect|java_method)\b`?\s*\(", re.IGNORECASE)
+REFUSED_CALL = "Error: Functions that call other code are not allowed."
 
 
 def read_only_sql(spark: SparkSession, query: str) -> DataFrame:
     """Rows of a query; a refused or failing one gives a row with its error text.
 
     The query runs as a sub-query, which the grammar allows to hold no command, so ``WITH … INSERT`` fails to
-    parse instead of writing.
+    parse instead of writing. Only tables and views can be read, no files by path. The query
+    runs once without keeping its rows, so that an error of the run shows here too, and again when they are read.
     """
     if not _ALLOWED.match(query):
         return _error(spark, REFUSED)
+    if _CALLS.search(query):
+        return _error(spark, REFUSED_CALL)
     explain = _EXPLAIN.match(query)
     body = query[explain.end() :] if explain else query
     wrapped = "SELECT * FROM (\n" + body.strip().rstrip(";") + "\n)"
+    files = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(files, "true")
+    spark.conf.set(files, "false")
     try:
         if explain:
             spark.sql(wrapped).schema  # noqa: B018 - analysis refuses commands
             return spark.sql(f"EXPLAIN {explain.group(1) or ''} {wrapped}")
-        return spark.sql(wrapped)
+        rows = spark.sql(wrapped)
+        rows.write.format("noop").mode("overwrite").save()
+        return rows
     except Exception as problem:  # noqa: BLE001 - the caller gets the text
         return _error(spark, f"Error: {str(problem).splitlines()[0]}")
+    finally:
+        spark.conf.set(files, before)
 
 
 def _error(spark: SparkSession, text: str) -> DataFrame:

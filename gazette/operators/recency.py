@@ -20,11 +20,11 @@ def _cutoff(as_of: dt.datetime, days: int) -> Column:
 
 
 def recent_by_category(
-    articles: DataFrame, category: str, *, as_of: dt.datetime, days: int = 7, limit: int = 200
+    articles: DataFrame, category: str, *, as_of: dt.datetime, days: int = 7, limit: int | None = 200
 ) -> DataFrame:
-    """Newest rows of a category by event time (publication, else collection)."""
+    """Newest rows of a category by event time (publication, else collection); without a limit all, in no order."""
     kept = articles.where((col("category") == category) & (event_time() >= _cutoff(as_of, days)))
-    return kept.orderBy(event_time().desc(), col("link")).limit(limit)
+    return kept if limit is None else kept.orderBy(event_time().desc(), col("link")).limit(limit)
 
 
 def recent_papers(papers: DataFrame, *, as_of: dt.datetime, days: int = 7, limit: int = 20) -> DataFrame:

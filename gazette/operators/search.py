@@ -310,10 +310,10 @@ def enrich_hits(hits: DataFrame, papers: DataFrame) -> DataFrame:
 # Time units of a query in days.
 UNIT_DAYS = {"일": 1, "주": 7, "주일": 7, "개월": 30, "달": 30, "day": 1, "week": 7, "month": 30}
 
-_KOREAN_WINDOW = r"(?:최근|지난)\s*(\d{1,6})\s*(개월|주일|주|달|일)(?:간|동안)?"
-_ENGLISH_WINDOW = r"(?i)\b(?:last|past|recent)\s+(\d{1,6})\s*(day|week|month)s?\b"
-_KOREAN_LIMIT = r"(\d{1,6})\s*개(?!월)"
-_ENGLISH_LIMIT = r"(?i)\btop\s+(\d{1,6})\b"
+_KOREAN_WINDOW = r"(?:최근|지난)\s*(\d+)\s*(개월|주일|주|달|일)(?:간|동안)?"
+_ENGLISH_WINDOW = r"(?i)\b(?:last|past|recent)\s+(\d+)\s*(day|week|month)s?\b"
+_KOREAN_LIMIT = r"(\d+)\s*개(?!월)"
+_ENGLISH_LIMIT = r"(?i)\btop\s+(\d+)\b"
 
 
 def parse_queries(queries: DataFrame, *, query: str = "query") -> DataFrame:

@@ -223,10 +223,10 @@ def review_items(
     backlog: DataFrame,
     settings: QualitySettings,
     *,
-    limit: int = REVIEW_LIMIT,
+    limit: int | None = REVIEW_LIMIT,
 ) -> DataFrame:
     """What a person should look at: field gaps and weak keys of events, source problems, models without
-    events, sources still to come. Cut to ``limit`` over all sections; the cut is part of the result.
+    events, sources still to come. Cut to ``limit`` over all sections, in order; without a limit all rows, in no order.
     """
     gaps = F.when(F.size("required_field_gaps") > 0, F.lit("missing_required_fields"))
     weak = F.when(col("canonical_key_status") == "missing", F.lit("missing_canonical_key")).when(
@@ -246,7 +246,7 @@ def review_items(
     is_gap, is_proxy = col("part") == 0, col("reason") == "title_proxy_canonical_key"
     order = [col("event_at").desc_nulls_last(), col("url"), col("event_key"), col("part")]
     # Only `limit` rows of this section can remain, so each task keeps its own first `limit`.
-    first_events = flagged.orderBy(*order).limit(limit)
+    first_events = flagged if limit is None else flagged.orderBy(*order).limit(limit)
     numbered = first_events.select(
         F.lit(0).alias("section"),
         F.struct(
@@ -295,7 +295,8 @@ def review_items(
     items = numbered
     for part in (problems, absent, pending):
         items = items.unionByName(part, allowMissingColumns=True)
-    return items.select(*_REVIEW).orderBy("section", "position").limit(limit)
+    items = items.select(*_REVIEW)
+    return items if limit is None else items.orderBy("section", "position").limit(limit)
 
 
 def review_panel(items: DataFrame, *, limit: int = 8) -> DataFrame:

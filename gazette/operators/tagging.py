@@ -5,8 +5,8 @@ any other keyword as a part of the text. A whole-word match must cover complete
 word run (the anchor) in the set of word runs of the text, and only the keywords found that way are checked
 any further.
 
-Two plans give the same rows. Up to ``ROW_LOCAL_LIMIT`` keywords the dictionary is part of the projection and
-no row leaves its partition. A larger one is a table that the exploded word runs are joined with.
+Two plans give the same rows; the caller chooses. ``ROW_LOCAL`` makes the dictionary part of the projection, so no
+row leaves its partition; ``JOINED``, for very large dictionaries, joins the exploded word runs with a table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, col, escape_regex, text_or_empty
 from ..sources.config import Keyword
 
-ROW_LOCAL_LIMIT = 2000
+ROW_LOCAL, JOINED = "row_local", "joined"
 
 _DICTIONARY = "entity string, pos int, keyword string, anchor string, pattern string"
 
@@ -113,14 +113,14 @@ def tag_articles(
     dictionary: Sequence[Keyword],
     *,
     key: str = "link",
-    row_local_limit: int = ROW_LOCAL_LIMIT,
+    plan: str = ROW_LOCAL,
 ) -> DataFrame:
     """Articles with ``matched_entities`` replaced by the hits of the dictionary."""
     entries = [_entry(k) for k in dictionary if k.keyword]
     rest = articles.drop("matched_entities")
     if not entries:
         return rest.withColumn("matched_entities", F.expr("cast(map() as map<string,array<string>>)"))
-    if len(entries) <= row_local_limit:
+    if plan == ROW_LOCAL:
         staged = rest.withColumn("_lowered", F.lower(tag_text("title", "summary")))
         staged = staged.withColumn("_found", _found_anchors(word_runs(col("_lowered")), entries))
         staged = staged.withColumn("_hits", _hits_in_row(col("_lowered"), col("_found"), entries))

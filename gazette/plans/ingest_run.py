@@ -39,7 +39,7 @@ class Folders:
         return f"{self.root}/{name}"
 
 
-def collect_articles(payloads: DataFrame, sources: DataFrame, *, limit: int) -> tuple[DataFrame, DataFrame]:
+def collect_articles(payloads: DataFrame, sources: DataFrame, *, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Normalised rows and errors of the payloads of the given sources."""
     chosen = sources.select(col("name").alias("source"), "type", "config")
     joined = payloads.drop("type", "config").join(chosen, "source")
@@ -53,7 +53,8 @@ def ingest_run(
     root: str,
     *,
     as_of: dt.datetime,
-    per_source_limit: int = 30,
+    per_source_limit: int | None = None,
+    report_limit: int | None = None,
     recent_days: int = 7,
     keep_days: int = 90,
     keep_raw_days: int = 180,
@@ -98,7 +99,7 @@ def ingest_run(
         category=category.name,
         as_of=as_of,
         days=max(recent_days, 14),
-        limit=max(500, per_source_limit * max(count, 1) * 2),
+        limit=report_limit,
     )
     report = quality_report(
         window, sources, category.quality, as_of=as_of, errors=errors, events_folder=shared_folder(spark, "events")

@@ -74,7 +74,7 @@ def stored_checks(articles: DataFrame, *, as_of: dt.datetime) -> dict[str, DataF
     }
 
 
-def quality_window(stored: DataFrame, current: DataFrame, *, category: str, as_of: dt.datetime, days: int, limit: int) -> DataFrame:
+def quality_window(stored: DataFrame, current: DataFrame, *, category: str, as_of: dt.datetime, days: int, limit: int | None) -> DataFrame:
     """Recent stored rows, or the rows of this run when there are none."""
     recent = recent_by_category(stored, category, as_of=as_of, days=days, limit=limit)
     return current if recent.isEmpty() else recent

@@ -11,7 +11,6 @@ from ..functions.dates import coerce_date
 from ..operators import duplicates, graph, recency, summary, tagging, validation
 from ..sources.tables import partition_ages
 from ..sources.feeds import entry_authors
-from ..session import spread
 from . import base
 from .base import (
     ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
@@ -149,7 +148,7 @@ _TITLE_SQL = (
 
 @register("SELECT doc_id, " + _TITLE_SQL.format("text") + " AS title FROM documents")
 def title_normalised(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return documents.select("doc_id", normalise_title("text").alias("title"))
 
 
@@ -189,7 +188,7 @@ def entity_tags(spark, folder):
 @register(f"WITH {TAGS} SELECT doc_id, entity, listed AS keywords FROM tags")
 def entity_tags_joined(spark, folder):
     """The plan for large dictionaries."""
-    rows = tagging.tag_articles(articles_view(spark, folder), KEYWORDS, key="doc_id", row_local_limit=0)
+    rows = tagging.tag_articles(articles_view(spark, folder), KEYWORDS, key="doc_id", plan=tagging.JOINED)
     rows = tagging.entity_rows(rows, "doc_id")
     return rows.select("doc_id", "entity", F.array_join("keywords", "|").alias("keywords"))
 
@@ -350,4 +349,4 @@ def dates_coerced(spark, folder):
 
 @register("""SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS text FROM pages""")
 def html_unescape_subset(spark, folder):
-    return spread(table(spark, folder, "pages")).select("page_id", unescape_html("html").alias("text"))
+    return table(spark, folder, "pages").select("page_id", unescape_html("html").alias("text"))

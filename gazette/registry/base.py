@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..session import configure, spread
+from ..session import configure
 from ..sources.config import QualitySettings, keywords_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,14 +52,14 @@ def stamp_sql(name: str) -> str:
 
 def articles_view(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as articles; the event with the number of the document gives the time."""
-    documents = spread(table(spark, folder, "documents"))
+    documents = table(spark, folder, "documents")
     events = table(spark, folder, "events").select("event_id", col("ts").cast("timestamp").alias("ts"))
     rows = documents.join(events, documents["doc_id"] == events["event_id"], "left")
     return rows.select(
         "doc_id",
         "n_chars",
         F.concat_ws("/", F.concat(F.lit("https://"), "source", F.lit(".example.org")), "lang", "doc_id").alias("link"),
-        F.left(F.trim(F.substring_index("text", ".", 1)), F.lit(120)).alias("title"),
+        F.trim(F.substring_index("text", ".", 1)).alias("title"),
         col("text").alias("summary"),
         F.when(col("doc_id") % 7 != 0, col("ts")).alias("published"),
         "source",
@@ -76,7 +76,7 @@ ARTICLES = """
 articles_v AS (
   SELECT d.doc_id, d.n_chars,
          'https://' || d.source || '.example.org/' || d.lang || '/' || d.doc_id AS link,
-         "left"(trim(split_part(d.text, '.', 1)), 120) AS title,
+         trim(split_part(d.text, '.', 1)) AS title,
          d.text AS summary,
          CASE WHEN d.doc_id % 7 <> 0 THEN e.ts END AS published,
          d.source, d.lang AS category,

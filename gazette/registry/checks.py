@@ -107,11 +107,16 @@ def all_checks(spark, folder):
 @register("WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1) "
           "SELECT c_mktsegment, sum(n)::BIGINT AS orders, round(sum(total), 2) AS total FROM spent JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def sql_read_only(spark, folder):
-    table(spark, folder, "orders").createOrReplaceTempView("orders")
-    table(spark, folder, "customer").createOrReplaceTempView("customer")
-    return read_only_sql(
+    names = ("orders", "customer")
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
+    rows = read_only_sql(
         spark,
         "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1) "
         "SELECT c_mktsegment, sum(n) AS orders, round(sum(total), 2) AS total FROM spent "
         "JOIN customer ON c_custkey = o_custkey GROUP BY 1;",
     )
+    # The rows are analysed; the names need not stay in the session.
+    for name in names:
+        spark.catalog.dropTempView(name)
+    return rows

@@ -8,7 +8,7 @@ from ..functions.text import col
 from ..sources import feeds
 from .base import ARTICLES, articles_view, register, stamp, stamp_sql
 
-SIZE, LIMIT = 20, 15
+SIZE = 20
 
 
 def _grouped(spark, folder, kind, item, wrap, *, keep=None):
@@ -63,9 +63,15 @@ _PLACE = "'feed' || (doc_id // 20) AS source, doc_id % 20 AS position"
 
 @register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format("title || ' © é'")} AS title, link,
   CASE WHEN doc_id % 5 = 1 THEN {_STRIPPED.format("title || ' © é'")} ELSE {_STRIPPED.format('summary')} END AS summary,
-  {_SECONDS} AS published FROM articles_v WHERE doc_id % 20 < 15""")
+  {_SECONDS} AS published FROM articles_v""")
 def feed_rss(spark, folder):
-    return _shown(feeds.rss_rows(rss_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.rss_rows(rss_payloads(spark, folder)))
+
+
+@register(f"""WITH {ARTICLES} SELECT {_PLACE}, link FROM articles_v WHERE doc_id % 20 < 15""")
+def feed_rss_limited(spark, folder):
+    """The feature of a limit per payload: the first fifteen entries of each."""
+    return feeds.rss_rows(rss_payloads(spark, folder), limit=15).select("source", "position", "link")
 
 
 def atom_payloads(spark, folder, kind="arxiv"):
@@ -91,9 +97,9 @@ def atom_payloads(spark, folder, kind="arxiv"):
 SELECT {_PLACE}, {_STRIPPED.format("'A: ' || title")} AS title, address || '#page' AS link,
   CASE WHEN doc_id % 4 > 0 THEN {_STRIPPED.format('summary')} ELSE '' END AS summary, {_SECONDS} AS published,
   array_to_string(authors, '|') AS authors, '2401.' || lpad(doc_id::VARCHAR, 5, '0') || 'v1' AS arxiv_id,
-  'https://arxiv.org/pdf/2401.' || lpad(doc_id::VARCHAR, 5, '0') || 'v1.pdf' AS pdf_url FROM a WHERE doc_id % 20 < 15""")
+  'https://arxiv.org/pdf/2401.' || lpad(doc_id::VARCHAR, 5, '0') || 'v1.pdf' AS pdf_url FROM a""")
 def feed_atom(spark, folder):
-    rows = feeds.atom_paper_rows(atom_payloads(spark, folder), limit=LIMIT)
+    rows = feeds.atom_paper_rows(atom_payloads(spark, folder))
     return rows.select(
         "source", "position", "title", "link", "summary", stamp("published"), F.array_join("authors", "|").alias("authors"),
         "arxiv_id", "pdf_url",
@@ -102,9 +108,9 @@ def feed_atom(spark, folder):
 
 @register(f"""WITH {ARTICLES} SELECT {_PLACE}, {_STRIPPED.format("title || ' © é'")} AS title, link,
   CASE WHEN doc_id % 5 > 1 THEN {_STRIPPED.format('summary')} ELSE '' END AS summary,
-  {_SECONDS} AS published FROM articles_v WHERE doc_id % 20 < 15""")
+  {_SECONDS} AS published FROM articles_v""")
 def feed_medical_index(spark, folder):
-    return _shown(feeds.feed_paper_rows(rss_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.feed_paper_rows(rss_payloads(spark, folder)))
 
 
 def _json_payloads(spark, folder, kind, item, name):
@@ -126,9 +132,9 @@ def scholar_payloads(spark, folder):
 
 @register(f"""WITH {ARTICLES} SELECT {_PLACE}, title, CASE WHEN doc_id % 3 = 0 THEN link ELSE 'https://doi.org/10.1/' || doc_id END AS link, summary,
   CASE WHEN doc_id % 2 = 0 THEN (1990 + doc_id % 30) || '-01-01 00:00:00.000000' END AS published
-FROM articles_v WHERE doc_id % 20 < 15 AND doc_id % 3 < 2 AND title <> ''""")
+FROM articles_v WHERE doc_id % 3 < 2 AND title <> ''""")
 def feed_scholar(spark, folder):
-    return _shown(feeds.scholar_rows(scholar_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.scholar_rows(scholar_payloads(spark, folder)))
 
 
 def preprint_payloads(spark, folder):
@@ -146,9 +152,9 @@ def preprint_payloads(spark, folder):
 
 @register(f"""WITH {ARTICLES} SELECT {_PLACE}, title, CASE WHEN doc_id % 3 = 0 THEN link ELSE 'https://doi.org/10.1/' || doc_id END AS link,
   replace(summary, chr(10), ' ') AS summary, strftime(published, '%Y-%m-%d 00:00:00.000000') AS published
-FROM articles_v WHERE doc_id % 20 < 15 AND doc_id % 3 < 2 AND title <> ''""")
+FROM articles_v WHERE doc_id % 3 < 2 AND title <> ''""")
 def feed_preprints(spark, folder):
-    return _shown(feeds.preprint_rows(preprint_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.preprint_rows(preprint_payloads(spark, folder)))
 
 
 def works_payloads(spark, folder):
@@ -175,9 +181,9 @@ SELECT {_PLACE}, title, CASE doc_id % 3 WHEN 0 THEN doi WHEN 1 THEN 'https://doi
     CASE WHEN published IS NOT NULL THEN 'Publication date: ' || strftime(published, '%Y-%m-%d') ELSE 'Publication year: ' || (1990 + doc_id % 30) END,
     'OpenAlex ID: ' || work) AS summary,
   CASE WHEN published IS NOT NULL THEN strftime(published, '%Y-%m-%d 00:00:00.000000') ELSE (1990 + doc_id % 30) || '-01-01 00:00:00.000000' END AS published
-FROM w WHERE doc_id % 20 < 15 AND title <> '' AND (doi IS NOT NULL OR work IS NOT NULL)""")
+FROM w WHERE title <> '' AND (doi IS NOT NULL OR work IS NOT NULL)""")
 def feed_works(spark, folder):
-    return _shown(feeds.works_rows(works_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.works_rows(works_payloads(spark, folder)))
 
 
 def registry_payloads(spark, folder):
@@ -200,9 +206,9 @@ def registry_payloads(spark, folder):
        WHEN doc_id % 4 = 3 OR doc_id % 14 NOT BETWEEN 1 AND 12 THEN NULL
        WHEN doc_id % 4 = 1 THEN (1990 + doc_id % 30) || '-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-01 00:00:00.000000'
        ELSE (1990 + doc_id % 30) || '-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 00:00:00.000000' END AS published
-FROM articles_v WHERE doc_id % 20 < 15 AND doc_id % 5 > 0 AND title <> ''""")
+FROM articles_v WHERE doc_id % 5 > 0 AND title <> ''""")
 def feed_registry(spark, folder):
-    return _shown(feeds.registry_rows(registry_payloads(spark, folder), limit=LIMIT))
+    return _shown(feeds.registry_rows(registry_payloads(spark, folder)))
 
 
 def mixed_payloads(spark, folder):
@@ -224,13 +230,13 @@ def mixed_payloads(spark, folder):
 
 
 @register(f"""WITH {ARTICLES}, p AS (SELECT *, doc_id // 20 AS f, (doc_id // 20) % 6 AS k FROM articles_v),
-good AS (SELECT 'row' AS kind, 'feed' || f AS source, count(*) AS n FROM p WHERE doc_id % 20 < 15 AND
+good AS (SELECT 'row' AS kind, 'feed' || f AS source, count(*) AS n FROM p WHERE
   (k < 2 OR (k = 2 AND doc_id % 3 < 2 AND title <> '') OR (k = 3 AND title <> '' AND (doc_id % 3 < 2 OR doc_id % 4 > 0))) GROUP BY f)
 SELECT kind, source, n, '' AS message FROM good
 UNION ALL SELECT DISTINCT 'error', 'feed' || f, 1, 'feed' || f || CASE WHEN k = 4 THEN ': Failed to parse payload' ELSE ': Unsupported source type ''gopher''' END FROM p WHERE k >= 4""")
 def feed_mixed(spark, folder):
     rows, errors = feeds.normalise_feeds(
-        mixed_payloads(spark, folder), limit=LIMIT, types=["rss", "arxiv", "semantic_scholar", "openalex"]
+        mixed_payloads(spark, folder), types=["rss", "arxiv", "semantic_scholar", "openalex"]
     )
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     good = counts.select(F.lit("row").alias("kind"), "source", "n", F.lit("").alias("message"))

@@ -40,8 +40,8 @@ FIELDS = (
     SIGNALS
     + f""",
 pieces_v AS MATERIALIZED (
-  SELECT *, list_slice(string_split(regexp_replace(trim(regexp_replace(title || ' ' || summary, '\\s+', ' ', 'g')),
-      '(?i)(^|[^\\p{{L}}\\p{{N}}_])({_ALTERNATIVES})\\s*[:=]\\s*', '\\1' || chr(57344) || '\\2' || chr(57345), 'g'), chr(57344)), 2, 1000) AS pieces
+  SELECT *, (string_split(regexp_replace(trim(regexp_replace(title || ' ' || summary, '\\s+', ' ', 'g')),
+      '(?i)(^|[^\\p{{L}}\\p{{N}}_])({_ALTERNATIVES})\\s*[:=]\\s*', '\\1' || chr(57344) || '\\2' || chr(57345), 'g'), chr(57344)))[2:] AS pieces
   FROM signals_v
 ),
 fields_v AS MATERIALIZED (
@@ -298,10 +298,10 @@ def review_items(spark, folder):
 
 
 @register(f"WITH {HEALTH} SELECT section, reason, event_model, source, title, event_key, canonical_key, gaps, latest_title, age_days, activation_gate "
-          f"FROM items {_ORDER} LIMIT 100000")
+          f"FROM items")
 def review_items_all(spark, folder):
-    """All sections without a tight cut, so that each of them shows."""
-    return _review(spark, folder, 100000).select(
+    """All sections, without a cut."""
+    return _review(spark, folder, None).select(
         "section", "reason", "event_model", "source", "title", "event_key", "canonical_key",
         F.array_join("required_field_gaps", ",").alias("gaps"), "latest_title", "age_days", "activation_gate",
     )

@@ -37,10 +37,11 @@ ROW = [
 ]
 
 
-def _entries(payloads: DataFrame, schema: str, items: Callable[[Column], Column], read: Callable, limit: int) -> DataFrame:
-    """First ``limit`` entries per payload in their order."""
+def _entries(payloads: DataFrame, schema: str, items: Callable[[Column], Column], read: Callable, limit: int | None) -> DataFrame:
+    """The entries of every payload in their order; with ``limit``, only its first ones."""
     parsed = payloads.withColumn("_doc", read(col("payload"), schema))
-    listed = parsed.withColumn("_items", F.slice(items(col("_doc")), 1, limit))
+    found = items(col("_doc"))
+    listed = parsed.withColumn("_items", found if limit is None else F.slice(found, 1, limit))
     return listed.select("source", "category", "config", F.posexplode("_items").alias("position", "e"))
 
 
@@ -52,7 +53,7 @@ def _json(c: Column, schema: str) -> Column:
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})
 
 
-def _feed_entries(payloads: DataFrame, limit: int) -> DataFrame:
+def _feed_entries(payloads: DataFrame, limit: int | None) -> DataFrame:
     return _entries(payloads, _FEED, lambda d: F.coalesce(d["channel"]["item"], d["entry"], d["item"]), _xml, limit)
 
 
@@ -95,7 +96,7 @@ def _finish(rows: DataFrame) -> DataFrame:
     return kept.select(*ROW)
 
 
-def rss_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def rss_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """RSS 2.0, RSS 1.0 and Atom entries; a missing summary becomes the content, else the title."""
     rows = _feed_entries(payloads, limit)
     summary = F.coalesce(*[blank_to_null(f"e.{c}") for c in ("summary", "description", "encoded", "content")])
@@ -106,7 +107,7 @@ def rss_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
     return _finish(rows.where(col("title") != "(no title)"))
 
 
-def atom_paper_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def atom_paper_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Atom entries of a preprint server, with authors, id and PDF address."""
     rows = _feed_entries(payloads, limit)
     raw_id = _trimmed(col("e.id"))
@@ -131,7 +132,7 @@ def atom_paper_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
     return _finish(rows.withColumn("pdf_url", pdf))
 
 
-def feed_paper_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def feed_paper_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Feed of a medical index: title, link, summary or description, date."""
     rows = _feed_entries(payloads, limit)
     summary = F.coalesce(blank_to_null("e.summary"), col("e.description"))
@@ -162,7 +163,7 @@ def _first_of_year(year: Column) -> Column:
     return F.try_make_timestamp(year.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0))
 
 
-def scholar_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def scholar_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """``data[]`` with the first external link, else the DOI; published on the first of the year."""
     schema = (
         "struct<data:array<struct<title:string,externalLinks:array<struct<url:string>>,externalIds:struct<DOI:string>,"
@@ -182,7 +183,7 @@ def scholar_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
     )
 
 
-def preprint_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def preprint_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """``entries[]`` with an HTML link, else the DOI; the abstract may come in paragraphs."""
     schema = (
         "struct<entries:array<struct<title:string,links:struct<htmlUrl:string>,doi:string,abstract:string,published:string>>>"
@@ -200,7 +201,7 @@ def preprint_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
     )
 
 
-def works_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def works_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """``results[]`` of an open catalogue; the summary is put together from labelled parts."""
     schema = (
         "struct<results:array<struct<id:string,doi:string,ids:struct<doi:string>,display_title:string,"
@@ -244,7 +245,7 @@ def works_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
     )
 
 
-def registry_rows(payloads: DataFrame, *, limit: int) -> DataFrame:
+def registry_rows(payloads: DataFrame, *, limit: int | None = None) -> DataFrame:
     """``items[]`` of a DOI registry; date parts default to the first month and day."""
     schema = "struct<items:array<struct<title:array<string>,DOI:string,abstract:string,published:struct<`date-parts`:array<array<int>>>>>>"
     rows = _entries(payloads, schema, lambda d: d["items"], _json, limit)
@@ -301,7 +302,7 @@ def payload_errors(payloads: DataFrame) -> DataFrame:
 
 
 def normalise_feeds(
-    payloads: DataFrame, *, limit: int = 30, types: list[str] | None = None
+    payloads: DataFrame, *, limit: int | None = None, types: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of all payloads, the union of one branch per type, and the error rows."""
     if "config" not in payloads.columns:

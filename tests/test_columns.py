@@ -167,3 +167,22 @@ def test_first_present_label_wins_even_when_empty(spark):
     assert fields_of(spark, "t", "Repo: a/b Repository: DOI: 1", "Repository", "Repo") == ""
     assert fields_of(spark, "t", "GitHub repository: o/n.", "Repository", "Repo", "GitHub repository") == "o/n"
     assert fields_of(spark, "t", "xDOI: 1", "DOI") == ""
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("Tue, 04 Aug 26 10:00:00 GMT", dt.datetime(2026, 8, 4, 10)),
+        ("4 Aug 68 10:00 GMT", dt.datetime(2068, 8, 4, 10)),
+        ("4 Aug 69 10:00:00 +0200", dt.datetime(1969, 8, 4, 8)),
+        ("Tue, 04 Aug 2026 10:00:00 GMT", dt.datetime(2026, 8, 4, 10)),
+        ("4 Aug", None),
+    ],
+)
+def test_mail_dates_with_short_years(spark, value, want):
+    assert one(spark, value, dates.mail_date) == want
+
+
+@pytest.mark.parametrize("value", ["Tiếng Việt", "Tiếng Việt", "TIẾNG VIỆT"])
+def test_accents_of_all_ranges_and_forms(spark, value):
+    assert one(spark, value, text.search_tokens) == ["tieng", "viet"]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.operators import duplicates, graph, quality_checks, recency, search, source_health, summary, tagging, validation
-from gazette.operators.read_only_sql import REFUSED, read_only_sql
+from gazette.operators.read_only_sql import REFUSED, REFUSED_CALL, read_only_sql
 from gazette.operators.signals import build_events
 from gazette.plans.quality_report import quality_report, write_report
 from gazette.sources.config import category_from, keywords_of, quality_settings, sources_table
@@ -33,18 +33,18 @@ def tags(spark, title, entities, summary="", **options):
     return rows.first()["matched_entities"]
 
 
-@pytest.mark.parametrize("limit", [2000, 0])
-def test_tagging(spark, limit):
+@pytest.mark.parametrize("plan", [tagging.ROW_LOCAL, tagging.JOINED])
+def test_tagging(spark, plan):
     topic = [{"name": "topic", "keywords": ["AI", "cloud", "", "ai"]}, {"name": "lang", "keywords": ["python"]}]
-    assert tags(spark, "Ai and CLOUD", topic, row_local_limit=limit) == {"topic": ["ai", "cloud", "ai"]}
-    assert tags(spark, "Wooden chair", topic, row_local_limit=limit) == {}
-    assert tags(spark, "AI를 쓰다", topic, row_local_limit=limit) == {}
-    assert tags(spark, "x", topic, "in Python", row_local_limit=limit) == {"lang": ["python"]}
-    assert tags(spark, "인공지능연구", [{"name": "t", "keywords": ["인공지능"]}], row_local_limit=limit) == {"t": ["인공지능"]}
-    assert tags(spark, "t", [], row_local_limit=limit) == {}
+    assert tags(spark, "Ai and CLOUD", topic, plan=plan) == {"topic": ["ai", "cloud", "ai"]}
+    assert tags(spark, "Wooden chair", topic, plan=plan) == {}
+    assert tags(spark, "AI를 쓰다", topic, plan=plan) == {}
+    assert tags(spark, "x", topic, "in Python", plan=plan) == {"lang": ["python"]}
+    assert tags(spark, "인공지능연구", [{"name": "t", "keywords": ["인공지능"]}], plan=plan) == {"t": ["인공지능"]}
+    assert tags(spark, "t", [], plan=plan) == {}
     odd = [{"name": "t", "keywords": ["c++", "continuous batching", "transformers.js", ".net"]}]
-    assert tags(spark, "c++ c++11 a.net continuous  batching", odd, row_local_limit=limit) == {"t": ["c++", ".net"]}
-    assert tags(spark, "Continuous batching in Transformers.js", odd, row_local_limit=limit) == {
+    assert tags(spark, "c++ c++11 a.net continuous  batching", odd, plan=plan) == {"t": ["c++", ".net"]}
+    assert tags(spark, "Continuous batching in Transformers.js", odd, plan=plan) == {
         "t": ["continuous batching", "transformers.js"]
     }
 
@@ -55,8 +55,8 @@ def test_tagging_equals_one_pattern_per_keyword(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(25)) for _ in range(400)]
     words = ["ai", "a", "of the", "a-b", "x1", "the", "b.a", "ção", "-a", "a_b", "of"]
     rows = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(texts)], "link string, title string, summary string")
-    for limit in (2000, 0):
-        got = tagging.tag_articles(rows, keywords_of([{"name": "e", "keywords": words}]), row_local_limit=limit)
+    for plan in (tagging.ROW_LOCAL, tagging.JOINED):
+        got = tagging.tag_articles(rows, keywords_of([{"name": "e", "keywords": words}]), plan=plan)
         found = {r.link: r.matched_entities.get("e", []) for r in got.collect()}
         for i, t in enumerate(texts):
             text = f"{t}\n"
@@ -147,50 +147,45 @@ def report(spark, articles, sources, folder, as_of=dt.datetime(2026, 4, 14), err
     return quality_report(articles, table, quality_settings(SETTINGS), as_of=as_of, events_folder=folder, errors=errors)
 
 
-def test_report_of_three_kinds_of_events(spark, folder):
+def test_report_counts_rows_of_every_section(spark, folder):
+    """Two papers and a repository of one source each, a score without its metric, and sources in every state."""
     sources = [
-        {"name": "Preprints", "type": "arxiv", "content_type": "preprint", "info_purpose": ["paper_release"]},
-        {"name": "Code", "type": "rss", "config": {"event_model": "code_repository"}},
-        {"name": "Board", "type": "api", "config": {"event_model": "benchmark_result"}},
-        {"name": "Off", "type": "rss", "enabled": False, "content_type": "academic", "config": {"skip_reason": "gone"}},
-        {"name": "Blog", "type": "rss", "config": {"event_model": "opinion"}},
-        {"name": "Silent", "type": "rss", "content_type": "academic"},
+        {"name": "Left", "type": "rss", "content_type": "preprint"},
+        {"name": "Right", "type": "rss", "content_type": "preprint"},
+        {"name": "Forge", "type": "rss", "config": {"event_model": "code_repository"}},
+        {"name": "Scores", "type": "rss", "config": {"event_model": "benchmark_result"}},
+        {"name": "Closed", "type": "rss", "enabled": False, "content_type": "preprint", "config": {"skip_reason": "shut"}},
     ]
-    extra = {"arxiv_id": F.lit("1706.03762")}
-    rows = article(spark, source="Preprints", title="One", link="https://arxiv.org/abs/1706.03762").withColumns(
-        extra | {"doi": F.lit("10.48550/arXiv.1706.03762"), "citation_count": F.lit(42)}
-    )
-    code = article(spark, source="Code", link="https://example.com/code", summary="Repository: github.com/example/some-code.")
-    board = article(spark, source="Board", link="https://example.com/b", summary="Benchmark: MMLU. Metric name: accuracy. Metric value: 92.5.")
-    blog = article(spark, source="Blog", link="https://example.com/blog")
-    for part in (code.withColumns(extra), board.withColumns(extra), blog):
+    parts = [
+        article(spark, source="Left", link="https://left.test/7", summary="DOI: 10.5555/Quartz.7. Citation count: 3,210"),
+        article(spark, source="Right", link="https://right.test/8", summary="arXiv: 2211.00042v3 Announce"),
+        article(spark, source="Forge", link="https://forge.test/9", summary="DOI: 10.5555/quartz.7 Repository: github.com/basalt/gneiss."),
+        article(spark, source="Scores", link="https://scores.test/1", summary="Benchmark: Strata-12. Metric value: 17"),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    errors = spark.createDataFrame([("Code: timeout: 3",), ("Codex: x",), ("nothing",)], "message string")
+    errors = spark.createDataFrame([("Forge: 503",), ("Forge: again",), ("Forged: no",)], "message string")
     tables = report(spark, rows, sources, folder, errors=errors)
-    events = {r.event_model: r for r in tables["events"].collect()}
-    assert events["paper_release"].canonical_key == "paper:doi:10.48550-arxiv.1706.03762"
-    assert events["paper_release"].citation_count == 42
-    assert events["code_repository"].canonical_key == "repository:github.com:example:some-code:paper:arxiv-1706.03762"
-    assert events["benchmark_result"].canonical_key == "benchmark:arxiv-1706.03762:mmlu:accuracy:92.5"
-    assert all(r.required_field_gaps == [] for r in events.values())
+    events = {r.url: r for r in tables["events"].collect()}
+    assert events["https://left.test/7"].canonical_key == "paper:doi:10.5555-quartz.7"
+    assert events["https://left.test/7"].citation_count == 3210
+    assert events["https://right.test/8"].canonical_key == "paper:arxiv:2211.00042v3"
+    assert events["https://forge.test/9"].canonical_key == "repository:github.com:basalt:gneiss:paper:doi-10.5555-quartz.7"
+    assert events["https://scores.test/1"].required_field_gaps
     status = {r.source: (r.status, r.error_count) for r in tables["sources"].collect()}
-    assert status == {
-        "Preprints": ("fresh", 0), "Code": ("fresh", 1), "Board": ("fresh", 0), "Off": ("skipped_disabled", 0),
-        "Blog": ("not_tracked", 0), "Silent": ("missing", 0),
-    }
-    reasons = [r.reason for r in tables["review"].collect()]
-    assert reasons == ["source_missing", "missing_event_model", "source_backlog_pending"]
+    assert status["Closed"] == ("skipped_disabled", 0) and status["Forge"] == ("fresh", 2) and status["Left"] == ("fresh", 0)
+    assert [r.reason for r in tables["review"].collect()][0] == "missing_required_fields"
     summary_row = tables["summary"].first()
-    assert summary_row.research_signal_event_count == 3
-    assert summary_row.missing_event_model_count == 1
+    assert summary_row.research_signal_event_count == 4 and summary_row.citation_count_present_count == 1
     places = write_report(tables, folder + "-report", as_of=dt.datetime(2026, 4, 14))
-    assert spark.read.json(places["latest"] + "/events").count() == 3
+    assert spark.read.json(places["latest"] + "/events").count() == 4
 
 
 def test_citation_snapshots_age_by_collection(spark, folder):
     source = {"name": "Cites", "type": "openalex", "config": {"event_model": "citation_snapshot"}}
     row = article(
-        spark, source="Cites", link="https://doi.org/10.1145/example", summary="DOI: 10.1145/example. Citation count: 1,234.",
+        spark, source="Cites", link="https://doi.org/10.5555/agate.31", summary="DOI: 10.5555/agate.31. Citation count: 1,234.",
         published=dt.datetime(2020, 1, 1), collected_at=dt.datetime(2026, 4, 22),
     )
     tables = report(spark, row, [source], folder, as_of=dt.datetime(2026, 4, 23))
@@ -227,14 +222,15 @@ def test_rollup_groups_before_the_shuffle(spark):
 @pytest.mark.parametrize(
     ("query", "text", "days", "limit"),
     [
-        ("최근 3일 와인", "와인", 3, None),
-        ("최근 1주 와인 뉴스", "와인 뉴스", 7, None),
-        ("지난 3개월 보르도", "보르도", 90, None),
-        ("last 7 days wine news", "wine news", 7, None),
-        ("와인 뉴스 10개", "와인 뉴스", None, 10),
-        ("top 5 wines", "wines", None, 5),
-        ("  최근 2주   보르도   와인   5개  ", "보르도 와인", 14, 5),
-        ("cabernet sauvignon", "cabernet sauvignon", None, None),
+        ("지난 12일 서버 로그", "서버 로그", 12, None),
+        ("최근 4주일간 색인", "색인", 28, None),
+        ("지난 2개월 문서 비교", "문서 비교", 60, None),
+        ("past 45 days shard layout", "shard layout", 45, None),
+        ("문서 1234567개", "문서", None, 1234567),
+        ("top 1234567 shards", "shards", None, 1234567),
+        ("last 1234567 days of it", "of it", 1234567, None),
+        ("  최근  6주  병합   계획  15개 ", "병합 계획", 42, 15),
+        ("row groups", "row groups", None, None),
         ("", "", None, None),
     ],
 )
@@ -306,6 +302,10 @@ def test_read_only_sql(spark, folder):
     assert read_only_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a").first().x == 1
     assert "Range" in read_only_sql(spark, "EXPLAIN SELECT * FROM three").first()[0]
     assert read_only_sql(spark, "DROP VIEW three").first().error == REFUSED
+    for text in ("SELECT reflect('java.lang.Math', 'abs', 1)", "SELECT `java_method`('java.lang.Math', 'abs', 1)"):
+        assert read_only_sql(spark, text).first().error == REFUSED_CALL
+    assert read_only_sql(spark, "SELECT CAST('a' || id AS INT) FROM range(3)").first().error.startswith("Error: [CAST_INVALID")
+    assert read_only_sql(spark, "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`").first().error.startswith("Error: ")
     spark.sql(f"CREATE TABLE guarded (x INT) USING parquet LOCATION '{folder}'")
     try:
         for text in (
