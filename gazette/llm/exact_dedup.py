@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from gazette.llm.common import bounded_batches, stored, texts
 
@@ -79,7 +80,7 @@ def with_possible(rows: DataFrame, packed: np.ndarray, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, "_llm_possible"])
 
     a, b = _slots(bits)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _llm_possible boolean"
+    schema = StructType([*rows.schema.fields, StructField("_llm_possible", BooleanType())])
     return rows.withColumns({"_llm_slot_a": a, "_llm_slot_b": b}).mapInArrow(test, schema)
 
 
@@ -139,8 +140,8 @@ def drop_duplicates_exact(docs: DataFrame, filter_bits: int = FILTER_BITS) -> Da
         F.min(F.struct((-F.col("_llm_length")).alias("shorter"), F.col("doc_id").isNull().alias("last"), "doc_id")).alias("_llm_best")
     )
     bounded_batches(spark)
-    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    full = docs.mapInArrow(_tagged(docs.columns), ", ".join([*plain, "_llm_digest binary"]))
+    schema = StructType([*docs.schema.fields, StructField("_llm_digest", BinaryType())])
+    full = docs.mapInArrow(_tagged(docs.columns), schema)
     tested = with_possible(full, packed, bits)
     alone = tested.filter("not _llm_possible").select(*docs.columns)
     length = F.char_length(F.coalesce("text", F.lit("")))

@@ -24,6 +24,7 @@ table gives an empty result; other columns are not read by ``similar_groups`` an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +112,7 @@ def ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(common: np.ndarray):
-    """Per text a row (null, set, size, doc_id); per different set of a chunk a row for each prefix shingle."""
+    """Per text a row (null, set, size, doc_id, mark); per different set of a chunk a row for each prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +121,9 @@ def _prefixes(common: np.ndarray):
                 tokens, doc, edge = shingle_sets(values[a:b])
                 keys, size = set_keys(tokens, edge), np.diff(edge)
                 n = b - a
+                marks = pa.array([(zlib.crc32(v or b"") << 31) + len(v or b"") for v in values[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), ids.slice(a, n)], ["token", "set", "size", "doc_id"]
+                    [pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), ids.slice(a, n), marks], ["token", "set", "size", "doc_id", "mark"]
                 )
                 first = np.zeros(n, dtype=bool)
                 first[np.unique(keys, return_index=True)[1]] = True
@@ -130,8 +132,14 @@ def _prefixes(common: np.ndarray):
                 rank = np.arange(len(tokens)) - edge[doc]
                 some = order[(rank < (size - (4 * size + 4) // 5 + 1)[doc]) & first[doc]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[some].view(np.int64)), pa.array(keys[doc[some]]), pa.array(size[doc[some]]), pa.nulls(len(some), pa.int64())],
-                    ["token", "set", "size", "doc_id"],
+                    [
+                        pa.array(tokens[some].view(np.int64)),
+                        pa.array(keys[doc[some]]),
+                        pa.array(size[doc[some]]),
+                        pa.nulls(len(some), pa.int64()),
+                        pa.nulls(len(some), pa.int64()),
+                    ],
+                    ["token", "set", "size", "doc_id", "mark"],
                 )
 
     return run
@@ -205,11 +213,15 @@ def _verify(common: np.ndarray):
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, common: np.ndarray, label: str) -> DataFrame:
     """The pairs (a, b) of classes that link, with the texts of one document of each class."""
     pairs = stored(pairs, f"{label}-pairs")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(classes, "set").select("set", "first")
-    source = docs.select("text", F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"))
-    found = stored(source.join(wanted, "first").select("set", "text"), f"{label}-texts")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(classes, "set").select("set", "first", "mark")
+    plain = F.coalesce("text", F.lit(""))
+    mark = F.shiftleft(F.crc32(F.encode(plain, "UTF-8")), 31) + F.octet_length(plain)
+    source = docs.select("text", F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), mark.alias("mark"))
+    # Repeated rows give a text once; the join has already brought them together.
+    found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set"])
+    found = stored(found.select("set", "text"), f"{label}-texts")
     bounded_batches(docs.sparkSession)
-    # Rows with one doc_id and several texts: only the text of the class counts.
+    # Texts that share identifier and mark by chance: only the text of the class counts.
     found = found.mapInArrow(_own_text, "set bigint, text string")
     with_b = pairs.join(found.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(found.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
@@ -257,9 +269,11 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(set, size, doc_id) per row, and (set, root) for the sets in a link."""
     bounded_batches(docs.sparkSession)
     common = common_shingles(docs)
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_prefixes(common), "token bigint, `set` bigint, size bigint, doc_id bigint"), "prefixes")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_prefixes(common), "token bigint, `set` bigint, size bigint, doc_id bigint, mark bigint"), "prefixes")
     members = rows.filter("token is null").select("set", "size", "doc_id")
-    classes = members.filter("size > 0").groupBy("set").agg(F.min(F.coalesce("doc_id", F.lit(int(_LAST)))).alias("first"))
+    # One document of each class: its smallest identifier, and the mark of its text.
+    named = rows.filter("token is null and size > 0").select("set", F.struct(F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), "mark").alias("one"))
+    classes = named.groupBy("set").agg(F.min("one").alias("one")).select("set", "one.first", "one.mark")
     prefixes = rows.filter("token is not null").select("token", "set", "size")
     # One pivot per shared shingle.
     groups = prefixes.groupBy("token").agg(F.min(F.struct("set", "size")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
