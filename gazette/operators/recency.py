@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import col, collapse_spaces
 
@@ -49,18 +48,17 @@ def recent_hits(hits: DataFrame, articles: DataFrame, *, as_of: dt.datetime, day
 def lookup(papers: DataFrame, identifiers: DataFrame, *, id_column: str = "identifier") -> DataFrame:
     """One row per identifier that is a DOI, an arXiv id or a link of some paper (smallest link first).
 
-    The keys of a paper are exploded (three at most) and joined by equality. Only each identifier's first
-    paper crosses the shuffle: the window limit is applied before it.
+    The keys of a paper are exploded (three at most) and joined by equality with its link alone; the chosen links then
+    fetch their papers, with the summary already cut. ``papers`` holds a link once.
     """
     wanted = identifiers.select(collapse_spaces(id_column).alias(id_column)).where(col(id_column) != "").distinct()
     keys = F.array_distinct(F.filter(F.array("doi", "arxiv_id", "link"), lambda k: k.isNotNull()))
-    keyed = papers.withColumn(id_column, F.explode(keys))
-    first = W.partitionBy(id_column).orderBy("link")
-    found = keyed.join(wanted, id_column).withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    keyed = papers.select("link", F.explode(keys).alias(id_column))
+    first = keyed.join(wanted, id_column).groupBy(id_column).agg(F.min("link").alias("link"))
     abstract = F.when(
         F.length("summary") > 300, F.concat(F.left(col("summary"), F.lit(300)), F.lit("..."))
     ).otherwise(col("summary"))
-    return found.drop("_rank").withColumn("summary", abstract)
+    return papers.withColumn("summary", abstract).join(first, "link")
 
 
 def keep_recent(articles: DataFrame, *, as_of: dt.datetime, keep_days: int) -> DataFrame:

@@ -76,6 +76,9 @@ def ingest_run(
     staged = shared_folder(spark, "collected")
     tag_articles(rows, category.keywords).write.parquet(staged)
     collected = spark.read.parquet(staged)
+    failed = shared_folder(spark, "errors")
+    errors.write.parquet(failed)
+    errors = spark.read.schema(errors.schema).parquet(failed)
 
     log_articles(collected.drop("matched_entities"), folders.raw, logged_at=as_of, run_id=run_id)
     valid = valid_rows(collected)

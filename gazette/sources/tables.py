@@ -60,11 +60,11 @@ def read_table(spark: SparkSession, root: str, schema: str | None = None) -> Dat
 
 
 def replace_table(df: DataFrame, root: str, *, keep_versions: int = 2) -> int:
-    """Write the next version and drop all but the last ``keep_versions``."""
+    """Write the next version and drop all but the last ``keep_versions``; fails if another writer has begun it."""
     spark = df.sparkSession
     found = versions(spark, root)
     number = found[-1] + 1 if found else 1
-    df.write.mode("overwrite").parquet(f"{root}/version={number}")
+    df.write.mode("error").parquet(f"{root}/version={number}")
     for old in (found + [number])[:-keep_versions]:
         delete_folder(spark, f"{root}/version={old}")
     return number
@@ -83,12 +83,13 @@ def newest_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def merge_by_key(current: DataFrame, batch: DataFrame, *, key: str = "link", order: list[Column] | None = None) -> DataFrame:
-    """Rows of ``current`` without those that ``batch`` replaces, and the last row per key of ``batch``.
+    """Rows of ``current`` without those that ``batch`` replaces, and one row per key of ``batch``: the first in ``order``.
 
     ``current`` holds a key once, so it only meets the keys of the batch in an anti join: a batch small enough
     to be broadcast moves no row of the table.
     """
-    latest = newest_per_key(require_key(batch, key), key, *order) if order else require_key(batch, key)
+    checked = require_key(batch, key)
+    latest = newest_per_key(checked, key, *order) if order else checked.dropDuplicates([key])
     kept = current.join(latest.select(key), key, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 
