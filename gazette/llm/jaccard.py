@@ -10,8 +10,8 @@ all tasks and changes only the order), the others by hash. Two sets that link sh
    walked with the pivot's set. Texts with an equal beginning share the overlap counted so far, and a branch ends when
    what is left of either set cannot reach the overlap that the smallest set below it needs.
 3. Links join classes to components. Groups of a prefix shingle that still hold several components give all pairs
-   between different components whose shared prefix shingles and remaining lengths can reach the overlap; these are
-   verified the same way. Pairs inside a component would change nothing.
+   between different components in which the shared shingle stands early enough for the overlap; these are verified the
+   same way. Pairs inside a component would change nothing.
 
 So no link between different texts is lost for the components, and a group of near copies costs its size.
 
@@ -112,7 +112,9 @@ def ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(common: np.ndarray):
-    """Per text a row (null, set, size, doc_id, mark); per different set of a chunk a row for each prefix shingle."""
+    """Per text a row (null, set, size, null, doc_id, mark); per different set of a chunk a row for each prefix shingle."""
+
+    names = ["token", "set", "size", "rank", "doc_id", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,23 +125,25 @@ def _prefixes(common: np.ndarray):
                 n = b - a
                 marks = pa.array([(zlib.crc32(v or b"") << 31) + len(v or b"") for v in values[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), ids.slice(a, n), marks], ["token", "set", "size", "doc_id", "mark"]
+                    [pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), pa.nulls(n, pa.int64()), ids.slice(a, n), marks], names
                 )
                 first = np.zeros(n, dtype=bool)
                 first[np.unique(keys, return_index=True)[1]] = True
                 tokens = ordered(tokens, common)
                 order = np.lexsort((tokens, doc))
                 rank = np.arange(len(tokens)) - edge[doc]
-                some = order[(rank < (size - (4 * size + 4) // 5 + 1)[doc]) & first[doc]]
+                some_at = np.flatnonzero((rank < (size - (4 * size + 4) // 5 + 1)[doc]) & first[doc])
+                some = order[some_at]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(tokens[some].view(np.int64)),
                         pa.array(keys[doc[some]]),
                         pa.array(size[doc[some]]),
+                        pa.array(rank[some_at]),
                         pa.nulls(len(some), pa.int64()),
                         pa.nulls(len(some), pa.int64()),
                     ],
-                    ["token", "set", "size", "doc_id", "mark"],
+                    names,
                 )
 
     return run
@@ -269,31 +273,30 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(set, size, doc_id) per row, and (set, root) for the sets in a link."""
     bounded_batches(docs.sparkSession)
     common = common_shingles(docs)
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_prefixes(common), "token bigint, `set` bigint, size bigint, doc_id bigint, mark bigint"), "prefixes")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_prefixes(common), "token bigint, `set` bigint, size bigint, `rank` bigint, doc_id bigint, mark bigint"), "prefixes")
     members = rows.filter("token is null").select("set", "size", "doc_id")
     # One document of each class: its smallest identifier, and the mark of its text.
     named = rows.filter("token is null and size > 0").select("set", F.struct(F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), "mark").alias("one"))
     classes = named.groupBy("set").agg(F.min("one").alias("one")).select("set", "one.first", "one.mark")
-    prefixes = rows.filter("token is not null").select("token", "set", "size")
+    prefixes = rows.filter("token is not null").select("token", "set", "size", "rank")
     # One pivot per shared shingle.
-    groups = prefixes.groupBy("token").agg(F.min(F.struct("set", "size")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
-    groups = stored(groups.select("token", F.col("pivot.set").alias("a"), F.col("pivot.size").alias("size_a")), "pivots")
+    groups = prefixes.groupBy("token").agg(F.min(F.struct("set", "size", "rank")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
+    groups = stored(groups.select("token", F.col("pivot.set").alias("a"), F.col("pivot.size").alias("size_a"), F.col("pivot.rank").alias("rank_a")), "pivots")
     shared = stored(prefixes.join(groups, "token"), "shared")
-    fits = "4 * greatest(size_a, size) <= 5 * least(size_a, size)"
+    # Sizes that can link, and a shared shingle so early in both sets that what follows can reach the overlap: the first
+    # shared shingle of a link always stands so.
+    overlap = "((4 * (size + size_a) + 8) div 9)"
+    fits = f"4 * greatest(size_a, size) <= 5 * least(size_a, size) and `rank` <= size - {overlap} and rank_a <= size_a - {overlap}"
     pairs = shared.filter("a != `set`").filter(fits).select("a", F.col("set").alias("b")).distinct()
     links = _links(docs, pairs, classes, common, "pivot")
     roots = components(links)
     # What is left: groups that hold several components.
-    placed = _labelled(shared.select("token", "set", "size"), roots).distinct()
+    placed = _labelled(shared.select("token", "set", "size", "rank"), roots).distinct()
     mixed = stored(placed, "placed")
     torn = mixed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     torn = stored(mixed.join(torn, "token"), "torn")
-    other = torn.select("token", F.col("set").alias("b"), F.col("size").alias("size_a"), F.col("root").alias("root_b"))
-    # Shared shingles up to the smaller of two prefix ends stand in both prefixes; what follows is at most the rest.
-    crossing = torn.join(other, "token").filter("root < root_b").filter(fits)
-    crossing = crossing.groupBy(F.col("set").alias("a"), "b", "size", "size_a").count()
-    rest = "greatest((4 * size + 4) div 5, (4 * size_a + 4) div 5) - 1"
-    crossing = crossing.filter(f"count >= (4 * (size + size_a) + 8) div 9 - ({rest})").select("a", "b")
+    other = torn.select("token", F.col("set").alias("b"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_b"))
+    crossing = torn.join(other, "token").filter("root < root_b").filter(fits).select(F.col("set").alias("a"), "b").distinct()
     more = _links(docs, crossing, classes, common, "cross")
     return members, components(links.union(more))
 
