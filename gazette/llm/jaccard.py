@@ -37,6 +37,7 @@ from gazette.llm.wordhash import Words, mix
 
 SHINGLE = 5
 COMMON = 1 << 17
+PAIRS_PER_BATCH = 128
 _LAST = np.iinfo(np.int64).max
 _TOP = np.uint64(1 << 63)
 
@@ -230,7 +231,11 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, common: np.nda
     with_b = pairs.join(found.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(found.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
     links = both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(common), "u bigint, v bigint")
-    return stored(links, f"{label}-links")
+    # Two texts in every row.
+    bounded_batches(docs.sparkSession, PAIRS_PER_BATCH)
+    out = stored(links, f"{label}-links")
+    bounded_batches(docs.sparkSession)
+    return out
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
