@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Set by a local session: over how many partitions small one-file tables are dealt out.
+SPREAD = "spark.gazette.spread"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -27,6 +31,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config(SPREAD, str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
@@ -46,3 +51,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="gazette-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A one-file table dealt out to all cores where a local session asks for it; else as it is, without a shuffle."""
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts) if parts else df

@@ -25,11 +25,11 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value: object) -> object:
     if isinstance(value, float):
+        if math.isfinite(value) and value.is_integer() and abs(value) < 2**53:
+            return str(int(value))
         return "nan" if math.isnan(value) else f"{value:.9g}"
     if isinstance(value, bool) or value is None:
         return str(value)
-    if isinstance(value, int):
-        return f"{float(value):.9g}"
     return str(value)
 
 
