@@ -133,4 +133,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             )
         )
     )
-    return rows.select(*docs.columns, "_llm_key", F.explode(times).alias("_llm_time")).orderBy("_llm_time", "_llm_key").select(*docs.columns)
+    # Written before the range sort, so the shuffle for the running sums goes first and the sort samples the table.
+    timed = stored(rows.select(*docs.columns, "_llm_key", times.alias("_llm_times")).filter("size(_llm_times) > 0"), "mix-documents")
+    passes = timed.select(*docs.columns, "_llm_key", F.explode("_llm_times").alias("_llm_time"))
+    return passes.orderBy("_llm_time", "_llm_key").select(*docs.columns)
