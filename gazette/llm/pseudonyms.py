@@ -117,19 +117,58 @@ def _iban(net: Feistel, text: str, back: bool) -> str | None:
     return _shaped(text, f"{chars[:2]}{98 - number(body + chars[:2] + '00') % 97:02}{body}")
 
 
+def _ten(digits: str) -> int:
+    """Class of ten digits: trunk zero, area code and exchange of the US plan, or neither. Images stay in their class."""
+    return 0 if digits[0] == "0" else 1 if digits[0] in "23456789" and digits[3] in "23456789" else 2
+
+
+def _us(net: Feistel, body: str, back: bool) -> str:
+    number = net.permute(int(body), 10**10, "phone", back, lambda v: _ten(f"{v:010}") == _ten(body))
+    return f"{number:010}"
+
+
+def _country(digits: str) -> str:
+    """The country code at the start of an international number."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
+def _international(net: Feistel, text: str, back: bool) -> str | None:
+    """The code and a trunk zero in brackets stay; plans 1 and 39 have none, there a zero is part of the number."""
+    prefix = "" if text[0] == "+" else "00"
+    code = _country(_digits(text)[len(prefix) :])
+    left, trunk, right = (text, "", "") if code in ("1", "39") else text.partition("(0")
+    digits = _digits(left + right)[len(prefix) :]
+    if text.isdigit() or not 8 <= len(digits) <= 15:
+        return None
+    rest = digits[len(code) :]
+    if code == "1" and len(rest) == 10:
+        rest = _us(net, rest, back)
+    else:
+        zero, size = rest[0] == "0", 10 ** len(rest)
+        number = net.permute(int(rest), size, f"phone|{code}", back, lambda v: (10 * v < size) == zero)
+        rest = f"{number:0{len(rest)}}"
+    new = _shaped(left + right, f"{prefix}{code}{rest}")
+    return f"{new[: len(left)]}{trunk}{new[len(left) :]}"
+
+
 def _phone(net: Feistel, text: str, back: bool) -> str | None:
     digits = _digits(text)
-    if digits == text or not 8 <= len(digits) <= 15:
+    if text.startswith(("+", "00")):
+        return _international(net, text, back)
+    if digits == text:
         return None
-    if len(digits) == 10 or (len(digits) == 11 and digits[0] == "1"):
+    if digits[0] == "0":
+        least = 10 ** (len(digits) - 2)
+        number = net.permute(int(digits[1:]), 10 * least, "phone|0", back, lambda v: v >= least)
+        return _shaped(text, f"0{number}")
+    us = _US_FORM.fullmatch(text)
+    if us or len(digits) == 10:
         head, body = digits[:-10], digits[-10:]
-        valid = lambda v: f"{v:010}"[0] in "23456789" and f"{v:010}"[3] in "23456789"
-        if not valid(int(body)):
+        if text[0] != "(" and not us and _ten(body) != 1:
             return None
-        return _shaped(text, f"{head}{net.permute(int(body), 10**10, 'phone', back, valid):010}")
-    if not text.startswith("+"):
-        return None
-    return _shaped(text, digits[:2] + _string(net, digits[2:], f"phone|{digits[:2]}", back))
+        return _shaped(text, head + _us(net, body, back))
+    least = 10 ** (len(digits) - 1)
+    return _shaped(text, str(net.permute(int(digits), 10 * least, "phone|", back, lambda v: v >= least)))
 
 
 def _social(net: Feistel, text: str, back: bool) -> str | None:
@@ -159,6 +198,32 @@ def _key(net: Feistel, text: str, back: bool) -> str | None:
     return head + _shaped(rest, _string(net, "".join(c for c in rest if c.isalnum()), f"key|{head}", back))
 
 
+#: Country codes of two digits; 1 and 7 stand alone and all others have three.
+_TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+#: Digits per group of national phone numbers written with a trunk zero, an area code in brackets, or ten digits.
+_GROUPS = (
+    "2 3 2 2,2 3 3 2,3 3 2 2,4 2 2 2,2 4 4,2 5 4,3 3 3,3 3 4,3 4 3,3 4 4,4 3 3,4 3 4,4 4 4,5 3 3,"
+    "2 7,2 8,3 6,3 7,3 8,4 5,4 6,4 7,4 8,5 4,5 5,5 6,5 7"
+)
+
+
+def _national() -> str:
+    """Pattern of the national forms, those of more groups first."""
+    forms = [r"(?:\(0[1-9]\)|0[1-9]|[2-9][0-9])([ .-])[0-9]{2}(?:\1[0-9]{2}){3}"]
+    shapes = sorted((tuple(map(int, g.split())) for g in _GROUPS.split(",")), key=lambda g: (-len(g), -sum(g), g))
+    for first, *rest in shapes:
+        tail = "[ .-]".join(f"[0-9]{{{n}}}" for n in rest)
+        plain = f"0[1-9][0-9]{{{first - 2}}}" + ("|[1-9]" + f"[0-9]{{{first - 1}}}" if first + sum(rest) == 10 else "")
+        forms.append(rf"(?:\((?!00)[0-9]{{{first}}}\)[ ./-]?|(?:{plain}){'[ ./-]' if len(rest) > 1 else '[ /-]'}){tail}")
+    return "|".join([_US_FORM.pattern, *forms])
+
+
+#: Three, three and four digits, with or without the long-distance 1.
+_US_FORM = re.compile(r"(?:1[ .-])?(?:\([1-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[1-9][0-9]{2}(?:[ .-][0-9]{3}[ .-]?|[0-9]{3}[ .-])[0-9]{4})")
+_INTERNATIONAL = r"(?:\+|00)\(?[1-9][0-9]*\)?(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]+){0,14}"
+
 #: Kinds in order of priority: what must stand in a text for the pattern to be tried, the pattern, the permutation.
 KINDS: dict[str, tuple[str, re.Pattern, Callable]] = {
     "email": ("@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _email),
@@ -168,7 +233,7 @@ KINDS: dict[str, tuple[str, re.Pattern, Callable]] = {
     "date": ("", re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"), _date),
     "social": ("-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _social),
     "card": ("", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"), _card),
-    "phone": ("", re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"), _phone),
+    "phone": ("", re.compile(rf"(?<![0-9+])(?=[+(]|[0-9]+[ ./(-])(?:{_INTERNATIONAL}|{_national()})(?![0-9])"), _phone),
 }
 #: Every pattern needs one of these.
 _HINT = re.compile(r"[0-9@]|A[KS]IA|sk-|gh[pousr]_")

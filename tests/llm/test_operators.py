@@ -304,6 +304,25 @@ def test_pseudonyms_are_valid_linked_and_reversible(value):
     assert pseudonyms.replace(net, f"({value})")[0] == f"({new[4:-5]})"
 
 
+PHONES = ["+1 (017) 555-7713", "+1 (136) 555-7479", "117-555-1234", "+47 21 12 34 56", "+65 6123 4567", "+44 (0)20 7946 0958", "+44 (20) 7946 0958", "+39 (06) 1234 5678", "0049 30 1234567", "06 12 34 56 78", "020 7946 0958", "(030) 1234567", "044 123 45 67", "(11) 91234-5678", "(50) 31875-7550", "(+44) 20 7946 0958", "(495) 123-45-67"]
+
+
+@pytest.mark.parametrize("value", PHONES)
+def test_phones_of_all_plans_are_replaced(value):
+    net = pseudonyms.Feistel(b"key")
+    new, counts = pseudonyms.replace(net, f"see {value} here")
+    assert value not in new and counts["phone"] == 1
+    assert pseudonyms.replace(net, new, back=True)[0] == f"see {value} here"
+
+
+def test_country_codes_and_trunk_zeros_are_kept():
+    net = pseudonyms.Feistel(b"key")
+    heads = [(v, pseudonyms.replace(net, v)[0]) for v in ("+47 21 12 34 56", "+351 21 123 4567", "06 12 34 56 78")]
+    assert [new.startswith(v.split()[0][: 4 if v[0] == "+" else 1]) for v, new in heads] == [True] * 3
+    a, b = (pseudonyms.replace(net, x)[0] for x in ("+1 (017) 555-7713", "+1 017.555.7713"))
+    assert [c for c in a if c.isdigit()] == [c for c in b if c.isdigit()]
+
+
 def test_punctuation_does_not_part_equal_numbers():
     net = pseudonyms.Feistel(b"key")
     a, b = (pseudonyms.replace(net, x)[0] for x in ("4111 1111 1111 1111", "4111111111111111"))
