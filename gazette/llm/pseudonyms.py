@@ -6,8 +6,8 @@ in all documents, whatever their punctuation, and the holder of the key can turn
 kept and no row leaves its task.
 
 Defined cases: a null text stays null and an empty one empty, both with zero counts; of overlapping finds the earlier
-kind of ``KINDS`` wins; rows never meet, so ties, repeated rows and null identifiers need no rule; a long text is
-worked on alone; other columns are not read.
+form of ``FORMS`` wins, and later forms are searched in the gaps; rows never meet, so ties, repeated rows and null
+identifiers need no rule; a long text is worked on alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,6 +110,8 @@ def _card(net: Feistel, text: str, back: bool) -> str | None:
 
 def _iban(net: Feistel, text: str, back: bool) -> str | None:
     chars = text.replace(" ", "")
+    if len(chars) != _IBAN_LENGTHS.get(chars[:2], len(chars)):
+        return None
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if number(chars[4:] + chars[:4]) % 97 != 1:
         return None
@@ -132,15 +134,17 @@ def _country(digits: str) -> str:
     return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
 
 
-def _international(net: Feistel, text: str, back: bool) -> str | None:
-    """The code and a trunk zero in brackets stay; plans 1 and 39 have none, there a zero is part of the number."""
+def _international(net: Feistel, text: str, back: bool, exact: bool = False) -> str | None:
+    """The code and a trunk zero in brackets stay; plans 1 and 39 have none, there a zero is part of the number.
+    With ``exact``, only numbers as long as the plan of the country has them."""
     prefix = "" if text[0] == "+" else "00"
     code = _country(_digits(text)[len(prefix) :])
     left, trunk, right = (text, "", "") if code in ("1", "39") else text.partition("(0")
     digits = _digits(left + right)[len(prefix) :]
-    if text.isdigit() or not 8 <= len(digits) <= 15:
-        return None
     rest = digits[len(code) :]
+    least, most = _LENGTHS.get(code, (0, 15)) if exact else (0, 15)
+    if text.isdigit() or not 8 <= len(digits) <= 15 or not least <= len(rest) <= most:
+        return None
     if code == "1" and len(rest) == 10:
         rest = _us(net, rest, back)
     else:
@@ -154,7 +158,7 @@ def _international(net: Feistel, text: str, back: bool) -> str | None:
 def _phone(net: Feistel, text: str, back: bool) -> str | None:
     digits = _digits(text)
     if text.startswith(("+", "00")):
-        return _international(net, text, back)
+        return _international(net, text, back, exact=True)
     if digits == text:
         return None
     if digits[0] == "0":
@@ -198,6 +202,32 @@ def _key(net: Feistel, text: str, back: bool) -> str | None:
     return head + _shaped(rest, _string(net, "".join(c for c in rest if c.isalnum()), f"key|{head}", back))
 
 
+#: Characters of an IBAN by country; of other countries any length may pass the check.
+_IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (
+        row.split(":")
+        for row in (
+            "15:NO|16:BE|18:DK FI FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH CR HR LI LV|22:BG BH DE GB GE IE ME RS VA|"
+            "23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|"
+            "28:AL AZ BY CY DO GT HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU"
+        ).split("|")
+    )
+    for country in countries.split()
+}
+#: Least and most digits behind a country code; of other countries all that give 8 to 15 digits with the code.
+_LENGTHS = {
+    code: (int(least), int(most))
+    for code, least, most in (
+        row.split()
+        for row in (
+            "1 10 10,7 10 10,20 8 10,27 9 9,30 10 10,31 9 9,32 8 9,33 9 9,34 9 9,36 8 9,39 6 11,40 9 9,41 9 9,43 7 12,44 9 10,45 8 8,"
+            "46 7 10,47 8 8,48 9 9,49 6 11,51 8 9,52 10 11,54 10 11,55 10 11,56 9 9,57 8 10,60 8 10,61 9 9,62 8 12,63 8 10,64 8 10,65 8 8,"
+            "66 8 9,81 9 10,82 8 10,84 9 10,86 10 11,90 10 10,91 10 10,92 9 10,351 9 9,353 7 9,358 6 11,420 9 9,421 9 9,852 8 8,886 8 9,"
+            "971 8 9,972 8 9"
+        ).split(",")
+    )
+}
 #: Country codes of two digits; 1 and 7 stand alone and all others have three.
 _TWO_DIGIT_CODES = frozenset(
     "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
@@ -222,34 +252,57 @@ def _national() -> str:
 
 #: Three, three and four digits, with or without the long-distance 1.
 _US_FORM = re.compile(r"(?:1[ .-])?(?:\([1-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[1-9][0-9]{2}(?:[ .-][0-9]{3}[ .-]?|[0-9]{3}[ .-])[0-9]{4})")
-_INTERNATIONAL = r"(?:\+|00)\(?[1-9][0-9]*\)?(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]+){0,14}"
-
-#: Kinds in order of priority: what must stand in a text for the pattern to be tried, the pattern, the permutation.
-KINDS: dict[str, tuple[str, re.Pattern, Callable]] = {
-    "email": ("@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _email),
-    "key": ("", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), _key),
-    "iban": ("", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    "address": (".", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
-    "date": ("", re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"), _date),
-    "social": ("-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _social),
-    "card": ("", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"), _card),
-    "phone": ("", re.compile(rf"(?<![0-9+])(?=[+(]|[0-9]+[ ./(-])(?:{_INTERNATIONAL}|{_national()})(?![0-9])"), _phone),
-}
+_INTERNATIONAL = r"(?:\+|00)\(?[1-9][0-9]{0,14}\)?(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{1,14}){0,14}"
+
+_LETTER, _DIGIT, _WORD = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[A-Za-z0-9]")
+#: Forms in order of priority: the kind, what must stand in a text for the pattern to be tried, the pattern, what must not follow
+#: a find, the permutation.
+FORMS: list[tuple[str, str, re.Pattern, re.Pattern, Callable]] = [
+    ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _LETTER, _email),
+    ("key", "", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})"), _WORD, _key),
+    ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), _WORD, _iban),
+    ("address", ".", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), re.compile(r"\.?[0-9]"), _address),
+    ("date", "", re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"), _DIGIT, _date),
+    ("social", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}"), re.compile("[0-9-]"), _social),
+    ("card", "", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})"), _DIGIT, _card),
+    ("phone", "", re.compile(rf"(?<![0-9+])(?=[+(]|[0-9]+[ ./(-])(?:{_INTERNATIONAL}|{_national()})"), _DIGIT, _phone),
+    ("phone", "", re.compile(rf"(?<![0-9+]){_INTERNATIONAL}"), _DIGIT, _international),
+]
+KINDS = tuple(dict.fromkeys(form[0] for form in FORMS))
 #: Every pattern needs one of these.
 _HINT = re.compile(r"[0-9@]|A[KS]IA|sk-|gh[pousr]_")
 
 
+def _gaps(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Where no find stands."""
+    taken.sort()
+    return list(zip([0, *(b for _, b, _ in taken)], [*(a for a, _, _ in taken), len(text)]))
+
+
+def _finds(text: str, gap: tuple[int, int], pattern: re.Pattern, after: re.Pattern, new_of: Callable) -> Iterator[tuple[int, int, str]]:
+    """Finds in a gap: of a match that is refused the shorter forms are tried, then the next start."""
+    at, stop = gap
+    while m := pattern.search(text, at, stop):
+        at = m.start() + 1
+        while m:
+            if not after.match(text, m.end()) and (new := new_of(m[0])) is not None:
+                yield m.start(), m.end(), new
+                at = m.end()
+                break
+            m = pattern.match(text, m.start(), m.end() - 1)
+
+
 def replace(net: Feistel, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms (with ``back``, with the values they stand for), and the finds of each kind."""
     counts = dict.fromkeys(KINDS, 0)
     if not _HINT.search(text):
         return text, counts
     taken: list[tuple[int, int, str]] = []
-    for kind, (hint, pattern, permute) in KINDS.items():
+    for kind, hint, pattern, after, permute in FORMS:
         if hint in text:
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, _ in taken) and (new := permute(net, m[0], back)) is not None:
-                    taken.append((m.start(), m.end(), new))
+            for gap in _gaps(text, taken):
+                for find in _finds(text, gap, pattern, after, lambda value: permute(net, value, back)):  # noqa: B023
+                    taken.append(find)
                     counts[kind] += 1
     taken.sort()
     out, at = [], 0

@@ -323,6 +323,27 @@ def test_country_codes_and_trunk_zeros_are_kept():
     assert [c for c in a if c.isdigit()] == [c for c in b if c.isdigit()]
 
 
+NEIGHBOURS = [
+    ("+1 (826) 555-4081", "190.137.223.204", 2), ("415-555-2671", "24 hours", 1), ("Room 1204", "415-555-2671", 1), ("2024-01-02", "415-555-2671", 2),
+    ("ES91 2100 0418 4502 0005 1332", "EUR", 1), ("+1 (826) 555-4081", "2024", 1), ("2023-02-30", "415-555-2671", 1), ("1204", "4111 1111 1111 1111", 1),
+    ("06 12 34 56 78", "2024", 1), ("+33 6 12 34 56 78", "24", 1), ("415-555-2671", "415-555-2672", 2), ("AB12", "GB82 WEST 1234 5698 7654 32", 1),
+]
+
+
+@pytest.mark.parametrize("left, right, finds", NEIGHBOURS)
+def test_values_beside_other_numbers_are_found_as_if_alone(left, right, finds):
+    net = pseudonyms.Feistel(b"key")
+    alone = [pseudonyms.replace(net, v)[0] for v in (left, right)]
+    new, counts = pseudonyms.replace(net, f"{left} {right}")
+    assert new == " ".join(alone) and sum(counts.values()) == finds
+    assert pseudonyms.replace(net, new, back=True)[0] == f"{left} {right}"
+
+
+def test_a_long_row_of_digits_takes_no_longer_than_its_length():
+    text = "+1" * 2000 + "+" + "1" * 200_000
+    assert pseudonyms.replace(pseudonyms.Feistel(b"key"), text)[0] == text
+
+
 def test_punctuation_does_not_part_equal_numbers():
     net = pseudonyms.Feistel(b"key")
     a, b = (pseudonyms.replace(net, x)[0] for x in ("4111 1111 1111 1111", "4111111111111111"))
