@@ -14,7 +14,7 @@ from ..session import spread
 from ..sources.feeds import entry_authors
 from . import base
 from .base import (
-    ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
+    ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, MESSAGES, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
     dirty_view, register, signals_view, sources_view, stamp, stamp_sql, table,
 )
 
@@ -119,12 +119,7 @@ def partition_retention(spark, folder):
     return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@register(f"""WITH {DIRTY},
-parts AS (SELECT doc_id, source, link,
-  CASE WHEN title IS NULL OR title = '' THEN 'title is missing or not a string' WHEN trim(regexp_replace(title, '\\s', '', 'g')) = '' THEN 'title is empty' END AS m1,
-  CASE WHEN link = '' THEN 'link is missing or not a string' WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'link has invalid URL format: ' || link END AS m2,
-  CASE WHEN summary IS NULL OR summary = '' THEN 'summary is missing or not a string' WHEN trim(regexp_replace(summary, '\\s', '', 'g')) = '' THEN 'summary is empty' END AS m3,
-  CASE WHEN source IS NULL OR source = '' THEN 'source is missing or not a string' END AS m4 FROM dirty_v)
+@register(f"""WITH {MESSAGES}
 SELECT doc_id, concat_ws(', ', m1, m2, m3, m4) AS messages, concat_ws(', ', m1, m2, m3, m4) = '' AS valid FROM parts""")
 def validate_split(spark, folder):
     rows = validation.with_messages(dirty_view(spark, folder))

@@ -155,6 +155,17 @@ dirty_v AS (
 )"""
 )
 
+#: The messages of each part of a row, where it has a fault.
+MESSAGES = (
+    DIRTY
+    + r""",
+parts AS (SELECT doc_id, source, link,
+  CASE WHEN title IS NULL OR title = '' THEN 'title is missing or not a string' WHEN trim(regexp_replace(title, '\s', '', 'g')) = '' THEN 'title is empty' END AS m1,
+  CASE WHEN link = '' THEN 'link is missing or not a string' WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'link has invalid URL format: ' || link END AS m2,
+  CASE WHEN summary IS NULL OR summary = '' THEN 'summary is missing or not a string' WHEN trim(regexp_replace(summary, '\s', '', 'g')) = '' THEN 'summary is empty' END AS m3,
+  CASE WHEN source IS NULL OR source = '' THEN 'source is missing or not a string' END AS m4 FROM dirty_v)"""
+)
+
 
 def copies_view(spark: SparkSession, folder: str) -> DataFrame:
     """Articles whose link leaves out the number, so that copies share title and link."""

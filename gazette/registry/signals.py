@@ -16,7 +16,7 @@ from ..sources.config import backlog_table
 from ..plans.quality_report import stored_quality_run
 from ..session import shared_folder
 from .base import (
-    AS_OF, AS_OF_SQL, DIRTY, SETTINGS, SIGNALS, SOURCES, TRACKED, articles_view, dirty_view, register, signals_view,
+    AS_OF, AS_OF_SQL, DIRTY, MESSAGES, SETTINGS, SIGNALS, SOURCES, TRACKED, articles_view, dirty_view, register, signals_view,
     sources_view, stamp, stamp_sql, table,
 )
 
@@ -372,6 +372,13 @@ def validation_errors(spark, folder):
     return rows.where(col("message").rlike("^[^,]*: link has invalid URL format: [^,]*$")).select("link", "source", "message")
 
 
+@register(f"""WITH {MESSAGES} SELECT link, source, link || ': ' || concat_ws(', ', m1, m2, m3, m4) AS message FROM parts
+WHERE concat_ws(', ', m1, m2, m3, m4) <> ''""")
+def validation_errors_all(spark, folder):
+    """Every invalid row with its whole message, without a cut."""
+    return error_rows(dirty_view(spark, folder)).select("link", "source", "message")
+
+
 @register()
 def quality_run(spark, folder):
     """The stand-alone report over stored rows: every section with its number of rows."""

@@ -24,6 +24,13 @@ def test_query(spark, con, name):
     assert problem == ""
 
 
+def test_all_invalid_rows_are_errors(spark):
+    want = QUERIES["validate_split"](spark, FOLDER).where("not valid").collect()
+    got = QUERIES["validation_errors_all"](spark, FOLDER).collect()
+    assert sorted(r.message.split(": ", 1)[1] for r in got if r.link) == sorted(r.messages for r in want)
+    assert {len(r.messages.split(", ")) for r in want} >= {1, 2}
+
+
 def test_contract():
     import __spark_entry__ as entry
 
