@@ -33,8 +33,12 @@ class Feistel:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, kind: str, i: int, size: int, value: int, base: int) -> int:
-        data = f"{kind}|{i}|{size}|{value}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=24).digest(), "little") % base
+        form = "" if base < 1 << 192 else "x"
+        data = f"{kind}|{i}|{size:{form}}|{value:{form}}".encode()
+        digest = hashlib.blake2b(data, key=self.key, digest_size=24).digest()
+        for block in range((base.bit_length() - 1) // 192):
+            digest += hashlib.blake2b(b"%d|%b" % (block, data), key=self.key, digest_size=24).digest()
+        return int.from_bytes(digest, "little") % base
 
     def _once(self, value: int, size: int, kind: str, back: bool) -> int:
         a = max(1, round(size**0.5)) if size < 1 << 50 else 1 << (size.bit_length() // 2)
@@ -202,6 +206,38 @@ def _key(net: Feistel, text: str, back: bool) -> str | None:
     return head + _shaped(rest, _string(net, "".join(c for c in rest if c.isalnum()), f"key|{head}", back))
 
 
+def _hex(net: Feistel, text: str, kind: str, back: bool) -> str:
+    """Hexadecimal digits; a text of decimal digits, of letters in one case and of both cases stays one."""
+    if text.isdigit():
+        return _string(net, text, kind, back)
+    mixed = text.upper() != text and text.lower() != text
+    chars = "0123456789abcdefABCDEF" if mixed else "0123456789abcdef"
+
+    def string(number: int) -> str:
+        out = []
+        for _ in text:
+            number, digit = divmod(number, len(chars))
+            out.append(chars[digit])
+        return "".join(reversed(out))
+
+    def valid(number: int) -> bool:
+        new = string(number)
+        return new.upper() != new and new.lower() != new if mixed else not new.isdigit()
+
+    number = 0
+    for c in text if mixed else text.lower():
+        number = number * len(chars) + chars.index(c)
+    new = string(net.permute(number, len(chars) ** len(text), f"{kind}|{len(chars)}", back, valid))
+    return new.upper() if text.upper() == text else new
+
+
+def _secret(net: Feistel, text: str, back: bool) -> str | None:
+    """The quoted value behind its name, in pieces of at most 256 digits."""
+    found = _SECRET.fullmatch(text)
+    pieces = (_hex(net, found[2][i : i + 256], f"hex|{i}", back) for i in range(0, len(found[2]), 256))
+    return text[: found.start(2)] + "".join(pieces) + text[found.end(2) :]
+
+
 #: Characters of an IBAN by country; of other countries any length may pass the check.
 _IBAN_LENGTHS = {
     country: int(n)
@@ -254,12 +290,16 @@ def _national() -> str:
 _US_FORM = re.compile(r"(?:1[ .-])?(?:\([1-9][0-9]{2}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[1-9][0-9]{2}(?:[ .-][0-9]{3}[ .-]?|[0-9]{3}[ .-])[0-9]{4})")
 _INTERNATIONAL = r"(?:\+|00)\(?[1-9][0-9]{0,14}\)?(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{1,14}){0,14}"
 
+#: A quoted hexadecimal value of 16 digits or more behind a name like token, api_key or "secret".
+_SECRET = re.compile(r"""(?i:token|key|secret|passw(?:or)?d|passphrase|pwd|credential|auth|bearer)[\w-]{0,32}(?:\\?["'])?\s{0,8}(?:=>|:=|[=:])?\s{0,8}(\\?["'])(?:0[xX])?([0-9a-fA-F]{16,}+)\1""")
+
 _LETTER, _DIGIT, _WORD = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[A-Za-z0-9]")
 #: Forms in order of priority: the kind, what must stand in a text for the pattern to be tried, the pattern, what must not follow
 #: a find, the permutation.
-FORMS: list[tuple[str, str, re.Pattern, re.Pattern, Callable]] = [
+FORMS: list[tuple[str, str | re.Pattern, re.Pattern, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _LETTER, _email),
     ("key", "", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})"), _WORD, _key),
+    ("key", re.compile(r"""["'](?:0[xX])?[0-9a-fA-F]{16}"""), _SECRET, re.compile("(?!)"), _secret),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), _WORD, _iban),
     ("address", ".", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), re.compile(r"\.?[0-9]"), _address),
     ("date", "", re.compile(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})"), _DIGIT, _date),
@@ -270,7 +310,7 @@ FORMS: list[tuple[str, str, re.Pattern, re.Pattern, Callable]] = [
 ]
 KINDS = tuple(dict.fromkeys(form[0] for form in FORMS))
 #: Every pattern needs one of these.
-_HINT = re.compile(r"[0-9@]|A[KS]IA|sk-|gh[pousr]_")
+_HINT = re.compile(r"[0-9@]|A[KS]IA|sk-|gh[pousr]_|[\"'][a-fA-F]{16}")
 
 
 def _gaps(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -299,7 +339,7 @@ def replace(net: Feistel, text: str, back: bool = False) -> tuple[str, dict[str,
         return text, counts
     taken: list[tuple[int, int, str]] = []
     for kind, hint, pattern, after, permute in FORMS:
-        if hint in text:
+        if hint in text if isinstance(hint, str) else hint.search(text):
             for gap in _gaps(text, taken):
                 for find in _finds(text, gap, pattern, after, lambda value: permute(net, value, back)):  # noqa: B023
                     taken.append(find)

@@ -344,6 +344,29 @@ def test_a_long_row_of_digits_takes_no_longer_than_its_length():
     assert pseudonyms.replace(pseudonyms.Feistel(b"key"), text)[0] == text
 
 
+HEX = "2321bac4d15ec8f90433955bf9d3cf61da5bdd00"
+
+
+@pytest.mark.parametrize("text", [
+    f'token = "{HEX}"', f'TOKEN = "{HEX.upper()}"', f'{{"api_key": "{HEX}"}}', f"secret: '{HEX}'", f'auth_token="0x{HEX}"', f'key="{HEX[:8]}{HEX[8:].upper()}"',
+    f'key = "{HEX * 30}"', 'password = "' + "12345678" * 3 + '"', 'token = "' + "abcdefab" * 2 + '"', f'"{{\\"token\\": \\"{HEX}\\"}}"',
+])
+def test_quoted_hex_secrets_are_replaced(text):
+    net = pseudonyms.Feistel(b"key")
+    new, counts = pseudonyms.replace(net, text)
+    assert counts["key"] == 1 and len(new) == len(text) and HEX not in new.lower() and new != text
+    assert [c for c in new if c not in "0123456789abcdefABCDEF"] == [c for c in text if c not in "0123456789abcdefABCDEF"]
+    assert pseudonyms.replace(net, new, back=True)[0] == text
+
+
+def test_hex_secrets_of_either_case_are_linked_and_other_hex_stays():
+    net = pseudonyms.Feistel(b"key")
+    a, b = (pseudonyms.replace(net, f'token = "{x}"')[0] for x in (HEX, HEX.upper()))
+    assert a.lower() == b.lower() and a != b
+    for text in (f"commit {HEX}", 'token = "none"', f'token = "{HEX}', 'token = "' + "0a" * 200_000):
+        assert pseudonyms.replace(net, text)[0] == text
+
+
 def test_punctuation_does_not_part_equal_numbers():
     net = pseudonyms.Feistel(b"key")
     a, b = (pseudonyms.replace(net, x)[0] for x in ("4111 1111 1111 1111", "4111111111111111"))
