@@ -131,8 +131,9 @@ def _id() -> Column:
 
 
 def _with_places(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """doc_id, text and the places found in it; the lists are bounded by the text itself."""
-    places = found.groupBy(F.col("doc_id").alias("own"), F.col("tag").alias("mark")).agg(F.collect_list("places").alias("places"))
+    """doc_id, text and the places found in it; rows of equal identifier and text have equal lists, which count once, so
+    the distinct ones are bounded by the text itself."""
+    places = found.groupBy(F.col("doc_id").alias("own"), F.col("tag").alias("mark")).agg(F.collect_set("places").alias("places"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", "text", _id().alias("id"), F.crc32(F.encode(text, "UTF-8")).alias("sum"))
     return keyed.join(places, (keyed.id == places.own) & (keyed.sum == places.mark), how).select("doc_id", "text", "places")

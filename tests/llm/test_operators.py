@@ -38,6 +38,19 @@ def test_levels_double():
     assert substring.levels(50, 7) == [7, 14, 28, 50]
 
 
+@pytest.mark.parametrize("same", [None, 9])
+def test_places_do_not_grow_with_repeated_rows(spark, same):
+    text = " ".join(f"w{i}" for i in range(40))
+    sizes = []
+    for k in (1, 60):
+        df = spark.createDataFrame([(1, text), *[(same, text)] * k], "doc_id bigint, text string").repartition(4)
+        found = substring.repeated_places(df, 13, 7)
+        sizes.append({len(r.places) for r in substring._with_places(df, found, "inner").collect() if r.doc_id == same})
+        got = Counter(r.kept_text for r in substring.remove_repeated(df, 13, 7, with_text=True).collect())
+        assert got == {text: 1, "": k}
+    assert sizes[0] == sizes[1]
+
+
 def test_random_texts_of_few_words(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 40)))) for i in range(60)]
