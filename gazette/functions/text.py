@@ -66,8 +66,9 @@ def slug(c: Column | str) -> Column:
     return F.coalesce(blank_to_null(body), F.concat(F.lit("u-"), short_digest(text)))
 
 
-def title_key(c: Column | str) -> Column:
-    return F.left(slug(c), F.lit(96))
+def title_key(c: Column | str, most: int | None = 96) -> Column:
+    """Slug of a title, cut to ``most`` characters; with None it is whole."""
+    return slug(c) if most is None else F.left(slug(c), F.lit(most))
 
 
 def escape_regex(literal: str) -> str:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 
-# Fixed value: names of one article that take part in pairs, in sorted order.
+# Names of one article that take part in pairs, in sorted order, where the caller gives no other number.
 NAMES_PER_ARTICLE = 24
 
 
-def _edges(articles: DataFrame, names: Column) -> DataFrame:
-    """Pairs of the first sorted names of each article, at most 276 per row, counted over all."""
-    kept = F.slice(F.array_sort(F.filter(names, lambda n: n != "")), 1, NAMES_PER_ARTICLE)
+def _edges(articles: DataFrame, names: Column, most: int | None) -> DataFrame:
+    """Pairs of the first ``most`` sorted names of each article (None: of all), counted over all."""
+    kept = F.array_sort(F.filter(names, lambda n: n != ""))
+    if most is not None:
+        kept = F.slice(kept, 1, most)
     listed = articles.select(kept.alias("names"))
     pairs = F.flatten(
         F.transform(
@@ -27,12 +29,12 @@ def _edges(articles: DataFrame, names: Column) -> DataFrame:
     return exploded.groupBy("edge.left", "edge.right").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def topic_edges(tagged: DataFrame) -> DataFrame:
-    return _edges(tagged, F.map_keys("matched_entities"))
+def topic_edges(tagged: DataFrame, most: int | None = NAMES_PER_ARTICLE) -> DataFrame:
+    return _edges(tagged, F.map_keys("matched_entities"), most)
 
 
-def author_edges(papers: DataFrame) -> DataFrame:
-    return _edges(papers, col("authors"))
+def author_edges(papers: DataFrame, most: int | None = NAMES_PER_ARTICLE) -> DataFrame:
+    return _edges(papers, col("authors"), most)
 
 
 def node_weights(edges: DataFrame) -> DataFrame:

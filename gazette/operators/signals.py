@@ -122,8 +122,13 @@ def _summary() -> Column:
     return F.coalesce(blank_to_null("summary"), blank_to_null("abstract"), F.lit(""))
 
 
-def with_identifiers(articles: DataFrame, *, configured_repository: Column | None = None) -> DataFrame:
-    """Articles with the labelled fields (``fields``) and every identifier column read from them."""
+def with_identifiers(
+    articles: DataFrame, *, configured_repository: Column | None = None, title_chars: int | None = 96
+) -> DataFrame:
+    """Articles with the labelled fields (``fields``) and every identifier column read from them.
+
+    Title keys have at most ``title_chars`` characters; with None they are whole.
+    """
     rows = with_optional_columns(articles)
     rows = rows.withColumn("_summary", _summary())
     rows = rows.withColumn("fields", labelled_fields("title", "_summary"))
@@ -140,7 +145,7 @@ def with_identifiers(articles: DataFrame, *, configured_repository: Column | Non
             "metric_name": field(f, "Metric", "Metric name", "Score"),
             "_metric": field(f, "Metric value", "Score"),
             "dataset": field(f, "Dataset"),
-            "normalized_title": title_key(title),
+            "normalized_title": title_key(title, title_chars),
             "venue": F.trim(text_or_empty("venue")),
         }
     )
@@ -352,7 +357,9 @@ EVENT_COLUMNS = [
 ]
 
 
-def build_events(articles: DataFrame, sources: DataFrame, settings: QualitySettings) -> DataFrame:
+def build_events(
+    articles: DataFrame, sources: DataFrame, settings: QualitySettings, *, title_chars: int | None = 96
+) -> DataFrame:
     """One event per article of a known source whose event model is tracked."""
     dimension = source_models(sources, settings.tracked_models).where("tracked")
     dimension = dimension.select(
@@ -365,7 +372,7 @@ def build_events(articles: DataFrame, sources: DataFrame, settings: QualitySetti
         first_filled(*[_setting(s) for s in REPOSITORY_SETTINGS]).alias("_repository"),
     )
     rows = with_optional_columns(articles).join(dimension, "source")
-    rows = with_identifiers(rows, configured_repository=col("_repository"))
+    rows = with_identifiers(rows, configured_repository=col("_repository"), title_chars=title_chars)
     rows = rows.withColumns({"title": text_or_empty("title"), "url": text_or_empty("link"), "event_at": event_time()})
     rows = rows.withColumn("source_url", F.coalesce(blank_to_null("url"), col("_source_home"), F.lit("")))
     rows = rows.withColumn("event_key", event_key())

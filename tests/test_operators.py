@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gazette.operators import duplicates, graph, quality_checks, recency, search, source_health, summary, tagging, validation
 from gazette.operators.read_only_sql import REFUSED, REFUSED_CALL, read_only_sql
-from gazette.operators.signals import build_events
+from gazette.operators.signals import build_events, with_identifiers
 from gazette.plans.quality_report import quality_report, write_report
 from gazette.sources.config import category_from, keywords_of, quality_settings, sources_table
 
@@ -338,6 +338,22 @@ def test_graph_keeps_the_first_24_names(spark):
     assert weights["n00"] == 23 + 1 + 1 and "n24" not in weights
 
 
+def test_graph_keeps_all_names_without_a_limit(spark):
+    rows = spark.createDataFrame([([f"n{i:02d}" for i in range(30)],)], "authors array<string>")
+    assert graph.author_edges(rows, most=None).count() == 30 * 29 // 2
+    assert graph.author_edges(rows, most=5).count() == 10
+    tagged = rows.select(F.map_from_arrays("authors", "authors").alias("matched_entities"))
+    assert graph.topic_edges(tagged, most=None).count() == 30 * 29 // 2
+
+
+def test_long_titles_keep_their_keys_apart_without_a_limit(spark):
+    titles = ["a" * 100 + end for end in "xy"]
+    rows = article(spark, title=titles[0]).unionByName(article(spark, title=titles[1]))
+    keys = [r.normalized_title for r in with_identifiers(rows, title_chars=None).collect()]
+    assert sorted(keys) == titles
+    assert {r.normalized_title for r in with_identifiers(rows).collect()} == {"a" * 96}
+
+
 def test_lookup_takes_any_identifier(spark):
     papers = article(spark, summary="x" * 301).withColumns({"doi": F.lit("10.1/a"), "arxiv_id": F.lit(None).cast("string")})
     ids = spark.createDataFrame([("10.1/a",), (" https://example.com/a ",), ("none",), ("",)], "identifier string")
