@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with prefix trees.
+"""N-gram Jaccard join by prefix shingles; prefix trees verify the candidates and take no part in their search.
 
 A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers in one global order: shingles that
 often repeat within chunks of texts come last (at most ``COMMON`` of them are known, which bounds the table sent to
