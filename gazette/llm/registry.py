@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import bpe, exact_dedup, jaccard, langid, mixing, pseudonyms, quality, sharding, substring, toxicity
+from gazette.llm import (
+    bpe,
+    divergence,
+    exact_dedup,
+    jaccard,
+    langid,
+    mixing,
+    multi_index,
+    pseudonyms,
+    quality,
+    sharding,
+    substring,
+    toxicity,
+    whitening,
+)
 from gazette.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +167,44 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_feistel_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents(spark, sf_dir), b"a key for the given tables")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _divergence_sql(least: int, top: int) -> str:
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+         c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+         k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= {least}),
+         l AS (SELECT lang, count(*) AS kinds, sum(total) AS lang_total FROM k GROUP BY lang),
+         o AS (SELECT lang, source, sum(n) AS own_total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+         g AS (SELECT lang, source, coalesce(kinds, 0) AS kinds, coalesce(lang_total, 0) AS lang_total, coalesce(own_total, 0) AS own_total
+               FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN o USING (lang, source)),
+         x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 5) // (own_total + 5 * kinds) AS p,
+                      1 + 1000000000 * (total + 5) // (lang_total + 5 * kinds) AS q
+               FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+         f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+               FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+         r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+               UNION ALL SELECT lang, source, 'term', term, p - q FROM x WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= {top}
+    """
+
+
+@query("op11_source_divergence", _divergence_sql(30, 50))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+@query("op12_feast_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_multi_index")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
