@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..operators.search import document_lengths, postings, search_documents
+from ..operators.search import search_documents
 from ..operators.summary import daily_summary, run_statistics, select_sources
 from ..operators.tagging import tag_articles
 from ..operators.validation import error_rows, valid_rows
@@ -17,6 +17,7 @@ from ..session import shared_folder
 from ..sources.config import Category, sources_table
 from ..sources.feeds import normalise_feeds
 from ..sources.raw_log import log_articles
+from ..sources.search_index import SearchIndex
 from ..sources.tables import (
     delete_older_than,
     drop_expired_folders,
@@ -89,11 +90,10 @@ def ingest_run(
     delete_older_than(spark, folders.articles, as_of=as_of, keep_days=keep_days)
     stored = read_table(spark, folders.articles)
 
-    documents = search_documents(stored)
-    # Ranges of term and document, so that a frequent term fills several files.
-    by_term = postings(documents).repartitionByRange("term", "doc_key").sortWithinPartitions("term", "doc_key")
-    replace_table(by_term, folders.postings)
-    replace_table(document_lengths(documents), folders.lengths)
+    index = SearchIndex(spark, folders.index)
+    index.upsert(search_documents(valid))
+    # What has grown too old for the table leaves the index with it.
+    index.delete(index.documents().join(search_documents(stored), "doc_key", "left_anti"))
 
     count = len(category.sources)
     window = quality_window(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import os
 import random
 import re
 from difflib import SequenceMatcher
@@ -14,6 +16,7 @@ from gazette.operators import duplicates, graph, quality_checks, recency, search
 from gazette.operators.read_only_sql import REFUSED, REFUSED_CALL, read_only_sql
 from gazette.operators.signals import build_events, with_identifiers
 from gazette.plans.quality_report import quality_report, write_report
+from gazette.sources.search_index import SearchIndex
 from gazette.sources.config import category_from, keywords_of, quality_settings, sources_table
 
 ARTICLE = "link string, title string, summary string, published timestamp, source string, category string, collected_at timestamp"
@@ -254,27 +257,46 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize(
-    ("query", "want"),
-    [
-        ("wine", ["a"]),
-        ("market red", ["a", "b"]),
-        ("market AND red NOT beer", ["a"]),
-        ("wine OR beer", ["a", "b"]),
-        ("win*", ["a", "d"]),
-        ('"red wine"', ["a"]),
-        ('"wine red"', []),
-        ('"the mark"*', ["b"]),
-        ("title:red", ["a"]),
-        ("authors:al", ["a"]),
-        ("보르도", ["c"]),
-        ("", []),
-        ("NOT wine", []),
-        ("market NOT red ale", ["a", "d"]),
-    ],
-)
-def test_search(spark, query, want):
-    assert found(spark, DOCS, query) == want
+SEARCHES = [
+    ("wine", ["a"]),
+    ("market red", ["a", "b"]),
+    ("market AND red NOT beer", ["a"]),
+    ("wine OR beer", ["a", "b"]),
+    ("win*", ["a", "d"]),
+    ('"red wine"', ["a"]),
+    ('"wine red"', []),
+    ('"the mark"*', ["b"]),
+    ("title:red", ["a"]),
+    ("authors:al", ["a"]),
+    ("보르도", ["c"]),
+    ("", []),
+    ("NOT wine", []),
+    ("market NOT red ale", ["a", "d"]),
+    ("(wine OR beer) AND red", ["a", "b"]),
+    ("wine OR (beer AND ann)", ["a"]),
+    ("market NOT (red OR (ann NOT wine))", []),
+    ("NEAR(market red, 3)", ["b"]),
+    ("NEAR(the France, 3)", ["a"]),
+    ("NEAR(the France, 2)", []),
+    ('NEAR("the market" ale, 4) OR 보르도', ["b", "c"]),
+    ("NEAR(market)", ["a", "b", "d"]),
+    ("^the", ["a", "b"]),
+    ("^market", []),
+    ("{title authors}: ann", ["a", "d"]),
+    ("- title: red", ["b"]),
+    ("title: (red OR beer)", ["a", "b"]),
+    ("red + wine", ["a"]),
+    ('"..." wine', ["a"]),
+    ("red-wine", []),
+]
+
+
+def test_search(spark):
+    """All queries as one batch."""
+    rows = spark.createDataFrame(DOCS, "doc_key string, title string, abstract string, authors string")
+    queries = spark.createDataFrame(list(enumerate(q for q, _ in SEARCHES)), "query_id int, query string")
+    hits = search.search(search.postings(rows), queries).orderBy("rank").collect()
+    assert {q: [r.doc_key for r in hits if r.query_id == i] for i, (q, _) in enumerate(SEARCHES)} == dict(SEARCHES)
 
 
 def test_search_limit_and_snippet(spark):
@@ -282,9 +304,91 @@ def test_search_limit_and_snippet(spark):
     rows = spark.createDataFrame(DOCS, "doc_key string, title string, abstract string, authors string")
     queries = spark.createDataFrame([(1, "ale OR win*")], "query_id int, query string")
     hits = search.search(search.postings(rows), queries)
-    shown = {r.doc_key: r.snippet for r in search.snippets(hits, rows, queries, words=4).collect()}
-    assert shown["b"] == "...and red <b>ale</b>" or "<b>ale</b>" in shown["b"]
-    assert "<b>wine</b>" in shown["a"]
+    shown = {r.doc_key: r.snippet for r in search.snippets(hits, search.postings(rows), rows, queries, words=4).collect()}
+    assert shown == {"a": "Red <b>wine</b>", "b": "...beer and red <b>ale</b>", "d": "<b>Winery</b>"}
+    queries = spark.createDataFrame([(1, '"red wine" OR market')], "query_id int, query string")
+    hits = search.search(search.postings(rows), queries)
+    shown = {r.doc_key: r.snippet for r in search.snippets(hits, search.postings(rows), rows, queries, words=3).collect()}
+    assert shown == {"a": "<b>Red wine</b>", "b": "...<b>market</b> for beer...", "d": "no <b>market</b>"}
+
+
+ERRORS = [
+    ("wine AND", 'syntax error near ""'), ("(wine", 'syntax error near ""'), ("wine)", 'syntax error near ")"'), ("NOT wine", 'syntax error near "NOT"'),
+    ("city: wine", "no such column: city"), ("red-wine", 'syntax error near "-"'), ("NEAR()", 'syntax error near ")"'), ("NEAR(a, x)", 'expected integer, got "x"'),
+    ("(" * 5000 + "a" + ")" * 5000, "too many parentheses"), ("wine", None), ("", None), (None, None),
+]
+
+
+def test_query_errors(spark):
+    queries = spark.createDataFrame(list(enumerate(q for q, _ in ERRORS)), "query_id int, query string")
+    found = {r.query_id: r.error for r in search.query_errors(queries).collect()}
+    assert found == {i: error for i, (_, error) in enumerate(ERRORS) if error}
+
+
+def test_near_in_long_texts(spark):
+    """Groups by brute force over all places, on random words."""
+    rng = random.Random(5)
+    docs = [(f"d{i:02}", "", " ".join(rng.choices("abcdx", weights=[1, 1, 1, 1, 8], k=60)), "") for i in range(40)]
+    for words, distance in (("ab", 2), ("abc", 4), ("aa", 0), ("ddc", 1)):
+        want = []
+        for key, _, text, _ in docs:
+            places = [[p for p, w in enumerate(text.split()) if w == word] for word in words]
+            if any(max(c) - min(c) - 1 <= distance for c in itertools.product(*places)):
+                want.append(key)
+        assert found(spark, docs, f"NEAR({' '.join(words)}, {distance})") == want
+
+
+def test_stored_index(spark, folder):
+    """Two upserts, a delete and a compaction: searches and counts are those of an index built anew."""
+    schema = "doc_key string, title string, abstract string, authors string"
+    index = SearchIndex(spark, folder, parts=4)
+    queries = spark.createDataFrame([(1, "red"), (2, "market NOT wine"), (3, "win*"), (4, '"red ale" OR 보르도')], "query_id int, query string")
+
+    def same(docs):
+        rows = spark.createDataFrame(docs, schema)
+        posted = search.postings(rows)
+        places = sorted(tuple(r)[:4] for r in index.postings().collect())
+        assert places == sorted(map(tuple, posted.collect()))
+        assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, search.postings_stats(posted).collect()))
+        assert sorted(map(tuple, index.search(queries).collect())) == sorted(map(tuple, search.search(posted, queries).collect()))
+        for some in (queries, queries.where("query_id = 1")):
+            got = sorted(map(tuple, index.ranked(some).collect()))
+            assert got == sorted(map(tuple, search.ranked_search(posted, search.document_lengths(rows), some).collect()))
+        n, mean = index.corpus().first()
+        assert (n or 0) == len(docs) and (not docs or mean == pytest.approx(posted.count() / len(docs)))
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+    same([])
+    index.upsert(spark.createDataFrame(DOCS[:3] + [DOCS[0]], schema))
+    same(DOCS[:3])
+    before = {f: os.path.getmtime(f) for f in files()}
+    newer = [("b", "Red red beer", "ale", "Bob"), DOCS[3], ("e", "", None, "")]
+    index.upsert(spark.createDataFrame(newer, schema))
+    assert before == {f: os.path.getmtime(f) for f in before}
+    now = [DOCS[0], DOCS[2], newer[0], newer[1], newer[2]]
+    same(now)
+    index.delete(spark.createDataFrame([("a",), ("unknown",), (None,)], "doc_key string"))
+    same(now[1:])
+    index.upsert(spark.createDataFrame([DOCS[0]], schema))
+    same(now)
+    # A batch that did not end is not read.
+    index._write(spark.createDataFrame([("z", 1, [("title", ["red"])], 0)], "doc_key string, length bigint, fields array<struct<field: string, words: array<string>>>, slot int"), "documents", 99, "slot")
+    same(now)
+    index.compact()
+    assert len(index.batches()) == 1
+    same(now)
+    index.upsert(spark.createDataFrame([("c", "red", "", "")], schema))
+    same([now[0], ("c", "red", "", ""), *now[2:]])
+
+
+def test_index_reads_only_the_parts_of_its_terms(spark, folder):
+    index = SearchIndex(spark, folder, parts=8)
+    index.upsert(spark.createDataFrame(DOCS, "doc_key string, title string, abstract string, authors string"))
+    parsed = search.parse_batch(spark.createDataFrame([(1, "wine")], "query_id int, query string"))
+    plan = index.postings(search.query_clauses(parsed))._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan[plan.index("PartitionFilters") :][:200] and "GreaterThanOrEqual(term,wine)" in plan
 
 
 def test_ranked_search_prefers_more_hits(spark):
