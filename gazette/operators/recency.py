@@ -62,7 +62,7 @@ def lookup(papers: DataFrame, identifiers: DataFrame, *, id_column: str = "ident
 
 
 def keep_recent(articles: DataFrame, *, as_of: dt.datetime, keep_days: int) -> DataFrame:
-    """The rows that retention keeps; write them with :func:`gazette.sources.tables.replace_table`."""
+    """The rows that retention keeps; stored tables drop the others by :meth:`gazette.sources.parted_table.PartedTable.delete_older_than`."""
     return articles.where(event_time() >= _cutoff(as_of, keep_days))
 
 

@@ -18,15 +18,8 @@ from ..sources.config import Category, sources_table
 from ..sources.feeds import normalise_feeds
 from ..sources.raw_log import log_articles
 from ..sources.search_index import SearchIndex
-from ..sources.tables import (
-    delete_older_than,
-    drop_expired_folders,
-    read_table,
-    replace_table,
-    upsert,
-    write_json,
-    write_snapshot,
-)
+from ..sources.parted_table import PartedTable
+from ..sources.tables import drop_expired_folders, write_json, write_snapshot
 from .quality_report import quality_report, quality_window, write_report
 
 
@@ -86,9 +79,10 @@ def ingest_run(
     errors = errors.unionByName(error_rows(collected))
 
     order = [col("published").desc_nulls_last(), col("title"), col("summary")]
-    upsert(spark, valid, folders.articles, order=order)
-    delete_older_than(spark, folders.articles, as_of=as_of, keep_days=keep_days)
-    stored = read_table(spark, folders.articles)
+    articles = PartedTable(spark, folders.articles)
+    articles.upsert(valid, order=order)
+    articles.delete_older_than(as_of=as_of, keep_days=keep_days)
+    stored = articles.read()
 
     index = SearchIndex(spark, folders.index)
     index.upsert(search_documents(valid))

@@ -12,6 +12,7 @@ from ..plans.ingest_run import ingest_run
 from ..session import shared_folder
 from ..sources import raw_log, tables
 from ..sources.config import Category
+from ..sources.parted_table import PartedTable
 from ..streaming.jobs import daily_counts_stream, ingest_stream, raw_stream
 from .base import (
     ARTICLES, AS_OF, AS_OF_SQL, KEYWORDS, SETTINGS, articles_view, register, stamp, stamp_sql, table,
@@ -36,20 +37,34 @@ def upsert_latest(spark, folder):
 @register(f"""WITH {ARTICLES}, kept AS (SELECT * FROM articles_v WHERE coalesce(published, collected_at) >= {AS_OF_SQL} - INTERVAL 2 DAY)
 SELECT (SELECT count(*) FROM articles_v) - (SELECT count(*) FROM kept) AS removed, count(*) AS kept, count(DISTINCT link) AS links FROM kept""")
 def retention_rewrite(spark, folder):
-    """Store, upsert once more, delete by age, and read the last version."""
-    place = shared_folder(spark, "table")
+    """Store, upsert once more, drop the days that are too old, and read what is left."""
+    stored = PartedTable(spark, shared_folder(spark, "table"), buckets=4)
     rows = articles_view(spark, folder).drop("summary")
-    tables.replace_table(rows, place)
-    tables.upsert(spark, rows.where("doc_id % 2 = 0"), place, order=[col("doc_id")])
-    removed = tables.delete_older_than(spark, place, as_of=AS_OF, keep_days=2)
-    stored = tables.read_table(spark, place)
-    return stored.agg(
+    stored.upsert(rows, order=[col("doc_id")])
+    stored.upsert(rows.where("doc_id % 2 = 0"), order=[col("doc_id")])
+    removed = stored.delete_older_than(as_of=AS_OF, keep_days=2)
+    return stored.read().agg(
         F.lit(removed).cast("bigint").alias("removed"),
         F.count(F.lit(1)).alias("kept"),
         F.countDistinct("link").alias("links"),
     )
 
 
+@register(f"""WITH {ARTICLES}, first_v AS (SELECT * FROM articles_v WHERE doc_id % 3 > 0),
+second_v AS (SELECT link, 'Second ' || title AS title, coalesce(published, collected_at) + INTERVAL (doc_id % 4) HOUR AS published, source FROM articles_v WHERE doc_id % 3 = 0 OR doc_id % 10 = 1),
+both_v AS (SELECT * FROM second_v UNION ALL SELECT link, title, published, source FROM first_v WHERE link NOT IN (SELECT link FROM second_v))
+SELECT link, title, source, {stamp_sql('published')} AS published FROM both_v""")
+def upsert_parts(spark, folder):
+    """A second batch adds rows, replaces some and moves them to other days."""
+    stored = PartedTable(spark, shared_folder(spark, "table"), buckets=4)
+    rows = articles_view(spark, folder)
+    time = F.coalesce("published", "collected_at") + F.make_dt_interval(hours=col("doc_id") % 4)
+    stored.upsert(rows.where("doc_id % 3 > 0"), order=[col("doc_id")])
+    second = rows.where("doc_id % 3 = 0 or doc_id % 10 = 1")
+    stored.upsert(second.withColumns({"title": F.concat(F.lit("Second "), "title"), "published": time}), order=[col("doc_id")])
+    return stored.read().select("link", "title", "source", stamp("published"))
+
+
 @register(f"WITH {ARTICLES} SELECT source, link, title, summary FROM articles_v")
 def raw_roundtrip(spark, folder):
     place = shared_folder(spark, "raw")
@@ -139,7 +154,7 @@ def stream_ingest(spark, folder):
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return tables.read_table(spark, f"{place}-table").select("link", "title", "source")
+    return PartedTable(spark, f"{place}-table").read().select("link", "title", "source")
 
 
 @register("""WITH last AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)

@@ -94,33 +94,6 @@ def merge_by_key(current: DataFrame, batch: DataFrame, *, key: str = "link", ord
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def merge_if_newer(current: DataFrame, batch: DataFrame, *, key: str, stamp: str) -> DataFrame:
-    """As :func:`merge_by_key`, but a stored row with a later ``stamp`` stays."""
-    latest = newest_per_key(require_key(batch, key), key, col(stamp).desc_nulls_last())
-    stored = current.select(col(key).alias("_key"), col(stamp).alias("_stamp"))
-    newer = latest.join(stored, (col(key) == col("_key")) & (col("_stamp") > col(stamp)), "left_anti")
-    return merge_by_key(current, newer, key=key)
-
-
-def upsert(spark: SparkSession, batch: DataFrame, root: str, *, key: str = "link", order: list[Column]) -> int:
-    """Merge a batch into the stored table as its next version."""
-    current = read_table(spark, root) if table_exists(spark, root) else batch.limit(0)
-    return replace_table(merge_by_key(current, batch, key=key, order=order), root)
-
-
-def delete_older_than(spark: SparkSession, root: str, *, as_of: dt.datetime, keep_days: int) -> int:
-    """Drop rows by event time; returns how many, counted while the kept ones are written."""
-    cutoff = F.lit(as_of - dt.timedelta(days=keep_days))
-    table = read_table(spark, root)
-    expired = F.coalesce(col("published"), col("collected_at")) < cutoff
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    watched = table.observe(seen, F.count_if(expired).alias("removed"))
-    replace_table(watched.where(~F.coalesce(expired, F.lit(False))), root)
-    return int(seen.get["removed"])
-
-
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import col
 from ..operators.validation import valid_rows
 from ..schemas import RAW
-from ..sources.tables import merge_if_newer, read_table, replace_table, table_exists
+from ..sources.parted_table import PartedTable
 
 
 def raw_stream(spark: SparkSession, folder: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -27,13 +27,14 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Merge new files of the log into the article table: the row logged last wins.
 
-    The merge only lets later rows replace earlier ones, so files that come late or twice change nothing.
+    The merge only lets later rows replace earlier ones, so files that come late or twice change nothing, and a batch
+    writes only the parts of the table that its keys touch.
     """
+    articles = PartedTable(spark, table)
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = valid_rows(batch.drop("matched_entities", "run_id", "logged_at"))
-        current = read_table(spark, table) if table_exists(spark, table) else rows.limit(0)
-        replace_table(merge_if_newer(current, rows, key="link", stamp="logged_ts"), table)
+        articles.upsert(rows, order=[col("logged_ts").desc_nulls_last()], stamp="logged_ts")
 
     stream = raw_stream(spark, folder, files_per_batch=files_per_batch)
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from gazette.sources import feeds, raw_log, tables
+from gazette.sources.parted_table import PartedTable
 
 COLUMNS = "link string, title string, published timestamp, collected_at timestamp"
 NOW = dt.datetime(2026, 4, 14)
@@ -18,36 +20,91 @@ def rows(spark, *items):
 
 
 def stored(spark, folder):
-    return {r.link: r.title for r in tables.read_table(spark, folder).collect()}
+    return {r.link: r.title for r in PartedTable(spark, folder).read().collect()}
+
+
+def files(folder):
+    return {
+        os.path.join(d, f): os.path.getmtime(os.path.join(d, f))
+        for d, _, names in os.walk(f"{folder}/rows") for f in names if f.endswith(".parquet")
+    }
+
+
+def order():
+    return [F.col("published").desc_nulls_last()]
 
 
 def test_upsert_replaces_by_link(spark, folder):
-    order = [F.col("published").desc_nulls_last()]
-    tables.upsert(spark, rows(spark, ("a", "1", NOW), ("b", "2", NOW)), folder, order=order)
-    tables.upsert(spark, rows(spark, ("a", "old", dt.datetime(2020, 1, 1)), ("a", "new", NOW)), folder, order=order)
+    table = PartedTable(spark, folder)
+    table.upsert(rows(spark, ("a", "1", NOW), ("b", "2", NOW)), order=order())
+    table.upsert(rows(spark, ("a", "old", dt.datetime(2020, 1, 1)), ("a", "new", NOW)), order=order())
     assert stored(spark, folder) == {"a": "new", "b": "2"}
+    # A row moves to another day, and one without any day is found again.
+    table.upsert(rows(spark, ("a", "moved", dt.datetime(2020, 1, 1))).withColumn("collected_at", F.lit(None).cast("timestamp")), order=order())
+    table.upsert(rows(spark, ("c", "x", None)).withColumn("collected_at", F.lit(None).cast("timestamp")), order=order())
+    table.upsert(rows(spark, ("c", "y", None)), order=order())
+    assert stored(spark, folder) == {"a": "moved", "b": "2", "c": "y"}
+    table.upsert(rows(spark).withColumn("extra", F.lit(1)), order=order())
+    table.upsert(rows(spark, ("d", "z", NOW)).withColumn("extra", F.lit(1)), order=order())
+    assert {(r.link, r.extra) for r in table.read().collect()} == {("a", None), ("b", None), ("c", None), ("d", 1)}
 
 
 def test_a_missing_link_fails_the_whole_batch(spark, folder):
-    order = [F.col("published").desc_nulls_last()]
-    tables.upsert(spark, rows(spark, ("a", "1", NOW)), folder, order=order)
+    table = PartedTable(spark, folder)
+    table.upsert(rows(spark, ("a", "1", NOW)), order=order())
     with pytest.raises(Exception, match="link is NULL"):
-        tables.upsert(spark, rows(spark, ("b", "2", NOW), (None, "3", NOW)), folder, order=order)
+        table.upsert(rows(spark, ("b", "2", NOW), (None, "3", NOW)), order=order())
     assert stored(spark, folder) == {"a": "1"}
 
 
+def test_untouched_parts_keep_their_files(spark, folder):
+    table = PartedTable(spark, folder, buckets=4)
+    many = [(f"l{i}", "first", NOW - dt.timedelta(days=i % 5)) for i in range(100)]
+    table.upsert(rows(spark, *many), order=order())
+    before, parts = files(folder), table.parts()
+    assert len(parts) == 20 and sum(n for _, n in parts.values()) == 100
+    table.upsert(rows(spark, ("l7", "second", NOW - dt.timedelta(days=2))), order=order())
+    after = table.parts()
+    assert {k for k in parts if parts[k] != after.get(k)} == {k for k, v in after.items() if v[0] == 2}
+    assert len([v for v in after.values() if v[0] == 2]) == 1 and sum(n for _, n in after.values()) == 100
+    assert {f: m for f, m in files(folder).items() if f in before} == before
+    # One key moves to another day: its old part and its new one, in one bucket.
+    table.upsert(rows(spark, ("l7", "third", NOW)), order=order())
+    assert sorted(k[0] for k, v in table.parts().items() if v[0] == 3) == ["2026-04-12", "2026-04-14"]
+    assert stored(spark, folder) == {link: "third" if link == "l7" else "first" for link, *_ in many}
+    # Later rows stay when the stamp decides.
+    stamped = PartedTable(spark, folder + "-stamped", buckets=2)
+    for title, hour in (("late", 5), ("early", 3)):
+        stamped.upsert(rows(spark, ("a", title, NOW)).withColumn("s", F.lit(NOW + dt.timedelta(hours=hour))), order=[F.col("s").desc()], stamp="s")
+    assert [r.title for r in stamped.read().collect()] == ["late"]
+
+
+def test_retention_drops_whole_days(spark, folder):
+    table = PartedTable(spark, folder, buckets=2)
+    noon = dt.datetime(2026, 4, 14, 12)
+    many = [(f"l{i}", "x", noon - dt.timedelta(hours=6 * i)) for i in range(80)]
+    undated = rows(spark, ("none", "x", None)).withColumn("collected_at", F.lit(None).cast("timestamp"))
+    table.upsert(rows(spark, *many).unionByName(undated), order=order())
+    before = files(folder)
+    removed = table.delete_older_than(as_of=noon, keep_days=10)
+    left = {link for link, _, time in many if time >= noon - dt.timedelta(days=10)} | {"none"}
+    assert removed == 81 - len(left) and set(stored(spark, folder)) == left
+    # Only the day of the limit has new files.
+    new = set(files(folder)) - set(before)
+    assert new and all("/day=2026-04-04/" in f for f in new)
+    assert {k[0] for k, v in table.parts().items() if v[0] == 2} == {"2026-04-04"}
+    # A key of a dropped day comes back as a new row.
+    table.upsert(rows(spark, ("l79", "again", noon)), order=order())
+    assert stored(spark, folder)["l79"] == "again" and len(stored(spark, folder)) == len(left) + 1
+    assert table.delete_older_than(as_of=noon, keep_days=10) == 0
+
+
 def test_merge_keeps_one_row_per_key_before_the_shuffle(spark):
     batch = rows(spark, ("a", "1", NOW), ("a", "2", NOW))
     plan = tables.newest_per_key(batch, "link", F.col("title"))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
-def test_delete_older_than_uses_publication_then_collection(spark, folder):
-    tables.replace_table(rows(spark, ("old", "x", dt.datetime(2026, 1, 1)), ("new", "x", NOW), ("none", "x", None)), folder)
-    assert tables.delete_older_than(spark, folder, as_of=NOW, keep_days=30) == 1
-    assert set(stored(spark, folder)) == {"new", "none"}
-
-
 def test_snapshots(spark, folder):
     assert tables.latest_snapshot(spark, folder) is None
     for day, title in ((dt.date(2026, 1, 1), "old"), (dt.date(2026, 2, 1), "new")):
