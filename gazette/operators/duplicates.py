@@ -5,17 +5,18 @@ as one row. Candidates share a signature, pass cheap bounds on columns, and are
 matching-blocks ratio. No step loses a pair.
 
 Signature. With ``M`` characters in matching blocks the ratio is ``2M / (a + b)``, and ``M`` cannot exceed the
-overlap of the two bags of characters. A bag is a set of (character, occurrence) tokens, so the published
-prefix filter for set-similarity joins applies: with all tokens in one fixed order, two texts whose ratio
-reaches ``t`` share a token among the first ``n - ceil(n * t / (2 - t)) + 1`` of each.
-
-Bounds. Lengths, overlap of the bags, and overlap of the bigrams: a character without a match spoils at most
-two bigrams of its own text and one of the other, so texts with ``M`` matched characters share at least
-``3M - a - b - 1`` of them.
-
-Skew. The number of rows per (authority, title token) is known before the join. Groups above ``heavy_group``
-rows are split further by the tokens of the path, which has to be similar as well; the other groups join on
-the title token alone.
+overlap of the two bags of characters. Between two blocks lies a character without a match, so there are at most
+``a + b - 2M + 1`` blocks, and the texts share at least ``3M - a - b - 1`` bigrams. Both are overlaps of token
+sets ((character, occurrence) and (bigram, occurrence)), so the published prefix filter for set-similarity joins
+applies: with all tokens in one fixed order, two texts that overlap enough share a token among the first
+``n - overlap + 1`` of each. Bigrams are ordered by the number of texts that have them, rarest first, counted over all
+texts. Pairs so short that they need no common bigram meet by their characters instead.
+
+Bounds. Lengths; the places of the shared token, as what follows it in either text has to reach the overlap; the overlap
+of the bags and that of the bigrams.
+
+Skew. Rows that share a token on one host are dealt out in blocks of about ``BLOCK`` rows, and each two blocks meet in a
+key of their own, so a host or a token of any size is many keys. Only numbers cross that join.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from ..functions.text import col, normalise_title, text_or_empty
 from ..functions.urls import split_url
 from ..session import shared_folder
 
-HEAVY_GROUP = 200
+BLOCK = 512
 
 # Rare characters first. Any fixed order is exact; this one only makes shared tokens rarer.
 _COMMON = "eatoinsrlhducmpgfy-/ wbvkxjqz0123456789._"
@@ -74,19 +75,6 @@ def _numbered(bigrams: str) -> Column:
     return F.transform(bigrams, lambda g, i: F.xxhash64(g, i - F.array_position(col(bigrams), g)))
 
 
-def _prefix(tokens: Column, threshold: float) -> Column:
-    """Tokens of which a similar text must share one; token 0 for the empty text."""
-    least = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
-    kept = F.slice(tokens, 1, F.size(tokens) - least + 1)
-    return F.when(F.size(tokens) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
-
-
-def _length_bound(left: Column, right: Column, threshold: float) -> Column:
-    """The shorter text is long enough for the ratio."""
-    a, b = F.length(left), F.length(right)
-    return 2 * F.least(a, b) >= (a + b) * F.lit(threshold) - F.lit(1e-9)
-
-
 @pandas_udf(DoubleType())
 def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two texts, in this order; 1 for two empty ones."""
@@ -123,25 +111,83 @@ def exact_duplicates(articles: DataFrame) -> DataFrame:
     return keyed.agg(F.count(F.lit(1)).alias("copies"), F.min("link").alias("first_link")).where("copies > 1")
 
 
-def _first_shared(left: Column, right: Column) -> Column:
-    return F.get(F.array_intersect(left, right), F.lit(0))
+def _similar(rows: DataFrame, text: str, threshold: float, *, within: str, also: list[str] | None = None, fits: Column | None = None) -> DataFrame:
+    """``within, a_row, b_row`` of rows (``row``, ``within``, a text and its ``_tokens`` and ``_bigrams``) equal in ``within``
+    whose texts may reach the ratio, each pair once.
 
+    ``also`` are numbers that cross the join as ``a_…`` and ``b_…`` for the condition ``fits``.
+    """
+    also = also or []
+    n, share, slope = F.length(text), threshold / (2 - threshold), 1.5 * threshold - 1
+    small = F.lit(1e-9)
+
+    def common(total: Column) -> Column:
+        """Bigrams that texts of this length together have to share."""
+        return F.ceil(total * F.lit(slope) - 1 - small)
+
+    sized = rows.select("row", within, n.alias("n"), *also, f"{text}_tokens", f"{text}_bigrams")
+    least, most = F.ceil(col("n") * F.lit(share) - small), F.floor(col("n") / F.lit(share) + small)
+    # Bigrams in the order of how many texts have them.
+    spread = sized.select("row", F.explode(f"{text}_bigrams").alias("token"))
+    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = spread.join(counts, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("ranked"))
+    need = F.greatest(common(col("n") + least), F.lit(1))
+    by_bigram = sized.where(common(col("n") + most) >= 1).join(ranked, "row")
+    by_bigram = by_bigram.withColumn("size", F.size("ranked")).withColumn("prefix", F.slice("ranked", F.lit(1), F.greatest(col("size") - need + 1, F.lit(0)).cast("int")))
+    by_bigram = by_bigram.select("row", within, "n", *also, "size", F.posexplode("prefix").alias("place", "t"))
+    by_bigram = by_bigram.select("row", within, "n", *also, "size", "place", F.lit(True).alias("bigram"), col("t.token").alias("token"))
+    # Short texts by their characters; the empty text has one token of its own.
+    kept = F.slice(f"{text}_tokens", F.lit(1), (col("n") - least + 1).cast("int"))
+    by_character = sized.where(common(col("n") + least) < 1)
+    prefix = F.when(col("n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
+    by_character = by_character.select("row", within, "n", *also, F.lit(0).alias("size"), F.lit(0).alias("place"), F.lit(False).alias("bigram"), F.explode(prefix).alias("token"))
+    signed = by_bigram.unionByName(by_character)
+
+    group = [within, "bigram", "token"]
+    blocks = signed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    dealt = signed.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("row"), col("blocks")).cast("int"))
+    keys = ["row", "n", "size", "place", *also]
+    left = dealt.select(*group, col("block").alias("i"), F.explode(F.sequence("block", col("blocks") - 1)).alias("j"), *[col(k).alias(f"a_{k}") for k in keys])
+    right = dealt.select(*group, F.explode(F.sequence(F.lit(0), "block")).alias("i"), col("block").alias("j"), *[col(k).alias(f"b_{k}") for k in keys])
+    total = col("a_n") + col("b_n")
+    long_enough = 2 * F.least("a_n", "b_n") >= total * F.lit(threshold) - small
+    # The first shared token of a pair leaves enough of both texts behind it; later ones need not.
+    reaches = F.least(col("a_size") - col("a_place"), col("b_size") - col("b_place")) >= F.greatest(common(total), F.lit(1))
+    met = left.join(right, [*group, "i", "j"]).where((col("i") < col("j")) | (col("a_row") < col("b_row"))).where(long_enough)
+    met = met.where(~col("bigram") | reaches)
+    met = met if fits is None else met.where(fits)
+    pair = [F.least("a_row", "b_row").alias("a_row"), F.greatest("a_row", "b_row").alias("b_row")]
+    return met.select(within, *pair).distinct()
+
+
+def _with_tokens(rows: DataFrame, *texts: str) -> DataFrame:
+    for text in texts:
+        rows = rows.withColumn(f"{text}_tokens", _tokens(col(text))).withColumn(f"{text}_bigrams", _sorted_bigrams(col(text)))
+        rows = rows.withColumn(f"{text}_bigrams", _numbered(f"{text}_bigrams"))
+    return rows
+
+
+def _numbered_rows(rows: DataFrame, label: str) -> DataFrame:
+    """Rows with a number. The written table fixes the numbers, is read several times, and outlives an executor."""
+    spark = rows.sparkSession
+    place = shared_folder(spark, label)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows.write.parquet(place)
+    return spark.read.schema(rows.schema).parquet(place)
 
-def _pairs(rows: DataFrame, keys: list[str], *, on: list[str], order: list[str]) -> DataFrame:
-    """Pairs of rows equal in ``on``, the smaller in ``order`` left; ``keys`` are the columns carried along."""
-    left = rows.select(*on, *[col(k).alias(f"left_{k}") for k in keys])
-    right = rows.select(*on, *[col(k).alias(f"right_{k}") for k in keys])
-    placed = [F.struct(*[col(f"{side}_{k}") for k in order]) for side in ("left", "right")]
-    return left.join(right, on).where(placed[0] < placed[1])
+
+def _sides(pairs: DataFrame, rows: DataFrame, whole: list[str], order: list[str], *also: str) -> DataFrame:
+    """The columns ``whole`` of both rows of each pair; the smaller in ``order`` is left."""
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(col("row").alias(f"{side}_row"), F.struct(*whole).alias(side)), f"{side}_row")
+    place = {side: F.struct(*[F.col(side)[k] for k in order]) for side in ("a", "b")}
+    ordered = place["a"] < place["b"]
+    sides = {"left": F.when(ordered, col("a")).otherwise(col("b")), "right": F.when(ordered, col("b")).otherwise(col("a"))}
+    pairs = pairs.select(*also, *[c.alias(n) for n, c in sides.items()])
+    return pairs.select(*also, *[F.col(side)[k].alias(f"{side}_{k}") for side in sides for k in whole])
 
 
-def fuzzy_duplicates(
-    articles: DataFrame,
-    *,
-    title_threshold: float = 0.85,
-    url_threshold: float = 0.8,
-    heavy_group: int = HEAVY_GROUP,
-) -> DataFrame:
+def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_threshold: float = 0.8) -> DataFrame:
     """Pairs of distinct (title, authority, path) rows that are near duplicates.
 
     ``left_link`` and ``right_link`` are the smallest links of the two rows and ``left_copies``,
@@ -151,40 +197,18 @@ def fuzzy_duplicates(
     rows = with_duplicate_keys(articles).groupBy("norm_title", "authority", "path").agg(
         F.min("link").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    rows = rows.withColumnRenamed("norm_title", "title").withColumns(
-        {
-            "row": F.monotonically_increasing_id(),
-            "title_tokens": _tokens(col("title")),
-            "title_bigrams": _sorted_bigrams(col("title")),
-            "path_tokens": _tokens(col("path")),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "title_bigrams": _numbered("title_bigrams"),
-            "title_prefix": _prefix(col("title_tokens"), title_threshold),
-            "path_prefix": _prefix(col("path_tokens"), url_threshold),
-            "title_length": F.length("title"),
-        }
-    )
-    # The written table fixes the row numbers, is read several times, and survives the loss of an executor.
-    place = shared_folder(articles.sparkSession, "titles")
-    rows.write.parquet(place)
-    rows = articles.sparkSession.read.parquet(place)
-    pairs = _candidates(rows, title_threshold, url_threshold, heavy_group)
-
-    whole = ["id", "title", "path", "copies", "title_tokens", "title_bigrams", "path_tokens"]
-    for side in ("a", "b"):
-        pairs = pairs.join(rows.select(col("row").alias(f"{side}_row"), F.struct(*whole).alias(side)), f"{side}_row")
-
-    def place_of(side: str) -> Column:
-        return F.struct(*[F.col(side)[k] for k in ("id", "title", "path")])
-
-    ordered = place_of("a") < place_of("b")
-    sides = {"left": F.when(ordered, col("a")).otherwise(col("b")), "right": F.when(ordered, col("b")).otherwise(col("a"))}
-    pairs = pairs.select("authority", *[c.alias(n) for n, c in sides.items()])
-    pairs = pairs.select("authority", *[F.col(side)[k].alias(f"{side}_{k}") for side in sides for k in whole])
+    rows = _with_tokens(rows.withColumnRenamed("norm_title", "title"), "title", "path")
+    rows = rows.withColumns({"path_length": F.length("path"), "path_hash": F.xxhash64("path")})
+    rows = _numbered_rows(rows, "titles")
+    lengths = col("a_path_length") + col("b_path_length")
+    alike = 2 * F.least("a_path_length", "b_path_length") >= lengths * F.lit(url_threshold) - F.lit(1e-9)
+    fits = (col("a_path_hash") == col("b_path_hash")) | alike
+    pairs = _similar(rows, "title", title_threshold, within="authority", also=["path_length", "path_hash"], fits=fits)
+    whole = ["id", "title", "path", "copies", "title_tokens", "title_bigrams", "path_tokens", "path_bigrams"]
+    pairs = _sides(pairs, rows, whole, ["id", "title", "path"], "authority")
+    same = col("left_path") == col("right_path")
     near = pairs.where(_bag_bound("title", title_threshold)).where(_bigram_bound("title", title_threshold))
+    near = near.where(same | (_bag_bound("path", url_threshold) & _bigram_bound("path", url_threshold)))
     rated = near.withColumn("title_ratio", matching_ratio("left_title", "right_title"))
     rated = rated.where(col("title_ratio") >= title_threshold)
     rated = rated.withColumn("path_ratio", matching_ratio("left_path", "right_path"))
@@ -202,41 +226,6 @@ def fuzzy_duplicates(
     )
 
 
-def _candidates(rows: DataFrame, title_threshold: float, url_threshold: float, heavy_group: int) -> DataFrame:
-    """``authority, a_row, b_row`` of rows that share a signature and fit in lengths and paths, each pair once.
-
-    Only numbers cross this join: lengths, prefixes and path tokens.
-    """
-    signed = rows.select(
-        "authority", "row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix",
-        F.explode_outer("title_prefix").alias("title_token"),
-    )
-    group = ["authority", "title_token"]
-    sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    sized = signed.join(sizes, group)
-    keys = ["row", "title_length", "path", "path_tokens", "title_prefix", "path_prefix"]
-    same = col("a_path") == col("b_path")
-    longer = F.least("a_title_length", "b_title_length") * 2 >= (
-        (col("a_title_length") + col("b_title_length")) * F.lit(title_threshold) - F.lit(1e-9)
-    )
-    shared = F.size(F.array_intersect("a_path_tokens", "b_path_tokens"))
-    alike = 2 * shared >= (F.size("a_path_tokens") + F.size("b_path_tokens")) * F.lit(url_threshold) - F.lit(1e-9)
-    # A pair meets in every token it shares; it is kept in the first.
-    first = _first_shared(col("a_title_prefix"), col("b_title_prefix")) == col("title_token")
-
-    def joined(side: DataFrame, on: list[str]) -> DataFrame:
-        a = side.select(*on, *[col(k).alias(f"a_{k}") for k in keys])
-        b = side.select(*on, *[col(k).alias(f"b_{k}") for k in keys])
-        return a.join(b, on).where(col("a_row") < col("b_row")).where(longer).where(same | alike).where(first)
-
-    light = joined(sized.where(col("rows") <= heavy_group), group)
-    heavy = sized.where(col("rows") > heavy_group).withColumn("path_token", F.explode_outer("path_prefix"))
-    heavy = joined(heavy, [*group, "path_token"])
-    heavy = heavy.where(_first_shared(col("a_path_prefix"), col("b_path_prefix")) == col("path_token"))
-    columns = ["authority", "a_row", "b_row"]
-    return light.select(*columns).unionByName(heavy.select(*columns))
-
-
 def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataFrame:
     """Pairs of distinct (authority, path) with a ratio of the paths of at least ``threshold``.
 
@@ -246,12 +235,10 @@ def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataF
     parts = split_url(url)
     rows = table.select(parts.authority.alias("authority"), parts.path.alias("path"), text_or_empty(url).alias("url"))
     rows = rows.groupBy("authority", "path").agg(F.min("url").alias("id"), F.count(F.lit(1)).alias("urls"))
-    rows = rows.withColumn("path_tokens", _tokens(col("path")))
-    signed = rows.withColumn("token", F.explode_outer(_prefix(col("path_tokens"), threshold)))
-    pairs = _pairs(signed, ["id", "urls", "path", "path_tokens"], on=["authority", "token"], order=["id"])
-    pairs = pairs.where(_length_bound(col("left_path"), col("right_path"), threshold))
-    first = _first_shared(_prefix(col("left_path_tokens"), threshold), _prefix(col("right_path_tokens"), threshold))
-    pairs = pairs.where(first == col("token")).where(_bag_bound("path", threshold))
+    rows = _numbered_rows(_with_tokens(rows, "path"), "paths")
+    pairs = _similar(rows, "path", threshold, within="authority")
+    pairs = _sides(pairs, rows, ["id", "path", "urls", "path_tokens", "path_bigrams"], ["id", "path"], "authority")
+    pairs = pairs.where(_bag_bound("path", threshold)).where(_bigram_bound("path", threshold))
     rated = pairs.withColumn("ratio", matching_ratio("left_path", "right_path")).where(col("ratio") >= threshold)
     return rated.select(
         "authority",

@@ -93,7 +93,7 @@ def pairs_of(rows):
     return {tuple(sorted(((r.left_title, r.left_link), (r.right_title, r.right_link)))) for r in rows.collect()}
 
 
-def test_fuzzy_duplicates_equal_all_pairs(spark):
+def test_fuzzy_duplicates_equal_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     stems = ["attention is all you need", "a survey of large models", "on the théorie of graphs", ""]
     data = []
@@ -116,18 +116,20 @@ def test_fuzzy_duplicates_equal_all_pairs(spark):
                 want.add(tuple(sorted(((a[1], a[0]), (b[1], b[0])))))
     assert want
     assert pairs_of(duplicates.fuzzy_duplicates(rows)) == want
-    assert pairs_of(duplicates.fuzzy_duplicates(rows, heavy_group=3)) == want
+    monkeypatch.setattr(duplicates, "BLOCK", 3)
+    assert pairs_of(duplicates.fuzzy_duplicates(rows)) == want
 
 
-def test_similar_urls_equal_all_pairs(spark):
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 0.95])
+def test_similar_urls_equal_all_pairs(spark, threshold):
     rng = random.Random(5)
-    links = sorted({f"https://x.org/{rng.choice(['en', 'fr'])}/{rng.randint(1, 400)}" for _ in range(80)} | {"https://x.org"})
+    links = sorted({f"https://x.org/{rng.choice(['en', 'fr'])}/{rng.randint(1, 400)}" for _ in range(80)} | {"https://x.org", "https://x.org/a", "https://x.org/b", "https://x.org/ab", "https://x.org/ba"})
     rows = spark.createDataFrame([(u,) for u in links], "url string")
-    got = {(r.left_url, r.right_url) for r in duplicates.similar_urls(rows, "url").collect()}
+    got = {(r.left_url, r.right_url) for r in duplicates.similar_urls(rows, "url", threshold=threshold).collect()}
     paths = {u: u.removeprefix("https://x.org") for u in links}
     want = {
         (a, b) for i, a in enumerate(links) for b in links[i + 1:]
-        if SequenceMatcher(None, paths[a], paths[b]).ratio() >= 0.8
+        if SequenceMatcher(None, paths[a], paths[b]).ratio() >= threshold
     }
     assert got == want
 
