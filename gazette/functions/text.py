@@ -112,8 +112,8 @@ def unescape_html(c: Column | str) -> Column:
 
     def piece(p: Column) -> Column:
         named = F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
-        decimal = F.regexp_extract(p, r"^&#([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
+        decimal = F.regexp_extract(p, r"^&#(0*[0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(p, r"^&#[xX](0*[0-9A-Fa-f]{1,6});", 1)
         number = F.when(decimal != "", decimal.try_cast("bigint")).when(
             hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("bigint")
         )

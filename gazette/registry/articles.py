@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.text import col, normalise_title, unescape_html
 from ..functions.dates import coerce_date
 from ..operators import duplicates, graph, recency, summary, tagging, validation
-from ..sources.tables import partition_ages
-from ..session import spread
+from ..sources.tables import partition_ages, write_json
+from ..session import shared_folder, spread
 from ..sources.feeds import entry_authors
 from . import base
 from .base import (
-    ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, MESSAGES, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
+    ARTICLES, AS_OF, AS_OF_SQL, COPIES, DIRTY, KEYWORDS, MESSAGES, ORACLES, SIGNALS, SOURCES, TAGS, articles_view, copies_view,
     dirty_view, register, signals_view, sources_view, stamp, stamp_sql, table,
 )
 
@@ -265,7 +265,10 @@ top AS (SELECT day, string_agg(entity || '=' || n, ',' ORDER BY n DESC, entity)
 SELECT strftime(day, '%Y-%m-%d') AS day, 'research' AS category, article_count, source_count, matched_count, top_entities, sources
 FROM per_day LEFT JOIN top USING (day)""")
 def daily_summary(spark, folder):
-    rows = summary.daily_summary(tagged_view(spark, folder), category="research")
+    return _shown_summary(summary.daily_summary(tagged_view(spark, folder), category="research"))
+
+
+def _shown_summary(rows):
     entities = F.transform("top_entities", lambda e: F.concat_ws("=", e["name"], e["count"].cast("string")))
     pairs = F.transform(F.map_entries("sources"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return rows.withColumns(
@@ -277,6 +280,15 @@ def daily_summary(spark, folder):
     )
 
 
+@register(ORACLES["daily_summary"])
+def summary_sink(spark, folder):
+    """The summaries written as JSON and read back."""
+    rows = summary.daily_summary(tagged_view(spark, folder), category="research")
+    place = shared_folder(spark, "summaries")
+    write_json(rows, place)
+    return _shown_summary(spark.read.schema(rows.schema).json(place))
+
+
 @register(f"""WITH {ARTICLES}, latest AS (SELECT category, max(coalesce(published, collected_at)) AS t FROM articles_v GROUP BY category)
 SELECT category, {stamp_sql('t')} AS latest, greatest(14, date_diff('day', t::DATE, DATE '2024-01-31') + 1)::BIGINT AS lookback_days FROM latest""")
 def lookback_window(spark, folder):

@@ -107,16 +107,16 @@ def all_checks(spark, folder):
 @register("WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1) "
           "SELECT c_mktsegment, sum(n)::BIGINT AS orders, round(sum(total), 2) AS total FROM spent JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def sql_read_only(spark, folder):
-    names = ("orders", "customer")
-    for name in names:
-        table(spark, folder, name).createOrReplaceTempView(name)
+    """Over views with names of its own, which it drops again."""
+    own = {name: f"sql_read_only_{name}" for name in ("orders", "customer")}
+    for name, view in own.items():
+        table(spark, folder, name).createOrReplaceTempView(view)
     rows = read_only_sql(
         spark,
-        "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1) "
+        f"WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM {own['orders']} GROUP BY 1) "
         "SELECT c_mktsegment, sum(n) AS orders, round(sum(total), 2) AS total FROM spent "
-        "JOIN customer ON c_custkey = o_custkey GROUP BY 1;",
+        f"JOIN {own['customer']} ON c_custkey = o_custkey GROUP BY 1;",
     )
-    # The rows are analysed; the names need not stay in the session.
-    for name in names:
-        spark.catalog.dropTempView(name)
+    for view in own.values():
+        spark.catalog.dropTempView(view)
     return rows

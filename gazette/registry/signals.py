@@ -13,10 +13,10 @@ from ..operators import signals as ops
 from ..operators import source_health as health
 from ..operators.validation import error_rows
 from ..sources.config import backlog_table
-from ..plans.quality_report import stored_quality_run
+from ..plans.quality_report import quality_window, stored_quality_run, write_report
 from ..session import shared_folder
 from .base import (
-    AS_OF, AS_OF_SQL, DIRTY, MESSAGES, SETTINGS, SIGNALS, SOURCES, TRACKED, articles_view, dirty_view, register, signals_view,
+    AS_OF, AS_OF_SQL, MESSAGES, ORACLES, SETTINGS, SIGNALS, SOURCES, TRACKED, articles_view, dirty_view, register, signals_view,
     sources_view, stamp, stamp_sql, table,
 )
 
@@ -365,21 +365,42 @@ def error_prefix_join(spark, folder):
     return found.groupBy("source", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(f"""WITH {DIRTY} SELECT link, source, link || ': link has invalid URL format: ' || link AS message FROM dirty_v
-WHERE doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND title <> '' AND regexp_replace(title, '\\s', '', 'g') <> ''""")
+@register(f"""WITH {MESSAGES} SELECT link, source, link || ': ' || concat_ws(', ', m1, m2, m3, m4) AS message FROM parts
+WHERE concat_ws(', ', m1, m2, m3, m4) <> ''""")
 def validation_errors(spark, folder):
-    rows = error_rows(dirty_view(spark, folder))
-    return rows.where(col("message").rlike("^[^,]*: link has invalid URL format: [^,]*$")).select("link", "source", "message")
+    """Every invalid row with its whole message."""
+    return error_rows(dirty_view(spark, folder)).select("link", "source", "message")
 
 
-@register(f"""WITH {MESSAGES} SELECT link, source, link || ': ' || concat_ws(', ', m1, m2, m3, m4) AS message FROM parts
-WHERE concat_ws(', ', m1, m2, m3, m4) <> ''""")
+@register(ORACLES["validation_errors"])
 def validation_errors_all(spark, folder):
-    """Every invalid row with its whole message, without a cut."""
-    return error_rows(dirty_view(spark, folder)).select("link", "source", "message")
+    """The same; the name is kept from when ``validation_errors`` had a cut."""
+    return validation_errors(spark, folder)
+
+
+@register(f"""WITH {MESSAGES} SELECT source, m.message, count(*) AS n FROM parts, unnest([m1, m2, m3, m4]) AS m(message)
+WHERE m.message IS NOT NULL AND NOT starts_with(m.message, 'link has') GROUP BY ALL
+UNION ALL SELECT source, 'link has invalid URL format', count(*) FROM parts WHERE starts_with(m2, 'link has') GROUP BY source""")
+def fault_counts(spark, folder):
+    """How often each fault stands in the messages of a source's invalid rows."""
+    rows = error_rows(dirty_view(spark, folder))
+    faults = F.split(F.regexp_replace("message", "link has invalid URL format: [^,]*", "link has invalid URL format"), ", ")
+    each = rows.select("source", F.explode(faults).alias("fault"))
+    message = F.regexp_extract("fault", "((title|link|summary|source) (is|has) .*)$", 1)
+    return each.select("source", message.alias("message")).groupBy("source", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register()
+#: The same chain over the rows of the look-back window.
+_WINDOWED = HEALTH.replace(
+    "FROM signals_v",
+    "FROM (SELECT s.* FROM signals_v s, (SELECT max(coalesce(published, collected_at))::DATE AS newest FROM signals_v) m "
+    f"WHERE coalesce(published, collected_at) >= {AS_OF_SQL} - to_days(greatest(14, coalesce(date_diff('day', newest, {AS_OF_SQL}::DATE) + 1, 14))::INT))",
+)
+
+
+@register(f"""WITH {_WINDOWED} SELECT 'events' AS section, count(*) AS n FROM events_v UNION ALL SELECT 'sources', count(*) FROM rows_v
+UNION ALL SELECT 'review', least(count(*), 50) FROM items
+UNION ALL SELECT * FROM (VALUES ('summary', 1), ('statuses', 7), ('models', 5), ('backlog', 2), ('missing', 4), ('duplicates', 1), ('dates', 1))""")
 def quality_run(spark, folder):
     """The stand-alone report over stored rows: every section with its number of rows."""
     articles = signals_view(spark, folder).withColumn("category", F.lit("research"))
@@ -391,3 +412,30 @@ def quality_run(spark, folder):
         count = section.agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("n"))
         rows = count if rows is None else rows.unionByName(count)
     return rows
+
+
+@register(ORACLES["status_histogram"])
+def report_sink(spark, folder):
+    """Sections of a report written for the day and as the latest, and read back from there."""
+    rollup = health.event_rollup(_stored_events(spark, folder))
+    sections = {
+        "statuses": health.status_histogram(_source_rows(spark, folder, rollup)),
+        "models": health.model_histogram(rollup, SETTINGS),
+    }
+    places = write_report(sections, shared_folder(spark, "reports"), as_of=AS_OF)
+    read = {n: spark.read.schema(t.schema).json(f"{places['latest']}/{n}") for n, t in sections.items()}
+    return read["statuses"].select(F.lit("status").alias("kind"), col("status").alias("name"), "n").unionByName(
+        read["models"].select(F.lit("model").alias("kind"), col("event_model").alias("name"), "n")
+    )
+
+
+@register(f"WITH {SIGNALS} SELECT 'none stored' AS kind, link, source FROM signals_v UNION ALL SELECT 'stored', link, source FROM signals_v "
+          f"WHERE category = 'en' AND collected_at >= {AS_OF_SQL} - INTERVAL 3 DAY")
+def window_fallback(spark, folder):
+    """The recent stored rows of a category, and the rows of the run where there are none."""
+    rows = signals_view(spark, folder)
+    out = []
+    for kind, as_of in (("none stored", AS_OF + dt.timedelta(days=900)), ("stored", AS_OF)):
+        window = quality_window(rows, rows, category="en", as_of=as_of, days=3, limit=None)
+        out.append(window.select(F.lit(kind).alias("kind"), "link", "source"))
+    return out[0].unionByName(out[1])

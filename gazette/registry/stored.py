@@ -13,9 +13,9 @@ from ..session import shared_folder
 from ..sources import raw_log, tables
 from ..sources.config import Category
 from ..sources.parted_table import PartedTable
-from ..streaming.jobs import daily_counts_stream, ingest_stream, raw_stream
+from ..streaming.jobs import counts_by_batch, daily_counts_stream, ingest_stream, raw_stream, read_counts
 from .base import (
-    ARTICLES, AS_OF, AS_OF_SQL, KEYWORDS, SETTINGS, articles_view, register, stamp, stamp_sql, table,
+    ARTICLES, AS_OF, AS_OF_SQL, KEYWORDS, SETTINGS, TAGS, articles_view, register, stamp, stamp_sql, table,
 )
 from .feeds import rss_payloads
 
@@ -129,7 +129,11 @@ def _category():
     return Category("research", "Research", sources, KEYWORDS, SETTINGS)
 
 
-@register()
+_FED = TAGS.replace("lower(title || chr(10) || summary)", "lower(title || ' © é' || chr(10) || CASE WHEN doc_id % 5 = 1 THEN title || ' © é' ELSE summary END)")
+
+
+@register(f"""WITH {_FED} SELECT count(*) AS article_count, count(DISTINCT doc_id // 20 % 20) AS source_count, (SELECT count(DISTINCT doc_id) FROM tags) AS matched_count,
+  20 AS sources, count(*) AS collected, (SELECT count(DISTINCT doc_id) FROM tags) AS collected_matched, count(*) AS validated, 7 AS window_days FROM articles_v""")
 def ingest_whole_run(spark, folder):
     """A whole run over feeds made from all documents; its statistics."""
     payloads = rss_payloads(spark, folder)
@@ -176,3 +180,26 @@ def stream_daily_counts(spark, folder):
         raise query.exception()
     counts = spark.read.schema("day date, source string, n bigint, links bigint").parquet(f"{place}-counts")
     return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "n")
+
+
+@register("""SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS source, count(*) AS n, true AS links_close FROM events GROUP BY ALL""")
+def stream_counts_all(spark, folder):
+    """All days, though the newest rows are read first and all others come behind them."""
+    place = shared_folder(spark, "landing")
+    events = table(spark, folder, "events")
+    rows = events.select(
+        F.concat(F.lit("https://example.org/"), "event_id").alias("link"),
+        col("event_type").alias("source"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("logged_at"),
+    )
+    newest = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).scalar()
+    rows.where(col("logged_at") >= newest).coalesce(1).write.json(f"{place}/a")
+    rows.where(col("logged_at") < newest).coalesce(2).write.json(f"{place}/b")
+    query = counts_by_batch(raw_stream(spark, place, files_per_batch=1), f"{place}-counts", f"{place}-state")
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    counts = read_counts(spark, f"{place}-counts")
+    # Every link stands once, so the rows are the links; the sketch is within a few percent.
+    close = F.abs(col("links") - col("n")) <= F.greatest(F.lit(1), col("n") * 0.1)
+    return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "n", close.alias("links_close"))

@@ -52,3 +52,26 @@ def daily_counts_stream(stream: DataFrame, folder: str, checkpoint: str) -> Stre
     rows = daily_counts(stream).select(F.to_date("window.start").alias("day"), "source", "n", "links")
     writer = rows.writeStream.outputMode("append").format("parquet").option("path", folder)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counts_by_batch(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Rows and distinct links per day and source, however late a row comes.
+
+    Each micro-batch writes its own partial counts, with a sketch of the links, under its number; a batch that runs again
+    writes the same folder again. :func:`read_counts` adds them up, so nothing is held in state and no row is behind a
+    watermark.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        day = F.to_date("logged_ts").alias("day")
+        parts = batch.groupBy(day, "source").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("link").alias("links"))
+        parts.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``day, source, n, links`` of all batches so far; ``links`` is an estimate."""
+    parts = spark.read.schema("day date, source string, n bigint, links binary").parquet(folder)
+    links = F.hll_sketch_estimate(F.hll_union_agg("links")).alias("links")
+    return parts.groupBy("day", "source").agg(F.sum("n").alias("n"), links)

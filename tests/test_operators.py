@@ -408,8 +408,22 @@ def test_read_only_sql(spark, folder):
     assert read_only_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a").first().x == 1
     assert "Range" in read_only_sql(spark, "EXPLAIN SELECT * FROM three").first()[0]
     assert read_only_sql(spark, "DROP VIEW three").first().error == REFUSED
-    for text in ("SELECT reflect('java.lang.Math', 'abs', 1)", "SELECT `java_method`('java.lang.Math', 'abs', 1)"):
-        assert read_only_sql(spark, text).first().error == REFUSED_CALL
+    call = "('java.lang.System', 'getProperty', 'user.dir')"
+    spark.udf.register("own_code", lambda x: x, "string")
+    try:
+        for text in (
+            f"SELECT reflect{call}", f"SELECT `java_method`{call}", f"SELECT reflect/**/{call}", f"SELECT try_reflect\n{call}",
+            f"SELECT * FROM three WHERE EXISTS (SELECT 1 WHERE reflect/* */{call} = 'x')", f"WITH a AS (SELECT reflect {call} AS x) SELECT x FROM a",
+            f"SELECT (SELECT `reflect` {call}) FROM three", f"SELECT transform(array(1), x -> java_method{call})", f"EXPLAIN SELECT reflect{call}",
+            f"SELECT sum(1) OVER (ORDER BY reflect{call}) FROM three", "SELECT own_code('a')", "SELECT `own_code`/**/('a') FROM three",
+        ):
+            assert read_only_sql(spark, text).first().error == REFUSED_CALL, text
+    finally:
+        spark.sql("DROP TEMPORARY FUNCTION own_code")
+    fine = "SELECT 'reflect(' AS a, percentile(id, 0.5), count(DISTINCT id), array_sort(collect_list(id)), map('a', 1)['a'], current_date(), rand() FROM three JOIN three USING (id) GROUP BY ROLLUP (id)"
+    assert len(read_only_sql(spark, fine).collect()) == 4 and "error" not in read_only_sql(spark, fine).columns
+    windows = "SELECT id, rank() OVER (ORDER BY id), explode(sequence(0, 1)) AS e, to_json(struct(id)), date_format(now(), 'yyyy'), split('a,b', ','), regexp_replace('a', 'a', 'b'), from_json('{}', 'a int') FROM three"
+    assert len(read_only_sql(spark, windows).collect()) == 6
     assert read_only_sql(spark, "SELECT CAST('a' || id AS INT) FROM range(3)").first().error.startswith("Error: [CAST_INVALID")
     assert read_only_sql(spark, "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`").first().error.startswith("Error: ")
     spark.sql(f"CREATE TABLE guarded (x INT) USING parquet LOCATION '{folder}'")
