@@ -39,7 +39,7 @@ def read_only_sql(spark: SparkSession, query: str) -> DataFrame:
     spark.conf.set(files, "false")
     try:
         rows = spark.sql(wrapped)
-        if any(map(_calls_other_code, _nodes(rows._jdf.queryExecution().analyzed()))):
+        if any(map(_calls_other_code, _nodes(spark, rows._jdf.queryExecution().analyzed()))):
             return _error(spark, REFUSED_CALL)
         if explain:
             return spark.sql(f"EXPLAIN {explain.group(1) or ''} {wrapped}")
@@ -53,19 +53,20 @@ def read_only_sql(spark: SparkSession, query: str) -> DataFrame:
         spark.conf.set(files, before)
 
 
-def _nodes(plan) -> Iterator[str]:
+def _nodes(spark: SparkSession, plan) -> Iterator[str]:
     """Class names of all nodes of an analysed plan, of their expressions, and of the plans inside these."""
-    todo, parts = [plan], {}
+    named = spark._jvm.java.lang.Class.forName
+    plans, inner = named("org.apache.spark.sql.catalyst.plans.QueryPlan"), named("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    todo = [plan]
     while todo:
         node = todo.pop()
-        kind = node.getClass().getName()
-        yield kind
-        if kind not in parts:
-            own = {m.getName() for m in node.getClass().getMethods() if m.getParameterCount() == 0}
-            parts[kind] = [n for n in ("children", "innerChildren", "expressions", "subqueries", "plan") if n in own and (n != "expressions" or "output" in own)]
-        for name in parts[kind]:
-            found = getattr(node, name)()
-            todo += [found] if name == "plan" else [found.apply(i) for i in range(found.size())]
+        yield node.getClass().getName()
+        parts = [node.children(), node.innerChildren()]
+        if plans.isInstance(node):
+            parts += [node.expressions(), node.subqueries()]
+        elif inner.isInstance(node):
+            todo.append(node.plan())
+        todo += [found.apply(i) for found in parts for i in range(found.size())]
 
 
 def _calls_other_code(name: str) -> bool:
