@@ -61,3 +61,8 @@ def chunks(values: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tup
         size += n
     if values:
         yield first, len(values)
+
+
+def numbered_columns(docs: DataFrame, *known: str) -> DataFrame:
+    """``docs`` with all columns but ``known`` named by their place, so that no name of an operator's own can clash."""
+    return docs.toDF(*(name if name in known else f"column_{i}" for i, name in enumerate(docs.columns)))

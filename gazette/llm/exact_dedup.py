@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from gazette.llm.common import bounded_batches, stored, texts
+from gazette.llm.common import bounded_batches, numbered_columns, stored, texts
 
 FILTER_BITS = 1 << 25
 BITS_PER_ROW = 16
@@ -131,7 +131,8 @@ def drop_duplicates_exact(docs: DataFrame, filter_bits: int = FILTER_BITS) -> Da
     Only rows whose digest may be repeated are shuffled, and of those only the ones that stay in their group or
     tie with them carry their text.
     """
-    spark = docs.sparkSession
+    spark, names = docs.sparkSession, docs.columns
+    docs = numbered_columns(docs, "doc_id", "text")
     rows = stored(digests(docs), "exact-digests")
     need = max(1 << 15, BITS_PER_ROW * rows.count())
     bits = min(filter_bits, 1 << need.bit_length())
@@ -152,4 +153,4 @@ def drop_duplicates_exact(docs: DataFrame, filter_bits: int = FILTER_BITS) -> Da
         .dropDuplicates(["_llm_digest"])
         .select(*docs.columns)
     )
-    return alone.unionByName(tied)
+    return alone.unionByName(tied).toDF(*names)

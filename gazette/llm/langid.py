@@ -15,7 +15,7 @@ text is worked on alone; repeated rows and null identifiers need no rule; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,7 @@ DIMENSIONS = 1024
 MOST_LANGUAGES = 8192
 CHUNK = 1 << 20
 TEXTS = 256
+KINDS = 1 << 13
 _SPACE = 32
 
 
@@ -57,8 +58,8 @@ def _numbered(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(seen), number[values]
 
 
-def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner of each trigram of letters and spaces, its kind, and the vectors of the kinds.
+def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, int, Callable[[int, int], np.ndarray]]:
+    """Owner of each trigram of letters and spaces, its kind, the number of kinds, and a function for the vectors of a range of kinds.
 
     Whatever is no letter counts as a space; trigrams with two spaces in a row, or none but a space, are left out.
     """
@@ -75,8 +76,12 @@ def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     kinds, kind = _numbered((a[good] * k + b[good]) * k + c[good], k**3)
     vectors = letter_vectors(own)
     first, second = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
-    bound = first[kinds // (k * k)] * second[kinds // k % k] * vectors[kinds % k]
-    return owner[1:-1][good], kind, bound
+
+    def bound(start: int, end: int) -> np.ndarray:
+        some = kinds[start:end]
+        return first[some // (k * k)] * second[some // k % k] * vectors[some % k]
+
+    return owner[1:-1][good], kind, len(kinds), bound
 
 
 def bundles(values: list[str | None], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +89,24 @@ def bundles(values: list[str | None], groups: np.ndarray | None = None) -> tuple
 
     In a group each text counts by 1 over its number of trigrams.
     """
-    owner, kind, bound = trigrams(values)
+    owner, kind, kinds, bound = trigrams(values)
     n = np.bincount(owner, minlength=len(values))
     rows, weights = len(values), None
     if groups is not None:
         rows, weights = int(groups.max()) + 1, 1.0 / n[owner]
         owner = groups[owner]
-    counts = np.bincount(owner * len(bound) + kind, weights=weights, minlength=rows * len(bound))
-    return (counts.astype(np.float32).reshape(rows, len(bound)) @ bound.astype(np.float32)).astype(np.float64), n
+    # The matrices of counts and vectors are made for KINDS kinds at a time, however many different ones a long text has.
+    order = np.argsort(kind, kind="stable")
+    owner, kind = owner[order], kind[order]
+    weights = weights[order] if weights is not None else None
+    total = np.zeros((rows, DIMENSIONS))
+    for start in range(0, kinds, KINDS):
+        end = min(kinds, start + KINDS)
+        a, b = np.searchsorted(kind, (start, end))
+        width = end - start
+        counts = np.bincount(owner[a:b] * width + kind[a:b] - start, weights=weights[a:b] if weights is not None else None, minlength=rows * width)
+        total += counts.astype(np.float32).reshape(rows, width) @ bound(start, end).astype(np.float32)
+    return total, n
 
 
 def _groups(values: list[str | None]) -> Iterator[tuple[int, int]]:

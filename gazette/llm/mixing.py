@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored
+from gazette.llm.common import numbered_columns, stored
 
 #: Weights of the sources in order, repeating; demand as a part of all words; passes over a source at most.
 WEIGHTS = (5, 2, 1)
@@ -123,6 +123,8 @@ def curriculum(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix in training order: a row for each pass that takes half of a document or more."""
+    names = docs.columns
+    docs = numbered_columns(docs, "doc_id", "source", "text")
     sizes = stored(_measured(docs).select("doc_id", "source", "_llm_size", "_llm_key"), "mix-sizes")
     rows = assign(_measured(docs), sizes)
     times = F.array_compact(
@@ -136,4 +138,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # Written before the range sort, so the shuffle for the running sums goes first and the sort samples the table.
     timed = stored(rows.select(*docs.columns, "_llm_key", times.alias("_llm_times")).filter("size(_llm_times) > 0"), "mix-documents")
     passes = timed.select(*docs.columns, "_llm_key", F.explode("_llm_times").alias("_llm_time"))
-    return passes.orderBy("_llm_time", "_llm_key").select(*docs.columns)
+    return passes.orderBy("_llm_time", "_llm_key").select(*docs.columns).toDF(*names)

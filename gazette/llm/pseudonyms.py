@@ -298,7 +298,7 @@ _LETTER, _DIGIT, _WORD = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile
 #: a find, the permutation.
 FORMS: list[tuple[str, str | re.Pattern, re.Pattern, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), _LETTER, _email),
-    ("key", "", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})"), _WORD, _key),
+    ("key", "", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|sk-(?=[A-Za-z0-9_-]*[0-9])(?=(?:[_-]?[A-Za-z0-9]){20})[A-Za-z0-9_-]*[A-Za-z0-9])"), _WORD, _key),
     ("key", re.compile(r"""["'](?:0[xX])?[0-9a-fA-F]{16}"""), _SECRET, re.compile("(?!)"), _secret),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), _WORD, _iban),
     ("address", ".", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), re.compile(r"\.?[0-9]"), _address),

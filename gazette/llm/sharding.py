@@ -3,7 +3,9 @@
 A document descends region, rack and shard. At each node every child draws ``-ln(u) / weight``, with ``u`` in (0, 1)
 from the MD5 of the document's key and the child's path; the smallest draw wins. A child's draw depends on nothing
 but its own path and weight. So a changed weight moves documents into or out of the subtree that changed, and a new
-shard, which comes as a region of its own, only takes documents into itself: law ``key``.
+shard, which comes as a region of its own, only takes documents into itself: law ``key``. That holds from call to call:
+``grown_shard`` of ``n`` shards is ``shard`` of ``n + 1``, but for the step to ``base`` shards, where a flat tree gets its
+hierarchy.
 
 Defined cases: a null doc_id has the empty key; a null text has size 8 and the CRC-32 of no bytes, 0; repeated rows
 share a shard and have slots of their own; an empty table gives an empty result; other columns are not read.
@@ -29,9 +31,13 @@ class Tree:
     nodes: dict[str, list[tuple[str, float]]]
 
     @staticmethod
-    def balanced(shards: int, racks: int = 4, per_rack: int = 2) -> Tree:
-        """Regions of ``racks`` racks of ``per_rack`` shards; what is left over are regions of one shard."""
-        tree, whole = Tree({"": []}), shards - shards % (racks * per_rack)
+    def balanced(shards: int, racks: int = 4, per_rack: int = 2, base: int = 24) -> Tree:
+        """The first ``base`` shards in regions of ``racks`` racks of ``per_rack`` shards; all others are regions of one shard.
+
+        So the trees of ``base`` shards and more grow from each other by one shard at a time, and so do those of fewer
+        shards, which have regions of one shard only.
+        """
+        tree, whole = Tree({"": []}), base - base % (racks * per_rack) if shards >= base else 0
         for first in range(0, whole, racks * per_rack):
             region = f"g{first}"
             tree.nodes[region] = []
@@ -84,9 +90,12 @@ def _descend(rows: DataFrame, tree: Tree, out: str) -> DataFrame:
     return rows.withColumn(out, F.element_at(F.split(at, "/"), -1).cast("int")).drop(*(f"{out}_{k}" for k in range(3)))
 
 
-def hash_tree_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (the shard with one shard more) of every row."""
-    tree = Tree.balanced(shards)
+def hash_tree_shards(docs: DataFrame, shards: int = 24, base: int = 24) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (the shard with one shard more) of every row.
+
+    ``base`` is the number of shards that the hierarchy was laid out for, and stays the same as shards are added.
+    """
+    tree = Tree.balanced(shards, base=base)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
