@@ -88,9 +88,11 @@ def article_counts(articles: DataFrame) -> DataFrame:
 def source_errors(errors: DataFrame, sources: DataFrame) -> DataFrame:
     """``source, message`` for every message that starts with ``<source name>:``.
 
-    A message offers each of its parts before a colon, so the prefix test is a join by equality.
+    A message offers its parts before a colon, so the prefix test is a join by equality; it offers no more of them than
+    the name with the most colons has, so a long message costs the length of its start.
     """
-    cuts = F.sequence(F.lit(1), F.size(F.split("message", ":")) - 1)
+    most = sources.agg(F.coalesce(F.max(F.size(F.split("name", ":"))), F.lit(1))).scalar()
+    cuts = F.sequence(F.lit(1), F.least(F.size(F.split("message", ":")) - 1, most))
     parted = errors.select("message").where(col("message").contains(":"))
     offered = parted.select("message", F.explode(cuts).alias("n"))
     offered = offered.withColumn("source", F.expr("substring_index(message, ':', n)"))
