@@ -21,6 +21,7 @@ HEADLINE = [
     "validate_split",
     "title_normalised",
     "exact_duplicates",
+    "fuzzy_duplicates",
     "similar_urls",
     "entity_tags",
     "top_trends",
