@@ -1,25 +1,31 @@
-"""N-gram Jaccard join by prefix shingles; prefix trees verify the candidates and take no part in their search.
-
-A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers in one global order: shingles that
-often repeat within chunks of texts come last (at most ``COMMON`` of them are known, which bounds the table sent to
-all tasks and changes only the order), the others by hash. Two sets that link share a shingle among the first
-``n - ceil(0.8 n) + 1`` of each. Equal sets are one class from the start.
-
-1. Every class meets one pivot per shared prefix shingle: as many pairs as rows, however large a group is.
-2. Pairs are verified where the pivot's text is: the texts beside it form a prefix tree of their ordered sets, which is
-   walked with the pivot's set. Texts with an equal beginning share the overlap counted so far, and a branch ends when
-   what is left of either set cannot reach the overlap that the smallest set below it needs.
-3. Links join classes to components. Groups of a prefix shingle that still hold several components give all pairs
-   between different components in which the shared shingle stands early enough for the overlap; these are verified the
-   same way. Pairs inside a component would change nothing.
-
-So no link between different texts is lost for the components, and a group of near copies costs its size.
+"""N-gram Jaccard join by prefix trees of sets in one global order.
+
+A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers. Equal sets are one class from the start.
+
+1. Sets that can link at all. Two linked sets share so many shingles that among the first by hash of each (three tenths
+   of a set) at least 2 in 25 of its size are common. Sets with fewer sampled shingles that any other set samples too
+   are linked with nothing and go no further.
+2. Global order. The number of sets that hold a shingle is counted over all shingles of all sets left. Shingles of one
+   set only cannot be shared; the others come in the order of the power of two of that number, then by hash. A set's
+   path is its shared shingles in this order. A set with less than four fifths of its shingles in its path links with
+   nothing. Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, those of one set included.
+3. Families. Every set meets one pivot per shingle at the beginning of its path: as many pairs as rows, however large a
+   group is. The paths beside a pivot form a prefix tree, which is walked with the pivot's path. Links join to components.
+4. Tree join of what is left. Sets that share such a shingle and lie in several components form a tree of the next
+   ``WINDOW`` shingles of their paths, which every one of them walks. Paths with an equal beginning share the overlap
+   counted so far; a subtree is left when what remains of either set cannot reach the overlap that its smallest set
+   needs, or when it lies in the walker's own component. What is reached is verified as in 3 on whole paths. Large
+   groups are dealt into blocks, and each two blocks are a tree and its walkers. Pairs inside a component would change
+   nothing.
+
+So no link between different texts is lost for the components, a group of near copies costs its size, and many texts
+around one passage, or variants of one text that do not link, give no pairs.
 
 Defined cases: null texts, empty texts and texts without words have no shingles and are linked with nothing; texts of
 fewer words than a shingle have one, all their words; equal texts are linked; a null doc_id comes after all others and
 stands as null where it is the only one; rows with the same doc_id and different texts are rows of their own; an empty
 table gives an empty result; other columns are not read by ``similar_groups`` and pass unchanged through
-``one_of_each_group``. Shingles are compared by hash; 63 bits part those of one pair of texts.
+``one_of_each_group``. Shingles are compared by hash; 57 bits and their place in the order part those of one pair of texts.
 """
 
 from __future__ import annotations
@@ -36,10 +42,11 @@ from gazette.llm.common import bounded_batches, chunks, stored, texts
 from gazette.llm.wordhash import Words, mix
 
 SHINGLE = 5
-COMMON = 1 << 17
+#: Shingles of a path that a tree of step 4 holds, and sets of a tree at most.
+WINDOW = 32
+BLOCK = 1024
 PAIRS_PER_BATCH = 128
 _LAST = np.iinfo(np.int64).max
-_TOP = np.uint64(1 << 63)
 
 
 def needed(a: int, b: int) -> int:
@@ -47,8 +54,9 @@ def needed(a: int, b: int) -> int:
     return -(-4 * (a + b) // 9)
 
 
-def prefix_size(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+def sample_size(n: np.ndarray) -> np.ndarray:
+    """Shingles of a set that stand for it in step 1: those that may be missing in a linked set, and a tenth."""
+    return n // 5 + (n + 9) // 10
 
 
 def shingle_sets(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,169 +91,202 @@ def set_keys(tokens: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.where(size > 0, key, np.uint64(0)).view(np.int64)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that stand in several different sets of a chunk, with the number of sets."""
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text a row (null, set, size, doc_id, mark); per different set of a chunk a row for each sampled shingle."""
+    names = ["token", "set", "size", "doc_id", "mark"]
     for batch in batches:
-        values = texts(batch.column(0))
+        values, ids = texts(batch.column(1)), batch.column(0)
         for a, b in chunks(values):
             tokens, doc, edge = shingle_sets(values[a:b])
-            keys = set_keys(tokens, edge)
-            first = np.zeros(b - a, dtype=bool)
+            keys, size, n = set_keys(tokens, edge), np.diff(edge), b - a
+            marks = pa.array([(zlib.crc32(v or b"") << 31) + len(v or b"") for v in values[a:b]], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), ids.slice(a, n), marks], names)
+            first = np.zeros(n, dtype=bool)
             first[np.unique(keys, return_index=True)[1]] = True
-            found, n = np.unique(tokens[first[doc]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+            some = np.flatnonzero((np.arange(len(tokens)) - edge[doc] < sample_size(size)[doc]) & first[doc])
+            nothing = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[some].view(np.int64)), pa.array(keys[doc[some]]), pa.array(size[doc[some]]), nothing, nothing], names
+            )
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles that come last in the global order, sorted; at most ``COMMON``."""
-    bounded_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_repeated, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    table = counts.filter("n >= 3").orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow()
-    return np.sort(table["token"].to_numpy()).view(np.uint64)
-
-
-def ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Shingles as numbers that sort in the global order: the common ones have the top bit."""
-    if not len(common) or not len(tokens):
-        return tokens
-    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    return np.where(common[at] == tokens, tokens | _TOP, tokens)
-
-
-def _prefixes(common: np.ndarray):
-    """Per text a row (null, set, size, null, doc_id, mark); per different set of a chunk a row for each prefix shingle."""
-
-    names = ["token", "set", "size", "rank", "doc_id", "mark"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, ids = texts(batch.column(1)), batch.column(0)
-            for a, b in chunks(values):
-                tokens, doc, edge = shingle_sets(values[a:b])
-                keys, size = set_keys(tokens, edge), np.diff(edge)
-                n = b - a
-                marks = pa.array([(zlib.crc32(v or b"") << 31) + len(v or b"") for v in values[a:b]], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.array(keys), pa.array(size), pa.nulls(n, pa.int64()), ids.slice(a, n), marks], names
-                )
-                first = np.zeros(n, dtype=bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                tokens = ordered(tokens, common)
-                order = np.lexsort((tokens, doc))
-                rank = np.arange(len(tokens)) - edge[doc]
-                some_at = np.flatnonzero((rank < (size - (4 * size + 4) // 5 + 1)[doc]) & first[doc])
-                some = order[some_at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(tokens[some].view(np.int64)),
-                        pa.array(keys[doc[some]]),
-                        pa.array(size[doc[some]]),
-                        pa.array(rank[some_at]),
-                        pa.nulls(len(some), pa.int64()),
-                        pa.nulls(len(some), pa.int64()),
-                    ],
-                    names,
-                )
-
-    return run
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, size, tokens) of the rows (set, text) whose text has that set."""
+    for batch in batches:
+        keys, values = batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1))
+        for a, b in chunks(values):
+            tokens, _, edge = shingle_sets(values[a:b])
+            good = set_keys(tokens, edge) == keys[a:b]
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(tokens.view(np.int64)))
+            whole = pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.diff(edge)), lists], ["set", "size", "tokens"])
+            yield whole.filter(pa.array(good))
 
 
-class PrefixTree:
-    """Ordered sets as a tree: sets with an equal beginning share a path."""
+class _Node:
+    """Paths that agree up to ``end``: what they share since the node above, bounds of the sets below, paths that end here."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = self._node(order, 0)
-
-    def _node(self, order: list[int], depth: int) -> tuple:
-        """(shared shingles, smallest and largest set below, sets that end here, branches) for sorted sets from a depth on."""
-        low, high = self.sets[order[0]], self.sets[order[-1]]
+    def __init__(self, tree: PrefixTree, order: np.ndarray, depth: int):
+        low, high = tree.paths[order[0]], tree.paths[order[-1]]
         most = min(len(low), len(high)) - depth
         apart = np.flatnonzero(low[depth : depth + most] != high[depth : depth + most])
-        end = depth + (int(apart[0]) if len(apart) else most)
-        here = [i for i in order if len(self.sets[i]) == end]
-        rest, branches = [i for i in order if len(self.sets[i]) > end], []
-        begin = 0
-        for k in range(1, len(rest) + 1):
-            if k == len(rest) or self.sets[rest[k]][end] != self.sets[rest[begin]][end]:
-                branches.append((rest[begin:k], end))
-                begin = k
-        sizes = [len(self.sets[i]) for i in order]
-        return low[depth:end], min(sizes), max(sizes), here, branches
-
-    def linked(self, probe: np.ndarray) -> list[int]:
-        """Numbers of the sets that link with ``probe``."""
-        out, todo, n = [], [(self.root, 0, 0)], len(probe)
+        self.end = depth + (int(apart[0]) if len(apart) else most)
+        self.shared = low[depth : self.end]
+        sizes, roots = tree.sizes[order], tree.roots[order]
+        self.least, self.most = int(sizes.min()), int(sizes.max())
+        self.reach = int((sizes - tree.places[order]).max())
+        self.only = int(roots[0]) if (roots == roots[0]).all() else None
+        ends = tree.length[order] == self.end
+        self.here, self.below, self.branches = order[ends], order[~ends], None
+
+    def nodes(self, tree: PrefixTree) -> list[_Node]:
+        """The nodes below, made when a walk first comes here."""
+        if self.branches is None:
+            following = np.array([tree.paths[i][self.end] for i in self.below])
+            cuts = np.flatnonzero(following[1:] != following[:-1]) + 1
+            self.branches = [_Node(tree, part, self.end) for part in np.split(self.below, cuts) if len(part)]
+        return self.branches
+
+
+class PrefixTree:
+    """Ordered paths of sets as a tree: sets with an equal beginning share a branch.
+
+    A path may be part of its set: ``places`` counts what comes before it, which is taken as shared with no one, and
+    ``sizes`` what the whole set holds. Without these a path is a set. Sets with equal ``roots`` need not be found.
+    """
+
+    def __init__(self, paths: list[np.ndarray], sizes=None, places=None, roots=None):
+        self.paths = paths
+        self.length = np.array([len(path) for path in paths])
+        self.sizes = self.length if sizes is None else np.asarray(sizes)
+        self.places = np.zeros(len(paths), dtype=np.int64) if places is None else np.asarray(places)
+        self.roots = np.arange(len(paths)) if roots is None else np.asarray(roots)
+        order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u8").tobytes())
+        self.top = _Node(self, np.array(order), 0)
+
+    def linked(self, probe: np.ndarray, size: int | None = None, place: int = 0, root: int = -1) -> list[int]:
+        """Numbers of the sets that can reach the overlap a link needs; with whole paths, of those that link."""
+        n = len(probe) if size is None else size
+        more = n - place > len(probe)
+        out, todo = [], [(self.top, 0, 0, 0)]
         while todo:
-            (shared, least, most, here, branches), depth, overlap = todo.pop()
-            left = n
+            node, overlap, missed, passed = todo.pop()
+            if node.only == root or 4 * n > 5 * node.most or 4 * node.least > 5 * n:
+                continue
+            shared = node.shared
             if len(shared):
                 at = np.searchsorted(probe, shared)
-                overlap += int((probe[np.minimum(at, n - 1)] == shared).sum())
-                left = n - int(np.searchsorted(probe, shared[-1], side="right"))
-                depth += len(shared)
-            out += [i for i in here if overlap >= needed(n, len(self.sets[i]))]
-            # Sizes that can link at all, and the overlap that is still in reach.
-            if branches and 4 * n <= 5 * most and 4 * least <= 5 * n and overlap + min(left, most - depth) >= needed(n, max(least, (4 * n + 4) // 5)):
-                todo += [(self._node(order, start), depth, overlap) for order, start in branches]
+                hits = int((probe[np.minimum(at, len(probe) - 1)] == shared).sum())
+                # Behind the end of a cut probe a shingle may still be shared.
+                known = int(np.searchsorted(shared, probe[-1], side="right")) if more else len(shared)
+                overlap, missed = overlap + hits, missed + known - hits
+                passed = int(np.searchsorted(probe, shared[-1], side="right"))
+            left = n - place - (passed - overlap)
+            if min(left, node.reach - missed) < needed(n, max(node.least, (4 * n + 4) // 5)):
+                continue
+            for i in node.here.tolist():
+                m, place_i = int(self.sizes[i]), int(self.places[i])
+                mine = left if m - place_i > self.length[i] else n - place - (len(probe) - overlap)
+                if self.roots[i] != root and min(mine, m - place_i - missed) >= needed(n, m):
+                    out.append(i)
+            todo += [(below, overlap, missed, passed) for below in node.nodes(self)]
         return out
 
 
-def _verify(common: np.ndarray):
-    """The linked pairs among rows (a, text_a, b, text_b); rows of one ``a`` that stand together share a tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            left, right = texts(batch.column(1)), texts(batch.column(3))
-            edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
-            u, v = [], []
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                sets = []
-                for c, d in chunks([left[i], *right[i:j]]):
-                    tokens, doc, at = shingle_sets([left[i], *right[i:j]][c:d])
-                    tokens = ordered(tokens, common)
-                    sets += [np.sort(tokens[at[k] : at[k + 1]]) for k in range(d - c)]
-                found = PrefixTree(sets[1:]).linked(sets[0])
-                u += [a[i]] * len(found)
-                v += [b[i + k] for k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return run
-
-
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, common: np.ndarray, label: str) -> DataFrame:
-    """The pairs (a, b) of classes that link, with the texts of one document of each class."""
-    pairs = stored(pairs, f"{label}-pairs")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(classes, "set").select("set", "first", "mark")
-    plain = F.coalesce("text", F.lit(""))
-    mark = F.shiftleft(F.crc32(F.encode(plain, "UTF-8")), 31) + F.octet_length(plain)
-    source = docs.select("text", F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), mark.alias("mark"))
-    # Repeated rows give a text once; the join has already brought them together.
-    found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set"])
-    found = stored(found.select("set", "text"), f"{label}-texts")
-    bounded_batches(docs.sparkSession)
-    # Texts that share identifier and mark by chance: only the text of the class counts.
-    found = found.mapInArrow(_own_text, "set bigint, text string")
-    with_b = pairs.join(found.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(found.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
-    links = both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(common), "u bigint, v bigint")
-    # Two texts in every row.
-    bounded_batches(docs.sparkSession, PAIRS_PER_BATCH)
-    out = stored(links, f"{label}-links")
-    bounded_batches(docs.sparkSession)
-    return out
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, edge = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The linked pairs among rows (a, size_a, path_a, b, size_b, path_b); rows of one ``a`` that stand together share a tree."""
     for batch in batches:
-        values, keys = texts(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-        good = np.zeros(len(values), dtype=bool)
-        for a, b in chunks(values):
-            tokens, _, edge = shingle_sets(values[a:b])
-            good[a:b] = set_keys(tokens, edge) == keys[a:b]
-        yield batch.filter(pa.array(good))
+        a, size_a, b, size_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+        path_a, path_b = _lists(batch.column(2)), _lists(batch.column(5))
+        edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+        u, v = [], []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if i == j:
+                continue
+            paths, sizes, n = path_b[i:j], size_b[i:j], int(size_a[i])
+            tree = PrefixTree(paths, sizes, sizes - np.array([len(path) for path in paths]))
+            found = tree.linked(path_a[i], n, n - len(path_a[i]))
+            u += [a[i]] * len(found)
+            v += [b[i + k] for k in found]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of sets in different components that the trees of sorted rows do not rule out."""
+    rest = None
+    for batch in batches:
+        rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        rest = rest.combine_chunks()
+        keys = np.stack([rest.column(i).to_numpy() for i in range(3)])
+        edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        if len(edge):
+            yield _walked(rest.slice(0, int(edge[-1])), np.concatenate(([0], edge)).tolist())
+            rest = rest.slice(int(edge[-1]))
+    if rest is not None and rest.num_rows:
+        yield _walked(rest, [0, rest.num_rows])
+
+
+def _walked(rows: pa.Table, edge: list[int]) -> pa.RecordBatch:
+    low, high, block, sets, size, place, root = (rows.column(i).to_numpy() for i in range(1, 8))
+    paths = _lists(pa.concat_arrays(rows.column(8).chunks))
+    u, v = [], []
+    for i, j in zip(edge[:-1], edge[1:]):
+        if (root[i:j] == root[i]).all():
+            continue
+        one = low[i] == high[i]
+        members = np.arange(i, j) if one else i + np.flatnonzero(block[i:j] == high[i])
+        probes = np.arange(i, j) if one else i + np.flatnonzero(block[i:j] == low[i])
+        if not len(members) or not len(probes):
+            continue
+        tree = None
+        for p in probes.tolist():
+            need = -(-4 * (size[members] + size[p]) // 9)
+            fits = (root[members] != root[p]) & (place[members] <= size[members] - need) & (place[p] <= size[p] - need)
+            if not fits.any():
+                continue
+            tree = tree or PrefixTree([paths[k] for k in members], size[members], place[members], root[members])
+            for k in tree.linked(paths[p], int(size[p]), int(place[p]), int(root[p])):
+                if not one or root[p] < root[members[k]]:
+                    u.append(sets[p])
+                    v.append(sets[members[k]])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+
+def _links(pairs: DataFrame, paths: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) of sets that link."""
+    spark = pairs.sparkSession
+    with_b = stored(pairs, f"{label}-pairs").join(paths.toDF("b", "size_b", "path_b"), "b")
+    both = with_b.join(paths.toDF("a", "size_a", "path_a"), "a").select("a", "size_a", "path_a", "b", "size_b", "path_b")
+    # Two sets in every row.
+    bounded_batches(spark, PAIRS_PER_BATCH)
+    out = stored(both.mapInArrow(_verify, "u bigint, v bigint"), f"{label}-links")
+    bounded_batches(spark)
+    return out
+
+
+def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set, size, path) of the sets that can link, steps 1 and 2."""
+    again = samples.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("token")
+    # Equal sets of several chunks count several times, so no set is lost; the path decides exactly.
+    common = samples.join(again, "token").groupBy("set", "size").agg(F.count("*").alias("n")).filter("25 * n >= 2 * size")
+    wanted = stored(common.select("set").join(classes, "set"), "wanted")
+    plain = F.coalesce("text", F.lit(""))
+    mark = F.shiftleft(F.crc32(F.encode(plain, "UTF-8")), 31) + F.octet_length(plain)
+    source = docs.select("text", F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), mark.alias("mark"))
+    # Repeated rows give a text once; texts that share identifier and mark by chance are told apart by their sets.
+    found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set", "text"]).select("set", "text")
+    sets = stored(found.mapInArrow(_own_sets, "`set` bigint, size bigint, tokens array<bigint>"), "sets")
+    single = sets.select("set", "size", F.explode("tokens").alias("token"))
+    # 57 bits of the hash behind the power of two of the frequency; an order for any frequency, as it stays at 31.
+    place = F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint")
+    order = single.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    order = order.select("token", F.shiftleft(place, 57).bitwiseOR(F.shiftright("token", 6)).alias("key"))
+    paths = single.join(order, "token").groupBy("set", "size").agg(F.sort_array(F.collect_set("key")).alias("path"))
+    return stored(paths.filter("5 * size(path) >= 4 * size").select("set", "size", "path"), "paths")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,32 +318,36 @@ def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(set, size, doc_id) per row, and (set, root) for the sets in a link."""
     bounded_batches(docs.sparkSession)
-    common = common_shingles(docs)
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_prefixes(common), "token bigint, `set` bigint, size bigint, `rank` bigint, doc_id bigint, mark bigint"), "prefixes")
+    schema = "token bigint, `set` bigint, size bigint, doc_id bigint, mark bigint"
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_samples, schema), "samples")
     members = rows.filter("token is null").select("set", "size", "doc_id")
     # One document of each class: its smallest identifier, and the mark of its text.
     named = rows.filter("token is null and size > 0").select("set", F.struct(F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), "mark").alias("one"))
     classes = named.groupBy("set").agg(F.min("one").alias("one")).select("set", "one.first", "one.mark")
-    prefixes = rows.filter("token is not null").select("token", "set", "size", "rank")
-    # One pivot per shared shingle.
-    groups = prefixes.groupBy("token").agg(F.min(F.struct("set", "size", "rank")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
-    groups = stored(groups.select("token", F.col("pivot.set").alias("a"), F.col("pivot.size").alias("size_a"), F.col("pivot.rank").alias("rank_a")), "pivots")
-    shared = stored(prefixes.join(groups, "token"), "shared")
-    # Sizes that can link, and a shared shingle so early in both sets that what follows can reach the overlap: the first
-    # shared shingle of a link always stands so.
-    overlap = "((4 * (size + size_a) + 8) div 9)"
-    fits = f"4 * greatest(size_a, size) <= 5 * least(size_a, size) and `rank` <= size - {overlap} and rank_a <= size_a - {overlap}"
-    pairs = shared.filter("a != `set`").filter(fits).select("a", F.col("set").alias("b")).distinct()
-    links = _links(docs, pairs, classes, common, "pivot")
+    paths = ordered_paths(docs, rows.filter("token is not null").select("token", "set", "size"), classes)
+    # The beginning of a path: what of the first n - ceil(0.8 n) + 1 shingles is in it.
+    starts = paths.select("set", "size", "path", F.posexplode(F.expr("slice(path, 1, size(path) - int((4 * size + 4) div 5) + 1)")).alias("at", "token"))
+    starts = starts.select("token", "set", "size", F.expr("size - size(path) + at").alias("place"), F.expr(f"slice(path, at + 1, {WINDOW})").alias("part"))
+    starts = stored(starts, "starts")
+    # One pivot per shingle, where sizes and places let both reach the overlap if it is the first shared one.
+    groups = starts.groupBy("token").agg(F.min(F.struct("set", "size", "place")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
+    groups = groups.select("token", F.col("pivot.set").alias("a"), F.col("pivot.size").alias("size_a"), F.col("pivot.place").alias("place_a"))
+    need = "((4 * (size + size_a) + 8) div 9)"
+    shared = stored(starts.join(groups, "token"), "shared")
+    pairs = shared.filter("a != `set`").filter(f"place <= size - {need} and place_a <= size_a - {need}")
+    links = _links(pairs.select("a", F.col("set").alias("b")).distinct(), paths, "pivot")
     roots = components(links)
-    # What is left: groups that hold several components.
-    placed = _labelled(shared.select("token", "set", "size", "rank"), roots).distinct()
-    mixed = stored(placed, "placed")
-    torn = mixed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    torn = stored(mixed.join(torn, "token"), "torn")
-    other = torn.select("token", F.col("set").alias("b"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_b"))
-    crossing = torn.join(other, "token").filter("root < root_b").filter(fits).select(F.col("set").alias("a"), "b").distinct()
-    more = _links(docs, crossing, classes, common, "cross")
+    # Groups that still hold several components.
+    placed = stored(_labelled(shared.select("token", "set", "size", "place", "part"), roots), "placed")
+    torn = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    torn = torn.filter("low < high").select("token", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
+    dealt = placed.join(torn, "token").withColumn("block", F.expr("pmod(hash(`set`), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    key = ["token", "low", "high"]
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "size", "place", "root", "part")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    walks = dealt.mapInArrow(_walks, "a bigint, b bigint")
+    more = _links(walks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths, "cross")
     return members, components(links.union(more))
 
 
