@@ -6,13 +6,13 @@ A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers
    of a set) at least 2 in 25 of its size are common. Sets with fewer sampled shingles that any other set samples too
    are linked with nothing and go no further.
 2. Global order. The number of sets that hold a shingle is counted over all shingles of all sets left. Shingles of one
-   set only cannot be shared; the others come in the order of the power of two of that number, then by hash. A set's
-   path is its shared shingles in this order. A set with less than four fifths of its shingles in its path links with
+   set only cannot be shared; the others come in the order of that number (in steps of a sixteenth of its power of two),
+   then by hash. A set's path is its shared shingles in this order. A set with less than four fifths of its shingles in its path links with
    nothing. Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, those of one set included.
 3. Families. Every set meets one pivot per shingle at the beginning of its path: as many pairs as rows, however large a
    group is. The paths beside a pivot form a prefix tree, which is walked with the pivot's path. Links join to components.
 4. Tree join of what is left. Sets that share such a shingle and lie in several components form a tree of the next
-   ``WINDOW`` shingles of their paths, which every one of them walks. Paths with an equal beginning share the overlap
+   ``WINDOW`` shingles of their paths, which all but those of the group's largest component walk. Paths with an equal beginning share the overlap
    counted so far; a subtree is left when what remains of either set cannot reach the overlap that its smallest set
    needs, or when it lies in the walker's own component. What is reached is verified as in 3 on whole paths. Large
    groups are dealt into blocks, and each two blocks are a tree and its walkers. Pairs inside a component would change
@@ -25,7 +25,7 @@ Defined cases: null texts, empty texts and texts without words have no shingles
 fewer words than a shingle have one, all their words; equal texts are linked; a null doc_id comes after all others and
 stands as null where it is the only one; rows with the same doc_id and different texts are rows of their own; an empty
 table gives an empty result; other columns are not read by ``similar_groups`` and pass unchanged through
-``one_of_each_group``. Shingles are compared by hash; 57 bits and their place in the order part those of one pair of texts.
+``one_of_each_group``. Shingles are compared by hash; 54 bits and their place in the order part those of one pair of texts.
 """
 
 from __future__ import annotations
@@ -237,22 +237,24 @@ def _walked(rows: pa.Table, edge: list[int]) -> pa.RecordBatch:
     for i, j in zip(edge[:-1], edge[1:]):
         if (root[i:j] == root[i]).all():
             continue
-        one = low[i] == high[i]
-        members = np.arange(i, j) if one else i + np.flatnonzero(block[i:j] == high[i])
-        probes = np.arange(i, j) if one else i + np.flatnonzero(block[i:j] == low[i])
-        if not len(members) or not len(probes):
-            continue
-        tree = None
-        for p in probes.tolist():
-            need = -(-4 * (size[members] + size[p]) // 9)
-            fits = (root[members] != root[p]) & (place[members] <= size[members] - need) & (place[p] <= size[p] - need)
-            if not fits.any():
-                continue
-            tree = tree or PrefixTree([paths[k] for k in members], size[members], place[members], root[members])
-            for k in tree.linked(paths[p], int(size[p]), int(place[p]), int(root[p])):
-                if not one or root[p] < root[members[k]]:
-                    u.append(sets[p])
-                    v.append(sets[members[k]])
+        found, n = np.unique(root[i:j], return_counts=True)
+        major = found[n.argmax()]
+        one, here = low[i] == high[i], np.arange(i, j)
+        members = here if one else here[block[i:j] == high[i]]
+        walkers = here if one else here[block[i:j] == low[i]]
+        # Of two components one is not the largest, so its sets walk; those of both sides where there are two blocks.
+        for walk, stay in [(walkers, members)] if one else [(walkers, members), (members, walkers)]:
+            tree = None
+            for p in walk[root[walk] != major].tolist():
+                need = -(-4 * (size[stay] + size[p]) // 9)
+                fits = (root[stay] != root[p]) & (place[stay] <= size[stay] - need) & (place[p] <= size[p] - need)
+                if not fits.any():
+                    continue
+                tree = tree or PrefixTree([paths[k] for k in stay], size[stay], place[stay], root[stay])
+                for k in tree.linked(paths[p], int(size[p]), int(place[p]), int(root[p])):
+                    if not one or root[stay[k]] == major or root[p] < root[stay[k]]:
+                        u.append(sets[p])
+                        v.append(sets[stay[k]])
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
 
 
@@ -271,8 +273,9 @@ def _links(pairs: DataFrame, paths: DataFrame, label: str) -> DataFrame:
 def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> DataFrame:
     """(set, size, path) of the sets that can link, steps 1 and 2."""
     again = samples.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("token")
+    # Distinct keys, dealt evenly: a partition of them is small, and the larger side needs no sort.
     # Equal sets of several chunks count several times, so no set is lost; the path decides exactly.
-    common = samples.join(again, "token").groupBy("set", "size").agg(F.count("*").alias("n")).filter("25 * n >= 2 * size")
+    common = samples.join(again.hint("shuffle_hash"), "token").groupBy("set", "size").agg(F.count("*").alias("n")).filter("25 * n >= 2 * size")
     wanted = stored(common.select("set").join(classes, "set"), "wanted")
     plain = F.coalesce("text", F.lit(""))
     mark = F.shiftleft(F.crc32(F.encode(plain, "UTF-8")), 31) + F.octet_length(plain)
@@ -281,11 +284,11 @@ def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> Da
     found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set", "text"]).select("set", "text")
     sets = stored(found.mapInArrow(_own_sets, "`set` bigint, size bigint, tokens array<bigint>"), "sets")
     single = sets.select("set", "size", F.explode("tokens").alias("token"))
-    # 57 bits of the hash behind the power of two of the frequency; an order for any frequency, as it stays at 31.
-    place = F.least(F.floor(F.log2("n")), F.lit(31)).cast("bigint")
+    # 54 bits of the hash behind sixteenths of the power of two of the frequency; an order for any frequency below 2**32.
+    place = F.least(F.floor(16 * F.log2("n")), F.lit(511)).cast("bigint")
     order = single.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    order = order.select("token", F.shiftleft(place, 57).bitwiseOR(F.shiftright("token", 6)).alias("key"))
-    paths = single.join(order, "token").groupBy("set", "size").agg(F.sort_array(F.collect_set("key")).alias("path"))
+    order = order.select("token", F.shiftleft(place, 54).bitwiseOR(F.shiftright("token", 9)).alias("key"))
+    paths = single.join(order.hint("shuffle_hash"), "token").groupBy("set", "size").agg(F.sort_array(F.collect_set("key")).alias("path"))
     return stored(paths.filter("5 * size(path) >= 4 * size").select("set", "size", "path"), "paths")
 
 
@@ -345,7 +348,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     key = ["token", "low", "high"]
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "size", "place", "root", "part")
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
     walks = dealt.mapInArrow(_walks, "a bigint, b bigint")
     more = _links(walks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths, "cross")
     return members, components(links.union(more))
