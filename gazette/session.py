@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Set by a local session: over how many partitions small one-file tables are dealt out.
 SPREAD = "spark.gazette.spread"
+#: Where a local session without ``spark.checkpoint.dir``, which cannot be set later, keeps its intermediate tables.
+_OWN_FOLDER = "spark.gazette.folder"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,12 +46,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
     Only a local session may fall back to a temporary folder of the machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gazette-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(_OWN_FOLDER, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
