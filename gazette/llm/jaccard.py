@@ -25,7 +25,7 @@ Defined cases: null texts, empty texts and texts without words have no shingles
 fewer words than a shingle have one, all their words; equal texts are linked; a null doc_id comes after all others and
 stands as null where it is the only one; rows with the same doc_id and different texts are rows of their own; an empty
 table gives an empty result; other columns are not read by ``similar_groups`` and pass unchanged through
-``one_of_each_group``. Shingles are compared by hash; 54 bits and their place in the order part those of one pair of texts.
+``one_of_each_group``. Shingles are compared by hash; 48 bits and their place in the order part those of one pair of texts.
 """
 
 from __future__ import annotations
@@ -284,10 +284,10 @@ def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> Da
     found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set", "text"]).select("set", "text")
     sets = stored(found.mapInArrow(_own_sets, "`set` bigint, size bigint, tokens array<bigint>"), "sets")
     single = sets.select("set", "size", F.explode("tokens").alias("token"))
-    # 54 bits of the hash behind sixteenths of the power of two of the frequency; an order for any frequency below 2**32.
-    place = F.least(F.floor(16 * F.log2("n")), F.lit(511)).cast("bigint")
+    # 48 bits of the hash behind the frequency, in steps of its logarithm that part all counts below 1,400.
+    place = F.least(F.floor(1024 * F.log2("n")), F.lit(32767)).cast("bigint")
     order = single.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    order = order.select("token", F.shiftleft(place, 54).bitwiseOR(F.shiftright("token", 9)).alias("key"))
+    order = order.select("token", F.shiftleft(place, 48).bitwiseOR(F.shiftright("token", 15)).alias("key"))
     paths = single.join(order.hint("shuffle_hash"), "token").groupBy("set", "size").agg(F.sort_array(F.collect_set("key")).alias("path"))
     return stored(paths.filter("5 * size(path) >= 4 * size").select("set", "size", "path"), "paths")
 
