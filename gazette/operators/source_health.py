@@ -1,7 +1,8 @@
-"""Freshness and quality of the sources, from one pass over the events.
+"""Freshness and quality of the sources.
 
-:func:`event_rollup` reduces the events to one row per source before the shuffle, so a source that holds a
-large part of all rows costs no more there than a small one. All counts come from that small table.
+:func:`event_counts` reduces the events to one row per source before the shuffle, so a source that holds a
+large part of all rows costs no more there than a small one. All counts come from that small table;
+:func:`event_rollup` fetches the latest event of each source on top of it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import age_in_days
 from ..functions.text import col, text_or_empty
 from ..sources.config import QualitySettings
+from ..sources.tables import newest_per_key
 from .signals import freshness_limit, missing_models, source_models
 
 # Source states, and those that call for a review.
@@ -46,19 +48,13 @@ _REVIEW = [
 ]
 
 
-def event_rollup(events: DataFrame) -> DataFrame:
-    """Counts and the latest event per source; the newest dated event, on ties the smallest URL."""
-    latest = F.struct(
-        "event_at",
-        "title",
-        "url",
-        "required_field_proxy",
-        "canonical_key",
-        "required_field_gaps",
-    )
-    newest = F.struct(
-        F.coalesce(-F.unix_micros("event_at"), F.lit((1 << 63) - 1)).alias("age"), col("url"), col("event_key")
-    )
+def _age() -> Column:
+    """Orders events from the newest to the undated."""
+    return F.coalesce(-F.unix_micros("event_at"), F.lit((1 << 63) - 1))
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """Counts per source and the ``age`` of its newest event; all of fixed width, so a hash aggregate holds them."""
 
     def key_count(prefix: str, *models: str) -> Column:
         return F.count_if(col("event_model").isin(*models) & col("canonical_key").startswith(prefix))
@@ -77,10 +73,32 @@ def event_rollup(events: DataFrame) -> DataFrame:
         F.count_if(filled("repository")).alias("repositories"),
         F.count_if(filled("benchmark_name") & filled("metric_name") & filled("metric_value")).alias("results"),
         F.sum(F.size("required_field_gaps")).alias("field_gaps"),
-        F.min_by(latest, newest).alias("latest"),
+        F.min(_age()).alias("age"),
     )
 
 
+def event_rollup(events: DataFrame) -> DataFrame:
+    """:func:`event_counts` and the latest event per source; the newest dated event, on ties the smallest URL.
+
+    The counts tell the newest time. Only the events of that time meet them, and of several the first is picked.
+    """
+    latest = F.struct(
+        "event_at",
+        "title",
+        "url",
+        "required_field_proxy",
+        "canonical_key",
+        "required_field_gaps",
+    )
+    rows = events.select(
+        col("source").alias("_source"), col("event_model").alias("_model"), _age().alias("_age"), "event_key", latest.alias("latest")
+    )
+    same = [col(a).eqNullSafe(col(b)) for a, b in (("source", "_source"), ("event_model", "_model"), ("age", "_age"))]
+    newest = event_counts(events).join(rows, same)
+    first = newest_per_key(newest, ["source", "event_model"], col("latest.url"), col("event_key"))
+    return first.drop("_source", "_model", "_age", "event_key", "age")
+
+
 def article_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("source").agg(F.count(F.lit(1)).alias("article_count"))
 
@@ -180,22 +198,22 @@ def status_histogram(rows: DataFrame) -> DataFrame:
     return counts.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def model_histogram(rollup: DataFrame, settings: QualitySettings) -> DataFrame:
+def model_histogram(event_counts: DataFrame, settings: QualitySettings) -> DataFrame:
     """Events per tracked model, zero for a model that does not occur."""
-    spark = rollup.sparkSession
+    spark = event_counts.sparkSession
     models = spark.createDataFrame(list(enumerate(settings.tracked_models)), "position int, event_model string")
-    counts = rollup.groupBy("event_model").agg(F.sum("event_count").alias("n"))
+    counts = event_counts.groupBy("event_model").agg(F.sum("event_count").alias("n"))
     joined = models.join(counts, "event_model", "left")
     return joined.select("event_model", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-def event_summary(rollup: DataFrame, rows: DataFrame, settings: QualitySettings) -> DataFrame:
+def event_summary(event_counts: DataFrame, rows: DataFrame, settings: QualitySettings) -> DataFrame:
     """The thirteen event-quality counts as one row."""
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
 
-    counts = rollup.agg(
+    counts = event_counts.agg(
         total("event_count").alias("research_signal_event_count"),
         total("paper_keys").alias("paper_canonical_key_present_count"),
         total("repository_keys").alias("repository_canonical_key_present_count"),
@@ -220,7 +238,7 @@ def event_summary(rollup: DataFrame, rows: DataFrame, settings: QualitySettings)
 
 def review_items(
     events: DataFrame,
-    rollup: DataFrame,
+    event_counts: DataFrame,
     rows: DataFrame,
     backlog: DataFrame,
     settings: QualitySettings,
@@ -280,7 +298,7 @@ def review_items(
         "latest_title",
         "age_days",
     )
-    absent = missing_models(rollup, settings).select(
+    absent = missing_models(event_counts, settings).select(
         F.lit(2).alias("section"),
         place(col("position")).alias("position"),
         F.lit("missing_event_model").alias("reason"),

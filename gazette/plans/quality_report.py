@@ -36,18 +36,20 @@ def quality_report(
     if events_folder is not None:
         events.write.mode("overwrite").parquet(events_folder)
         events = spark.read.parquet(events_folder)
-    rollup = source_health.event_rollup(events)
-    counts = source_health.article_counts(articles)
-    rows = source_health.source_rows(sources, counts, rollup, settings, as_of=as_of, errors=errors)
+    counts = source_health.event_counts(events)
+    latest = source_health.event_rollup(events)
+    rows = source_health.source_rows(
+        sources, source_health.article_counts(articles), latest, settings, as_of=as_of, errors=errors
+    )
     backlog = backlog_table(spark, settings)
-    summary = source_health.event_summary(rollup, rows, settings)
-    review = source_health.review_items(events, rollup, rows, backlog, settings)
+    summary = source_health.event_summary(counts, rows, settings)
+    review = source_health.review_items(events, counts, rows, backlog, settings)
     return {
         "events": events,
         "sources": rows,
         "summary": summary,
         "statuses": source_health.status_histogram(rows),
-        "models": source_health.model_histogram(rollup, settings),
+        "models": source_health.model_histogram(counts, settings),
         "review": review,
         "backlog": backlog,
     }

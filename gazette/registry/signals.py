@@ -250,7 +250,7 @@ _ROW = (
 
 @register(f"WITH {HEALTH} SELECT {_ROW}, {stamp_sql('latest_event_at')} AS latest_event_at, coalesce(latest_gaps, '') AS latest_gaps FROM rows_v")
 def source_freshness(spark, folder):
-    rows = _source_rows(spark, folder, health.event_rollup(_events(spark, folder)))
+    rows = _source_rows(spark, folder, health.event_rollup(_stored_events(spark, folder)))
     gaps = F.coalesce(F.array_join("latest_required_field_gaps", ","), F.lit(""))
     return rows.select(
         *_ROW.split(", "), stamp("latest_event_at"), gaps.alias("latest_gaps")
@@ -269,17 +269,18 @@ def source_freshness(spark, folder):
   (SELECT count(*) FROM models WHERE event_model NOT IN (SELECT event_model FROM events_v)) AS missing_event_model_count,
   2 AS source_backlog_candidate_count FROM events_v""")
 def event_quality_summary(spark, folder):
-    rollup = health.event_rollup(_stored_events(spark, folder))
-    return health.event_summary(rollup, _source_rows(spark, folder, rollup), SETTINGS)
+    events = _stored_events(spark, folder)
+    rows = _source_rows(spark, folder, health.event_rollup(events))
+    return health.event_summary(health.event_counts(events), rows, SETTINGS)
 
 
 @register(f"""WITH {HEALTH}, s(status) AS (VALUES ('fresh'), ('stale'), ('missing'), ('missing_event'), ('unknown_event_date'), ('not_tracked'), ('skipped_disabled'))
 SELECT 'status' AS kind, s.status AS name, count(r.source) AS n FROM s LEFT JOIN rows_v r USING (status) GROUP BY s.status
 UNION ALL SELECT 'model', m.event_model, count(e.source) FROM models m LEFT JOIN events_v e USING (event_model) GROUP BY m.event_model""")
 def status_histogram(spark, folder):
-    rollup = health.event_rollup(_stored_events(spark, folder))
-    statuses = health.status_histogram(_source_rows(spark, folder, rollup))
-    models = health.model_histogram(rollup, SETTINGS)
+    events = _stored_events(spark, folder)
+    statuses = health.status_histogram(_source_rows(spark, folder, health.event_rollup(events)))
+    models = health.model_histogram(health.event_counts(events), SETTINGS)
     return statuses.select(F.lit("status").alias("kind"), col("status").alias("name"), "n").unionByName(
         models.select(F.lit("model").alias("kind"), col("event_model").alias("name"), "n")
     )
@@ -309,9 +310,9 @@ def review_items_all(spark, folder):
 
 def _review(spark, folder, limit):
     events = _stored_events(spark, folder)
-    rollup = health.event_rollup(events)
-    rows = _source_rows(spark, folder, rollup)
-    return health.review_items(events, rollup, rows, backlog_table(spark, SETTINGS), SETTINGS, limit=limit)
+    counts = health.event_counts(events)
+    rows = _source_rows(spark, folder, health.event_rollup(events))
+    return health.review_items(events, counts, rows, backlog_table(spark, SETTINGS), SETTINGS, limit=limit)
 
 
 @register(f"WITH {HEALTH} SELECT event_model, position FROM models WHERE event_model NOT IN (SELECT event_model FROM events_v)")
@@ -332,9 +333,9 @@ UNION ALL SELECT 'figure', '', '', 'field gaps', (SELECT sum(CASE WHEN gaps = ''
 UNION ALL SELECT 'figure', '', '', 'review', (SELECT count(*) FROM (SELECT * FROM items LIMIT 50))::VARCHAR""")
 def quality_panel(spark, folder):
     events = _stored_events(spark, folder)
-    rollup = health.event_rollup(events)
-    rows = _source_rows(spark, folder, rollup)
-    items = health.review_items(events, rollup, rows, backlog_table(spark, SETTINGS), SETTINGS)
+    counts = health.event_counts(events)
+    rows = _source_rows(spark, folder, health.event_rollup(events))
+    items = health.review_items(events, counts, rows, backlog_table(spark, SETTINGS), SETTINGS)
     blank = F.lit("")
     shown = health.event_panel(events).select(
         F.lit("event").alias("part"), "event_model", "source", col("canonical_key").alias("detail"), col("citations").alias("value")
@@ -342,7 +343,7 @@ def quality_panel(spark, folder):
     review = health.review_panel(items).select(
         F.lit("review").alias("part"), "event_model", "source", "detail", col("reason").alias("value")
     )
-    figures = health.headline_counts(health.event_summary(rollup, rows, SETTINGS), items).select(
+    figures = health.headline_counts(health.event_summary(counts, rows, SETTINGS), items).select(
         F.lit("figure").alias("part"), blank.alias("event_model"), blank.alias("source"), col("figure").alias("detail"),
         col("value").cast("string").alias("value"),
     )
@@ -417,10 +418,10 @@ def quality_run(spark, folder):
 @register(ORACLES["status_histogram"])
 def report_sink(spark, folder):
     """Sections of a report written for the day and as the latest, and read back from there."""
-    rollup = health.event_rollup(_stored_events(spark, folder))
+    events = _stored_events(spark, folder)
     sections = {
-        "statuses": health.status_histogram(_source_rows(spark, folder, rollup)),
-        "models": health.model_histogram(rollup, SETTINGS),
+        "statuses": health.status_histogram(_source_rows(spark, folder, health.event_rollup(events))),
+        "models": health.model_histogram(health.event_counts(events), SETTINGS),
     }
     places = write_report(sections, shared_folder(spark, "reports"), as_of=AS_OF)
     read = {n: spark.read.schema(t.schema).json(f"{places['latest']}/{n}") for n, t in sections.items()}

@@ -89,10 +89,7 @@ def latest_snapshot(spark, folder):
     """One snapshot for each day of collection; the newest is read."""
     place = shared_folder(spark, "daily")
     rows = articles_view(spark, folder).select("link", "title", F.to_date("collected_at").alias("day"))
-    first, last = rows.agg(F.min("day"), F.max("day")).first()
-    for n in range((last - first).days + 1):
-        day = first + dt.timedelta(days=n)
-        tables.write_snapshot(rows.where(col("day") == F.lit(day)).drop("day"), place, day)
+    tables.write_snapshots(rows, place, "day")
     return tables.latest_snapshot(spark, place)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def require_key(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, checked)
 
 
-def newest_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
+def newest_per_key(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """First row per key in the given order; each task keeps one row per key before the shuffle."""
     window = W.partitionBy(key).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
@@ -113,6 +114,24 @@ def write_snapshot(df: DataFrame, root: str, day: dt.date) -> str:
     return folder
 
 
+def write_snapshots(df: DataFrame, root: str, day: str) -> None:
+    """One snapshot for each date in the column ``day``, all written by one job; snapshots of other days stay.
+
+    Spark writes beside the snapshots; each finished day then gets its marker and takes its place by a rename. A day with
+    very many rows is dealt over several tasks. Rows without a day belong to no snapshot.
+    """
+    spark, stage = df.sparkSession, f"{root}/_stage-{uuid.uuid4().hex}"
+    dated = df.where(col(day).isNotNull()).withColumnRenamed(day, "snapshot_date")
+    dated.hint("rebalance", "snapshot_date").write.partitionBy("snapshot_date").parquet(stage)
+    for name in list_names(spark, stage):
+        if _SNAPSHOT.match(name):
+            marker, fs = _path(spark, f"{stage}/{name}/_SUCCESS")
+            fs.create(marker).close()
+            delete_folder(spark, f"{root}/{name}")
+            fs.rename(marker.getParent(), _path(spark, f"{root}/{name}")[0])
+    delete_folder(spark, stage)
+
+
 def snapshot_days(spark: SparkSession, *roots: str) -> dict[dt.date, str]:
     """Committed snapshot folders by day; names that are no dates are passed over."""
     found: dict[dt.date, str] = {}

@@ -221,7 +221,20 @@ def test_rollup_groups_before_the_shuffle(spark):
     rows = article(spark, source="A")
     events = build_events(rows, sources_table(spark, [{"name": "A", "content_type": "preprint"}]), quality_settings({}))
     plan = source_health.event_rollup(events)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan and "CartesianProduct" not in plan
+    assert "partial_min" in plan and "WindowGroupLimit" in plan
+    assert "SortAggregate" not in plan and "CartesianProduct" not in plan
+
+
+def test_latest_event_on_ties_and_without_dates(spark):
+    one, two = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2)
+    data = [("a", "u2", "k", two), ("a", "u1", "z", two), ("a", "u1", "b", two), ("a", "u0", "k", one), ("b", "u9", "k", None), ("b", "u8", "k", None),
+            ("c", "u1", "k", None), ("c", "u2", "k", one)]
+    events = spark.createDataFrame(data, "source string, url string, event_key string, event_at timestamp").selectExpr(
+        "*", "'paper_release' AS event_model", "event_key AS title", "'' AS required_field_proxy", "'paper:x' AS canonical_key", "'x' AS canonical_key_status",
+        "array('doi') AS required_field_gaps", "cast(null AS bigint) AS citation_count", "'' AS repository", "'' AS benchmark_name", "'' AS metric_name", "'' AS metric_value",
+    ).repartition(4)
+    got = {r.source: (r.latest.url, r.latest.title, r.latest.event_at, r.event_count, r.field_gaps) for r in source_health.event_rollup(events).collect()}
+    assert got == {"a": ("u1", "b", two, 4, 4), "b": ("u8", "k", None, 2, 2), "c": ("u2", "k", one, 2, 2)}
 
 
 @pytest.mark.parametrize(

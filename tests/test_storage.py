@@ -117,6 +117,21 @@ def test_snapshots(spark, folder):
     assert tables.list_names(spark, folder) == ["other", "snapshot_date=2026-02-01", "snapshot_date=2026-13-99"]
 
 
+def test_snapshots_of_many_days_in_one_job(spark, folder):
+    tables.write_snapshot(rows(spark, ("a", "kept", NOW)), folder, dt.date(2026, 1, 1))
+    tables.write_snapshot(rows(spark, ("a", "replaced", NOW)), folder, dt.date(2026, 1, 2))
+    days = [(t, d) for t, d in (("b", 2), ("c", 3), ("d", 3)) for _ in range(2)] + [("none", None)]
+    dated = spark.createDataFrame([(t, d and dt.date(2026, 1, d)) for t, d in days], "title string, day date")
+    tables.write_snapshots(dated, folder, "day")
+    found = tables.snapshot_days(spark, folder)
+    assert sorted(d.day for d in found) == [1, 2, 3]
+    titles = {d.day: sorted(r.title for r in spark.read.parquet(f).collect()) for d, f in found.items()}
+    assert titles == {1: ["kept"], 2: ["b", "b"], 3: ["c", "c", "d", "d"]}
+    assert tables.list_names(spark, folder) == [f"snapshot_date=2026-01-0{n}" for n in (1, 2, 3)]
+    tables.write_snapshots(dated.where("false"), folder + "-none", "day")
+    assert tables.latest_snapshot(spark, folder + "-none") is None
+
+
 def test_raw_log(spark, folder):
     article = rows(spark, ("a", "한글 제목", NOW), ("b", "B", None)).withColumns(
         {"summary": F.lit("s"), "source": F.lit("A/B"), "category": F.lit("c")}
