@@ -330,8 +330,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = ordered_paths(docs, rows.filter("token is not null").select("token", "set", "size"), classes)
     # The beginning of a path: what of the first n - ceil(0.8 n) + 1 shingles is in it.
     starts = paths.select("set", "size", "path", F.posexplode(F.expr("slice(path, 1, size(path) - int((4 * size + 4) div 5) + 1)")).alias("at", "token"))
-    starts = starts.select("token", "set", "size", F.expr("size - size(path) + at").alias("place"), F.expr(f"slice(path, at + 1, {WINDOW})").alias("part"))
-    starts = stored(starts, "starts")
+    starts = stored(starts.select("token", "set", "size", F.expr("size - size(path) + at").alias("place")), "starts")
     # One pivot per shingle, where sizes and places let both reach the overlap if it is the first shared one.
     groups = starts.groupBy("token").agg(F.min(F.struct("set", "size", "place")).alias("pivot"), F.max("set").alias("high")).filter("pivot.set < high")
     groups = groups.select("token", F.col("pivot.set").alias("a"), F.col("pivot.size").alias("size_a"), F.col("pivot.place").alias("place_a"))
@@ -341,13 +340,16 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(pairs.select("a", F.col("set").alias("b")).distinct(), paths, "pivot")
     roots = components(links)
     # Groups that still hold several components.
-    placed = stored(_labelled(shared.select("token", "set", "size", "place", "part"), roots), "placed")
+    placed = stored(_labelled(shared.select("token", "set", "size", "place"), roots), "placed")
     torn = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     torn = torn.filter("low < high").select("token", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
     dealt = placed.join(torn, "token").withColumn("block", F.expr("pmod(hash(`set`), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     key = ["token", "low", "high"]
-    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "size", "place", "root", "part")
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "size", "place", "root")
+    # Only what is walked carries shingles.
+    part = F.expr(f"slice(path, int(place - size + size(path)) + 1, {WINDOW})").alias("part")
+    dealt = dealt.join(paths.select("set", "path"), "set").select(*key, "block", "set", "size", "place", "root", part)
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
     walks = dealt.mapInArrow(_walks, "a bigint, b bigint")
     more = _links(walks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths, "cross")
