@@ -43,7 +43,7 @@ from gazette.llm.wordhash import Words, mix
 
 SHINGLE = 5
 #: Shingles of a path that a tree of step 4 holds, and sets of a tree at most.
-WINDOW = 32
+WINDOW = 96
 BLOCK = 1024
 PAIRS_PER_BATCH = 128
 _LAST = np.iinfo(np.int64).max
