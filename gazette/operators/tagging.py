@@ -14,15 +14,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import WORD, col, escape_regex, text_or_empty
 from ..sources.config import Keyword
 
 ROW_LOCAL, JOINED = "row_local", "joined"
 
-_DICTIONARY = "entity string, pos int, keyword string, anchor string, pattern string"
+_NAMES = ("entity", "pos", "keyword", "anchor", "pattern")
 
 
 def _whole_word(keyword: str) -> str:
@@ -68,28 +70,33 @@ def _found_anchors(words: Column, entries: list[tuple]) -> Column:
     return F.array_intersect(words, F.array(*[F.lit(a) for a in anchors]).cast("array<string>"))
 
 
-def _hits_in_row(lowered: Column, found: Column, entries: list[tuple]) -> Column:
-    anchored, free = _split(entries)
+def _literal(rows: list[tuple]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).cast("int" if n == "pos" else "string").alias(n) for n, v in zip(_NAMES, r)]) for r in rows])
+
 
-    def literal(rows: list[tuple]) -> Column:
-        names = ("entity", "pos", "keyword", "anchor", "pattern")
-        return F.array(*[F.struct(*[F.lit(v).cast("int" if n == "pos" else "string").alias(n) for n, v in zip(names, r)]) for r in rows])
+def _dictionary(spark: SparkSession, entries: list[tuple]) -> DataFrame:
+    """The entries as a table; from Arrow its size is known, so a small one is broadcast."""
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    return spark.createDataFrame(pa.table({n: pa.array(v, k) for n, v, k in zip(_NAMES, zip(*entries), kinds)}))
 
+
+def _hits_in_row(lowered: Column, found: Column, entries: list[tuple]) -> Column:
+    anchored, free = _split(entries)
     hits = []
     if anchored:
         hits.append(
             F.when(
                 F.size(found) > 0,
                 F.filter(
-                    literal(anchored),
+                    _literal(anchored),
                     lambda d: F.array_contains(found, d["anchor"])
                     & _verified(lowered, d["anchor"], d["keyword"], d["pattern"]),
                 ),
-            ).otherwise(F.filter(literal(anchored[:1]), lambda d: F.lit(False)))
+            ).otherwise(F.filter(_literal(anchored[:1]), lambda d: F.lit(False)))
         )
     if free:
         hits.append(
-            F.filter(literal(free), lambda d: _verified(lowered, d["anchor"], d["keyword"], d["pattern"]))
+            F.filter(_literal(free), lambda d: _verified(lowered, d["anchor"], d["keyword"], d["pattern"]))
         )
     pairs = [F.transform(h, lambda d: F.struct(d["pos"], d["entity"], d["keyword"])) for h in hits]
     return F.array_sort(pairs[0] if len(pairs) == 1 else F.concat(*pairs))
@@ -129,35 +136,30 @@ def tag_articles(
 
 
 def _tag_by_join(articles: DataFrame, entries: list[tuple], key: str) -> DataFrame:
-    spark = articles.sparkSession
-    dictionary = spark.createDataFrame(entries, _DICTIONARY)
-    texts = articles.select(key, F.lower(tag_text("title", "summary")).alias("_text"))
-    words = texts.select(key, "_text", F.explode_outer(F.array_distinct(word_runs(col("_text")))).alias("anchor"))
-    anchored = dictionary.where("anchor is not null")
-    found = words.join(anchored, "anchor").where(_verified(col("_text"), col("anchor"), col("keyword"), col("pattern")))
-    hits = found.select(key, F.struct("pos", "entity", "keyword").alias("hit"))
-    free = [e for e in entries if e[3] is None]
+    """Only keys and words meet the dictionary; a text then meets once what the words of its key found there."""
+    anchored, free = _split(entries)
+    rows = articles.withColumn("_lowered", F.lower(tag_text("title", "summary")))
+    tried = []
+    if anchored:
+        dictionary = _dictionary(articles.sparkSession, anchored)
+        listed = dictionary.groupBy("anchor").agg(F.collect_list(F.struct("entity", "pos", "keyword", "anchor", "pattern")).alias("entries"))
+        words = rows.where(col(key).isNotNull()).select(key, F.explode(F.array_distinct(word_runs(col("_lowered")))).alias("anchor"))
+        # A set, as several rows of a key may have the same word.
+        found = words.join(listed, "anchor").groupBy(key).agg(F.flatten(F.collect_set("entries")).alias("_listed"))
+        rows = rows.join(found, key, "left")
+        # Asked twice, so that it is a column and not worked out anew for each entry.
+        rows = rows.withColumn("_own", F.array_intersect(word_runs(col("_lowered")), F.transform("_listed", lambda d: d["anchor"])))
+        none = F.filter(_literal(anchored[:1]), lambda d: F.lit(False))
+        held = F.filter("_listed", lambda d: F.array_contains("_own", d["anchor"]) & _verified(col("_lowered"), d["anchor"], d["keyword"], d["pattern"]))
+        tried.append(F.when(F.size("_own") > 0, held).otherwise(none))
     if free:
         # Keywords without an anchor are tried on each text where it lies; they never pair rows up.
-        literal = F.array(
-            *[
-                F.when(
-                    _verified(col("_text"), F.lit(None), F.lit(e[2]), F.lit(e[4]).cast("string")),
-                    F.struct(F.lit(e[1]).alias("pos"), F.lit(e[0]).alias("entity"), F.lit(e[2]).alias("keyword")),
-                )
-                for e in free
-            ]
-        )
-        tried = texts.select(key, F.explode_outer(F.filter(literal, lambda h: h.isNotNull())).alias("hit"))
-        hits = hits.unionByName(tried.where("hit is not null"))
-    # One list per article, never longer than the dictionary.
-    per_article = hits.groupBy(key).agg(F.array_sort(F.collect_list("hit")).alias("_hits"))
-    empty = F.expr("cast(map() as map<string,array<string>>)")
-    return (
-        articles.join(per_article, key, "left")
-        .withColumn("matched_entities", F.coalesce(_entity_map(col("_hits")), empty))
-        .drop("_hits")
-    )
+        tried.append(F.filter(_literal(free), lambda d: _verified(col("_lowered"), d["anchor"], d["keyword"], d["pattern"])))
+    hits = [F.transform(h, lambda d: F.struct(d["pos"], d["entity"], d["keyword"])) for h in tried]
+    rows = rows.withColumn("_hits", F.when(col(key).isNotNull(), hits[0] if len(hits) == 1 else F.concat(*hits)))
+    # Rows of one key share their hits. They lie together already, so the window moves no text again.
+    rows = rows.withColumn("_hits", F.array_sort(F.flatten(F.collect_list("_hits").over(W.partitionBy(key)))))
+    return rows.withColumn("matched_entities", _entity_map(col("_hits"))).select(*articles.columns, "matched_entities")
 
 
 def entity_rows(tagged: DataFrame, *keep: Column | str) -> DataFrame:

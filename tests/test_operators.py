@@ -36,6 +36,18 @@ def tags(spark, title, entities, summary="", **options):
     return rows.first()["matched_entities"]
 
 
+def test_joined_tagging_carries_no_text_with_words(spark):
+    """Only key and word meet the dictionary; rows of a key share their hits, rows without a key have none."""
+    rows = [("k", "ai and cloud", "x"), ("k", "ai 인공지능", ""), (None, "ai", ""), ("m", None, "cloud of rain")]
+    words = [{"name": "e", "keywords": ["ai", "cloud of", "인공지능", "--"]}]
+    tagged = tagging.tag_articles(spark.createDataFrame(rows, "link string, title string, summary string"), keywords_of(words), plan=tagging.JOINED)
+    got = sorted((r.link or "", r.title or "", r.matched_entities) for r in tagged.collect())
+    both = {"e": ["ai", "ai", "인공지능"]}
+    assert got == [("", "ai", {}), ("k", "ai and cloud", both), ("k", "ai 인공지능", both), ("m", "", {"e": ["cloud of"]})]
+    carried = re.findall(r"Generate explode\(array_distinct.*?\), \[([^\]]*)\]", tagged._jdf.queryExecution().executedPlan().toString())
+    assert carried and all(re.fullmatch(r"link#\d+", c) for c in carried)
+
+
 @pytest.mark.parametrize("plan", [tagging.ROW_LOCAL, tagging.JOINED])
 def test_tagging(spark, plan):
     topic = [{"name": "topic", "keywords": ["AI", "cloud", "", "ai"]}, {"name": "lang", "keywords": ["python"]}]
