@@ -4,7 +4,8 @@ Each batch adds folders and changes none:
 
 - ``documents/batch=N/slot=S``: the words of each document of the batch and their number, by hash of the key;
 - ``postings/batch=N/bucket=B``: one row per word with the length of its document, by hash of the first character of
-  the term and sorted by term, so that words and prefixes both read few files;
+  the term. Each file holds the words of some documents sorted by term, so that words and prefixes both read few pages
+  of it, a batch writes its words where it reads them, and a frequent term lies in many files;
 - ``gone/batch=N``: the stored keys that the batch replaces or deletes;
 - ``terms/batch=N/bucket=B`` and ``totals/batch=N``: what the batch changes in the documents and occurrences of
   terms, and in the number of documents and words;
@@ -35,6 +36,8 @@ _SCHEMAS = {
     "totals": "documents bigint, words bigint, batch int",
 }
 _LAST = chr(0x10FFFF)
+#: Bytes of stored documents whose words one task sorts: some five million words, which need no spilling.
+_SORTED = 16 << 20
 
 
 def _unique(documents: DataFrame) -> DataFrame:
@@ -82,9 +85,10 @@ class SearchIndex:
         return self.spark.read.schema(_SCHEMAS[kind]).option("basePath", f"{self.root}/{kind}").parquet(*paths)
 
     def _write(self, rows: DataFrame, kind: str, number: int, *parts: str) -> None:
-        # Rows of a part come together first, so a batch adds few files.
-        rows = rows.repartition(*parts) if parts and kind != "postings" else rows
-        writer = rows.write.mode("error")
+        # Rows of a part come together first, so a batch adds few files; a large part fills several.
+        rows = rows.hint("rebalance", *parts) if parts and kind != "postings" else rows
+        # Row groups of documents are the parts in which their words are read.
+        writer = rows.write.mode("error").option("parquet.block.size", _SORTED if kind == "documents" else 128 << 20)
         (writer.partitionBy(*parts) if parts else writer).parquet(f"{self.root}/{kind}/batch={number}")
 
     def _read(self, kind: str, number: int) -> DataFrame:
@@ -128,9 +132,14 @@ class SearchIndex:
 
     def _write_postings(self, documents: DataFrame, number: int) -> None:
         places = ops.word_places(documents, "length").withColumn("bucket", self._bucket())
-        # Ranges of term and document, so that a frequent term fills several files.
-        ordered = places.repartitionByRange("bucket", "term", "doc_key").sortWithinPartitions("bucket", "term", "doc_key")
-        self._write(ordered, "postings", number, "bucket")
+        # Each task sorts the words of its own documents, so none is moved, and reads no more of them than it can sort.
+        most = "spark.sql.files.maxPartitionBytes"
+        before = self.spark.conf.get(most)
+        self.spark.conf.set(most, _SORTED)
+        try:
+            self._write(places.sortWithinPartitions("bucket", "term"), "postings", number, "bucket")
+        finally:
+            self.spark.conf.set(most, before)
 
     def compact(self) -> int:
         """Write what counts as one batch, which then stands for all before it, and delete those."""
@@ -211,8 +220,14 @@ class SearchIndex:
 
 
 def _term_counts(signed: DataFrame) -> DataFrame:
-    """``term, documents, occurrences`` that documents with a sign add up to; terms that do not change are left out."""
-    places = ops.word_places(signed, "sign")
-    each = places.groupBy("term", "doc_key", "sign").agg(F.count(F.lit(1)).alias("n"))
-    sums = each.groupBy("term").agg(F.sum("sign").alias("documents"), F.sum(col("sign") * col("n")).alias("occurrences"))
+    """``term, documents, occurrences`` that documents with a sign add up to; terms that do not change are left out.
+
+    The words of a document are sorted where it lies, so that the first of each term counts the document, and only sums
+    per term are moved.
+    """
+    words = signed.select("sign", F.sort_array(F.flatten(F.transform("fields", lambda f: f["words"]))).alias("words"))
+    listed = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.coalesce(w != F.get("words", i - 1), F.lit(True)).alias("is_first")))
+    each = words.select("sign", F.explode(listed).alias("w")).select("sign", "w.*")
+    documents = F.sum(F.when(col("is_first"), col("sign")).otherwise(0))
+    sums = each.groupBy("term").agg(documents.alias("documents"), F.sum("sign").cast("bigint").alias("occurrences"))
     return sums.where("documents <> 0 or occurrences <> 0")

@@ -16,7 +16,7 @@ from gazette.operators import duplicates, graph, quality_checks, recency, search
 from gazette.operators.read_only_sql import REFUSED, REFUSED_CALL, read_only_sql
 from gazette.operators.signals import build_events, with_identifiers
 from gazette.plans.quality_report import quality_report, write_report
-from gazette.sources.search_index import SearchIndex
+from gazette.sources.search_index import SearchIndex, _term_counts
 from gazette.sources.config import category_from, keywords_of, quality_settings, sources_table
 
 ARTICLE = "link string, title string, summary string, published timestamp, source string, category string, collected_at timestamp"
@@ -410,6 +410,36 @@ def test_stored_index(spark, folder):
     same([now[0], ("c", "red", "", ""), *now[2:]])
 
 
+def test_a_large_slot_fills_several_files_sorted_by_term(spark, folder):
+    rows = [(f"d{i}", f"t{i}", " ".join(f"w{(i * 31 + j) % 977}" for j in range(400)), "") for i in range(300)]
+    index = SearchIndex(spark, folder, parts=1)
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        index.upsert(spark.createDataFrame(rows, "doc_key string, title string, abstract string, authors string"))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len([f for f in os.listdir(f"{folder.removeprefix('file://')}/documents/batch=1/slot=0") if f.endswith(".parquet")]) > 1
+    for name in os.listdir(f"{folder.removeprefix('file://')}/postings/batch=1/bucket=0"):
+        if name.endswith(".parquet"):
+            terms = [r.term for r in spark.read.parquet(f"{folder}/postings/batch=1/bucket=0/{name}").select("term").collect()]
+            assert terms == sorted(terms)
+    assert index.terms().agg(F.sum("occurrences")).first()[0] == 300 * 401
+    assert index.corpus().first().n == 300
+
+
+def test_term_counts_move_sums_only(spark):
+    """Words of a document are counted where it lies, however often they stand there; a negative sign takes them off."""
+    fields = [("title", ["b", "a", "b"]), ("abstract", ["b"]), ("authors", [])]
+    rows = [("x", fields, 1), ("y", [("title", ["a", "c"])], 1), ("z", [("title", ["c", "c"])], -1), ("v", [], 1)]
+    signed = spark.createDataFrame(rows, "doc_key string, fields array<struct<field: string, words: array<string>>>, sign int")
+    counts = _term_counts(signed)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, counts.collect())) == [("a", 2, 2), ("b", 1, 3), ("c", 0, -1)]
+
+
 def test_index_reads_only_the_parts_of_its_terms(spark, folder):
     index = SearchIndex(spark, folder, parts=8)
     index.upsert(spark.createDataFrame(DOCS, "doc_key string, title string, abstract string, authors string"))
