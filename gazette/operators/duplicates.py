@@ -1,30 +1,29 @@
 """Exact and near duplicates by title and URL.
 
-Near duplicates are a join of distinct (authority, title, path) rows, so a group of copies of any size counts
-as one row. Candidates share a signature, pass cheap bounds on columns, and are then verified with the
-matching-blocks ratio. No step loses a pair.
-
-Signature. With ``M`` characters in matching blocks the ratio is ``2M / (a + b)``, and ``M`` cannot exceed the
-overlap of the two bags of characters. Between two blocks lies a character without a match, so there are at most
-``a + b - 2M + 1`` blocks, and the texts share at least ``3M - a - b - 1`` bigrams. Both are overlaps of token
-sets ((character, occurrence) and (bigram, occurrence)), so the published prefix filter for set-similarity joins
-applies: with all tokens in one fixed order, two texts that overlap enough share a token among the first
-``n - overlap + 1`` of each. Bigrams are ordered by the number of texts that have them, rarest first, counted over all
-texts. Pairs so short that they need no common bigram meet by their characters instead.
-
-Bounds. Lengths; the places of the shared token, as what follows it in either text has to reach the overlap; the overlap
-of the bags and that of the bigrams.
-
-Skew. Rows that share a token on one host are dealt out in blocks of about ``BLOCK`` rows, and each two blocks meet in a
-key of their own, so a host or a token of any size is many keys. Only numbers cross that join.
+Near duplicates are found among the distinct texts of one authority, so a group of copies of any size counts as one
+text. No step loses a pair.
+
+Bounds. With ``M`` characters in matching blocks the ratio is ``2M / (a + b)``. ``M`` cannot exceed the shorter length, nor
+the overlap of the two bags of characters. Between two blocks lies a character without a match, so there are at most
+``a + b - 2M + 1`` blocks, and the texts share at least ``3M - a - b - 1`` bigrams. Counts over groups of characters, or of
+bigrams, are never below the overlap, so they bound it as well. Matching blocks are a common subsequence, so ``M`` cannot
+exceed the longest one, which is far quicker to find.
+
+Blocks. Similar texts are close in length: they lie in one of ``BANDS`` + 1 neighbouring bands of lengths. The texts of a band
+are dealt into blocks of about ``BLOCK`` rows, and each two blocks of neighbouring bands are a key of their own, whose counts
+are compared as matrices of small numbers. So a host of any size is many keys of a bounded size, and only what passes all
+bounds is compared as text. The comparisons grow with the square of the texts of one host, as their pairs do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -34,67 +33,162 @@ from ..functions.text import col, normalise_title, text_or_empty
 from ..functions.urls import split_url
 from ..session import shared_folder
 
-BLOCK = 512
-
-# Rare characters first. Any fixed order is exact; this one only makes shared tokens rarer.
+#: Rows and characters of a block, rows of one title that meet in a key, and bands up to the least length of a similar text.
+BLOCK = 4096
+CHARACTERS = 1 << 21
+MEMBERS = 512
+BANDS = 2
+#: Longest text whose common subsequences are found first; of two texts the shorter one counts.
+LONG = 4096
+#: Rows whose counts are compared with a block at once, and pairs whose bigrams are.
+TILE, COLUMNS = 128, 2048
+_KNOWN = 1 << 16
+
+# Characters with a count of their own; all others share the rest of the counts.
 _COMMON = "eatoinsrlhducmpgfy-/ wbvkxjqz0123456789._"
+_GROUPS, _BIGRAM_GROUPS = 64, 512
+_SMALL = 1e-9
 
 
-def _tokens(text: Column) -> Column:
-    """All (character, occurrence) tokens of a text as numbers, rare characters and high occurrences first."""
-    characters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    # Characters outside the list get place 0 and come first; then the list from its rare end.
-    ranked = F.array_sort(
-        F.transform(
-            characters,
-            lambda c: F.struct(
-                F.when(F.lit(_COMMON).contains(c), F.lit(len(_COMMON) + 1) - F.position(c, F.lit(_COMMON)))
-                .otherwise(0)
-                .alias("place"),
-                F.ascii(c).cast("bigint").alias("code"),
-                (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n"),
-            ),
-        )
-    )
-    return F.flatten(
-        F.transform(
-            ranked,
-            lambda r: F.transform(F.sequence(r["n"], F.lit(1), F.lit(-1)), lambda k: r["code"] * 1048576 + k),
-        )
-    )
+def _places(text: str) -> dict[str, int]:
+    """The places of each character of a text as the bits of a number."""
+    places = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
 
 
-def _sorted_bigrams(text: Column) -> Column:
-    n = F.length(text)
-    listed = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))
-    return F.array_sort(F.coalesce(listed, F.array().cast("array<string>")))
+def _common_subsequence(places: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of a text and one of ``n`` characters, a row of the table as one number."""
+    full = (1 << n) - 1
+    row = full
+    for c in text:
+        here = row & places.get(c, 0)
+        row = ((row + here) | (row - here)) & full
+    return n - row.bit_count()
 
 
-def _numbered(bigrams: str) -> Column:
-    """(bigram, occurrence) tokens of a column of sorted bigrams."""
-    return F.transform(bigrams, lambda g, i: F.xxhash64(g, i - F.array_position(col(bigrams), g)))
+def _ratio(left: str, right: str) -> float:
+    return SequenceMatcher(None, left, right).ratio()
 
 
 @pandas_udf(DoubleType())
 def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of two texts, in this order; 1 for two empty ones."""
+    """Matching-blocks ratio of two texts, in this order; 1 for two empty ones. Repeated pairs are compared once."""
+    known = {}
     for left, right in batches:
-        yield pd.Series(
-            [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], index=left.index, dtype="float64"
-        )
-
-
-def _bag_bound(name: str, threshold: float) -> Column:
-    """The bags of characters overlap enough for the ratio."""
-    left, right = col(f"left_{name}_tokens"), col(f"right_{name}_tokens")
-    return 2 * F.size(F.array_intersect(left, right)) >= (F.size(left) + F.size(right)) * F.lit(threshold) - F.lit(1e-9)
-
-
-def _bigram_bound(name: str, threshold: float) -> Column:
-    """The texts share as many bigrams as the ratio asks for."""
-    total = F.length(f"left_{name}") + F.length(f"right_{name}")
-    shared = F.size(F.array_intersect(f"left_{name}_bigrams", f"right_{name}_bigrams"))
-    return shared >= total * F.lit(1.5 * threshold - 1) - F.lit(1 + 1e-9)
+        ratios = []
+        for pair in zip(left, right):
+            if pair not in known:
+                if len(known) >= _KNOWN:
+                    known.clear()
+                known[pair] = _ratio(*pair)
+            ratios.append(known[pair])
+        yield pd.Series(ratios, index=left.index, dtype="float64")
+
+
+class _Counts:
+    """Texts in the order of their lengths, with counts of their characters and bigrams by group."""
+
+    def __init__(self, rows: np.ndarray, texts: list[str]):
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        order = np.argsort(n, kind="stable")
+        self.rows, self.n, self.texts = rows[order], n[order], [texts[i] for i in order.tolist()]
+        self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.owner = np.repeat(np.arange(len(texts)), self.n)
+        own = np.full(128, -1, dtype=np.int64)
+        own[[ord(c) for c in _COMMON]] = np.arange(len(_COMMON))
+        groups = own[np.minimum(self.codes, 127)]
+        others = len(_COMMON) + self.codes % (_GROUPS - len(_COMMON))
+        self.characters = self._counted(self.owner, np.where((self.codes < 127) & (groups >= 0), groups, others), _GROUPS).T.copy()
+        self._bigrams = None
+
+    def _counted(self, owner: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """Counts per text and group, in the smallest type that holds the longest text."""
+        kind = np.min_scalar_type(int(self.n.max(initial=0)))
+        out = np.empty((len(self.n), groups), dtype=kind)
+        for a in range(0, len(self.n), 1024):
+            b = min(a + 1024, len(self.n))
+            x, y = np.searchsorted(owner, [a, b])
+            out[a:b] = np.bincount((owner[x:y] - a) * groups + group[x:y].astype(np.int64), minlength=(b - a) * groups).reshape(b - a, groups)
+        return out
+
+    @property
+    def bigrams(self) -> np.ndarray:
+        if self._bigrams is None:
+            inside = self.owner[1:] == self.owner[:-1]
+            pair = (self.codes[:-1].astype(np.uint64) << np.uint64(21)) + self.codes[1:]
+            pair = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+            self._bigrams = self._counted(self.owner[:-1][inside], pair[inside], _BIGRAM_GROUPS)
+        return self._bigrams
+
+
+def _candidates(left: _Counts, right: _Counts, threshold: float, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that the bounds do not rule out, each pair once; ``one`` block is both sides."""
+    if not len(left.n) or not len(right.n):
+        return
+    totals = np.arange(int(left.n[-1] + right.n[-1]) + 1)
+    need = np.ceil((threshold * totals - _SMALL) / 2).astype(np.int32)
+    grams = np.ceil((1.5 * threshold - 1) * totals - 1 - _SMALL).astype(np.int64)
+    share = threshold / (2 - threshold)
+    groups = np.flatnonzero(left.characters.any(axis=1) & right.characters.any(axis=1))
+    for a in range(0, len(left.n), TILE):
+        n = left.n[a : a + TILE]
+        x = max(int(np.searchsorted(right.n, math.ceil(n[0] * share - _SMALL))), a if one else 0)
+        y = int(np.searchsorted(right.n, n[-1] / share + _SMALL if share else np.inf, side="right"))
+        # Few enough columns at once for the counts to stay in the cache.
+        for x in range(x, y, COLUMNS):
+            z = min(x + COLUMNS, y)
+            most = min(int(n[-1]), int(right.n[z - 1]))
+            shared = np.zeros((len(n), z - x), dtype=np.min_scalar_type(most))
+            for g in groups.tolist():
+                shared += np.minimum(left.characters[g, a : a + TILE, None], right.characters[g, None, x:z]).astype(shared.dtype, copy=False)
+            i, j = np.nonzero(shared >= need[n[:, None] + right.n[None, x:z]])
+            i, j = i + a, j + x
+            if one:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 4096):
+                u, v = i[k : k + 4096], j[k : k + 4096]
+                few = grams[left.n[u] + right.n[v]]
+                good = few <= 0
+                some = np.flatnonzero(~good)
+                good[some] = np.minimum(left.bigrams[u[some]], right.bigrams[v[some]]).sum(axis=1, dtype=np.int64) >= few[some]
+                yield u[good], v[good]
+
+
+def _compared(threshold: float, both: bool) -> Callable[[pa.Table], pa.Table]:
+    """The similar pairs of a key's rows (side, row, text): 0 is one block with itself, 1 and 2 are two blocks."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        side, rows = table.column("side").to_numpy(), table.column("row").to_numpy()
+        texts, within = table.column("text").to_pylist(), table.column("within")[0].as_py()
+        one = bool((side == 0).any())
+        parts = []
+        for s in (0,) if one else (1, 2):
+            at = np.flatnonzero(side == s)
+            parts.append(_Counts(rows[at], [texts[i] for i in at.tolist()]))
+        left, right = parts[0], parts[-1]
+        found = []
+        last, masks = None, None
+        for u, v in _candidates(left, right, threshold, one):
+            for i, j in zip(u.tolist(), v.tolist()):
+                n, m = int(left.n[i]), int(right.n[j])
+                if min(n, m) <= LONG:
+                    if i != last:
+                        last, masks = i, _places(left.texts[i])
+                    if 2 * _common_subsequence(masks, n, right.texts[j]) < threshold * (n + m) - _SMALL:
+                        continue
+                a, b = (int(left.rows[i]), left.texts[i]), (int(right.rows[j]), right.texts[j])
+                a, b = min(a, b), max(a, b)
+                ratio = _ratio(a[1], b[1])
+                back = _ratio(b[1], a[1]) if both else ratio
+                if max(ratio, back) >= threshold:
+                    found.append((within, a[0], b[0], ratio, back))
+        columns = list(zip(*found)) or [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["within", "a_row", "b_row", "ratio", "back"])
+
+    return pairs
 
 
 def with_duplicate_keys(articles: DataFrame) -> DataFrame:
@@ -111,60 +205,33 @@ def exact_duplicates(articles: DataFrame) -> DataFrame:
     return keyed.agg(F.count(F.lit(1)).alias("copies"), F.min("link").alias("first_link")).where("copies > 1")
 
 
-def _similar(rows: DataFrame, text: str, threshold: float, *, within: str, also: list[str] | None = None, fits: Column | None = None) -> DataFrame:
-    """``within, a_row, b_row`` of rows (``row``, ``within``, a text and its ``_tokens`` and ``_bigrams``) equal in ``within``
-    whose texts may reach the ratio, each pair once.
+def _similar(rows: DataFrame, text: str, threshold: float, *, within: str, both: bool = False) -> DataFrame:
+    """``within, a_row, b_row, ratio, back`` of the rows (``row``, ``within``, a text), different in their texts where
+    equal in ``within``, whose texts reach the ratio, each pair once with the smaller row as ``a``.
 
-    ``also`` are numbers that cross the join as ``a_…`` and ``b_…`` for the condition ``fits``.
+    ``back`` is the ratio of ``b`` with ``a``; with ``both`` one of the two ratios is enough.
     """
-    also = also or []
-    n, share, slope = F.length(text), threshold / (2 - threshold), 1.5 * threshold - 1
-    small = F.lit(1e-9)
-
-    def common(total: Column) -> Column:
-        """Bigrams that texts of this length together have to share."""
-        return F.ceil(total * F.lit(slope) - 1 - small)
-
-    sized = rows.select("row", within, n.alias("n"), *also, f"{text}_tokens", f"{text}_bigrams")
-    least, most = F.ceil(col("n") * F.lit(share) - small), F.floor(col("n") / F.lit(share) + small)
-    # Bigrams in the order of how many texts have them.
-    spread = sized.select("row", F.explode(f"{text}_bigrams").alias("token"))
-    counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
-    ranked = spread.join(counts, "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("ranked"))
-    need = F.greatest(common(col("n") + least), F.lit(1))
-    by_bigram = sized.where(common(col("n") + most) >= 1).join(ranked, "row")
-    by_bigram = by_bigram.withColumn("size", F.size("ranked")).withColumn("prefix", F.slice("ranked", F.lit(1), F.greatest(col("size") - need + 1, F.lit(0)).cast("int")))
-    by_bigram = by_bigram.select("row", within, "n", *also, "size", F.posexplode("prefix").alias("place", "t"))
-    by_bigram = by_bigram.select("row", within, "n", *also, "size", "place", F.lit(True).alias("bigram"), col("t.token").alias("token"))
-    # Short texts by their characters; the empty text has one token of its own.
-    kept = F.slice(f"{text}_tokens", F.lit(1), (col("n") - least + 1).cast("int"))
-    by_character = sized.where(common(col("n") + least) < 1)
-    prefix = F.when(col("n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(kept)
-    by_character = by_character.select("row", within, "n", *also, F.lit(0).alias("size"), F.lit(0).alias("place"), F.lit(False).alias("bigram"), F.explode(prefix).alias("token"))
-    signed = by_bigram.unionByName(by_character)
-
-    group = [within, "bigram", "token"]
-    blocks = signed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    dealt = signed.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("row"), col("blocks")).cast("int"))
-    keys = ["row", "n", "size", "place", *also]
-    left = dealt.select(*group, col("block").alias("i"), F.explode(F.sequence("block", col("blocks") - 1)).alias("j"), *[col(k).alias(f"a_{k}") for k in keys])
-    right = dealt.select(*group, F.explode(F.sequence(F.lit(0), "block")).alias("i"), col("block").alias("j"), *[col(k).alias(f"b_{k}") for k in keys])
-    total = col("a_n") + col("b_n")
-    long_enough = 2 * F.least("a_n", "b_n") >= total * F.lit(threshold) - small
-    # The first shared token of a pair leaves enough of both texts behind it; later ones need not.
-    reaches = F.least(col("a_size") - col("a_place"), col("b_size") - col("b_place")) >= F.greatest(common(total), F.lit(1))
-    met = left.join(right, [*group, "i", "j"]).where((col("i") < col("j")) | (col("a_row") < col("b_row"))).where(long_enough)
-    met = met.where(~col("bigram") | reaches)
-    met = met if fits is None else met.where(fits)
-    pair = [F.least("a_row", "b_row").alias("a_row"), F.greatest("a_row", "b_row").alias("b_row")]
-    return met.select(within, *pair).distinct()
-
-
-def _with_tokens(rows: DataFrame, *texts: str) -> DataFrame:
-    for text in texts:
-        rows = rows.withColumn(f"{text}_tokens", _tokens(col(text))).withColumn(f"{text}_bigrams", _sorted_bigrams(col(text)))
-        rows = rows.withColumn(f"{text}_bigrams", _numbered(f"{text}_bigrams"))
-    return rows
+    share = min(max(threshold / (2 - threshold), 1e-6), 0.99)
+    # Similar lengths are at most BANDS apart; the factor is a little less, so that rounding cannot make it more.
+    band = F.floor(F.log(F.length(text) + 1.0) * F.lit((BANDS - 1e-6) / -math.log(share))).cast("int")
+    sized = rows.select("row", col(within).alias("within"), col(text).alias("text"), band.alias("band"))
+    much = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / CHARACTERS)
+    blocks = sized.groupBy("within", "band").agg(F.greatest(F.ceil(much), F.lit(1)).cast("int").alias("blocks"))
+    other = blocks.select("within", col("band").alias("near"), col("blocks").alias("near_blocks"))
+    # For each band what its rows meet: the bands around it, with the number of their blocks.
+    met = blocks.join(other, "within").where(F.abs(col("near") - col("band")) <= BANDS)
+    dealt = sized.join(met, ["within", "band"]).withColumn("block", F.pmod(F.xxhash64("row"), col("blocks")).cast("int"))
+    dealt = dealt.withColumn("near_block", F.explode(F.sequence(F.lit(0), col("near_blocks") - 1)))
+    here, there = F.struct(col("band").alias("band"), col("block").alias("block")), F.struct(col("near").alias("band"), col("near_block").alias("block"))
+    key = ["within", "low", "high"]
+    side = F.when(here == there, 0).when(here < there, 1).otherwise(2)
+    dealt = dealt.select("within", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), side.alias("side"), "row", "text")
+    # Keys are few and their work is in comparing, so they are dealt evenly and not put together by their bytes.
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    schema = "within string, a_row bigint, b_row bigint, ratio double, back double"
+    pairs = dealt.repartition(parts, *key).groupBy(*key).applyInArrow(_compared(threshold, both), schema)
+    return pairs.withColumnRenamed("within", within)
 
 
 def _numbered_rows(rows: DataFrame, label: str) -> DataFrame:
@@ -176,15 +243,20 @@ def _numbered_rows(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(place)
 
 
-def _sides(pairs: DataFrame, rows: DataFrame, whole: list[str], order: list[str], *also: str) -> DataFrame:
-    """The columns ``whole`` of both rows of each pair; the smaller in ``order`` is left."""
+def _members(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of the rows (``row`` and a struct ``one``) of each two rows, or of one with itself; in the latter each two once.
+
+    The rows of a number are dealt into blocks of about ``MEMBERS``, and each two blocks are a key.
+    """
+    blocks = rows.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    for side in ("a", "b"):
+        numbered = blocks.select(col("row").alias(f"{side}_row"), F.explode(F.sequence(F.lit(0), col("blocks") - 1)).alias(f"{side}_block"))
+        pairs = pairs.join(numbered, f"{side}_row")
+    pairs = pairs.where("a_row != b_row or a_block <= b_block")
+    dealt = rows.join(blocks, "row").withColumn("block", F.pmod(F.xxhash64("one"), col("blocks")).cast("int"))
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(col("row").alias(f"{side}_row"), F.struct(*whole).alias(side)), f"{side}_row")
-    place = {side: F.struct(*[F.col(side)[k] for k in order]) for side in ("a", "b")}
-    ordered = place["a"] < place["b"]
-    sides = {"left": F.when(ordered, col("a")).otherwise(col("b")), "right": F.when(ordered, col("b")).otherwise(col("a"))}
-    pairs = pairs.select(*also, *[c.alias(n) for n, c in sides.items()])
-    return pairs.select(*also, *[F.col(side)[k].alias(f"{side}_{k}") for side in sides for k in whole])
+        pairs = pairs.join(dealt.select(col("row").alias(f"{side}_row"), col("block").alias(f"{side}_block"), col("one").alias(side)), [f"{side}_row", f"{side}_block"])
+    return pairs.where("a_row != b_row or a_block != b_block or a < b")
 
 
 def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_threshold: float = 0.8) -> DataFrame:
@@ -197,30 +269,31 @@ def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_
     rows = with_duplicate_keys(articles).groupBy("norm_title", "authority", "path").agg(
         F.min("link").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    rows = _with_tokens(rows.withColumnRenamed("norm_title", "title"), "title", "path")
-    rows = rows.withColumns({"path_length": F.length("path"), "path_hash": F.xxhash64("path")})
-    rows = _numbered_rows(rows, "titles")
-    lengths = col("a_path_length") + col("b_path_length")
-    alike = 2 * F.least("a_path_length", "b_path_length") >= lengths * F.lit(url_threshold) - F.lit(1e-9)
-    fits = (col("a_path_hash") == col("b_path_hash")) | alike
-    pairs = _similar(rows, "title", title_threshold, within="authority", also=["path_length", "path_hash"], fits=fits)
-    whole = ["id", "title", "path", "copies", "title_tokens", "title_bigrams", "path_tokens", "path_bigrams"]
-    pairs = _sides(pairs, rows, whole, ["id", "title", "path"], "authority")
-    same = col("left_path") == col("right_path")
-    near = pairs.where(_bag_bound("title", title_threshold)).where(_bigram_bound("title", title_threshold))
-    near = near.where(same | (_bag_bound("path", url_threshold) & _bigram_bound("path", url_threshold)))
-    rated = near.withColumn("title_ratio", matching_ratio("left_title", "right_title"))
-    rated = rated.where(col("title_ratio") >= title_threshold)
-    rated = rated.withColumn("path_ratio", matching_ratio("left_path", "right_path"))
-    rated = rated.where((col("left_path") == col("right_path")) | (col("path_ratio") >= url_threshold))
+    rows = _numbered_rows(rows.withColumnRenamed("norm_title", "title"), "titled").drop("row")
+    # A title of an authority is compared once, however many paths it has.
+    titles = rows.groupBy("authority", "title").agg(F.count(F.lit(1)).alias("paths"))
+    titles = _numbered_rows(titles, "titles")
+    members = rows.join(titles, ["authority", "title"]).select("row", F.struct("id", "title", "path", "copies").alias("one"))
+    several = titles.where("paths > 1").withColumn("ratio", matching_ratio("title", "title"))
+    pairs = _similar(titles.select("row", "authority", "title"), "title", title_threshold, within="authority", both=True)
+    pairs = pairs.unionByName(several.select("authority", col("row").alias("a_row"), col("row").alias("b_row"), "ratio", col("ratio").alias("back")))
+    pairs = _members(pairs, members)
+    ordered = col("a") < col("b")
+    left, right = F.when(ordered, col("a")).otherwise(col("b")), F.when(ordered, col("b")).otherwise(col("a"))
+    ratio = F.when(ordered, col("ratio")).otherwise(col("back")).alias("title_ratio")
+    near = pairs.select("authority", left.alias("left"), right.alias("right"), ratio).where(col("title_ratio") >= title_threshold)
+    same, lengths = col("left.path") == col("right.path"), F.length("left.path") + F.length("right.path")
+    alike = 2 * F.least(F.length("left.path"), F.length("right.path")) >= lengths * F.lit(url_threshold) - F.lit(_SMALL)
+    rated = near.where(same | alike).withColumn("path_ratio", matching_ratio("left.path", "right.path"))
+    rated = rated.where(same | (col("path_ratio") >= url_threshold))
     return rated.select(
         "authority",
-        col("left_id").alias("left_link"),
-        col("right_id").alias("right_link"),
-        "left_title",
-        "right_title",
-        "left_copies",
-        "right_copies",
+        col("left.id").alias("left_link"),
+        col("right.id").alias("right_link"),
+        col("left.title").alias("left_title"),
+        col("right.title").alias("right_title"),
+        col("left.copies").alias("left_copies"),
+        col("right.copies").alias("right_copies"),
         "title_ratio",
         "path_ratio",
     )
@@ -235,19 +308,12 @@ def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataF
     parts = split_url(url)
     rows = table.select(parts.authority.alias("authority"), parts.path.alias("path"), text_or_empty(url).alias("url"))
     rows = rows.groupBy("authority", "path").agg(F.min("url").alias("id"), F.count(F.lit(1)).alias("urls"))
-    rows = _numbered_rows(_with_tokens(rows, "path"), "paths")
+    # Numbers in the order of the rows, so the smaller row is the left one.
+    rows = _numbered_rows(rows.orderBy("id", "path"), "paths")
     pairs = _similar(rows, "path", threshold, within="authority")
-    pairs = _sides(pairs, rows, ["id", "path", "urls", "path_tokens", "path_bigrams"], ["id", "path"], "authority")
-    pairs = pairs.where(_bag_bound("path", threshold)).where(_bigram_bound("path", threshold))
-    rated = pairs.withColumn("ratio", matching_ratio("left_path", "right_path")).where(col("ratio") >= threshold)
-    return rated.select(
-        "authority",
-        col("left_id").alias("left_url"),
-        col("right_id").alias("right_url"),
-        "left_urls",
-        "right_urls",
-        "ratio",
-    )
+    for side, name in (("left", "a_row"), ("right", "b_row")):
+        pairs = pairs.join(rows.select(col("row").alias(name), col("id").alias(f"{side}_url"), col("urls").alias(f"{side}_urls")), name)
+    return pairs.select("authority", "left_url", "right_url", "left_urls", "right_urls", "ratio")
 
 
 def equal_urls(table: DataFrame, url: str) -> DataFrame:

@@ -132,6 +132,43 @@ def test_fuzzy_duplicates_equal_all_pairs(spark, monkeypatch):
     assert pairs_of(duplicates.fuzzy_duplicates(rows)) == want
 
 
+def test_only_similar_texts_leave_the_comparison(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["the", "of", "ation", "ing", "and", "ther", "é", "日本"]
+    texts = {"", "a"} | {" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)}
+    texts |= {t[: len(t) // 2] + rng.choice("xyz") + t[len(t) // 2 :] for t in sorted(texts)}
+    texts = sorted(texts)
+    rows = spark.createDataFrame([(i, "a.org", t) for i, t in enumerate(texts)], "row long, host string, text string")
+    want = {
+        (a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
+        if SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.85
+    }
+    assert len(want) > 40
+    for block, tile, columns in ((4096, 128, 2048), (7, 3, 2)):
+        monkeypatch.setattr(duplicates, "BLOCK", block)
+        monkeypatch.setattr(duplicates, "TILE", tile)
+        monkeypatch.setattr(duplicates, "COLUMNS", columns)
+        got = [(r.a_row, r.b_row) for r in duplicates._similar(rows, "text", 0.85, within="host").collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_title_on_many_paths_is_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "MEMBERS", 4)
+    titles = ["attention is all you need", "attention is all you needed", "graphs"]
+    links = [(f"https://a.org/paper/{i}", titles[i % 3]) for i in range(40)]
+    rows = spark.createDataFrame([(u, t, "") for u, t in links], "link string, title string, summary string")
+    compared = []
+    similar = duplicates._similar
+    monkeypatch.setattr(duplicates, "_similar", lambda rows, *a, **b: compared.append(rows.count()) or similar(rows, *a, **b))
+    got = sorted((r.left_link, r.right_link) for r in duplicates.fuzzy_duplicates(rows).collect())
+    want = sorted(
+        tuple(sorted((u, v))) for i, (u, t) in enumerate(links) for v, s in links[i + 1:]
+        if (t == "graphs") == (s == "graphs") and SequenceMatcher(None, u[13:], v[13:]).ratio() >= 0.8
+    )
+    assert got == want
+    assert compared == [3]
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.6, 0.95])
 def test_similar_urls_equal_all_pairs(spark, threshold):
     rng = random.Random(5)
