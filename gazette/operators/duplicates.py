@@ -40,6 +40,8 @@ MEMBERS = 512
 BANDS = 2
 #: Longest text whose common subsequences are found first; of two texts the shorter one counts.
 LONG = 4096
+#: Characters of two texts together up to which their ratio is kept by pattern.
+SHORT = 64
 #: Rows whose counts are compared with a block at once, and pairs whose bigrams are.
 TILE, COLUMNS = 128, 2048
 _KNOWN = 1 << 16
@@ -68,10 +70,52 @@ def _common_subsequence(places: dict[str, int], n: int, text: str) -> int:
     return n - row.bit_count()
 
 
+def _short_common(left: _Counts, right: _Counts, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The same length for many pairs at once, whose left text has at most 64 characters: a bit of a word is a place."""
+    n, m = left.n[u], right.n[v]
+    row = np.full(len(u), ~np.uint64(0))
+    heads, others = left.first[u], right.first[v]
+    own = np.zeros((int(n.max(initial=0)), len(u)), dtype=np.uint32)
+    for i in range(len(own)):
+        on = n > i
+        own[i, on] = left.codes[heads[on] + i]
+    # No character has this code.
+    own[np.arange(len(own))[:, None] >= n] = np.uint32(0xFFFFFFFF)
+    for j in range(int(m.max(initial=0))):
+        on = m > j
+        code = np.zeros(len(u), dtype=np.uint32)
+        code[on] = right.codes[others[on] + j]
+        here = np.zeros(len(u), dtype=np.uint64)
+        for i in range(len(own)):
+            here |= (own[i] == code).astype(np.uint64) << np.uint64(i)
+        here = np.where(on, row & here, np.uint64(0))
+        row = (row + here) | (row - here)
+    return np.bitwise_count(~row).astype(np.int64)
+
+
 def _ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+class _Ratios:
+    """Ratios of short texts by the pattern of their equal characters, on which alone the ratio depends."""
+
+    def __init__(self):
+        self.known = {}
+
+    def __call__(self, left: str, right: str) -> float:
+        if len(left) + len(right) > SHORT:
+            return _ratio(left, right)
+        number = {}
+        pattern = (len(left), bytes([number.setdefault(c, len(number)) for c in left + right]))
+        ratio = self.known.get(pattern)
+        if ratio is None:
+            if len(self.known) >= _KNOWN:
+                self.known.clear()
+            ratio = self.known[pattern] = _ratio(left, right)
+        return ratio
+
+
 @pandas_udf(DoubleType())
 def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two texts, in this order; 1 for two empty ones. Repeated pairs are compared once."""
@@ -95,6 +139,7 @@ class _Counts:
         order = np.argsort(n, kind="stable")
         self.rows, self.n, self.texts = rows[order], n[order], [texts[i] for i in order.tolist()]
         self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.first = np.concatenate(([0], np.cumsum(self.n)))[:-1]
         self.owner = np.repeat(np.arange(len(texts)), self.n)
         own = np.full(128, -1, dtype=np.int64)
         own[[ord(c) for c in _COMMON]] = np.arange(len(_COMMON))
@@ -158,6 +203,7 @@ def _candidates(left: _Counts, right: _Counts, threshold: float, one: bool) -> I
 
 def _compared(threshold: float, both: bool) -> Callable[[pa.Table], pa.Table]:
     """The similar pairs of a key's rows (side, row, text): 0 is one block with itself, 1 and 2 are two blocks."""
+    compare = _Ratios()
 
     def pairs(table: pa.Table) -> pa.Table:
         side, rows = table.column("side").to_numpy(), table.column("row").to_numpy()
@@ -171,17 +217,22 @@ def _compared(threshold: float, both: bool) -> Callable[[pa.Table], pa.Table]:
         found = []
         last, masks = None, None
         for u, v in _candidates(left, right, threshold, one):
+            n, m = left.n[u], right.n[v]
+            bounded = len(u) >= 16 * n.max(initial=1) and n.max() <= 64
+            if bounded:
+                good = 2 * _short_common(left, right, u, v) >= threshold * (n + m) - _SMALL
+                u, v = u[good], v[good]
             for i, j in zip(u.tolist(), v.tolist()):
                 n, m = int(left.n[i]), int(right.n[j])
-                if min(n, m) <= LONG:
+                if not bounded and min(n, m) <= LONG:
                     if i != last:
                         last, masks = i, _places(left.texts[i])
                     if 2 * _common_subsequence(masks, n, right.texts[j]) < threshold * (n + m) - _SMALL:
                         continue
                 a, b = (int(left.rows[i]), left.texts[i]), (int(right.rows[j]), right.texts[j])
                 a, b = min(a, b), max(a, b)
-                ratio = _ratio(a[1], b[1])
-                back = _ratio(b[1], a[1]) if both else ratio
+                ratio = compare(a[1], b[1])
+                back = compare(b[1], a[1]) if both else ratio
                 if max(ratio, back) >= threshold:
                     found.append((within, a[0], b[0], ratio, back))
         columns = list(zip(*found)) or [()] * 5

@@ -9,6 +9,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,26 @@ def test_only_similar_texts_leave_the_comparison(spark, monkeypatch):
         assert sorted(got) == sorted(want)
 
 
+def test_common_subsequences_and_ratios_of_short_texts():
+    rng = random.Random(4)
+    texts = ["", "a", "x" * 64, "\0a\0", "日本語" * 21] + ["".join(rng.choice("ab/é1") for _ in range(rng.randint(0, 64))) for _ in range(40)]
+    counts = duplicates._Counts(np.arange(len(texts)), texts)
+    u, v = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    got, compare = duplicates._short_common(counts, counts, u, v), duplicates._Ratios()
+    for i, j, n in zip(u.tolist(), v.tolist(), got.tolist()):
+        a, b = counts.texts[i], counts.texts[j]
+        above = [0] * (len(b) + 1)
+        for c in a:
+            row = [0]
+            for k, d in enumerate(b):
+                row.append(above[k] + 1 if c == d else max(above[k + 1], row[k]))
+            above = row
+        assert n == above[-1] == duplicates._common_subsequence(duplicates._places(a), len(a), b)
+        assert compare(a, b) == SequenceMatcher(None, a, b).ratio()
+    assert compare("/en/123", "/en/132") == compare("/de/745", "/de/754")
+    assert len([k for k in compare.known if k == (7, bytes([0, 1, 2, 0, 3, 4, 5, 0, 1, 2, 0, 3, 5, 4]))]) == 1
+
+
 def test_a_title_on_many_paths_is_compared_once(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "MEMBERS", 4)
     titles = ["attention is all you need", "attention is all you needed", "graphs"]
