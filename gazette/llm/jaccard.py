@@ -14,7 +14,9 @@ A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers
 4. Tree join of what is left. Sets that share such a shingle and lie in several components form a tree of the next
    ``WINDOW`` shingles of their paths, which all but those of the group's largest component walk. Paths with an equal beginning share the overlap
    counted so far; a subtree is left when what remains of either set cannot reach the overlap that its smallest set
-   needs, or when it lies in the walker's own component. What is reached is verified as in 3 on whole paths. Large
+   needs, or when it lies in the walker's own component. What is reached is verified as in 3 on whole paths. The first
+   shingle of a pair finds it: of groups of the same sets only the first has a tree, and sets that also share one of the
+   ``BEFORE`` shingles before are left to that shingle's group. Large
    groups are dealt into blocks, and each two blocks are a tree and its walkers. Pairs inside a component would change
    nothing.
 
@@ -45,6 +47,8 @@ SHINGLE = 5
 #: Shingles of a path that a tree of step 4 holds, and sets of a tree at most.
 WINDOW = 96
 BLOCK = 1024
+#: Shingles before that of a group by which a pair is known from another group.
+BEFORE = 48
 PAIRS_PER_BATCH = 128
 _LAST = np.iinfo(np.int64).max
 
@@ -215,6 +219,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+class _Known:
+    """Which of some sets share a shingle that comes before that of the group, so that another group finds the pair."""
+
+    def __init__(self, before: list[np.ndarray]):
+        values, of = np.concatenate(before), np.repeat(np.arange(len(before)), [len(b) for b in before])
+        order = np.argsort(values, kind="stable")
+        self.values, self.of, self.number = values[order], of[order], len(before)
+
+    def among(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.number, dtype=bool)
+        edges = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        for a, b in zip(*(edge.tolist() for edge in edges)):
+            out[self.of[a:b]] = True
+        return out
+
+
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of sets in different components that the trees of sorted rows do not rule out."""
     rest = None
@@ -232,7 +252,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _walked(rows: pa.Table, edge: list[int]) -> pa.RecordBatch:
     low, high, block, sets, size, place, root = (rows.column(i).to_numpy() for i in range(1, 8))
-    paths = _lists(pa.concat_arrays(rows.column(8).chunks))
+    before, paths = (_lists(pa.concat_arrays(rows.column(i).chunks)) for i in (8, 9))
     u, v = [], []
     for i, j in zip(edge[:-1], edge[1:]):
         if (root[i:j] == root[i]).all():
@@ -244,15 +264,19 @@ def _walked(rows: pa.Table, edge: list[int]) -> pa.RecordBatch:
         walkers = here if one else here[block[i:j] == low[i]]
         # Of two components one is not the largest, so its sets walk; those of both sides where there are two blocks.
         for walk, stay in [(walkers, members)] if one else [(walkers, members), (members, walkers)]:
-            tree = None
+            tree = known = None
             for p in walk[root[walk] != major].tolist():
                 need = -(-4 * (size[stay] + size[p]) // 9)
                 fits = (root[stay] != root[p]) & (place[stay] <= size[stay] - need) & (place[p] <= size[p] - need)
+                if not fits.any():
+                    continue
+                known = known or _Known([before[k] for k in stay])
+                fits &= ~known.among(before[p])
                 if not fits.any():
                     continue
                 tree = tree or PrefixTree([paths[k] for k in stay], size[stay], place[stay], root[stay])
                 for k in tree.linked(paths[p], int(size[p]), int(place[p]), int(root[p])):
-                    if not one or root[stay[k]] == major or root[p] < root[stay[k]]:
+                    if fits[k] and (not one or root[stay[k]] == major or root[p] < root[stay[k]]):
                         u.append(sets[p])
                         v.append(sets[stay[k]])
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
@@ -341,15 +365,20 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     # Groups that still hold several components.
     placed = stored(_labelled(shared.select("token", "set", "size", "place"), roots), "placed")
-    torn = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    torn = torn.filter("low < high").select("token", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
+    same = [F.bit_xor(F.xxhash64("set", F.lit(i))).alias(name) for i, name in enumerate(("sets", "again"))]
+    torn = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *same)
+    # Of groups of the same sets the first: what two of them share first is no later one.
+    torn = torn.filter("low < high").groupBy("n", "sets", "again").agg(F.min("token").alias("token"))
+    torn = torn.select("token", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})").alias("blocks"))
     dealt = placed.join(torn, "token").withColumn("block", F.expr("pmod(hash(`set`), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     key = ["token", "low", "high"]
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "size", "place", "root")
     # Only what is walked carries shingles.
-    part = F.expr(f"slice(path, int(place - size + size(path)) + 1, {WINDOW})").alias("part")
-    dealt = dealt.join(paths.select("set", "path"), "set").select(*key, "block", "set", "size", "place", "root", part)
+    at = "int(place - size + size(path))"
+    part = F.expr(f"slice(path, {at} + 1, {WINDOW})").alias("part")
+    before = F.expr(f"slice(path, greatest({at} - {BEFORE}, 0) + 1, least({at}, {BEFORE}))").alias("before")
+    dealt = dealt.join(paths.select("set", "path"), "set").select(*key, "block", "set", "size", "place", "root", before, part)
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
     walks = dealt.mapInArrow(_walks, "a bigint, b bigint")
     more = _links(walks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths, "cross")

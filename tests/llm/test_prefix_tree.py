@@ -57,3 +57,25 @@ def test_pairs_grow_with_the_rows_where_variants_do_not_link(spark, monkeypatch,
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect())
     assert got == groups(rows)
     assert sum(pairs) <= 2 * len(rows)
+
+
+def test_a_pair_is_walked_to_by_its_first_shingle_only(spark, monkeypatch):
+    real, made = jaccard._walks, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for out in real(batches):
+            made.add(out.num_rows)
+            yield out
+
+    monkeypatch.setattr(jaccard, "_walks", counted)
+    rng, base = random.Random(4), [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(300), 4):
+            own[at] = f"v{rng.randrange(10**6)}x{at}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect())
+    assert got == groups(rows)
+    assert made.value <= 120 * 119 // 2
