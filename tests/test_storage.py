@@ -79,6 +79,36 @@ def test_untouched_parts_keep_their_files(spark, folder):
     assert [r.title for r in stamped.read().collect()] == ["late"]
 
 
+def test_appended_batches_merge_as_upserts_do(spark, folder):
+    stamps = [[("a", 5), ("b", 1)], [("a", None), ("c", 2)], [("a", 3), ("b", 1)], [("a", 2), ("c", None), ("b", 0)], [("d", None)], [("d", 1), ("a", 3)]]
+    one, many = PartedTable(spark, folder + "-one", buckets=2), PartedTable(spark, folder + "-many", buckets=2)
+    first = rows(spark, *[(f"l{i}", "first", NOW - dt.timedelta(days=i % 3)) for i in range(20)]).withColumn("s", F.lit(NOW))
+    for table in (one, many):
+        table.upsert(first, order=order(), stamp="s")
+    before = files(folder + "-many")
+    for i, batch in enumerate(stamps):
+        items = [(k, f"{k}{i}", NOW, None if s is None else NOW + dt.timedelta(hours=s)) for k, s in batch] + [("l1", f"late{i}", NOW, NOW - dt.timedelta(days=1))]
+        df = spark.createDataFrame([(k, t, d, NOW, s) for k, t, d, s in items], COLUMNS + ", s timestamp")
+        one.upsert(df, order=order(), stamp="s")
+        many.append(df, order=order(), stamp="s")
+        assert stored(spark, folder + "-many") == stored(spark, folder + "-one")
+    # No part is written again until the batches outgrow the table, or another change needs them.
+    assert files(folder + "-many") == before
+    extra = rows(spark, ("e", "x", None)).withColumns({"collected_at": F.lit(None).cast("timestamp"), "extra": F.lit(1)})
+    many.append(extra, order=order())
+    one.upsert(extra, order=order())
+    many.compact()
+    assert stored(spark, folder + "-many") == stored(spark, folder + "-one") and "extra" in many.read().columns
+    assert tables.list_names(spark, f"{folder}-many/pending") and not many._pending()
+    many.append(rows(spark, *[(f"n{i}", "new", NOW) for i in range(100)]), order=order())
+    assert sum(n for _, n in many.parts().values()) == 125 and len(stored(spark, folder + "-many")) == 125
+    many.append(rows(spark, ("a", "last", None)), order=order())
+    assert many.delete_older_than(as_of=NOW, keep_days=1) == 6 and stored(spark, folder + "-many")["a"] == "last"
+    with pytest.raises(Exception, match="link is NULL"):
+        many.append(rows(spark, (None, "3", NOW)), order=order())
+    assert PartedTable(spark, folder + "-many").read().count() == 119
+
+
 def test_retention_drops_whole_days(spark, folder):
     table = PartedTable(spark, folder, buckets=2)
     noon = dt.datetime(2026, 4, 14, 12)
