@@ -8,7 +8,8 @@ A text's set holds its distinct shingles of ``SHINGLE`` words, as 63-bit numbers
 2. Global order. The number of sets that hold a shingle is counted over all shingles of all sets left. Shingles of one
    set only cannot be shared; the others come in the order of that number (in steps of a sixteenth of its power of two),
    then by hash. A set's path is its shared shingles in this order. A set with less than four fifths of its shingles in its path links with
-   nothing. Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, those of one set included.
+   nothing. Their texts are found by a join before which a Bloom filter drops most others, so that few texts are moved.
+   Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, those of one set included.
 3. Families. Every set meets one pivot per shingle at the beginning of its path: as many pairs as rows, however large a
    group is. The paths beside a pivot form a prefix tree, which is walked with the pivot's path. Links join to components.
 4. Tree join of what is left. Sets that share such a shingle and lie in several components form a tree of the next
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import bounded_batches, chunks, stored, texts
@@ -50,6 +51,8 @@ BLOCK = 1024
 #: Shingles before that of a group by which a pair is known from another group.
 BEFORE = 48
 PAIRS_PER_BATCH = 128
+#: Bits of the filter of step 2 at most, and for each text.
+FILTER_BITS, BITS_PER_TEXT = 1 << 25, 16
 _LAST = np.iinfo(np.int64).max
 
 
@@ -294,6 +297,28 @@ def _links(pairs: DataFrame, paths: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def may_be_among(keys: DataFrame, column: Column) -> Column:
+    """Whether a bigint column may be among the column ``key`` of some rows: false only where it is not.
+
+    The filter has ``FILTER_BITS`` bits at most, whatever the input.
+    """
+    bits = min(FILTER_BITS, 1 << max(1 << 15, BITS_PER_TEXT * keys.count()).bit_length())
+    both = F.array(*(F.pmod(part, F.lit(bits)) for part in (F.col("key"), F.shiftrightunsigned("key", 32))))
+    words = keys.select(F.explode(both).alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set")
+    )
+    table, packed = words.toArrow(), np.zeros(bits // 64, dtype=np.uint64)
+    packed[table["word"].to_numpy()] = table["set"].to_numpy().view(np.uint64)
+
+    def test(key: pa.Array) -> pa.Array:
+        value, found = key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), True
+        for slot in (value & np.uint64(bits - 1), value >> np.uint64(32) & np.uint64(bits - 1)):
+            found &= packed[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1
+        return pa.array(found)
+
+    return F.arrow_udf(test, "boolean")(column)
+
+
 def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> DataFrame:
     """(set, size, path) of the sets that can link, steps 1 and 2."""
     again = samples.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high").select("token")
@@ -304,6 +329,8 @@ def ordered_paths(docs: DataFrame, samples: DataFrame, classes: DataFrame) -> Da
     plain = F.coalesce("text", F.lit(""))
     mark = F.shiftleft(F.crc32(F.encode(plain, "UTF-8")), 31) + F.octet_length(plain)
     source = docs.select("text", F.coalesce("doc_id", F.lit(int(_LAST))).alias("first"), mark.alias("mark"))
+    key = F.xxhash64("first", "mark")
+    source = source.filter(may_be_among(wanted.select(key.alias("key")), key))
     # Repeated rows give a text once; texts that share identifier and mark by chance are told apart by their sets.
     found = source.join(wanted, ["first", "mark"]).dropDuplicates(["first", "mark", "set", "text"]).select("set", "text")
     sets = stored(found.mapInArrow(_own_sets, "`set` bigint, size bigint, tokens array<bigint>"), "sets")

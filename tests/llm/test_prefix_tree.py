@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import groups
+from pyspark.sql import functions as F
 
 from gazette.llm import jaccard
 
@@ -79,3 +80,21 @@ def test_a_pair_is_walked_to_by_its_first_shingle_only(spark, monkeypatch):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect())
     assert got == groups(rows)
     assert made.value <= 120 * 119 // 2
+
+
+def test_few_texts_beside_the_wanted_pass_the_filter(spark):
+    every = spark.range(40000).select("id", F.xxhash64("id").alias("key")).unionByName(spark.createDataFrame([(-1, -1), (-2, 0)], "id bigint, key bigint"))
+    wanted = every.filter("id % 100 = 0 or id < 0")
+    found = {r.id for r in every.filter(jaccard.may_be_among(wanted.select("key"), F.col("key"))).collect()}
+    assert {r.id for r in wanted.collect()} <= found and len(found) < 2000
+    assert every.filter(jaccard.may_be_among(wanted.select("key").limit(0), F.col("key"))).count() == 0
+
+
+def test_texts_that_link_with_nothing_are_not_moved(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "may_be_among", lambda keys, column, real=jaccard.may_be_among: seen.append(keys.count()) or real(keys, column))
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(300)]
+    rows += [(1000 + i, " ".join([f"same{k}" for k in range(40)] + [f"end{i}"])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect())
+    assert got == groups(rows) and seen == [5]
