@@ -347,22 +347,23 @@ def components(links: DataFrame) -> DataFrame:
     """(set, root) for every set in a link: the smallest set it is connected with.
 
     Each round hangs the larger neighbours of every set on its smallest neighbour, then all neighbours of the rest; the
-    rounds end when nothing moves. Minima are taken before the shuffle, so a set with very many links is no burden.
+    rounds end when every set hangs on a root. Minima are taken before the shuffle, so a set with very many links is no
+    burden. A round makes at most two rows of an edge, which its end makes distinct.
     """
-    edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        large = stored(large, "edges")
+        below = [f("v").alias(name) for f, name in ((F.min, "least"), (F.max, "most"))]
+        near = both.groupBy("u").agg(*below, F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("parent"))
+        near = stored(near.select("u", F.least("u", "least").alias("low"), "least", "most", "parent"), "near")
+        # A set with two smaller neighbours, or with a smaller and a larger one, still has to move.
+        if near.filter("parent is not null and (parent > least or most > u)").isEmpty():
+            return near.filter("parent is not null").select(F.col("u").alias("set"), F.col("parent").alias("root"))
+        large = both.join(near.select("u", "low"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = stored(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v")
-        edges = stored(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("set"), F.col("v").alias("root"))
-        state = now
+        pairs = F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))))
+        edges = stored(large.join(low, "u").select(pairs.alias("e")).select("e.u", "e.v").filter("u != v").distinct(), "edges")
 
 
 def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -409,7 +410,9 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
     walks = dealt.mapInArrow(_walks, "a bigint, b bigint")
     more = _links(walks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths, "cross")
-    return members, components(links.union(more))
+    if more.isEmpty():
+        return members, roots
+    return members, components(roots.toDF("u", "v").union(more))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

@@ -98,3 +98,16 @@ def test_texts_that_link_with_nothing_are_not_moved(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect())
     assert got == groups(rows) and seen == [5]
+
+
+@pytest.mark.parametrize("links, tables", [([(9, 1), (1, 8), (7, 1), (3, 3)], 1), ([(i, i + 1) for i in range(60)] + [(80, 70), (70, 90)], 40)])
+def test_rounds_end_when_every_set_hangs_on_its_root(spark, monkeypatch, links, tables):
+    made = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, label, real=jaccard.stored: made.append(label) or real(df, label))
+    found = {r.set: r.root for r in jaccard.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    root = {n: n for pair in links for n in pair}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    assert found == {n: r for n, r in root.items() if n != r}
+    assert len(made) <= tables
