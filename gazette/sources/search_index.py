@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.text import col
 from ..operators import search as ops
 from .tables import delete_folder, list_names, newest_per_key, require_key
+from .word_arrays import term_counts
 
 _WORDS = "fields array<struct<field: string, words: array<string>>>"
 _SCHEMAS = {
@@ -222,12 +223,8 @@ class SearchIndex:
 def _term_counts(signed: DataFrame) -> DataFrame:
     """``term, documents, occurrences`` that documents with a sign add up to; terms that do not change are left out.
 
-    The words of a document are sorted where it lies, so that the first of each term counts the document, and only sums
-    per term are moved.
+    The words of some documents are counted where they lie, and only sums per term are moved.
     """
-    words = signed.select("sign", F.sort_array(F.flatten(F.transform("fields", lambda f: f["words"]))).alias("words"))
-    listed = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.coalesce(w != F.get("words", i - 1), F.lit(True)).alias("is_first")))
-    each = words.select("sign", F.explode(listed).alias("w")).select("sign", "w.*")
-    documents = F.sum(F.when(col("is_first"), col("sign")).otherwise(0))
-    sums = each.groupBy("term").agg(documents.alias("documents"), F.sum("sign").cast("bigint").alias("occurrences"))
+    each = signed.select("sign", "fields").mapInArrow(term_counts, "term string, documents bigint, occurrences bigint")
+    sums = each.groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences"))
     return sums.where("documents <> 0 or occurrences <> 0")

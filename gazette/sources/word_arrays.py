@@ -1,0 +1,38 @@
+"""The words of stored documents as Arrow arrays."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Documents whose words are counted at once.
+_DOCUMENTS = 512
+
+
+def _words(fields: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of the column ``fields`` and the document of each; absent words are left out."""
+    lists = fields.flatten().flatten()[1]
+    terms, place = lists.flatten(), pc.list_parent_indices(lists)
+    document = pc.list_parent_indices(fields).take(place)
+    there = terms.is_valid()
+    return terms.filter(there), document.filter(there).to_numpy(zero_copy_only=False)
+
+
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` on ``sign, fields``: what some documents at a time add to the documents and occurrences of their terms."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _DOCUMENTS):
+            some = batch.slice(at, _DOCUMENTS)
+            words, document = _words(some.column(1))
+            terms, sign = words.dictionary_encode(), some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes, n = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(terms.dictionary)
+            # Each term of a document once, with the number of times it stands there.
+            each, times = np.unique(document * n + codes, return_counts=True)
+            own, code = np.divmod(each, max(n, 1))
+            documents, occurrences = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            np.add.at(documents, code, sign[own])
+            np.add.at(occurrences, code, sign[own] * times)
+            yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(documents), pa.array(occurrences)], ["term", "documents", "occurrences"])
