@@ -7,7 +7,7 @@ Bounds. With ``M`` characters in matching blocks the ratio is ``2M / (a + b)``.
 the overlap of the two bags of characters. Between two blocks lies a character without a match, so there are at most
 ``a + b - 2M + 1`` blocks, and the texts share at least ``3M - a - b - 1`` bigrams. Counts over groups of characters, or of
 bigrams, are never below the overlap, so they bound it as well. Matching blocks are a common subsequence, so ``M`` cannot
-exceed the longest one, which is far quicker to find.
+exceed the longest one, which is far quicker to find, for many pairs at once.
 
 Blocks. Similar texts are close in length: they lie in one of ``BANDS`` + 1 neighbouring bands of lengths. The texts of a band
 are dealt into blocks of about ``BLOCK`` rows, and each two blocks of neighbouring bands are a key of their own, whose counts
@@ -20,11 +20,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -42,6 +43,8 @@ BANDS = 2
 LONG = 4096
 #: Characters of two texts together up to which their ratio is kept by pattern.
 SHORT = 64
+#: Words of places and rows of words that are looked up at once, for longest common subsequences.
+TABLE, WORDS = 1 << 21, 1 << 14
 #: Rows whose counts are compared with a block at once, and pairs whose bigrams are.
 TILE, COLUMNS = 128, 2048
 _KNOWN = 1 << 16
@@ -60,37 +63,133 @@ def _places(text: str) -> dict[str, int]:
     return places
 
 
-def _common_subsequence(places: dict[str, int], n: int, text: str) -> int:
-    """Length of the longest common subsequence of a text and one of ``n`` characters, a row of the table as one number."""
+def _common_subsequence(places: dict[str, int], n: int, text: str, least: int = 0) -> int:
+    """Length of the longest common subsequence of a text and one of ``n`` characters, a row of the table as one number.
+
+    -1 as soon as it cannot be ``least`` any more.
+    """
     full = (1 << n) - 1
     row = full
-    for c in text:
-        here = row & places.get(c, 0)
-        row = ((row + here) | (row - here)) & full
+    for k in range(0, len(text), 64):
+        for c in text[k : k + 64]:
+            here = row & places.get(c, 0)
+            row = ((row + here) | (row - here)) & full
+        rest = max(len(text) - k - 64, 0)
+        place = max(n - rest, 0)
+        if place - (row & ((1 << place) - 1)).bit_count() + min(rest, n) < least:
+            return -1
     return n - row.bit_count()
 
 
-def _short_common(left: _Counts, right: _Counts, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The same length for many pairs at once, whose left text has at most 64 characters: a bit of a word is a place."""
-    n, m = left.n[u], right.n[v]
-    row = np.full(len(u), ~np.uint64(0))
-    heads, others = left.first[u], right.first[v]
-    own = np.zeros((int(n.max(initial=0)), len(u)), dtype=np.uint32)
-    for i in range(len(own)):
-        on = n > i
-        own[i, on] = left.codes[heads[on] + i]
-    # No character has this code.
-    own[np.arange(len(own))[:, None] >= n] = np.uint32(0xFFFFFFFF)
-    for j in range(int(m.max(initial=0))):
-        on = m > j
-        code = np.zeros(len(u), dtype=np.uint32)
-        code[on] = right.codes[others[on] + j]
-        here = np.zeros(len(u), dtype=np.uint64)
-        for i in range(len(own)):
-            here |= (own[i] == code).astype(np.uint64) << np.uint64(i)
-        here = np.where(on, row & here, np.uint64(0))
-        row = (row + here) | (row - here)
-    return np.bitwise_count(~row).astype(np.int64)
+class _Texts:
+    """Texts and the codes of their characters one after another."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.first = np.concatenate(([0], np.cumsum(self.n)))[:-1]
+
+
+class _Common:
+    """Longest common subsequences of many pairs of texts of two blocks, a bit of a word for each place of the left text.
+
+    After some characters of the right text, the first places of the left one have met them in a known length. What is left
+    of both texts can add its own length at most, so most pairs are left off halfway.
+    """
+
+    def __init__(self, left: _Texts, right: _Texts):
+        self.left, self.right = left, right
+        letters = np.unique(left.codes)
+        number = np.zeros(0x110000, dtype=np.int32)
+        number[letters] = np.arange(1, len(letters) + 1)
+        # 0 is a character that no left text has.
+        self.own, self.other, self.size = number[left.codes], number[right.codes], len(letters) + 1
+
+    def __call__(self, u: np.ndarray, v: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The lengths, or -1 where they are less than ``least``, for some."""
+        out = np.empty(len(u), dtype=np.int64)
+        words = int(self.left.n[u].max(initial=0)) // 64 + 1
+        if len(u) < 32 + 16 * words:
+            places = {}
+            for k, (i, j) in enumerate(zip(u.tolist(), v.tolist())):
+                if i not in places:
+                    places = {i: _places(self.left.texts[i])}
+                out[k] = _common_subsequence(places[i], int(self.left.n[i]), self.right.texts[j], int(least[k]))
+            return out
+        order = np.argsort(u, kind="stable")
+        rows, first = np.unique(u[order], return_index=True)
+        first = np.append(first, len(u))
+        step, most = max(1, TABLE // (words * self.size)), max(256, WORDS // words)
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            table = self._table(some, words)
+            for x in range(first[k], first[k + len(some)], most):
+                at = order[x : min(x + most, first[k + len(some)])]
+                out[at] = self._lengths(table, np.searchsorted(some, u[at]) * self.size, self.left.n[u[at]], v[at], least[at])
+        return out
+
+    def _table(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """For each word, row and character the places of the character as bits."""
+        table = np.zeros((words, len(rows) * self.size), dtype=np.uint64)
+        n, heads, base = self.left.n[rows], self.left.first[rows], np.arange(len(rows)) * self.size
+        for i in range(int(n.max(initial=0))):
+            on = np.flatnonzero(n > i)
+            table[i >> 6, base[on] + self.own[heads[on] + i]] |= np.uint64(1 << (i & 63))
+        return table
+
+    def _lengths(self, table: np.ndarray, base: np.ndarray, n: np.ndarray, v: np.ndarray, least: np.ndarray) -> np.ndarray:
+        # The longest right texts first, so that those which have a next character are the first ones.
+        live = np.argsort(-self.right.n[v], kind="stable")
+        base, n, least, m, heads = base[live], n[live], least[live], self.right.n[v][live], self.right.first[v][live]
+        out = np.full(len(v), -1, dtype=np.int64)
+        row = np.full((len(table), len(v)), ~np.uint64(0))
+        for j in range(int(m.max(initial=0))):
+            if j and j % 16 == 0:
+                on = np.flatnonzero(self._most(row, n, m, j) >= least)
+                if len(on) < 0.8 * len(live):
+                    live, base, n, least, m, heads, row = live[on], base[on], n[on], least[on], m[on], heads[on], row[:, on]
+            k = int(np.searchsorted(-m, -j))
+            if not k:
+                break
+            letter = base[:k] + self.other[heads[:k] + j]
+            carry = None
+            for word, places in zip(row, table):
+                have = word[:k]
+                here = places[letter]
+                here &= have
+                total = have + here
+                if len(table) > 1:
+                    over = total < have
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    carry = over
+                have -= here
+                have |= total
+        out[live] = self._most(row, n, m, len(self.right.codes))
+        return out
+
+    @staticmethod
+    def _most(row: np.ndarray, n: np.ndarray, m: np.ndarray, j: int) -> np.ndarray:
+        """The most that the lengths can be after ``j`` characters of the right texts; at their ends the lengths themselves."""
+        rest = np.maximum(m - j, 0)
+        place = np.maximum(n - rest, 0)
+        length = np.minimum(rest, n)
+        for w, word in enumerate(row):
+            bits = np.clip(place - 64 * w, 0, 64)
+            before = np.where(bits < 64, (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+            length = length + np.bitwise_count(~word & before)
+        return length
+
+
+def _short_common(left: _Texts, right: _Texts, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The same lengths, whatever they are."""
+    return _Common(left, right)(u, v, np.zeros(len(u), dtype=np.int64))
+
+
+def _least(lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """The least number of characters in matching blocks of two texts with these lengths together."""
+    return np.ceil((threshold * lengths - _SMALL) / 2).astype(np.int64)
 
 
 def _ratio(left: str, right: str) -> float:
@@ -116,6 +215,12 @@ class _Ratios:
         return ratio
 
 
+@cache
+def _kept_ratios() -> _Ratios:
+    """The ratios that the tasks of a process have found."""
+    return _Ratios()
+
+
 @pandas_udf(DoubleType())
 def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two texts, in this order; 1 for two empty ones. Repeated pairs are compared once."""
@@ -131,15 +236,46 @@ def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series(ratios, index=left.index, dtype="float64")
 
 
-class _Counts:
+def reaching_ratio(threshold: float) -> Callable[..., Column]:
+    """As :func:`matching_ratio`, but NULL where two different texts do not reach the threshold.
+
+    The pairs of a batch whose longest common subsequence is too short are left out many at a time.
+    """
+
+    @pandas_udf(DoubleType())
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known, compare = {}, _kept_ratios()
+        for left, right in batches:
+            numbers, names = pd.factorize(pd.concat([left, right], ignore_index=True))
+            texts = _Texts(names.tolist())
+            pairs, place = np.unique(numbers[: len(left)] * len(names) + numbers[len(left) :], return_inverse=True)
+            u, v = np.divmod(pairs, max(len(names), 1))
+            n, m = texts.n[u], texts.n[v]
+            least = _least(n + m, threshold)
+            some = np.flatnonzero((u != v) & (np.minimum(n, m) <= LONG))
+            good = np.full(len(pairs), True)
+            good[some] = _Common(texts, texts)(u[some], v[some], least[some]) >= least[some]
+            ratios = np.full(len(pairs), np.nan)
+            for k in np.flatnonzero(good).tolist():
+                pair = names[u[k]], names[v[k]]
+                if pair not in known:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[pair] = compare(*pair)
+                if u[k] == v[k] or known[pair] >= threshold:
+                    ratios[k] = known[pair]
+            yield pd.Series(ratios[place], index=left.index).astype("Float64")
+
+    return ratio
+
+
+class _Counts(_Texts):
     """Texts in the order of their lengths, with counts of their characters and bigrams by group."""
 
     def __init__(self, rows: np.ndarray, texts: list[str]):
-        n = np.array([len(t) for t in texts], dtype=np.int64)
-        order = np.argsort(n, kind="stable")
-        self.rows, self.n, self.texts = rows[order], n[order], [texts[i] for i in order.tolist()]
-        self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.first = np.concatenate(([0], np.cumsum(self.n)))[:-1]
+        order = np.argsort(np.array([len(t) for t in texts], dtype=np.int64), kind="stable")
+        super().__init__([texts[i] for i in order.tolist()])
+        self.rows = rows[order]
         self.owner = np.repeat(np.arange(len(texts)), self.n)
         own = np.full(128, -1, dtype=np.int64)
         own[[ord(c) for c in _COMMON]] = np.arange(len(_COMMON))
@@ -203,9 +339,9 @@ def _candidates(left: _Counts, right: _Counts, threshold: float, one: bool) -> I
 
 def _compared(threshold: float, both: bool) -> Callable[[pa.Table], pa.Table]:
     """The similar pairs of a key's rows (side, row, text): 0 is one block with itself, 1 and 2 are two blocks."""
-    compare = _Ratios()
 
     def pairs(table: pa.Table) -> pa.Table:
+        compare = _kept_ratios()
         side, rows = table.column("side").to_numpy(), table.column("row").to_numpy()
         texts, within = table.column("text").to_pylist(), table.column("within")[0].as_py()
         one = bool((side == 0).any())
@@ -215,20 +351,13 @@ def _compared(threshold: float, both: bool) -> Callable[[pa.Table], pa.Table]:
             parts.append(_Counts(rows[at], [texts[i] for i in at.tolist()]))
         left, right = parts[0], parts[-1]
         found = []
-        last, masks = None, None
+        common = _Common(left, right)
         for u, v in _candidates(left, right, threshold, one):
-            n, m = left.n[u], right.n[v]
-            bounded = len(u) >= 16 * n.max(initial=1) and n.max() <= 64
-            if bounded:
-                good = 2 * _short_common(left, right, u, v) >= threshold * (n + m) - _SMALL
-                u, v = u[good], v[good]
-            for i, j in zip(u.tolist(), v.tolist()):
-                n, m = int(left.n[i]), int(right.n[j])
-                if not bounded and min(n, m) <= LONG:
-                    if i != last:
-                        last, masks = i, _places(left.texts[i])
-                    if 2 * _common_subsequence(masks, n, right.texts[j]) < threshold * (n + m) - _SMALL:
-                        continue
+            least = _least(left.n[u] + right.n[v], threshold)
+            good = np.minimum(left.n[u], right.n[v]) > LONG
+            some = np.flatnonzero(~good)
+            good[some] = common(u[some], v[some], least[some]) >= least[some]
+            for i, j in zip(u[good].tolist(), v[good].tolist()):
                 a, b = (int(left.rows[i]), left.texts[i]), (int(right.rows[j]), right.texts[j])
                 a, b = min(a, b), max(a, b)
                 ratio = compare(a[1], b[1])
@@ -277,9 +406,9 @@ def _similar(rows: DataFrame, text: str, threshold: float, *, within: str, both:
     key = ["within", "low", "high"]
     side = F.when(here == there, 0).when(here < there, 1).otherwise(2)
     dealt = dealt.select("within", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), side.alias("side"), "row", "text")
-    # Keys are few and their work is in comparing, so they are dealt evenly and not put together by their bytes.
+    # Keys are few and their work is in comparing, so they are dealt over many tasks and not put together by their bytes.
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
     schema = "within string, a_row bigint, b_row bigint, ratio double, back double"
     pairs = dealt.repartition(parts, *key).groupBy(*key).applyInArrow(_compared(threshold, both), schema)
     return pairs.withColumnRenamed("within", within)
@@ -335,7 +464,7 @@ def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_
     near = pairs.select("authority", left.alias("left"), right.alias("right"), ratio).where(col("title_ratio") >= title_threshold)
     same, lengths = col("left.path") == col("right.path"), F.length("left.path") + F.length("right.path")
     alike = 2 * F.least(F.length("left.path"), F.length("right.path")) >= lengths * F.lit(url_threshold) - F.lit(_SMALL)
-    rated = near.where(same | alike).withColumn("path_ratio", matching_ratio("left.path", "right.path"))
+    rated = near.where(same | alike).withColumn("path_ratio", reaching_ratio(url_threshold)("left.path", "right.path"))
     rated = rated.where(same | (col("path_ratio") >= url_threshold))
     return rated.select(
         "authority",

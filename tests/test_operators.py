@@ -10,6 +10,8 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,47 @@ def test_common_subsequences_and_ratios_of_short_texts():
     assert len([k for k in compare.known if k == (7, bytes([0, 1, 2, 0, 3, 4, 5, 0, 1, 2, 0, 3, 5, 4]))]) == 1
 
 
+def test_long_texts_are_compared_many_at_a_time(monkeypatch):
+    rng = random.Random(12)
+    words = ["the", "of", "ation", "ing", "and", "ther", "é", "日本", "on", "re"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 60))) for _ in range(150)]
+    texts = sorted({*texts, *[t[:90] + "x" + t[92:] for t in texts[:40]], "a" * 130, "a" * 128 + "b"})
+    want = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.85]
+    assert len(want) > 30
+    single, n = [], len(texts)
+    common = duplicates._common_subsequence
+    monkeypatch.setattr(duplicates, "_common_subsequence", lambda *a: single.append(a) or common(*a))
+    rows = pa.table({"side": [0] * n, "row": list(range(n)), "text": texts, "within": ["a.org"] * n})
+    for _ in range(2):
+        got = duplicates._compared(0.85, False)(rows).to_pydict()
+        assert sorted(zip(got["a_row"], got["b_row"])) == want
+        assert len(single) < 500
+        monkeypatch.setattr(duplicates, "WORDS", 1)
+        monkeypatch.setattr(duplicates, "TABLE", 1)
+    counts = duplicates._Counts(np.arange(n), texts)
+    u, v = (x.ravel() for x in np.indices((n, n)))
+    exact = np.array([common(duplicates._places(counts.texts[i]), len(counts.texts[i]), counts.texts[j]) for i, j in zip(u.tolist(), v.tolist())])
+    assert (duplicates._short_common(counts, counts, u, v) == exact).all()
+    least = np.array([rng.choice([n - 3, n, n + 1, n + 9]) for n in exact.tolist()])
+    got = duplicates._Common(counts, counts)(u, v, least)
+    assert (got[least <= exact] == exact[least <= exact]).all() and (got < least)[least > exact].all()
+    some = [i for i in range(len(u)) if i % 401 == 0]
+    assert all((common(duplicates._places(counts.texts[u[i]]), int(counts.n[u[i]]), counts.texts[v[i]], int(least[i])) >= least[i]) == (exact[i] >= least[i]) for i in some)
+
+
+def test_only_paths_that_may_be_similar_are_rated(monkeypatch):
+    rng = random.Random(13)
+    texts = ["", "/a", "/" + "long/" * 900, "/" + "long/" * 900 + "x"] + [f"/{rng.choice(['en', 'fr'])}/{rng.randint(1, 4000)}" for _ in range(120)]
+    left, right = (pd.Series(x) for x in zip(*[(a, b) for a in texts for b in texts]))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
+    rated = []
+    monkeypatch.setattr(duplicates, "_ratio", lambda a, b: rated.append((a, b)) or SequenceMatcher(None, a, b).ratio())
+    for threshold in (0.8, 1.5):
+        (got,) = duplicates.reaching_ratio(threshold).func(iter([(left, right)]))
+        assert [None if pd.isna(r) else r for r in got] == [r if r >= threshold or a == b else None for a, b, r in zip(left, right, want)]
+    assert len(rated) < len(want) / 20
+
+
 def test_a_title_on_many_paths_is_compared_once(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "MEMBERS", 4)
     titles = ["attention is all you need", "attention is all you needed", "graphs"]
