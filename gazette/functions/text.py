@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 # White space of any script, with the four separator control characters.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+# Any other character.
+NO_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def col(c: Column | str) -> Column:

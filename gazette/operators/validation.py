@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, blank_to_null, col, text_or_empty
+from ..functions.text import NO_SPACE, blank_to_null, col, text_or_empty
 from ..functions.urls import is_valid_url
 
 
 def _is_blank(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "") == ""
+    """No character but white space; the search ends at the first other one, so a long text is not read through."""
+    return ~F.regexp_like(c, F.lit(NO_SPACE))
 
 
 def validation_messages() -> Column:

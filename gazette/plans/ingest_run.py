@@ -63,7 +63,7 @@ def ingest_run(
     """
     folders = Folders(root)
     sources = sources_table(spark, category.sources)
-    none = spark.createDataFrame([], "name string")
+    none = sources.select("name").limit(0)
     chosen = select_sources(sources, excluded if excluded is not None else none, max_sources=max_sources)
     rows, errors = collect_articles(payloads, chosen, limit=per_source_limit)
     rows = rows.drop("position").withColumn("collected_at", F.lit(as_of))

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import KEYWORD, SOURCE
@@ -107,7 +108,11 @@ def load_category(path: str) -> Category:
 
 
 def sources_table(spark: SparkSession, sources: list[Mapping[str, Any]]) -> DataFrame:
-    """Source dimension in configuration order; configuration values become text."""
+    """Source dimension in configuration order; configuration values become text.
+
+    From Arrow the size of the table is known, so that a short list of sources is broadcast and no payload or article is
+    moved to meet its source.
+    """
     rows = []
     for position, source in enumerate(sources):
         text = {
@@ -134,7 +139,12 @@ def sources_table(spark: SparkSession, sources: list[Mapping[str, Any]]) -> Data
                 {k: str(v) for k, v in _mapping(source.get("config")).items()},
             )
         )
-    return spark.createDataFrame(rows, SOURCE)
+    text = pa.string()
+    other = {"position": pa.int32(), "enabled": pa.bool_(), "info_purpose": pa.list_(text), "config": pa.map_(text, text)}
+    names = [part.split()[0] for part in SOURCE.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(names)
+    listed = {n: pa.array([list(v.items()) for v in c] if n == "config" else c, other.get(n, text)) for n, c in zip(names, columns)}
+    return spark.createDataFrame(pa.table(listed), SOURCE)
 
 
 def keywords_table(spark: SparkSession, category: Category) -> DataFrame:
