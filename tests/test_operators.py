@@ -15,9 +15,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gazette.functions.text import SPACE
 from gazette.operators import duplicates, graph, quality_checks, recency, search, source_health, summary, tagging, validation
 from gazette.operators.read_only_sql import REFUSED, REFUSED_CALL, read_only_sql
 from gazette.operators.signals import build_events, with_identifiers
+from gazette.plans.ingest_run import collect_articles
 from gazette.plans.quality_report import quality_report, write_report
 from gazette.sources.search_index import SearchIndex, _term_counts
 from gazette.sources.config import category_from, keywords_of, quality_settings, sources_table
@@ -25,6 +27,10 @@ from gazette.sources.config import category_from, keywords_of, quality_settings,
 ARTICLE = "link string, title string, summary string, published timestamp, source string, category string, collected_at timestamp"
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().toString()
+
+
 def article(spark, **values):
     row = {
         "link": "https://example.com/a", "title": "A title", "summary": "Text.", "published": dt.datetime(2026, 4, 13),
@@ -104,6 +110,26 @@ def test_validation(spark, values, want):
     assert validation.error_rows(rows).count() == (1 if want else 0)
 
 
+def test_blank_texts_are_told_without_reading_them_through(spark):
+    texts = ["", " ", "\t\n\x1c\x1f", "\u2003\u0085\u00a0", "a", "  b ", "\u200b", "😀", "- ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, title string")
+    removed = F.regexp_replace("title", SPACE, "") == ""
+    shown = rows.select("i", validation._is_blank(F.col("title")).alias("blank"), removed.alias("removed")).collect()
+    assert [r.blank for r in shown] == [r.removed for r in shown]
+    assert "regexp_replace(summary" not in plan_of(validation.valid_rows(article(spark)))
+
+
+def test_articles_and_payloads_stay_where_they_are_to_meet_their_source(spark):
+    category = category_from({"sources": [{"name": "Feed", "type": "rss", "config": {"a": 1}, "info_purpose": ["paper_release"]}, {"name": "Off", "enabled": False}]})
+    sources = sources_table(spark, category.sources)
+    assert [(r.name, r.enabled, r.info_purpose, r.config) for r in sources.collect()] == [("Feed", True, ["paper_release"], {"a": "1"}), ("Off", False, [], {})]
+    assert sources_table(spark, []).count() == 0 and sources_table(spark, []).schema == sources.schema
+    payloads = spark.createDataFrame([("Feed", "research", "<rss/>")], "source string, category string, payload string")
+    rows, _ = collect_articles(payloads, summary.select_sources(sources, sources.select("name").limit(0)))
+    for joined in (rows, build_events(article(spark), sources, category.quality)):
+        assert "SortMergeJoin" not in plan_of(joined) and "hashpartitioning" not in plan_of(joined)
+
+
 def pairs_of(rows):
     return {tuple(sorted(((r.left_title, r.left_link), (r.right_title, r.right_link)))) for r in rows.collect()}
 
