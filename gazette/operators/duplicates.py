@@ -25,10 +25,10 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 from ..functions.text import col, normalise_title, text_or_empty
 from ..functions.urls import split_url
@@ -236,17 +236,19 @@ def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series(ratios, index=left.index, dtype="float64")
 
 
-def reaching_ratio(threshold: float) -> Callable[..., Column]:
-    """As :func:`matching_ratio`, but NULL where two different texts do not reach the threshold.
+def _with_similar_paths(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: the rows whose ``left_path`` and ``right_path`` are equal or reach the threshold, with their ratio
+    as ``path_ratio`` in place of the paths.
 
-    The pairs of a batch whose longest common subsequence is too short are left out many at a time.
+    The pairs of a batch whose longest common subsequence is too short are left out many at a time. Rows go through Python
+    whole, as Spark would keep them on disk to join them with a column of ratios.
     """
 
-    @pandas_udf(DoubleType())
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, compare = {}, _kept_ratios()
-        for left, right in batches:
-            numbers, names = pd.factorize(pd.concat([left, right], ignore_index=True))
+        for batch in batches:
+            left, right = batch.column("left_path").to_pylist(), batch.column("right_path").to_pylist()
+            numbers, names = pd.factorize(np.array(left + right, dtype=object))
             texts = _Texts(names.tolist())
             pairs, place = np.unique(numbers[: len(left)] * len(names) + numbers[len(left) :], return_inverse=True)
             u, v = np.divmod(pairs, max(len(names), 1))
@@ -264,9 +266,11 @@ def reaching_ratio(threshold: float) -> Callable[..., Column]:
                     known[pair] = compare(*pair)
                 if u[k] == v[k] or known[pair] >= threshold:
                     ratios[k] = known[pair]
-            yield pd.Series(ratios[place], index=left.index).astype("Float64")
+            ratios = ratios[place]
+            rows = batch.drop_columns(["left_path", "right_path"]).append_column("path_ratio", pa.array(ratios))
+            yield rows.filter(pa.array(~np.isnan(ratios)))
 
-    return ratio
+    return rated
 
 
 class _Counts(_Texts):
@@ -464,9 +468,7 @@ def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_
     near = pairs.select("authority", left.alias("left"), right.alias("right"), ratio).where(col("title_ratio") >= title_threshold)
     same, lengths = col("left.path") == col("right.path"), F.length("left.path") + F.length("right.path")
     alike = 2 * F.least(F.length("left.path"), F.length("right.path")) >= lengths * F.lit(url_threshold) - F.lit(_SMALL)
-    rated = near.where(same | alike).withColumn("path_ratio", reaching_ratio(url_threshold)("left.path", "right.path"))
-    rated = rated.where(same | (col("path_ratio") >= url_threshold))
-    return rated.select(
+    rated = near.where(same | alike).select(
         "authority",
         col("left.id").alias("left_link"),
         col("right.id").alias("right_link"),
@@ -475,8 +477,11 @@ def fuzzy_duplicates(articles: DataFrame, *, title_threshold: float = 0.85, url_
         col("left.copies").alias("left_copies"),
         col("right.copies").alias("right_copies"),
         "title_ratio",
-        "path_ratio",
+        col("left.path").alias("left_path"),
+        col("right.path").alias("right_path"),
     )
+    schema = StructType(rated.drop("left_path", "right_path").schema.fields).add("path_ratio", DoubleType())
+    return rated.mapInArrow(_with_similar_paths(url_threshold), schema)
 
 
 def similar_urls(table: DataFrame, url: str, *, threshold: float = 0.8) -> DataFrame:

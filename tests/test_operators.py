@@ -10,7 +10,6 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -232,13 +231,15 @@ def test_long_texts_are_compared_many_at_a_time(monkeypatch):
 def test_only_paths_that_may_be_similar_are_rated(monkeypatch):
     rng = random.Random(13)
     texts = ["", "/a", "/" + "long/" * 900, "/" + "long/" * 900 + "x"] + [f"/{rng.choice(['en', 'fr'])}/{rng.randint(1, 4000)}" for _ in range(120)]
-    left, right = (pd.Series(x) for x in zip(*[(a, b) for a in texts for b in texts]))
+    left, right = zip(*[(a, b) for a in texts for b in texts])
+    rows = pa.record_batch({"left_path": left, "right_path": right, "row": list(range(len(left)))})
     want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
     rated = []
     monkeypatch.setattr(duplicates, "_ratio", lambda a, b: rated.append((a, b)) or SequenceMatcher(None, a, b).ratio())
     for threshold in (0.8, 1.5):
-        (got,) = duplicates.reaching_ratio(threshold).func(iter([(left, right)]))
-        assert [None if pd.isna(r) else r for r in got] == [r if r >= threshold or a == b else None for a, b, r in zip(left, right, want)]
+        (got,) = duplicates._with_similar_paths(threshold)(iter([rows]))
+        assert got.column_names == ["row", "path_ratio"]
+        assert list(zip(*got.to_pydict().values())) == [(i, r) for i, (a, b, r) in enumerate(zip(left, right, want)) if r >= threshold or a == b]
     assert len(rated) < len(want) / 20
 
 
